@@ -249,7 +249,8 @@ def explode_spans(df: DataFrame, text: str, keep: list[str], day_first: bool, mo
            .selectExpr(*keep, f"concat(__full, CASE WHEN size(__part) = 0 THEN __part ELSE {_NO_OVERLAP} END) AS __spans")
            .selectExpr(*keep, f"{spans} AS __spans"))
     if as_array:
-        return out.selectExpr(*keep, f"{_FIRST_PER_KEY} AS spans").filter(F.size("spans") > 0)
+        kept = f"filter(array(named_struct('spans', {_FIRST_PER_KEY})), q -> size(q.spans) > 0)"
+        return out.selectExpr(*keep, f"explode({kept}) AS q").selectExpr(*keep, "q.spans AS spans")
     return out.selectExpr(*keep, f"posexplode({_FIRST_PER_KEY}) AS (pos, s)")
 
 
