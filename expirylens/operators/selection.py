@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from expirylens.functions.dates import DEFAULT_RELIABILITY, PATTERNS, candidate_final_date
 from expirylens.functions.geometry import aspect_ratio, box_iou, spatial_relation
-from expirylens.functions.text import contains_any, sanitize_tokens, trim_ws
-from expirylens.operators.candidates import extract_candidates
+from expirylens.functions.text import contains_any, trim_ws
 from expirylens.operators.ordering import rank_in_groups, top_per_group
-from expirylens.schemas import ORDINAL_STRIDE, as_tokens, tile_of
+from expirylens.schemas import ORDINAL_STRIDE, tile_of
 
 # Keyword lists, matched as lower-case substrings.
 POSITIVE_KEYWORDS = ("소비기한", "유통기한", "품질유지기한", "exp", "expiry", "exp date", "best before",
@@ -154,7 +153,7 @@ def date_extremes(cands: DataFrame) -> DataFrame:
 
 def spread_over_tiles(per_image: DataFrame, last_tile: str = "last_tile") -> DataFrame:
     """Copy per-image rows to every tile of the image (one for all but huge images)."""
-    return per_image.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col(last_tile)))).drop(last_tile)
+    return per_image.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col(last_tile))))
 
 
 def _context_columns(kws: Column, same_line_bonus: float) -> dict[str, Column]:
@@ -180,12 +179,12 @@ def context_features(cands: DataFrame, tokens: DataFrame, same_line_bonus: float
 
     def best(flag: str) -> Column:
         return F.array_max(F.transform(F.filter("seen", lambda k: k[flag]), lambda k: k.near + k.rel))
-    scored = seen.select(*c.columns, "min_date", "max_date", best("pos").alias("p"), best("neg").alias("n"),
+    scored = seen.select(*c.columns, "min_date", "max_date", "last_tile", best("pos").alias("p"), best("neg").alias("n"),
                          F.array_max(F.transform("seen", lambda k: k.rel)).alias("s"))
     # more than one block only in images with very many keywords; the grouping keys contain the
     # join keys, so this needs no further exchange
     cap = lambda x: F.least(F.lit(1.5), F.coalesce(F.max(x), F.lit(0.0)))
-    return (scored.groupBy(*c.columns, "min_date", "max_date")
+    return (scored.groupBy(*c.columns, "min_date", "max_date", "last_tile")
             .agg(cap("p").alias("positive_keyword"), cap("n").alias("negative_keyword"),
                  cap("s").alias("spatial_relation"))
             .drop("tile"))
@@ -269,16 +268,6 @@ def feature_table(scored: DataFrame, params: ScoreParams = ScoreParams()) -> Dat
         F.when(F.col("has_many_dates"), params.future_date_bonus).otherwise(0.0).alias("future_date_bonus"))
 
 
-def candidates(tokens: DataFrame, params: ScoreParams = ScoreParams(), materialise=None) -> DataFrame:
-    """Tokens to scored candidates: extract, features, score."""
-    t = as_tokens(tokens)
-    if params.sanitization_mode != "none":
-        t = as_tokens(sanitize_tokens(t, params.sanitization_mode))
-    cands = extract_candidates(t, params.allow_day_first, params.allow_month_names, params.keep_invalid,
-                               materialise=materialise)
-    return score_candidates(features(cands, t, params), params)
-
-
 # --- ranking and selection -----------------------------------------------------------------------
 
 R7_ORDER = ("score", "cand_ordinal")
@@ -305,7 +294,7 @@ def other_source_iou(cands: DataFrame) -> DataFrame:
                       F.col("tile").alias("block"))
              .agg(F.collect_set("union_box").alias("boxes")))
     last = c.groupBy("image_id").agg(F.max("tile").alias("last_tile"))
-    boxes = spread_over_tiles(boxes.join(last, "image_id").drop("block"))
+    boxes = spread_over_tiles(boxes.join(last, "image_id").drop("block")).drop("last_tile")
     joined = c.join(boxes, ["image_id", "source", "tile"], "left")
     best = F.array_max(F.transform("boxes", lambda b: box_iou(F.col("union_box"), b)))
     return (joined.withColumn("__iou", best).groupBy(*c.columns)

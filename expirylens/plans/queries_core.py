@@ -10,6 +10,7 @@ from expirylens.operators.lines import reconstruct_lines
 from expirylens.plans import fixtures as X
 from expirylens.plans.catalog import query
 from expirylens.plans.oracle_parts import sql
+from expirylens.plans.pipeline import predict
 
 _CAND_COLS = ["image_id", "token_index", "raw_text", "year", "month", "day", "pattern",
               "recognition_confidence", "detection_confidence"]
@@ -76,7 +77,6 @@ def r8(spark, d):
 @query("e1_predictions", sql("""SELECT image_id, year, month, day, final_date, round(confidence, 6) AS confidence
     FROM pred""", "pred"))
 def e1(spark, d):
-    """Tokens to predictions, end to end, without any stored intermediate table."""
-    scored = S.candidates(X._build_tokens(spark, d), X.PARAMS)
-    return N.normalize_prediction(S.select_best(scored, X.images(spark, d))).select(
+    """Tokens to predictions, end to end, without using the session's shared tables."""
+    return predict(X._build_tokens(spark, d), X.images(spark, d), params=X.PARAMS).select(
         "image_id", "year", "month", "day", "final_date", F.round("confidence", 6).alias("confidence"))
