@@ -164,9 +164,7 @@ def explode_label_lines(labels: DataFrame, text: str = "text_found", min_length:
 def charset(labels: DataFrame, label: str) -> DataFrame:
     """One row with all distinct characters of the labels, sorted by code point."""
     chars = labels.select(F.explode(F.split(label, "")).alias("ch")).filter("ch <> ''").distinct()
-    return chars.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-        F.hex(F.encode("ch", "UTF-32BE")).alias("k"), "ch"))), lambda x: x.ch), "").alias("charset"),
-        F.count("*").alias("size"))
+    return chars.agg(F.array_join(F.array_sort(F.collect_list("ch")), "").alias("charset"), F.count("*").alias("size"))
 
 
 # Class maps of the box detector data sets.

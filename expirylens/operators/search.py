@@ -132,7 +132,7 @@ def count_correct(cands: DataFrame, feature_names: list[str], combos: list[dict]
             .withColumn("right", F.size(F.filter("c", lambda x: x.is_correct > 0))))
     settled = rows.filter((F.col("last_tile") == 0) & ((F.col("right") == 0) | (F.col("right") == F.size("c"))))
     open_rows = rows.filter((F.col("last_tile") > 0) | ((F.col("right") > 0) & (F.col("right") < F.size("c"))))
-    arrays = open_rows.select("image_id", "last_tile", *[F.transform("c", lambda x, n=n: x[n]).alias(n) for n in fields])
+    arrays = open_rows.select("image_id", "last_tile", *[F.col(f"c.{n}").alias(n) for n in fields])
 
     def evaluate(batches: Iterable[pd.DataFrame]):
         totals = np.zeros(len(weights), dtype=np.int64)

@@ -80,3 +80,362 @@ def e1(spark, d):
     """Tokens to predictions, end to end, without using the session's shared tables."""
     return predict(X._build_tokens(spark, d), X.images(spark, d), params=X.PARAMS).select(
         "image_id", "year", "month", "day", "final_date", F.round("confidence", 6).alias("confidence"))
+
+
+# --- text scalars --------------------------------------------------------------------------------
+
+def _conv(spark, d):
+    """Conversation turns as box-less tokens."""
+    return X.table(spark, d, "conversations").select(
+        F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("image_id"),
+        F.col("turn").cast("int").alias("token_index"), "text", F.lit(0.5).alias("confidence"))
+
+
+_SOFT = r"[^0-9A-Za-z가-힣\s./:\-]"
+_DATEISH2 = r"(?i)(?:\d|[OIil|])[^\n]{0,18}(?:\d|[OIil|])"
+_NUM = r"(?i)[^0-9OIil|./:\-]"
+
+
+@query("t1_sanitize_text", f"""SELECT doc_id, md5(regexp_replace(text, '{_SOFT}', '', 'g')) AS soft,
+    md5(CASE WHEN regexp_matches(text, '{_DATEISH2}') THEN regexp_replace(text, '{_SOFT}', '', 'g') ELSE text END) AS date_context,
+    md5(CASE WHEN regexp_matches(text, '{_DATEISH2}') THEN regexp_replace(text, '{_NUM}', '', 'g') ELSE text END) AS numeric_date
+    FROM documents""")
+def t1(spark, d):
+    t = F.col("text")
+    return X.table(spark, d, "documents").select(
+        "doc_id", *[F.md5(T.sanitize_text(t, m)).alias(m) for m in ("soft", "date_context", "numeric_date")])
+
+
+@query("t2_sanitize_tokens", f"""SELECT printf('conv_%d', conv_id) AS image_id, turn AS token_index,
+    md5(regexp_replace(text, '{_SOFT}', '', 'g')) AS clean,
+    CASE WHEN regexp_replace(text, '{_SOFT}', '', 'g') <> text THEN md5(text) END AS raw,
+    CASE WHEN regexp_replace(text, '{_SOFT}', '', 'g') <> text THEN 'soft' END AS sanitizer_mode FROM conversations""")
+def t2(spark, d):
+    return T.sanitize_tokens(_conv(spark, d), "soft").select(
+        "image_id", "token_index", F.md5("text").alias("clean"), F.md5("raw_text").alias("raw"), "sanitizer_mode")
+
+
+@query("t3_correct_numeric_confusions", sql("""SELECT image_id, rn AS token_index,
+    strftime(d, '%Y-') || strftime(d, '%m') || '-' || strftime(d, '%d') AS fixed FROM li""", "li"))
+def t3(spark, d):
+    """Dates with zeros written O and ones written l come back as digits."""
+    broken = F.translate(F.date_format("d", "yyyy-MM-dd"), "01", "Ol")
+    return X.dated_lines(spark, d).select("image_id", F.col("rn").alias("token_index"),
+                                          T.correct_numeric_confusions(broken).alias("fixed"))
+
+
+@query("t4_parse_date_text", sql("""SELECT image_id, rn AS token_index, year, month, day, pattern, true AS calendar_valid
+    FROM cand""", "cand"))
+def t4(spark, d):
+    p = F.col("p")
+    t = X.tokens(spark, d).filter("token_index > 0").withColumn("p", D.parse_date_text("text", "", True, True))
+    return t.filter(p.isNotNull()).select("image_id", "token_index", p.year.alias("year"), p.month.alias("month"),
+                                          p.day.alias("day"), p.pattern.alias("pattern"), p.calendar_valid.alias("calendar_valid"))
+
+
+@query("t4_parse_date_patterns", sql("""SELECT image_id, p.pattern,
+    CASE WHEN p.pattern LIKE 'md\\_%' ESCAPE '\\' THEN NULL ELSE strftime(d, '%Y') END AS year, strftime(d, '%m') AS month,
+    CASE WHEN p.pattern LIKE 'ym\\_%' ESCAPE '\\' OR p.pattern = 'my_separated' THEN NULL ELSE strftime(d, '%d') END AS day FROM spl,
+    (SELECT unnest(['ymd_korean','ymd_separated','ymd_lot_attached','ymd_spaced','ymd_mixed_compact','ym_korean',
+        'ym_separated','dmy_separated','dmy_lot_attached','dmy_spaced','my_separated','mdy_month_name','dmy_month_name',
+        'ymd_compact','md_korean','md_separated']) AS pattern) p WHERE NOT (p.pattern = 'dmy_month_name' AND month(d) = 10)""", "spl"))
+def t4_patterns(spark, d):
+    """Order dates printed in the shape of every pattern and found again by the extractor."""
+    f = lambda fmt: F.date_format("d", fmt)
+    shapes = {"ymd_korean": f("yyyy년 M월 d일"), "ymd_separated": f("yyyy/MM/dd"),
+              "ymd_lot_attached": F.concat(f("yyyy.MM.dd"), F.lit("LOT7")), "ymd_spaced": f("yyyy MM dd"),
+              "ymd_mixed_compact": f("yyyy.MMdd"), "ym_korean": f("yyyy년 MM월"), "ym_separated": f("yyyy.MM"),
+              "dmy_separated": f("dd-MM-yyyy"), "dmy_lot_attached": F.concat(f("dd.MM.yyyy"), F.lit("A")),
+              "dmy_spaced": f("dd MM yyyy"), "my_separated": f("MM/yyyy"),
+              "mdy_month_name": F.concat_ws(".", F.upper(f("MMM")), f("dd"), f("yyyy")),
+              "dmy_month_name": F.concat(f("dd"), F.upper(f("MMM")), f("yyyy")), "ymd_compact": f("yyyyMMdd"),
+              "md_korean": f("M월 d일"), "md_separated": f("MM/dd")}
+    rows = X.table(spark, d, "orders").select(
+        X.image_id(F.col("o_orderkey")).alias("image_id"), F.date_add(F.col("o_orderdate").cast("date"), X.SHIFT_DAYS).alias("d"))
+    rows = rows.select("image_id", F.explode(F.array(*[F.struct(F.lit(n).alias("want"), s.alias("text"))
+                                                        for n, s in shapes.items()])).alias("x")).select("image_id", "x.*")
+    hits = D.explode_spans(rows, "text", ["image_id", "want"], True, True)
+    return hits.filter("s.pattern = want").select("image_id", F.col("want").alias("pattern"), "s.year", "s.month", "s.day")
+
+
+@query("t5_parse_final_date", sql("""SELECT image_id, CASE WHEN dated AND k = 8 THEN NULL WHEN dated THEN year END AS year,
+    CASE WHEN dated THEN month END AS month, CASE WHEN dated AND k <> 9 THEN day END AS day FROM noisy0""", "noisy0"))
+def t5(spark, d):
+    k = F.substring("image_id", 5, 8).cast("int") % 17
+    p = F.split("final_date", "-")
+    dated = F.col("final_date") != "NONE"
+    text = (F.when(dated & (k == 8), F.concat_ws("-", F.lit("NoNE"), p[1], p[2]))
+            .when(dated & (k == 9), F.concat_ws("-", p[0], p[1], F.lit("None")))
+            .when(dated & (k == 10), F.concat_ws(".", p[0], p[1], p[2])).otherwise(F.col("final_date")))
+    key = D.parse_final_date("text")
+    return X.labels(spark, d).withColumn("text", text).withColumn("k", key).select(
+        "image_id", F.col("k.year").alias("year"), F.col("k.month").alias("month"), F.col("k.day").alias("day"))
+
+
+@query("t6_candidate_final_date", sql("""SELECT image_id, rn AS token_index, iso AS final_date, year || month || day AS key
+    FROM cand""", "cand"))
+def t6(spark, d):
+    c = F.col
+    args = (c("year"), c("month"), c("day"), c("calendar_valid"))
+    key = D.candidate_key(*args)
+    return X.candidates(spark, d).select("image_id", c("first_index").alias("token_index"),
+                                         D.candidate_final_date(*args).alias("final_date"),
+                                         F.concat(key.year, key.month, key.day).alias("key"))
+
+
+@query("t7_calendar_valid", sql("""SELECT image_id, year, month, day, final_date = 'NONE' OR (final_date NOT LIKE '%-13-%'
+    AND try_cast(replace(final_date, '/', '-') AS DATE) IS NOT NULL) AS valid FROM noisy WHERE dated AND k <> 5""", "noisy"))
+def t7(spark, d):
+    n = X.noisy_labels(spark, d).filter("final_date <> 'NONE' AND day <> '00'")
+    return n.select("image_id", "year", "month", "day",
+                    D.calendar_valid(F.col("year"), F.col("month"), F.col("day")).alias("valid"))
+
+
+@query("t8_normalize_prediction", sql("""SELECT i.image_id, CASE WHEN c.form IS NULL THEN '----' ELSE year END AS year,
+    CASE WHEN c.form IS NULL THEN '----' ELSE month END AS month, CASE WHEN c.form IS NULL THEN '----' ELSE day END AS day,
+    CASE WHEN c.form IS NULL THEN '----' ELSE iso END AS final_date
+    FROM img i LEFT JOIN (SELECT * FROM cand WHERE rn = 1) c USING (image_id)""", "img", "cand"))
+def t8(spark, d):
+    first = X.scored(spark, d).filter("first_index = 1")
+    sel = X.images(spark, d).join(first, "image_id", "left")
+    return N.normalize_prediction(sel, none_token="----").select("image_id", "year", "month", "day", "final_date")
+
+
+@query("t9_normalized_options", sql("""SELECT image_id, rn AS token_index, CASE WHEN form IN (1, 3) THEN iso END AS first_option,
+    form <> 4 AS label_is_an_option FROM (SELECT *, strftime(d, '%Y-%m-%d') AS iso FROM dt)""", "dt"))
+def t9(spark, d):
+    t = X.dated_lines(spark, d).withColumn("text", X.date_text(F.col("rn"), F.col("d"))).withColumn(
+        "o", D.normalized_options(F.col("text")))
+    return t.select("image_id", F.col("rn").alias("token_index"),
+                    F.when((F.col("rn") % 5).isin(1, 3), F.get("o", F.lit(0))).alias("first_option"),
+                    F.array_contains("o", F.date_format("d", "yyyy-MM-dd")).alias("label_is_an_option"))
+
+
+@query("t10_normalize_simple", sql("""SELECT image_id, rn AS token_index, strftime(d, '%Y-%m-%d') AS simple FROM dt
+    WHERE form IN (1, 3)""", "dt"))
+def t10(spark, d):
+    t = X.dated_lines(spark, d).filter((F.col("rn") % 5).isin(1, 3))
+    return t.select("image_id", F.col("rn").alias("token_index"),
+                    D.normalize_simple(X.date_text(F.col("rn"), F.col("d"))).alias("simple"))
+
+
+@query("t11_normalize_validated", sql("""SELECT image_id, rn AS token_index, strftime(d, '%Y-%m-%d') AS validated FROM dt
+    WHERE form <> 2""", "dt"))
+def t11(spark, d):
+    t = X.dated_lines(spark, d).filter(F.col("rn") % 5 != 2)
+    return t.select("image_id", F.col("rn").alias("token_index"),
+                    D.normalize_validated(X.date_text(F.col("rn"), F.col("d"))).alias("validated"))
+
+
+@query("t12_pad_label_parts", sql("""SELECT lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(6, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0') AS image_id,
+    year, month, day FROM labp""", "labp"))
+def t12(spark, d):
+    bare = lambda c: F.regexp_replace(c, "^0", "")
+    n = X.label_parts(spark, d).select(F.substring("image_id", 5, 8).cast("int").cast("string").alias("image_id"), "year",
+                                       bare("month").alias("month"), bare("day").alias("day"), "final_date")
+    return T.pad_label_parts(n).select("image_id", "year", "month", "day")
+
+
+@query("t13_levenshtein", """SELECT c_custkey, levenshtein(c_name, c_mktsegment) AS distance FROM customer""")
+def t13(spark, d):
+    return X.table(spark, d, "customer").select("c_custkey", T.levenshtein(F.col("c_name"), F.col("c_mktsegment")).alias("distance"))
+
+
+@query("t15_redact_params", """SELECT event_id, '<redacted>' AS api_key, '<redacted>' AS nested_secret, event_type || '.bin' AS model_dir,
+    event_type AS plain FROM events""")
+def t15(spark, d):
+    e = F.col("event_type")
+    params = F.create_map(F.lit("ocr.params.api_key"), F.col("props"), F.lit("ocr.params.secrets.inner"), e,
+                          F.lit("ocr.params.model_dir"), F.concat(F.lit("/data/x/"), e, F.lit(".bin")),
+                          F.lit("selector.plugin"), e, F.lit("notes.path"), e)
+    out = X.table(spark, d, "events").withColumn("p", T.redact_config(params))
+    return out.select("event_id", *[F.try_element_at("p", F.lit(k)).alias(n) for k, n in (
+        ("ocr.params.api_key", "api_key"), ("ocr.params.secrets.inner", "nested_secret"),
+        ("ocr.params.model_dir", "model_dir"), ("selector.plugin", "plain"))])
+
+
+@query("t16_confidence_band", sql("""SELECT image_id, rn AS token_index,
+    CASE WHEN conf >= 0.8 THEN 'lime' WHEN conf >= 0.5 THEN 'yellow' ELSE 'red' END AS band FROM dt""", "dt"))
+def t16(spark, d):
+    return X.tokens(spark, d).filter("token_index > 0").select("image_id", "token_index", T.confidence_band(F.col("confidence")).alias("band"))
+
+
+# --- candidates ----------------------------------------------------------------------------------
+
+@query("c1_partial_and_invalid", sql("""SELECT image_id, rn AS token_index, CASE rn % 4 WHEN 0 THEN 'md_separated' WHEN 1 THEN 'ym_separated'
+    ELSE 'ymd_separated' END AS pattern, CASE WHEN rn % 4 <> 0 THEN strftime(d, '%Y') END AS year,
+    CASE WHEN rn % 4 = 2 THEN '02' ELSE strftime(d, '%m') END AS month,
+    CASE rn % 4 WHEN 0 THEN strftime(d, '%d') WHEN 2 THEN '31' END AS day, rn % 4 <> 2 AS calendar_valid
+    FROM li WHERE rn % 4 < 3""", "li"))
+def c1_partial(spark, d):
+    """Month-day, year-month, impossible and three-digit-year texts, invalid dates kept."""
+    rn = F.col("rn")
+    text = (F.when(rn % 4 == 0, F.date_format("d", "MM/dd")).when(rn % 4 == 1, F.date_format("d", "yyyy.MM"))
+            .when(rn % 4 == 2, F.date_format("d", "yyyy.'02.31'")).otherwise(F.date_format("d", "'209'.MM.dd")))
+    t = X.dated_lines(spark, d).select("image_id", rn.alias("token_index"), text.alias("text"))
+    return C.token_candidates(t, keep_invalid=True).select(
+        "image_id", F.col("first_index").alias("token_index"), "pattern", "year", "month", "day", "calendar_valid")
+
+
+@query("c3_dedup_candidates", sql("SELECT image_id, rn AS token_index, iso, 1 AS copies FROM cand", "cand"))
+def c3(spark, d):
+    c = X.candidates(spark, d)
+    twice = c.unionByName(c.withColumn("cand_ordinal", F.col("cand_ordinal") + 1))
+    return C.dedup_candidates(twice).groupBy("image_id", F.col("first_index").alias("token_index"),
+                                             F.concat_ws("-", "year", "month", "day").alias("iso")).agg(F.count("*").alias("copies"))
+
+
+@query("c5_token_confidences", sql("""SELECT image_id, rn AS token_index, conf AS recognition, CASE WHEN rn % 3 = 0 THEN 0.0::DOUBLE
+    ELSE det END AS detection FROM cand""", "cand"))
+def c5(spark, d):
+    """Detection confidence from the column, from the extras, or 0."""
+    dc, i = F.col("detection_confidence"), F.col("token_index")
+    t = X.tokens(spark, d).filter("token_index > 0").withColumns({
+        "extras": F.when(i % 3 == 1, F.create_map(F.lit("detection_confidence"), dc.cast("string"))),
+        "detection_confidence": F.when(i % 3 == 2, dc)})
+    return C.token_candidates(t, True, True).select("image_id", F.col("first_index").alias("token_index"),
+                                                    F.col("recognition_confidence").alias("recognition"),
+                                                    F.col("detection_confidence").alias("detection"))
+
+
+@query("c6_candidates_from_detector", sql("""SELECT image_id, candidate_index, prediction, 'yolo' AS source,
+    round(ln(greatest(rec_score, 1e-6)), 6) AS score, rec_score AS rec, det_conf AS det, class FROM det
+    WHERE prediction IS NOT NULL""", "det"))
+def c6(spark, d):
+    return C.candidates_from_detector(X.detector(spark, d)).select(
+        "image_id", "candidate_index", "prediction", "source", F.round("score", 6).alias("score"), "rec", "det", "class")
+
+
+# --- scoring and selection -----------------------------------------------------------------------
+
+@query("r2_spatial_relation", sql("""SELECT a.image_id, a.rn, round(least(1.5, 1.0 / (1.0 + 4.0 * (sqrt(((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2) ** 2
+    + ((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) ** 2) / greatest(1.0, b.x2, b.y2, a.x2, a.y2)))
+    + CASE WHEN abs((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) <= 18.0 AND (b.x1 + b.x2) >= (a.x1 + a.x2) THEN 0.15
+           WHEN (b.y1 + b.y2) >= (a.y1 + a.y2) THEN 0.1125 ELSE 0.0 END), 6) AS relation
+    FROM dt a JOIN dt b ON a.image_id = b.image_id AND b.rn = a.rn + 1""", "dt"))
+def r2(spark, d):
+    t = X.tokens(spark, d).filter("token_index > 0").select("image_id", F.col("token_index").alias("rn"), "bbox")
+    nxt = t.select("image_id", (F.col("rn") - 1).alias("rn"), F.col("bbox").alias("next_box"))
+    return t.join(nxt, ["image_id", "rn"]).select("image_id", "rn", F.round(
+        G.spatial_relation(F.col("bbox"), F.col("next_box")), 6).alias("relation"))
+
+
+@query("r3_source_prior", sql("SELECT image_id, rn AS token_index, CASE source WHEN 'yolo' THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS prior FROM cand", "cand"))
+def r3(spark, d):
+    return X.candidates(spark, d).select("image_id", F.col("first_index").alias("token_index"),
+                                         S.source_prior(F.col("sources"), {"yolo": 0.25}).alias("prior"))
+
+
+@query("r5_complete_date_extremes", sql("SELECT image_id, CAST(mn AS VARCHAR) AS min_date, CAST(mx AS VARCHAR) AS max_date FROM ext", "ext"))
+def r5(spark, d):
+    return S.date_extremes(X.candidates(spark, d)).select("image_id", F.col("min_date").cast("string").alias("min_date"),
+                                                          F.col("max_date").cast("string").alias("max_date"))
+
+
+@query("r6_dmy_adjustment", sql("SELECT image_id, rn AS token_index, CASE WHEN form = 2 THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END AS adjustment FROM cand", "cand"))
+def r6(spark, d):
+    return X.features(spark, d).select("image_id", F.col("first_index").alias("token_index"), F.col("dmy_adjustment").alias("adjustment"))
+
+
+_UNION = {
+    "cc": """SELECT s.*, coalesce((SELECT max(greatest(0.0, least(s.x2, o.x2) - greatest(s.x1, o.x1)) * greatest(0.0, least(s.y2, o.y2) - greatest(s.y1, o.y1))
+        / (2 * 80.0 * 18.0 - greatest(0.0, least(s.x2, o.x2) - greatest(s.x1, o.x1)) * greatest(0.0, least(s.y2, o.y2) - greatest(s.y1, o.y1))))
+        FROM sc o WHERE o.image_id = s.image_id AND o.source <> s.source), 0.0) AS iou FROM sc s""",
+    "uu": """SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY CASE WHEN source = 'yolo' THEN 1.5 ELSE 0.0 END + 1.5 * score
+        + 1.5 * ln(greatest(conf, 1e-6)) + 0.5 * ln(greatest(det, 1e-6)) + 0.5 * iou DESC, score DESC, rn) AS r FROM cc"""}
+
+
+@query("r9_select_union", sql("SELECT image_id, text AS raw_text, source, round(iou, 6) AS spatial FROM uu WHERE r = 1", "sc", **_UNION))
+def r9(spark, d):
+    """Boxes are moved down by up to a row so that the two sources overlap."""
+    return S.select_union(X.scored(spark, d), None, X.UNION).select("image_id", "raw_text", "source", F.round("spatial", 6).alias("spatial"))
+
+
+@query("r10_candidate_source", sql("SELECT image_id, rn AS token_index, source FROM cand", "cand"))
+def r10(spark, d):
+    return X.candidates(spark, d).select("image_id", F.col("first_index").alias("token_index"), S.candidate_source(F.col("sources")).alias("source"))
+
+
+@query("r11_union_boxes", sql("SELECT image_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM tok GROUP BY image_id", "tok"))
+def r11(spark, d):
+    return X.tokens(spark, d).groupBy("image_id").agg(G.union_box_agg(F.col("bbox")).alias("b")).select("image_id", "b.*")
+
+
+@query("r12_box_iou", sql("""SELECT a.image_id, a.rn, round(greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1))
+    / (80.0 * 18.0 * 2 - greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1))), 6) AS iou
+    FROM dt a JOIN det b ON a.image_id = b.image_id AND a.rn = b.rn""", "dt", "det"))
+def r12(spark, d):
+    t = X.tokens(spark, d).filter("token_index > 0").select("image_id", F.col("token_index").alias("rn"), "bbox")
+    x = X.detector(spark, d).select("image_id", (F.col("candidate_index") + 1).alias("rn"), F.col("bbox").alias("other"))
+    return t.join(x, ["image_id", "rn"]).select("image_id", "rn", F.round(G.box_iou(F.col("bbox"), F.col("other")), 6).alias("iou"))
+
+
+@query("r13_evidence_tags", sql("""SELECT image_id, rn AS token_index, concat_ws('|', CASE WHEN is_latest THEN 'later_expiry_date' END, 'calendar_valid',
+    CASE WHEN positive > 0 THEN 'expiry_keyword' END, CASE WHEN negative > 0 THEN 'manufacturing_keyword' END,
+    CASE WHEN spatial > 0 THEN 'bbox_spatial_relation' END) AS evidence FROM feat""", "feat"))
+def r13(spark, d):
+    return X.scored(spark, d).select("image_id", F.col("first_index").alias("token_index"), F.array_join("evidence", "|").alias("evidence"))
+
+
+@query("r14_feature_table", sql("""SELECT image_id, rn * 1048576 AS cand_ordinal, conf AS recognition_confidence, det AS detection_confidence,
+    rel::DOUBLE AS pattern_reliability, 1.0::DOUBLE AS calendar_valid, round(positive, 6) AS positive_keyword, round(negative, 6) AS negative_keyword,
+    round(spatial, 6) AS spatial_relation, 1.0::DOUBLE AS source_prior, 0.0::DOUBLE AS partial_date_penalty, 0.0::DOUBLE AS time_like_penalty,
+    CASE WHEN mx > mn THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS future_date_bonus FROM feat""", "feat"))
+def r14(spark, d):
+    t = S.feature_table(X.scored(spark, d))
+    return t.withColumns({c: F.round(c, 6) for c in ("positive_keyword", "negative_keyword", "spatial_relation")})
+
+
+_POOL = {"pool": """SELECT image_id, 0 AS o, -score AS o2, rn, iso AS prediction, 'baseline' AS source, score, conf AS rec, det, -1 AS class,
+        x1, y1, x2, y2 FROM sc
+    UNION ALL SELECT image_id, 1, 0.0, rn, prediction, 'yolo', ln(greatest(rec_score, 1e-6)), rec_score, det_conf, class, x1, y1, x2, y2
+        FROM det WHERE prediction IS NOT NULL"""}
+
+
+@query("r15_diagnose_union_rank", sql("""SELECT image_id, prediction, source FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY
+    CASE source WHEN 'baseline' THEN 1.0 ELSE 2.0 END + score + 0.4 * ln(greatest(det, 1e-6)) DESC, o, o2, rn) AS r FROM pool) WHERE r = 1""",
+    "sc", "det", **_POOL))
+def r15(spark, d):
+    return S.diagnose_union_rank(pool(spark, d)).select("image_id", "prediction", "source")
+
+
+def pool(spark, d):
+    from expirylens.operators.search import union_pool
+
+    def build():
+        return union_pool(S.baseline_pool(X.scored(spark, d)), C.candidates_from_detector(X.detector(spark, d))).withColumn(
+            "pool_ordinal", F.struct("o1", "o2", "o3"))
+    return X.stored(spark, d, "pool", build)
+
+
+@query("r16_detector_choice", sql("""SELECT image_id, candidate_index FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY
+    (class = 1) DESC, rec_score * det_conf DESC, candidate_index) AS r FROM det) WHERE r = 1""", "det"))
+def r16(spark, d):
+    return S.detector_choice(X.detector(spark, d)).select("image_id", "candidate_index")
+
+
+@query("r17_best_box_per_image", sql("""SELECT image_id, box_index, class FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY
+    (class = 1) DESC, width * height DESC, box_index) AS r FROM box WHERE class IN (0, 1)) WHERE r = 1""", "box"))
+def r17(spark, d):
+    return S.best_box_per_image(X.boxes(spark, d)).select("image_id", "box_index", "class")
+
+
+@query("r18_top_k_boxes", sql("""SELECT image_id, box_index, rank FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY
+    confidence DESC, box_index) AS rank FROM box) WHERE rank <= 4""", "box"))
+def r18(spark, d):
+    return S.top_k_boxes(X.boxes(spark, d), 4, "confidence").select("image_id", "box_index", "rank")
+
+
+@query("r18_top_k_by_aspect", sql("""SELECT image_id, box_index, rank FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY
+    rn DESC) AS rank, rn - 1 AS box_index FROM li) WHERE rank <= 4""", "li"))
+def r18_aspect(spark, d):
+    from expirylens.operators.boxes import pixel_boxes
+    return S.top_k_boxes(pixel_boxes(X.boxes(spark, d), 400.0, 300.0), 4, "aspect").select("image_id", "box_index", "rank")
+
+
+@query("p1_registered_union_selector", sql("SELECT i.image_id, coalesce(u.iso, 'NONE') AS final_date FROM img i LEFT JOIN (SELECT * FROM uu WHERE r = 1) u USING (image_id)",
+                                           "img", "sc", **_UNION))
+def p1(spark, d):
+    """Selector and normalizer by name with dotted parameter overrides."""
+    return predict(X.tokens(spark, d), X.images(spark, d), "union_spatial", {
+        "selector.params.allow_day_first": True, "selector.params.allow_month_names": True}).select("image_id", "final_date")

@@ -1 +1,219 @@
-"""Queries."""
+"""Queries that write derived tables in the stored formats and read them back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from expirylens.operators import audit as A, runs as R
+from expirylens.plans import fixtures as X
+from expirylens.plans.catalog import query
+from expirylens.plans.oracle_parts import sql
+from expirylens.plans.queries_quality import audited, review
+from expirylens.plans.queries_runs import _E, _R, _DESC, evidence_rows, run_rows
+from expirylens.plans.storage import shared_folder
+from expirylens.sources import readers as I, writers as O
+
+
+def _flat(tokens):
+    b = F.col("bbox")
+    return tokens.select("image_id", "token_index", "text", "confidence", "detection_confidence", "source",
+                         b.x1.alias("x1"), b.y2.alias("y2"))
+
+
+_TOK = "SELECT image_id, {i} AS token_index, text, conf AS confidence, det AS detection_confidence, source, x1, y2 FROM tok"
+_POS = "row_number() OVER (PARTITION BY image_id ORDER BY token_index) - 1"
+
+
+@query("s1_read_token_sidecars", sql("SELECT image_id, token_index, text FROM (SELECT image_id, rn - 1 AS token_index, text FROM dt WHERE rn <= 2)", "dt"))
+def s1(spark, d):
+    """Sidecar arrays as whole files, one per 500 orders, unpacked with their position."""
+    t = X.tokens(spark, d).filter("token_index BETWEEN 1 AND 2")
+    path = shared_folder(spark)
+    k = F.floor(F.substring("image_id", 5, 8).cast("int") / 500).cast("string")
+    rows = t.groupBy(k.alias("k")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(
+        "image_id", "token_index", "text", "confidence"))), lambda x: F.struct(
+            F.concat_ws("~", x.image_id, x.text).alias("text"), x.confidence.alias("confidence")))).alias("value"))
+    rows.repartition("k").write.partitionBy("k").text(path)
+    read = I.read_token_sidecars(spark, _rename_parts(spark, path, "side_%06d.png.ocr.json"))
+    parts = F.split("text", "~")
+    return read.select(parts[0].alias("image_id"), parts[1].alias("text")).join(
+        t.select("image_id", "text", (F.col("token_index") - 1).alias("token_index")), ["image_id", "text"]).distinct()
+
+
+def _rename_parts(spark, path, name):
+    """Give every part file below a folder another name (a format with %d), in place."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    it, files = fs.listFiles(root, True), []
+    while it.hasNext():
+        files.append(it.next().getPath())
+    for n, f in enumerate(files):
+        if f.getName().startswith("part-"):
+            fs.rename(f, jvm.org.apache.hadoop.fs.Path(f.getParent(), name % n))
+    return path
+
+
+@query("s2_k3_token_cache", sql(_TOK.format(i=_POS), "tok"))
+def s2(spark, d):
+    path = shared_folder(spark)
+    O.write_token_cache(X.tokens(spark, d), path)
+    return _flat(I.read_token_cache(spark, path))
+
+
+@query("s2_token_cache_first_wins", sql("SELECT image_id, count(*) AS tokens FROM (SELECT image_id FROM tok WHERE token_index > 0 UNION ALL "
+                                        "SELECT image_id FROM tok WHERE token_index = 0 AND image_id NOT IN (SELECT image_id FROM dt)) GROUP BY 1", "tok", "dt"))
+def s2_first(spark, d):
+    """Two caches with overlapping images: the first one listed wins."""
+    t, a, b = X.tokens(spark, d), shared_folder(spark), shared_folder(spark)
+    O.write_token_cache(t.filter("token_index > 0"), a)
+    O.write_token_cache(t.filter("token_index = 0"), b)
+    return I.read_token_cache(spark, [a, b], "first", drop_malformed=True).groupBy("image_id").agg(F.count("*").alias("tokens"))
+
+
+@query("s3_k1_labels_csv", sql("SELECT image_id, year, month, day, final_date FROM pred", "pred"))
+def s3(spark, d):
+    path = shared_folder(spark)
+    O.write_predictions(X.predictions(spark, d), path)
+    return I.read_labels(spark, path).select("image_id", "year", "month", "day", "final_date")
+
+
+@query("s3_split_csv", sql("SELECT image_id, final_date FROM lab", "lab"))
+def s3_split(spark, d):
+    path = shared_folder(spark)
+    X.labels(spark, d).select(F.concat("image_id", F.lit(".jpg")).alias("filename"), F.col("final_date").alias("date")).write.option("header", True).csv(path)
+    return I.read_labels(spark, path)
+
+
+@query("s4_read_detector_predictions", sql("SELECT image_id, candidate_index, prediction, rec_score, class, x1 FROM det WHERE prediction IS NOT NULL", "det"))
+def s4(spark, d):
+    path, b = shared_folder(spark), F.col("bbox")
+    c = F.struct("candidate_index", "raw", "prediction", "rec_score", "det_conf", "class", F.array(b.x1, b.y1, b.x2, b.y2).alias("bbox"))
+    rows = X.detector(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(c)).alias("candidates"))
+    rows.select(F.array(F.struct("image_id", "candidates")).alias("predictions")).write.json(path)
+    out = I.read_detector_predictions(spark, path, multi_line=False)
+    return out.select("image_id", "candidate_index", "prediction", "rec_score", "class", F.col("bbox.x1").alias("x1"))
+
+
+@query("s5_read_box_manifest", sql("SELECT image_id, box_index, class, name, round(cx, 6) AS cx, round(height, 6) AS height FROM box WHERE CAST(substr(image_id, 5) AS INT) % 6 <> 0", "box"))
+def s5(spark, d):
+    path = shared_folder(spark)
+    b = F.struct("box_index", "class", "name", "cx", "cy", "width", "height")
+    k = F.substring("image_id", 5, 8).cast("int") % 6
+    rows = X.boxes(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(b)).alias("boxes")).withColumn("status", F.when(k == 0, "no_label").otherwise("ok"))
+    rows.select(F.lit("region").alias("dataset"), F.array(F.struct("image_id", "status", "boxes")).alias("records")).write.json(path)
+    return I.read_box_manifest(spark, path, multi_line=False).select(
+        "image_id", "box_index", "class", "name", F.round("cx", 6).alias("cx"), F.round("height", 6).alias("height"))
+
+
+@query("s6_a33_scan_images", """SELECT count(DISTINCT source) AS image_count, 'png' AS extensions, true AS count_ok FROM documents""")
+def s6(spark, d):
+    """Files named like images are listed; their content is never read."""
+    path = shared_folder(spark)
+    docs = X.table(spark, d, "documents").select("source").distinct()
+    n = docs.count()
+    docs.select(F.col("source").alias("value"), F.col("source").alias("k")).repartition("k").write.partitionBy("k").text(path)
+    files = I.scan_images(spark, _rename_parts(spark, path, "IMG_%05d.PNG"), recursive=True, exclude_hidden=True)
+    return A.dataset_manifest(files, n)
+
+
+@query("a33_candidate_folders", """SELECT count(*) AS folders FROM (SELECT DISTINCT source FROM documents)""")
+def a33(spark, d):
+    path = shared_folder(spark)
+    X.table(spark, d, "documents").select("source").distinct().select(
+        F.col("source").alias("value"), F.col("source").alias("k")).repartition("k").write.partitionBy("k").text(path)
+    files = I.scan_images(spark, _rename_parts(spark, path, "IMG_%05d.PNG"), recursive=True)
+    return A.candidate_folders(files, 1, 1).agg(F.count("*").alias("folders"))
+
+
+@query("s7_k4_runs", sql(f"SELECT run AS run_name, images, run_kind, test_set, em AS final_em, {_DESC} AS architecture FROM rr", **_R))
+def s7(spark, d):
+    """Metrics and manifests of all runs written, found again and described."""
+    path, r = shared_folder(spark), run_rows(spark, d).repartition("run")
+    plugin = lambda name, params: F.struct(F.col(name).alias("plugin"), params.alias("params"))
+    none = F.lit(None).cast("map<string,string>")
+    manifest = r.select("run", "input_dir", "image_ids_path", "tokens_cache_used", F.struct(
+        F.col("config_name").alias("name"), plugin("ocr_plugin", F.col("ocr_params")).alias("ocr"), plugin("preprocess_plugin", none).alias("preprocess"),
+        F.struct(F.lit("keyword_regex").alias("plugin"), F.col("selector_params").alias("params")).alias("selector")).alias("config"))
+    metrics = r.select("run", "image_count", "final_date_exact_match", "candidate_recall", "candidate_selection_accuracy", "sec_per_image",
+                       "images_per_sec", "peak_ram_mb", "model_weight_mb", "ocr_ms_mean")
+    O.write_metrics(metrics, path, manifest)
+    runs = I.read_runs(spark, path).withColumn("run_name", F.regexp_replace("run_name", "^run=", ""))
+    return R.benchmark_inventory(runs.withColumn("run", F.col("run_name"))).select(
+        F.col("run").alias("run_name"), "images", "run_kind", "test_set", "final_em", "architecture")
+
+
+@query("s8_read_ids", sql("SELECT image_id AS id FROM img WHERE o_orderkey % 3 = 0", "img"))
+def s8(spark, d):
+    path = shared_folder(spark)
+    k = F.substring("image_id", 5, 8).cast("int") % 3
+    X.images(spark, d).select(F.when(k == 0, F.concat(F.lit(" "), "image_id", F.lit(".jpg "))).when(k == 1, F.concat(F.lit("# "), "image_id")).otherwise("").alias("value")).write.text(path)
+    return I.read_ids(spark, path)
+
+
+@query("s9_read_vlm_labels", """SELECT CAST(doc_id AS VARCHAR) AS image_id, md5(text) AS text_found, doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS is_success FROM documents""")
+def s9(spark, d):
+    """Multi-line, quoted texts survive the CSV round trip."""
+    path, i = shared_folder(spark), F.col("doc_id")
+    X.table(spark, d, "documents").select(
+        F.concat(i.cast("string"), F.lit(".jpg")).alias("filename"), F.lit("2024-01-01").alias("date"), F.when(i % 3 == 0, "none").otherwise("high").alias("confidence"),
+        F.col("text").alias("text_found"), F.when(i % 5 == 0, "API fail").otherwise("ok").alias("reason")).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return I.read_vlm_labels(spark, path).select("image_id", F.md5("text_found").alias("text_found"), "is_success")
+
+
+@query("s10_read_evidence", sql("""SELECT run, CASE WHEN user_id % 19 = 7 THEN 'not valid JSON' END AS invalid, CASE WHEN user_id % 19 <> 7 THEN CASE WHEN user_id % 17 <> 0 THEN 'complete' ELSE 'started' END END AS status,
+    CASE WHEN user_id % 19 <> 7 THEN ok END AS rank_eligible FROM el""", **{k: v for k, v in _E.items() if k != "vr"}))
+def s10(spark, d):
+    """Evidence files, every nineteenth broken."""
+    path, e = shared_folder(spark), evidence_rows(spark, d)
+    text = F.to_json(F.struct("name", "status", "rank_eligible", "label_provenance", "image_count", "metrics_sha256"))
+    rows = e.select("run", F.when(F.col("user_id") % 19 == 7, F.concat(F.lit("{broken"), text)).otherwise(text).alias("value"), F.lit("evidence").alias("what"))
+    rows.repartition("run").write.partitionBy("run", "what").text(path)
+    return I.read_evidence(spark, path, "*.txt").select(F.regexp_replace("run", "^.*/run=", "").alias("run"), "invalid", "status", "rank_eligible")
+
+
+@query("k2_write_review", sql("SELECT image_id, final_date, raw_text IS NOT NULL AS has_candidate FROM pred", "pred"))
+def k2(spark, d):
+    path = shared_folder(spark)
+    O.write_review(review(spark, d), path)
+    return spark.read.parquet(path).select("image_id", "final_date", (F.col("candidate") != "NONE").alias("has_candidate"))
+
+
+@query("k5_write_clean_flagged", sql("SELECT final_date, count(*) AS n FROM noisy GROUP BY 1", "noisy"))
+def k5(spark, d):
+    path = shared_folder(spark)
+    O.write_clean_flagged(audited(spark, d), path)
+    return spark.read.option("header", True).option("escape", '"').csv(path).groupBy("final_date").agg(F.count("*").alias("n"))
+
+
+@query("k6_write_recognizer_list", sql("SELECT 'images/' || image_id || '.png' || chr(9) || final_date AS value FROM lab WHERE final_date <> 'NONE'", "lab"))
+def k6(spark, d):
+    path = shared_folder(spark)
+    O.write_recognizer_list(X.labels(spark, d).select(F.concat("image_id", F.lit(".png")).alias("image"), F.col("final_date").alias("label")), path)
+    return spark.read.text(path)
+
+
+@query("k7_detector_label_lines", sql("SELECT image_id, box_index, CASE class WHEN 3 THEN 2 ELSE class END || printf(' %.6f %.6f %.6f %.6f', cx, cy, width, height) AS value FROM box WHERE class IN (0, 1, 3)", "box"))
+def k7(spark, d):
+    return O.detector_label_lines(X.boxes(spark, d), "date_due_full")
+
+
+@query("k8_write_leaderboard", sql("SELECT run, CAST(row_number() OVER (PARTITION BY test_set ORDER BY em DESC NULLS LAST, run) AS VARCHAR) AS rank FROM rr WHERE run_kind = 'fresh-ocr'", **_R))
+def k8(spark, d):
+    path = shared_folder(spark)
+    ranked = R.rank_within_split(R.benchmark_inventory(run_rows(spark, d)))
+    O.write_leaderboard(ranked.select("test_set", "rank", "run", "final_em"), path, [F.asc("test_set"), F.asc("rank")])
+    return spark.read.option("header", True).csv(path).select("run", "rank")
+
+
+@query("j8_content_checksums", "SELECT count(DISTINCT source) AS files, true AS same FROM documents")
+def j8_content(spark, d):
+    """CRC-32 of file contents equals the checksum of what was written."""
+    path = shared_folder(spark)
+    src = X.table(spark, d, "documents").select("source").distinct()
+    src.select(F.col("source").alias("value"), F.col("source").alias("k")).repartition("k").write.partitionBy("k").text(path)
+    got = I.content_checksums(spark, _rename_parts(spark, path, "IMG_%05d.PNG")).select("crc")
+    want = src.select(F.crc32(F.concat("source", F.lit("\n"))).cast("string").alias("crc"))
+    return want.join(got.withColumn("found", F.lit(True)), "crc", "left").agg(
+        F.count("*").alias("files"), F.min(F.coalesce("found", F.lit(False))).alias("same"))
+
