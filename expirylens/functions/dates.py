@@ -31,13 +31,20 @@ _MONTHS = (r"jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(
            r"sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?")
 MONTH_ABBREVIATIONS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
-# What a text must hold before a pattern is tried: SQL conditions on column ``t``.
+# What a text must hold before a pattern is tried: SQL conditions on the text ``t`` and on its
+# outline ``o``, in which every digit is 9, every separator a dot, and blanks are gone. All are
+# necessary conditions of the patterns that name them, and all are plain substring searches but one.
+_OUTLINE = "translate(t, '0123456789.-/:, ', '9999999999.....')"
 FLAGS = {
-    "sep": r"t rlike r'[.\-/:,]'",
     "month": "contains(t, '월')",
     "blank": "contains(t, ' ')",
-    "year4": r"t rlike r'\d{4}'",
-    "digits6": r"t rlike r'\d{6}'",
+    "two_parts": "contains(o, '9.9')",
+    "three_parts": "(contains(o, '9.9.9') OR contains(o, '9.99.9'))",
+    "year_first": "contains(o, '9999.9')",
+    "year_last": "contains(o, '9.9999')",
+    "year4_md4": "contains(o, '9999.9999')",
+    "year4": "contains(o, '9999')",
+    "digits6": "contains(o, '999999')",
     "letter": "t rlike '[A-Za-z]'",
     "name": "t rlike '(?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec'",
 }
@@ -63,28 +70,28 @@ PATTERNS: tuple[DatePattern, ...] = (
     DatePattern("ymd_korean", rf"(?<!\d){_YEAR}{_S}년{_S}(\d{{1,2}}){_S}월{_S}(\d{{1,2}}){_S}일?",
                 "$1", "$2", "$3", 1.00, ("month",)),
     DatePattern("ymd_separated", rf"{_HEAD}{_YEAR}{_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})(?!\d)",
-                "$1", "$2", "$3", 1.00, ("sep",)),
+                "$1", "$2", "$3", 1.00, ("three_parts",)),
     DatePattern("ymd_lot_attached", rf"{_HEAD}(20\d{{2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}}){_LOT}",
-                "$1", "$2", "$3", 0.96, ("sep", "year4", "letter")),
+                "$1", "$2", "$3", 0.96, ("three_parts", "year_first", "letter")),
     DatePattern("ymd_spaced", rf"(?<!\d)(\d{{4}}){_SS}(\d{{1,2}}){_SS}(\d{{1,2}})(?!\d)",
                 "$1", "$2", "$3", 0.88, ("blank", "year4")),
     DatePattern("ymd_mixed_compact", rf"(?<![\d.\-/,])(\d{{4}}){_S}[.\-/,]{_S}(\d{{2}})(\d{{2}})(?!\d)",
-                "$1", "$2", "$3", 0.84, ("sep", "year4")),
+                "$1", "$2", "$3", 0.84, ("year4_md4",)),
     DatePattern("ym_korean", rf"(?<!\d){_YEAR}{_S}년{_S}(\d{{1,2}}){_S}월(?!{_S}\d)",
                 "$1", "$2", "", 0.78, ("month",)),
     DatePattern("ym_separated", rf"(?<![\d.\-/:,])(\d{{4}}){_SEP}(\d{{1,2}})(?!\d|{_SEP}\d)",
-                "$1", "$2", "", 0.74, ("sep", "year4")),
+                "$1", "$2", "", 0.74, ("year_first",)),
     DatePattern("dmy_separated", rf"{_HEAD}(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}{_YEAR}(?!\d)",
-                "$3", "$2", "$1", 0.92, ("sep",), day_first=True),
+                "$3", "$2", "$1", 0.92, ("three_parts",), day_first=True),
     DatePattern("dmy_lot_attached", rf"{_HEAD}(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(20\d{{2}}){_LOT}",
-                "$3", "$2", "$1", 0.92, ("sep", "year4", "letter"), day_first=True),
+                "$3", "$2", "$1", 0.92, ("three_parts", "year_last", "letter"), day_first=True),
     DatePattern("dmy_spaced", rf"(?<!\d)(\d{{1,2}}){_SS}(\d{{1,2}}){_SS}{_YEAR}(?!\d)",
                 "$3", "$2", "$1", 0.86, ("blank",), day_first=True),
     DatePattern("my_separated", rf"(?<![\d.\-/:,])(\d{{1,2}}){_SEP}(\d{{4}})(?!\d)",
-                "$2", "$1", "", 0.72, ("sep", "year4"), day_first=True),
+                "$2", "$1", "", 0.72, ("year_last",), day_first=True),
     DatePattern("mdy_separated",
                 rf"{_HEAD}(0?[1-9]|1[0-2]){_SEP}(1[3-9]|2\d|3[01]){_SEP}{_YEAR}(?!\d)",
-                "$3", "$1", "$2", 0.90, ("sep",), day_first=True, in_joined_lines=False),
+                "$3", "$1", "$2", 0.90, ("three_parts",), day_first=True, in_joined_lines=False),
     DatePattern("mdy_month_name",
                 rf"(?i)(?<![A-Za-z0-9])({_MONTHS}){_S}[.\-/,]?{_S}(\d{{1,2}})"
                 rf"(?:{_S}[.\-/,]+{_S}|{_SS}){_YEAR}(?!\d)",
@@ -97,7 +104,7 @@ PATTERNS: tuple[DatePattern, ...] = (
     DatePattern("md_korean", rf"(?<![\d년])(\d{{1,2}}){_S}월{_S}(\d{{1,2}}){_S}일?",
                 "", "$1", "$2", 0.72, ("month",), partial=True),
     DatePattern("md_separated", rf"(?<![\d.\-/,])(\d{{1,2}}){_SEP}(\d{{1,2}})(?!\d)",
-                "", "$1", "$2", 0.70, ("sep",), partial=True),
+                "", "$1", "$2", 0.70, ("two_parts",), partial=True),
 )
 PATTERN_BY_NAME = {p.name: p for p in PATTERNS}
 DEFAULT_RELIABILITY = 0.5
@@ -242,6 +249,7 @@ def explode_spans(df: DataFrame, text: str, keep: list[str], day_first: bool, mo
     out = (df.selectExpr(*keep, f"{text} AS __raw")
            .selectExpr(*keep, f"{corrected_sql('__raw')} AS __text")
            .selectExpr(*keep, "__text", f"{blanked_sql('__text')} AS t")
+           .selectExpr(*keep, "__text", "t", f"{_OUTLINE} AS o")
            .selectExpr(*keep, "__text", "t", *[f"{sql} AS f_{n}" for n, sql in FLAGS.items()])
            .selectExpr(*keep, "__text", f"{_hits_sql(full)} AS __full", f"{_hits_sql(part)} AS __part")
            .selectExpr(*keep, f"{_spans_sql('__full', '__text', day_first)} AS __full",

@@ -22,7 +22,7 @@ def run_rows(spark, d):
     name = F.when(u % 11 == 0, F.concat(F.lit("part_"), u.cast("string"))).otherwise(F.concat(F.lit("run_"), F.lpad(u.cast("string"), 6, "0")))
     return r.select(
         "user_id", name.alias("run"), "image_count", F.when(u % 13 != 0, F.col("final_date_exact_match")).alias("final_date_exact_match"),
-        "candidate_recall", F.round(F.col("candidate_recall") / 2, 4).alias("candidate_selection_accuracy"),
+        "candidate_recall", (F.col("candidate_recall") / 2).alias("candidate_selection_accuracy"),
         (F.col("ocr_ms_mean") / 1000).alias("sec_per_image"), (1000 / F.col("ocr_ms_mean")).alias("images_per_sec"), "peak_ram_mb",
         F.lit(12.5).alias("model_weight_mb"), F.lit(None).cast("double").alias("detection_ms_mean"), F.lit(None).cast("double").alias("recognition_ms_mean"),
         "ocr_ms_mean", F.when(u % 5 == 0, "/x/data/sample").otherwise(F.concat(F.lit("/x/set_"), (u % 3).cast("string"))).alias("input_dir"),
@@ -136,7 +136,7 @@ def l8(spark, d):
 
 
 @query("a25_merge_shards", sql("""SELECT sum(images) AS image_count, round(900.0::DOUBLE / sum(images), 6) AS sec_per_image, round(sum(coalesce(em, 0) * images) / sum(images), 6) AS final_date_exact_match,
-    round(sum(recall_count) / sum(images), 6) AS candidate_recall, round(sum(round(recall / 2, 4) * recall_count) / sum(recall_count), 6) AS candidate_selection_accuracy, max(ram) AS peak_ram_mb FROM rr""", **_R))
+    round(sum(recall_count) / sum(images), 6) AS candidate_recall, round(sum(recall / 2 * recall_count) / sum(recall_count), 6) AS candidate_selection_accuracy, max(ram) AS peak_ram_mb FROM rr""", **_R))
 def a25(spark, d):
     e = X.table(spark, d, "events").groupBy("user_id").agg(F.sum(F.when(F.col("value") > 20, 1).otherwise(0)).alias("candidate_recall_count"))
     shards = run_rows(spark, d).join(e, "user_id").withColumns({
@@ -159,7 +159,7 @@ def a26(spark, d):
     return M.latency_report(rows)
 
 
-@query("a31_duplicate_metric_groups", sql("""SELECT em AS final_em, recall AS candidate_recall, round(recall / 2, 4) AS selection_acc, count(*) AS rows FROM rr GROUP BY 1, 2, 3
+@query("a31_duplicate_metric_groups", sql("""SELECT em AS final_em, recall AS candidate_recall, recall / 2 AS selection_acc, count(*) AS rows FROM rr GROUP BY 1, 2, 3
     ORDER BY rows DESC, em NULLS FIRST, recall, 3 LIMIT 5""", **_R))
 def a31(spark, d):
     return A.duplicate_metric_groups(inventory(spark, d))

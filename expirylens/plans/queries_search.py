@@ -30,7 +30,7 @@ def parser_features(spark, d):
 # candidates at the three parser levels: 0 neither flag, 1 day first, 2 both
 _LEVELS = {
     "lv": """SELECT l.lv, c.image_id, c.rn, c.form, c.d, c.conf, c.det, c.source, c.x1, c.y1, c.x2, c.y2, strftime(c.d, '%Y-%m-%d') AS iso,
-        l.lv = 0 AND c.form = 2 AS part, CASE WHEN c.form = 2 AND l.lv = 0 THEN 0.70 WHEN c.form IN (2, 4) THEN 0.92 WHEN c.form = 3 THEN 0.9 ELSE 1.0 END AS rel
+        l.lv = 0 AND c.form = 2 AS part, (CASE WHEN c.form = 2 AND l.lv = 0 THEN 0.70 WHEN c.form IN (2, 4) THEN 0.92 WHEN c.form = 3 THEN 0.9 ELSE 1.0 END)::DOUBLE AS rel
         FROM dt c, (SELECT unnest([0, 1, 2]) AS lv) l WHERE c.form IN (0, 1, 3) OR (c.form = 2 AND (l.lv > 0 OR day(c.d) <= 12))
         OR (c.form = 4 AND l.lv = 2 AND month(c.d) <> 10)""",
     "le": "SELECT lv, image_id, min(d) AS mn, max(d) AS mx FROM lv WHERE NOT part GROUP BY ALL",
@@ -50,8 +50,12 @@ _SCORE = """w.conf * f.conf + w.det * f.det + w.cal * 1.0 + w.pat * f.rel + w.kw
     + CASE WHEN form = 2 AND NOT f.part THEN 0.4 ELSE 0.0 END"""
 
 
+_W = "i, lv, kw, neg, conf, det, cal, pat, pos, part, fut"
+
+
 def _evaluated(weights: str) -> dict[str, str]:
-    return {**_LEVELS, "w": weights,
+    doubles = ", ".join(f"{n}::DOUBLE AS {n}" for n in _W.split(", ")[2:])
+    return {**_LEVELS, "w": f"SELECT i, lv, {doubles} FROM ({weights})",
             "top": f"""SELECT * FROM (SELECT w.i, f.image_id, f.correct, row_number() OVER (PARTITION BY w.i, f.image_id ORDER BY {_SCORE} DESC, rn) AS r
                 FROM w JOIN lf f ON f.lv = w.lv) WHERE r = 1""",
             "res": """SELECT w.i, count(*) AS total, sum(CASE WHEN t.image_id IS NULL THEN (e.final_date = 'NONE')::INT ELSE t.correct::INT END) AS correct,
@@ -60,7 +64,6 @@ def _evaluated(weights: str) -> dict[str, str]:
                 FROM w CROSS JOIN ev0 e LEFT JOIN top t ON t.i = w.i AND t.image_id = e.image_id GROUP BY w.i"""}
 
 
-_W = "i, lv, kw, neg, conf, det, cal, pat, pos, part, fut"
 _GRID = {"keyword_weight": [0.3, 0.9], "position_weight": [0.0, 0.25], "future_date_bonus": [0.0, 0.05, 0.3]}
 _GRID_W = """SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS i, 2 AS lv, a AS kw, 0.45 AS neg, 0.2 AS conf, 0.2 AS det, 0.5 AS cal, 0.25 AS pat, b AS pos, 0.45 AS part, c AS fut
     FROM (SELECT unnest([0.3, 0.9]) AS a), (SELECT unnest([0.0, 0.25]) AS b), (SELECT unnest([0.0, 0.05, 0.3]) AS c)"""
