@@ -46,7 +46,7 @@ FLAGS = {
     "year4": "contains(o, '9999')",
     "digits6": "contains(o, '999999')",
     "letter": "t rlike '[A-Za-z]'",
-    "name": "t rlike '(?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec'",
+    "name": "(t rlike '[A-Za-z]' AND t rlike '(?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec')",
 }
 
 
@@ -175,8 +175,12 @@ def _hits_sql(patterns: list[tuple[int, DatePattern]], whole: bool = False) -> s
 
 
 def _valid_sql(r: str) -> str:
-    return (f"(try_cast(concat_ws('-', coalesce({r}.year, '2000'), {r}.month, coalesce({r}.day, '01')) AS date) "
-            f"IS NOT NULL AND NOT ({r}.year <=> '0000' AND {r}.day IS NOT NULL))")
+    """Calendar check of padded components. Comparisons only: a failing cast costs an exception."""
+    leap = f"(CAST({r}.year AS int) % 4 = 0 AND (CAST({r}.year AS int) % 100 <> 0 OR CAST({r}.year AS int) % 400 = 0))"
+    last = (f"CASE WHEN {r}.month IN ('04', '06', '09', '11') THEN '30' WHEN {r}.month <> '02' THEN '31' "
+            f"WHEN {r}.year IS NULL OR {leap} THEN '29' ELSE '28' END")
+    return (f"coalesce({r}.month BETWEEN '01' AND '12' AND ({r}.day IS NULL OR "
+            f"(NOT {r}.year <=> '0000' AND {r}.day BETWEEN '01' AND {last})), false)")
 
 
 def _spans_sql(hits: str, text: str, day_first: bool) -> str:

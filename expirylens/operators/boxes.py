@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from expirylens.functions.dates import final_date_sql, normalized_options
 from expirylens.functions.geometry import box_iou, crop_rect, make_box
 from expirylens.functions.text import is_full_date
-from expirylens.operators.ordering import top_per_group
+from expirylens.operators.ordering import join_by_tile, top_per_group
+from expirylens.operators.selection import candidate_tile
+from expirylens.schemas import tile_of
 
 BOXES_PER_BLOCK = 256
 
@@ -31,23 +33,26 @@ def token_box_overlap(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
 
     A token meets arrays of boxes, so tokens and boxes are never paired as rows.
     """
-    t = tokens.filter(F.col("bbox").isNotNull()).select("image_id", "token_index", "text", "bbox")
+    t = tokens.filter(F.col("bbox").isNotNull()).select("image_id", "token_index", "text", "bbox",
+                                                        tile_of(F.col("token_index")).alias("tile"))
     best = lambda arr: F.array_max(F.transform(arr, lambda b: box_iou(F.col("bbox"), b.bbox)))
-    j = t.join(box_blocks(boxes, "class", "bbox").drop("block"), "image_id")
-    return (j.select("image_id", "token_index", "text", best(F.col("boxes")).alias("a"),
+    j = join_by_tile(t, box_blocks(boxes, "class", "bbox").drop("block"), "image_id", "tile")
+    return (j.select("image_id", "tile", "token_index", "text", best(F.col("boxes")).alias("a"),
                      best(F.filter("boxes", lambda b: b["class"] == 0)).alias("d"))
-            .groupBy("image_id", "token_index", "text")
-            .agg(F.coalesce(F.max("a"), F.lit(0.0)).alias("iou"), F.coalesce(F.max("d"), F.lit(0.0)).alias("date_iou")))
+            .groupBy("image_id", "tile", "token_index", "text")
+            .agg(F.coalesce(F.max("a"), F.lit(0.0)).alias("iou"), F.coalesce(F.max("d"), F.lit(0.0)).alias("date_iou"))
+            .drop("tile"))
 
 
 def overlap_by_class(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
     """Per token and box class: best IoU."""
-    t = tokens.filter(F.col("bbox").isNotNull()).select("image_id", "token_index", "bbox")
+    t = tokens.filter(F.col("bbox").isNotNull()).select("image_id", "token_index", "bbox",
+                                                        tile_of(F.col("token_index")).alias("tile"))
     per_class = (boxes.groupBy("image_id", "class", F.floor(F.col("box_index") / BOXES_PER_BLOCK).alias("block"))
                  .agg(F.collect_list("bbox").alias("boxes")).drop("block"))
     best = F.array_max(F.transform("boxes", lambda b: box_iou(F.col("bbox"), b)))
-    return (t.join(per_class, "image_id").select("image_id", "token_index", "class", best.alias("i"))
-            .groupBy("image_id", "token_index", "class").agg(F.max("i").alias("iou")))
+    return (join_by_tile(t, per_class, "image_id", "tile").select("image_id", "tile", "token_index", "class", best.alias("i"))
+            .groupBy("image_id", "tile", "token_index", "class").agg(F.max("i").alias("iou")).drop("tile"))
 
 
 def _with_target(labels: DataFrame) -> DataFrame:
@@ -74,8 +79,8 @@ def align_boxes_to_candidates(images: DataFrame, labels: DataFrame, tokens: Data
     any_match = match.groupBy("image_id").agg(F.max(F.col("union_box").isNotNull()).alias("has_box"))
     date_boxes = boxes.filter("class = 0")
     has_date = date_boxes.select("image_id").distinct().withColumn("has_date_box", F.lit(True))
-    pairs = (match.filter("union_box IS NOT NULL")
-             .join(box_blocks(date_boxes, "bbox").drop("block"), "image_id"))
+    pairs = join_by_tile(match.filter("union_box IS NOT NULL").withColumn("tile", candidate_tile(F.col("cand_ordinal"))),
+                         box_blocks(date_boxes, "bbox").drop("block"), "image_id", "tile")
     rated = F.transform("boxes", lambda b: F.struct(box_iou(F.col("union_box"), b.bbox).alias("iou"),
                                                     (-b.box_index).alias("o"), b.bbox.alias("bbox")))
     best = (pairs.withColumn("b", F.array_max(rated)))

@@ -39,6 +39,18 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int =
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+def join_by_tile(left: DataFrame, right: DataFrame, key: str, tile: str, how: str = "inner") -> DataFrame:
+    """Join rows that carry a tile number with per-key rows, spread over the key's tiles.
+
+    The few per-key rows are copied to every tile the left side has, so a key with very many rows
+    is joined tile by tile, and a later aggregation by (key, tile) needs no further exchange.
+    """
+    last = left.groupBy(key).agg(F.max(tile).alias("__last"))
+    spread = (right.join(last, key).withColumn(tile, F.explode(F.sequence(F.lit(0), F.col("__last"))))
+              .drop("__last"))
+    return left.join(spread, [key, tile], how)
+
+
 # Pieces a huge group is cut into for ranking.
 RANK_BUCKETS = 1024
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from expirylens.functions.dates import candidate_final_date, final_date_sql
 from expirylens.operators import selection as S
 from expirylens.operators.candidates import extract_candidates
+from expirylens.operators.ordering import join_by_tile
 from expirylens.plans.storage import materialise
 
 # The search space of the selector weights.
@@ -187,7 +188,7 @@ def labelled_candidates(feats: DataFrame, labels: DataFrame) -> DataFrame:
     c = feats.withColumns({"predicted": F.coalesce(shown, F.lit("NONE")), "o1": F.lit(0), "o2": F.lit(0.0),
                            "o3": F.col("cand_ordinal"), "tile": S.candidate_tile(F.col("cand_ordinal"))})
     own = F.when(F.col("calendar_valid"), F.struct("year", "month", "day"))
-    return c.join(lab, "image_id").withColumn(
+    return join_by_tile(c, lab, "image_id", "tile").withColumn(
         "is_correct", (F.col("predicted") == F.col("target")) | F.coalesce(own.eqNullSafe(F.col("target_key"))
                                                                            & F.col("target_key").isNotNull(), F.lit(False)))
 
@@ -345,7 +346,7 @@ def pool_spatial(pool: DataFrame) -> DataFrame:
 
 def _evaluate_fit(pool: DataFrame, labels: DataFrame, combos: list[dict], features: list[str], score) -> DataFrame:
     lab = labels.select("image_id", F.col("final_date").alias("target"))
-    c = pool.join(lab, "image_id").withColumn("is_correct", F.coalesce(F.col("prediction") == F.col("target"), F.lit(False)))
+    c = join_by_tile(pool, lab, "image_id", "tile").withColumn("is_correct", F.coalesce(F.col("prediction") == F.col("target"), F.lit(False)))
     found = F.broadcast(c.filter("is_correct").select("image_id").distinct().agg(F.count("*").alias("found"))
                         .crossJoin(F.broadcast(labels.agg(F.count("*").alias("images")))))
     one = lambda x: F.greatest(F.lit(1), F.col(x))
