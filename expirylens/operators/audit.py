@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from expirylens.functions.dates import calendar_valid
 from expirylens.operators.ordering import with_global_index
+from expirylens.schemas import tile_of
 
 # The label shape and the plausible years.
 STRICT_DATE = r"^(\d{4})-(\d{2})-(\d{2})$"
@@ -15,22 +16,46 @@ FLAG_TYPES = ("MISSING_IMAGE_ID", "FINAL_NONE_BUT_COMPONENTS_SET", "INVALID_DATE
               "CALENDAR_INVALID", "YEAR_OUTLIER", "GT_MISMATCH", "OCR_HALLUCINATION_OR_MISSING")
 
 
-def token_text(tokens: DataFrame) -> DataFrame:
-    """All token texts of an image in one string, by definition of the evidence test."""
-    return tokens.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct("token_index", "text"))), lambda t: t.text), " ").alias("all_text"))
+# Digit sequences have at most eight characters, so seven on each side of a cut cover them.
+_EDGE = 7
+
 
+def token_text(tokens: DataFrame) -> DataFrame:
+    """Token texts in order, one row per tile of an image: all_text, packed, and the cut before it.
 
-def token_evidence(all_text: Column, year: Column, month: Column, day: Column) -> Column:
-    """Is the date written in the tokens: its digits in one of four orders, or all parts somewhere."""
-    packed = F.regexp_replace(all_text, r"(?U)[^\w]", "")
-    short = F.when(F.length(year) == 4, F.substring(year, 3, 2)).otherwise(year)
-    orders = [F.concat(year, month, day), F.concat(short, month, day), F.concat(day, month, year),
-              F.concat(day, month, short)]
-    found = all_text.contains(year) & all_text.contains(month) & all_text.contains(day)
-    for o in orders:
-        found = found | packed.contains(o)
-    return found
+    ``packed`` keeps word characters only. ``cut`` joins the end of the packed text before a tile
+    with its start, so that digit sequences across a cut are seen. Tiles bound every string.
+    """
+    t = tokens.select("image_id", tile_of(F.col("token_index")).alias("tile"), "token_index", "text")
+    text = (t.groupBy("image_id", "tile").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+                F.struct("token_index", "text"))), lambda x: x.text), " ").alias("all_text"))
+            .withColumn("packed", F.regexp_replace("all_text", r"(?U)[^\w]", "")))
+    edges = (text.filter("packed <> ''").select("image_id", "tile", F.substring("packed", 1, _EDGE).alias("head"),
+                                                F.right("packed", F.lit(_EDGE)).alias("tail")))
+    # every tile left here has at least one character, so this many tiles before it suffice
+    before = Window.partitionBy("image_id").orderBy("tile").rowsBetween(-_EDGE, -1)
+    cuts = edges.select("image_id", F.lit("").alias("all_text"), F.concat(
+        F.right(F.array_join(F.collect_list("tail").over(before), ""), F.lit(_EDGE)), "head").alias("packed"), "tile")
+    return text.select("image_id", "all_text", "packed").unionByName(
+        cuts.filter("tile > 0").select("image_id", "all_text", "packed"))
+
+
+def token_evidence(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+    """Is a label's date written in the image's tokens: image_id, year, month, day, token_found.
+
+    Found means its digits in one of four orders without separators, or all three parts anywhere.
+    Images without tokens have no row.
+    """
+    y, m, d = F.col("year"), F.col("month"), F.col("day")
+    short = F.when(F.length(y) == 4, F.substring(y, 3, 2)).otherwise(y)
+    packed = F.col("packed")
+    sequence = F.lit(False)
+    for order in ((y, m, d), (short, m, d), (d, m, y), (d, m, short)):
+        sequence = sequence | packed.contains(F.concat(*order))
+    has = lambda c: F.max(F.col("all_text").contains(c))
+    return (labels.select("image_id", "year", "month", "day").distinct().join(token_text(tokens), "image_id")
+            .groupBy("image_id", "year", "month", "day")
+            .agg((F.max(sequence) | (has(y) & has(m) & has(d))).alias("token_found")))
 
 
 def audit_labels(labels: DataFrame, truth: DataFrame | None = None, tokens: DataFrame | None = None,
@@ -48,20 +73,21 @@ def audit_labels(labels: DataFrame, truth: DataFrame | None = None, tokens: Data
         rows = rows.withColumns({**{f"gt_{n}": F.lit(None).cast("string") for n in ("year", "month", "day", "final_date")},
                                  "has_gt": F.lit(False)})
     if tokens is not None:
-        rows = rows.join(token_text(tokens), "image_id", "left")
+        found = token_evidence(tokens, rows.filter("final_date <> 'NONE'")).withColumnRenamed("token_found", "__found")
+        rows = rows.join(found, ["image_id", "year", "month", "day"], "left")
     else:
-        rows = rows.withColumn("all_text", F.lit(None).cast("string"))
+        rows = rows.withColumn("__found", F.lit(None).cast("boolean"))
     none = c("final_date") == "NONE"
     shaped = ~none & c("final_date").rlike(STRICT_DATE)
     fy, fm, fd = (F.regexp_extract("final_date", STRICT_DATE, i) for i in (1, 2, 3))
     real = shaped & calendar_valid(fy, fm, fd)
     year_value = F.when(real, fy.try_cast("int"))
     has_gt = F.coalesce(c("has_gt"), F.lit(False))
-    checked = c("all_text").isNotNull() & ~none
+    checked = c("__found").isNotNull() & ~none
     rows = rows.withColumns({
         "is_none": none, "is_real": real, "year_value": year_value, "gt_checked": has_gt,
         "gt_equal": has_gt & (c("final_date") == c("gt_final_date")), "token_checked": checked,
-        "token_found": checked & token_evidence(c("all_text"), c("year"), c("month"), c("day"))})
+        "token_found": checked & F.coalesce(c("__found"), F.lit(False))})
     diff = lambda letter, n: F.when(c(n) != c(f"gt_{n}"), F.concat(F.lit(letter + "("), c(n), F.lit("!=gt:"), c(f"gt_{n}"), F.lit(")")))
     reason = F.concat(F.lit("["), F.concat_ws(", ", diff("Y", "year"), diff("M", "month"), diff("D", "day")), F.lit("]"))
 
@@ -86,7 +112,7 @@ def audit_labels(labels: DataFrame, truth: DataFrame | None = None, tokens: Data
             .withColumns({"flag_types": F.transform("__f", lambda f: f.type), "num_flags": F.size("__f"),
                           "flags": F.array_join(F.transform("__f", lambda f: f.message), " | "),
                           "is_clean": F.size("__f") == 0})
-            .drop("__f", "all_text", "has_gt"))
+            .drop("__f", "__found", "has_gt"))
 
 
 def audit_summary(audited: DataFrame) -> DataFrame:

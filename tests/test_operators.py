@@ -154,6 +154,18 @@ def test_audit_flags(spark, token_table):
     assert (s.total_images, s.clean_count, s.syntax_errors, s.gt_mismatches, s.token_confirmed) == (7, 1, 3, 1, 4)
 
 
+def test_token_evidence_across_tiles(spark, token_table, monkeypatch):
+    """Dates cut by tile borders, also over tiles without or with few word characters."""
+    images = {"a": ["x", "2024.", "-", "-", ".", "-", "05", "20"], "b": ["20", "2", "4", "0", "5", "2", "0"], "c": ["2024", "-", "-", "-", "-", "-", "0520"],
+              "d": ["2024", "06", "20"], "e": ["20.05.2024"], "f": ["5", "2024", "-", "20", "05"]}
+    t = token_table(images)
+    lab = spark.createDataFrame([(k, "2024", "05", "20") for k in images], "image_id string, year string, month string, day string")
+    want = {"a": True, "b": True, "c": True, "d": False, "e": True, "f": True}
+    for size in (4096, 3, 2, 1):
+        monkeypatch.setattr(schemas, "TILE_TOKENS", size)
+        assert {r.image_id: r.token_found for r in A.token_evidence(t, lab).collect()} == want, size
+
+
 def test_global_index_is_dense_and_ordered(spark):
     df = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1000).alias("v"))
     rows = ordering.with_global_index(df, "v").collect()
