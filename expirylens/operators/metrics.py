@@ -314,7 +314,7 @@ def crop_eval(rows: DataFrame, seconds: float) -> DataFrame:
                     (F.lit(seconds) / F.greatest(F.lit(1), n)).alias("sec_per_image"))
 
 
-def detector_pipeline_eval(detector: DataFrame, labels: DataFrame) -> DataFrame:
+def detector_eval(detector: DataFrame, labels: DataFrame) -> DataFrame:
     """Recall and exact match of the detector rows over labels that can be read."""
     t = labels.select("image_id", normalize_validated(F.col("final_date")).alias("target"))
     hit = (detector.join(t, "image_id").groupBy("image_id")

@@ -10,7 +10,7 @@ from expirylens.operators.lines import reconstruct_lines
 from expirylens.plans import fixtures as X
 from expirylens.plans.catalog import query
 from expirylens.plans.oracle_parts import sql
-from expirylens.plans.pipeline import predict
+from expirylens.plans.flows import predict
 
 _CAND_COLS = ["image_id", "token_index", "raw_text", "year", "month", "day", "pattern",
               "recognition_confidence", "detection_confidence"]

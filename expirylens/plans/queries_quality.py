@@ -322,13 +322,13 @@ def a27(spark, d):
     return m.select("samples", F.round("exact", 6).alias("exact"), F.round("sec_per_image", 9).alias("sec_per_image"))
 
 
-@query("a28_detector_pipeline_eval", sql("""SELECT count(*) AS valid_images, round(avg(coalesce(r.hit, false)::INT), 6) AS candidate_recall,
+@query("a28_detector_eval", sql("""SELECT count(*) AS valid_images, round(avg(coalesce(r.hit, false)::INT), 6) AS candidate_recall,
     round(avg(coalesce(c.prediction = l.final_date, false)::INT), 6) AS selection_accuracy, round(avg(coalesce(c.prediction = l.final_date, false)::INT), 6) AS final_em
     FROM lab l LEFT JOIN (SELECT d.image_id, bool_or(coalesce(d.prediction = l.final_date, false)) AS hit FROM det d JOIN lab l USING (image_id) GROUP BY 1) r USING (image_id)
     LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY (class = 1) DESC, rec_score * det_conf DESC, candidate_index) AS q FROM det) WHERE q = 1) c USING (image_id)
     WHERE l.final_date <> 'NONE'""", "det", "lab"))
 def a28(spark, d):
-    m = M.detector_pipeline_eval(X.detector(spark, d), X.labels(spark, d))
+    m = M.detector_eval(X.detector(spark, d), X.labels(spark, d))
     return m.select("valid_images", *[F.round(c, 6).alias(c) for c in m.columns if c != "valid_images"])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from expirylens import schemas
 from expirylens.operators import audit as A, boxes as B, filters as O, lines as L, ordering, routing as R, search as Q, selection as S
 from expirylens.operators.candidates import extract_candidates
-from expirylens.plans.pipeline import scored_candidates
+from expirylens.plans.flows import scored_candidates
 
 NO_STORE = lambda df: df
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from expirylens import schemas
 from expirylens.operators import normalize as N, selection as S
-from expirylens.plans.pipeline import predict, scored_candidates
+from expirylens.plans.flows import predict, scored_candidates
 
 
 
