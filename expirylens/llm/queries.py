@@ -27,3 +27,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard(rows, "doc_id", 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
                          F.col("slot").cast("long").alias("slot"), "grown_shard")
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from expirylens.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=64, max_diff=2)
+    return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
