@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FOLDER = "spark.checkpoint.dir"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The name of a new folder below ``spark.checkpoint.dir``, which all executors must share.
+
+    There is no default: a local folder would be another one on each machine.
+    """
+    base = spark.conf.get(FOLDER, None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"expirylens-{uuid.uuid4().hex}")
+        raise ValueError(f"set {FOLDER} to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/expirylens-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write a table once and read it back: cuts lineage, survives lost executors, prunes columns."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    writer = df.write.option("compression", compression) if compression else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

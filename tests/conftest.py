@@ -8,11 +8,12 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master("local[4]").appName("expirylens-tests")
          .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "6g")
-         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate())
+         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
