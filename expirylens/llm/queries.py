@@ -35,3 +35,45 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=64, max_diff=2)
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from expirylens.llm.packing import pack
+    from expirylens.llm.tokens import default_path
+
+    pieces = pack(table(spark, sf_dir, "documents"), default_path(), end_id=0, longest=1024)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from expirylens.llm.common import shared_folder
+    from expirylens.llm.huffman import read_tokens, write_tokens
+    from expirylens.llm.tokens import default_path
+
+    path = shared_folder(spark)
+    write_tokens(table(spark, sf_dir, "documents"), path, default_path(), end_id=2)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from expirylens.llm.toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from expirylens.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from expirylens.llm.pii import pseudonymise
+
+    found = pseudonymise(table(spark, sf_dir, "documents"), key="production")
+    return found.select("doc_id", "text", F.size("pii_spans").alias("n_found"), F.col("pii_spans.kind").alias("kinds"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,14 @@ def majority(h: np.ndarray, words: int = 1) -> np.ndarray:
     return np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)
 
 
+def differing_bits(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of sets of that Jaccard similarity, and of like size, differ on average.
+
+    A bit differs with the probability angle / pi, where the cosine of two such sets is 2 s / (1 + s).
+    """
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
 def _words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
