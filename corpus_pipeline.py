@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from expirylens.llm import decontamination, packing, pii, simhash, tokens, toxicity
 from expirylens.llm.common import materialise, table
@@ -26,8 +26,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
                                     routes=ROUTES, route_bits=ROUTE_BITS)
     rest = materialise(found.filter("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(rest, "doc_id", "left_anti").select(docs.columns)
-    named = kept.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-    return named.select(*[F.col(c) if c == "doc_id" else F.col(f"row.{c}") for c in docs.columns]).union(kept.filter("doc_id IS NULL"))
+    # only rows whose id occurs again have to meet
+    again = materialise(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    first = Window.partitionBy("doc_id").orderBy("text", *[c for c, kind in docs.dtypes if c != "text" and "map<" not in kind])
+    place = "__place"
+    named = (kept.join(again, "doc_id").select(docs.columns).withColumn(place, F.row_number().over(first))
+             .filter(F.col(place) == 1).drop(place))
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(named)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

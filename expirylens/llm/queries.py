@@ -77,3 +77,33 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = pseudonymise(table(spark, sf_dir, "documents"), key="production")
     return found.select("doc_id", "text", F.size("pii_spans").alias("n_found"), F.col("pii_spans.kind").alias("kinds"))
+
+
+@query
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from expirylens.llm.html_extraction import extract
+
+    found = extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from expirylens.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by all four kinds of evidence, documents by their text and their source as host."""
+    from expirylens.llm.language import fit_text_model, identify, page_rows
+
+    docs = table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("string")
+    keep = ["kind", "doc_id", "page_id", "url"]
+    pages = table(spark, sf_dir, "pages").withColumns({"kind": F.lit("page"), "doc_id": F.lit(None).cast("long")})
+    rows = page_rows(pages, keep).unionByName(docs.select(
+        F.lit("document").alias("kind"), "doc_id", F.lit(None).cast("long").alias("page_id"), none.alias("url"), "text", none.alias("declared"),
+        F.col("source").alias("host"), none.alias("domain"), none.alias("suffix")))
+    return identify(rows, fit_text_model(docs), keep)
