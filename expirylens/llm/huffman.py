@@ -109,7 +109,7 @@ def token_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.kept(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         for whole in batches:
             for batch in arrow_rows(whole):

@@ -42,7 +42,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     names = [id_col, "start", "bucket", "ids", "doc_tokens", "part", "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(tokenizer), TaskContext.get().partitionId(), {}
+        encoder, part, seen = Encoder.kept(tokenizer), TaskContext.get().partitionId(), {}
         for whole in batches:
             for batch in arrow_rows(whole):
                 at, start, bucket, ids, total, row = [], [], [], [], [], []

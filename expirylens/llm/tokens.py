@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import json
+import os
 import re
+import sys
 import unicodedata
+from types import ModuleType
 
 import numpy as np
 
 # Words whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 _AFTER_WORD = re.compile(r"(?<=\w) ")
 
 
@@ -19,6 +23,10 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _visible_end(word: str) -> bool:
+    return bool(word) and unicodedata.category(word[-1])[0] in "LNPSM"
+
+
 class Encoder:
     """Ids of texts, as little-endian unsigned 16- or 32-bit arrays.
 
@@ -31,6 +39,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -39,38 +48,70 @@ class Encoder:
         before = spec.get("pre_tokenizer") or {}
         self.by_word = (spec.get("normalizer") is None and before.get("type") == "ByteLevel"
                         and before.get("use_regex", True) and not before.get("add_prefix_space", False))
-        self.words: dict[str, bytes] = {}  # what follows a blank: ids with the blank
-        self.broken: set[str] = set()  # words after which the text must not be cut
+        self.words: dict[str, bytes] = {}  # what follows a blank and ends in a visible character: ids with the blank
+        if self.by_word:
+            vocabulary = self.tokenizer.get_vocab()
+            self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a blank
+            self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(self.broken) > CACHE_WORDS:
+        """Keep the ids of those words after which a text can be cut. They are tokenized side by side: in between
+        two of them, and nowhere else, an id begins with a blank."""
+        if len(self.words) + len(words) > CACHE_WORDS:
             self.words.clear()
-            self.broken.clear()
-        new = list(words - self.words.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            self.words.update(zip(part, self._ids([" " + w for w in part]), strict=True))
-        self.broken.update(w for w in new if not w or unicodedata.category(w[-1])[0] not in "LNPSM")
+        new = [w for w in words if _visible_end(w)]
+        for at in range(0, len(new), 64 * 100):
+            lines = [new[k:k + 64] for k in range(at, min(len(new), at + 64 * 100), 64)]
+            for line, e in zip(lines, self.tokenizer.encode_batch_fast([" " + " ".join(line) for line in lines], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.dtype)
+                cuts = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * self.dtype.itemsize).tolist()
+                data = ids.tobytes()
+                self.words.update(zip(line, [data[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+
+    @classmethod
+    def kept(cls, path: str) -> Encoder:
+        """The worker's own encoder of that vocabulary: its words serve the tasks that follow, too."""
+        state = sys.modules.setdefault("expirylens_worker_state", ModuleType("expirylens_worker_state")).__dict__
+        if path not in state:
+            state[path] = cls(path)
+        return state[path]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        gc.disable()  # lists of words are many here, and never cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.frombuffer(x, self.dtype) for x in self._ids(texts)]
         split = [t.split(" ") for t in texts]
-        self._learn({w for words in split for w in words[1:]})
-        odd = {i for i, words in enumerate(split) if len(words) > 1 and (
-            not words[0] or unicodedata.category(words[0][-1])[0] not in "LNPSM" or not self.broken.isdisjoint(words[1:-1]))}
-        extra: dict[str, bytes] = {}
-        if odd:  # blanks beside white space: cut only after letters and digits
-            for i in odd:
-                split[i] = _AFTER_WORD.split(texts[i])
-            missing = {w for i in odd for w in split[i][1:]} - self.words.keys()
-            extra = dict(zip(missing := list(missing), self._ids([" " + w for w in missing]), strict=True))
-        heads, known = self._ids([words[0] for words in split]), self.words
-        out = []
-        for i, (head, words) in enumerate(zip(heads, split, strict=True)):
-            look = (lambda w: known[w] if w in known else extra[w]) if i in odd else known.__getitem__
-            out.append(np.frombuffer(head + b"".join(map(look, words[1:])), self.dtype))
-        return out
+        missing: set[str] = set()
+        odd = [i for i, words in enumerate(split) if len(words) > 1 and not _visible_end(words[0])]
+        get = self.words.get
+        bodies = [list(map(get, words[1:])) for words in split]
+        gaps = {i: [k for k, ids in enumerate(body) if ids is None] for i, body in enumerate(bodies) if None in body}
+        for i, places in gaps.items():
+            words = split[i]
+            missing.update([words[k + 1] for k in places])
+        if missing:
+            self._learn(missing)
+            for i, places in gaps.items():
+                words, body = split[i], bodies[i]
+                for k in places:
+                    word = words[k + 1]
+                    body[k] = get(word)
+                    if body[k] is None:
+                        if not _visible_end(word) and k == len(body) - 1:
+                            body[k] = self._ids([" " + word])[0]  # nothing follows it
+                        else:
+                            odd.append(i)
+        heads = [words[0] for words in split]
+        for i in set(odd):  # blanks beside white space: cut only after letters and digits
+            heads[i], *rest = _AFTER_WORD.split(texts[i])
+            bodies[i] = self._ids([" " + w for w in rest])
+        return [np.frombuffer(head + b"".join(body), self.dtype) for head, body in zip(self._ids(heads), bodies, strict=True)]
