@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StructType
 
 from expirylens.plans.storage import materialise, shared_folder
 
-__all__ = ["arrow_rows", "keep_columns", "materialise", "shared_folder", "table", "text_column", "try_cut", "with_part_index"]
+__all__ = ["arrow_rows", "extended", "materialise", "shared_folder", "table", "text_column", "with_part_index"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +20,6 @@ def text_column(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def keep_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns can't clash with those an operator makes."""
-    return df.select(*names)
-
-
 def with_part_index(df: DataFrame, part: str = "part", row: str = "row") -> DataFrame:
     """The input task and the row's place in it; store the result before using it twice."""
     local = F.monotonically_increasing_id()
@@ -34,20 +27,12 @@ def with_part_index(df: DataFrame, part: str = "part", row: str = "row") -> Data
                            row: local.bitwiseAND(F.lit((1 << 33) - 1))})
 
 
+def extended(schema: StructType, ddl: str) -> StructType:
+    """The schema with more columns behind it."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def arrow_rows(batch: pa.RecordBatch, rows: int = 256):
     """Slices of an Arrow batch, so that what is made from very long texts stays small."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
-
-
-def try_cut(sizes, limit: int):
-    """End positions of runs whose summed size stays at or below ``limit`` (one row at least)."""
-    total, ends = 0, []
-    for i, n in enumerate(sizes):
-        if total and total + n > limit:
-            ends.append(i)
-            total = 0
-        total += n
-    if len(sizes):
-        ends.append(len(sizes))
-    return ends

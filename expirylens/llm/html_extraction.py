@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from expirylens.llm.common import extended
+
 # A path is content if its fused ratio is at least this part of the best path's.
 THRESHOLD = 0.12
 SMOOTHING = np.array([0.05, 0.25, 0.4, 0.25, 0.05])
@@ -195,7 +197,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", pa
     """
     others = [c for c in pages.columns if c not in (html_col, text_col, paths_col)]
     rows = pages.select(*others, html_col)
-    schema = rows.drop(html_col).schema.add(text_col, "string").add(paths_col, "array<string>")
+    schema = extended(rows.drop(html_col).schema, f"`{text_col}` string, `{paths_col}` array<string>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from expirylens.llm.common import materialise
+from expirylens.llm.common import extended, materialise
 
 BUCKETS = 1 << 16
 # A trigram's log likelihood counts by this factor, as the trigrams of a text depend on each other.
@@ -81,7 +81,7 @@ def page_rows(pages: DataFrame, keep: list[str], url_col: str = "url", html_col:
 
     rows = pages.select(*keep, url_col, html_col)
     at = len(keep)
-    schema = pages.select(*keep).schema.add("address", "string").add("text", "string").add("declared", "string")
+    schema = extended(pages.select(*keep).schema, "address string, text string, declared string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +131,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(logs), pa.list_(pa.float64())), pa.array(list(own), pa.list_(pa.float64())), pa.array(seen)],
                                              [*keep, *evidence, "logs", "own", "seen"])
 
-    schema = first.drop("text").schema.add("logs", "array<double>").add("own", "array<double>").add("seen", "boolean")
+    schema = extended(first.drop("text").schema, "logs array<double>, own array<double>, seen boolean")
     stored = materialise(first.mapInArrow(run, schema))
     one = [F.col("own")[i] for i in range(size)]
 

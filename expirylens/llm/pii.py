@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from expirylens.llm.common import extended
+
 ROUNDS = 10
 # Letters of an IBAN by country are checked by its length there.
 IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27,
@@ -194,7 +196,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", spans_col: s
     """
     rows = docs.drop(spans_col)
     at = rows.columns.index(text_col)
-    schema = rows.schema.add(spans_col, "array<struct<kind:string,start:int,end:int>>")
+    schema = extended(rows.schema, f"`{spans_col}` array<struct<kind:string,start:int,end:int>>")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

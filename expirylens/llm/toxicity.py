@@ -33,7 +33,7 @@ NEAR, WINDOW = 6, 50
 _PUNCTUATION = {ord(c): " " for c in ".,;:!?\"'()[]{}<>«»“”„‘’…—–-/\\|*_#%&$@+=~^`¡¿"}
 _DISGUISE = {ord(k): v for k, v in LOOKALIKES.items()} | {ord(c): None for c in ".,;:?\"'()[]{}*_-#%&+=~^`/\\"}
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
-_SPELLED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
+_SPELLED = re.compile(r"(?<!\w)[^\W\d_]([ .\-_*])[^\W\d_](?:\1[^\W\d_]){2,}(?!\w)")
 _MIXED = re.compile(r"[^\W\d_][0-9@$!|]+[^\W\d_]")
 _MARKS = re.compile(r"[.,;:!?]")
 _SYMBOLS = re.compile(r"[#$%&*@^~+=<>|\\{}\[\]_]")
@@ -123,11 +123,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         mean = sum(c for (_, y), c in sums.items() if y) / total if total else 0.0
         return out.select(id_col, "held_out", F.lit(float(mean)).alias("score"), F.lit(int(mean >= 0.5)).alias("predicted"))
     vectors = taught.select(array_to_vector("list").alias("x"), "label", "calibrates")
-    model = GBTClassifier(featuresCol="x", labelCol="label", predictionCol="p", rawPredictionCol="raw", probabilityCol="both",
-                          maxIter=trees, maxDepth=depth, stepSize=0.15, maxBins=48, minInstancesPerNode=5, seed=1).fit(vectors.filter("NOT calibrates"))
-    margins = model.transform(vectors.filter("calibrates")).select(vector_to_array("both")[1].alias("margin"), "label")
+    model = GBTClassifier(featuresCol="x", labelCol="label", predictionCol="p", maxIter=trees, maxDepth=depth, stepSize=0.15, maxBins=48, minInstancesPerNode=5, seed=1).fit(vectors.filter("NOT calibrates"))
+    margins = model.transform(vectors.filter("calibrates")).select(vector_to_array("probability")[1].alias("margin"), "label")
     steps = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(margins)
-    scored = model.transform(out.withColumn("x", array_to_vector("features"))).withColumn("margin", vector_to_array("both")[1])
+    scored = model.transform(out.withColumn("x", array_to_vector("features"))).withColumn("margin", vector_to_array("probability")[1])
     scored = steps.transform(scored.select(id_col, "held_out", "margin"))
     limited = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
     return scored.select(id_col, "held_out", limited.alias("score"), (limited >= 0.5).cast("int").alias("predicted"))
