@@ -26,7 +26,7 @@ _S, _SS = " *", " +"
 _SEP = r" *[.\-/:,] *"
 _HEAD = r"(?<!\d)(?<!\d[.\-/:,])"
 _LOT = r"(?=[A-Za-z0-9]*[A-Za-z])"
-_YEAR = r"(\d{4}|\d{2})"
+_YEAR = r"(\d{2,4})"     # three digits use up their text, but are no year
 _MONTHS = (r"jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|"
            r"sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?")
 MONTH_ABBREVIATIONS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -190,10 +190,10 @@ def _spans_sql(hits: str, text: str, day_first: bool) -> str:
 
     parts = (f"transform({hits}, h -> named_struct('ord', h.ord, 'pattern', h.pattern, 'parts', "
              f"transform(split(h.marked, '{MARK}', -1), s -> split(s, '{SEP_CH}', -1))))")
-    found = (f"flatten(transform({parts}, h -> transform(sequence(1, size(h.parts) - 2, 2), (i, k) -> named_struct("
+    found = (f"filter(flatten(transform({parts}, h -> transform(sequence(1, size(h.parts) - 2, 2), (i, k) -> named_struct("
              "'start', aggregate(slice(h.parts, 1, i), 0, (a, x) -> a + length(element_at(x, -1))), "
              "'neg_len', -length(h.parts[i][3]), 'ord', h.ord, 'seq', k, 'pattern', h.pattern, "
-             "'y', h.parts[i][0], 'm', h.parts[i][1], 'd', h.parts[i][2], 'raw', h.parts[i][3]))))")
+             "'y', h.parts[i][0], 'm', h.parts[i][1], 'd', h.parts[i][2], 'raw', h.parts[i][3])))), s -> length(s.y) <> 3)")
     # the reading the shape names
     month = (f"CASE WHEN endswith(s.pattern, 'month_name') THEN CAST(CAST((instr('{MONTH_ABBREVIATIONS}', "
              "lower(substring(s.m, 1, 3))) + 2) / 3 AS int) AS string) ELSE s.m END")

@@ -99,11 +99,11 @@ def zfill(c: Column, width: int) -> Column:
 def pad_label_parts(df: DataFrame) -> DataFrame:
     """Zero-pad ids to six and months and days to two characters; NONE stays as it is."""
     def part(name: str) -> Column:
-        c = F.trim(F.col(name))
+        c = trim_ws(F.col(name))
         return F.when(c.rlike(r"^[0-9]+$"), zfill(c, 2)).otherwise(c)
-    return df.withColumns({"image_id": zfill(F.trim(F.col("image_id")), 6),
-                           "year": F.trim(F.col("year")), "month": part("month"),
-                           "day": part("day"), "final_date": F.trim(F.col("final_date"))})
+    return df.withColumns({"image_id": zfill(trim_ws(F.col("image_id")), 6),
+                           "year": trim_ws(F.col("year")), "month": part("month"),
+                           "day": part("day"), "final_date": trim_ws(F.col("final_date"))})
 
 
 def levenshtein(a: Column, b: Column) -> Column:

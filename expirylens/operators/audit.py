@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from expirylens.functions.dates import calendar_valid
+from expirylens.functions.text import trim_ws
+from expirylens.operators.filters import last_per_id
 from expirylens.operators.ordering import with_global_index
 from expirylens.schemas import tile_of
 
@@ -16,26 +18,23 @@ FLAG_TYPES = ("MISSING_IMAGE_ID", "FINAL_NONE_BUT_COMPONENTS_SET", "INVALID_DATE
               "CALENDAR_INVALID", "YEAR_OUTLIER", "GT_MISMATCH", "OCR_HALLUCINATION_OR_MISSING")
 
 
-# Digit sequences have at most eight characters, so seven on each side of a cut cover them.
-_EDGE = 7
-
-
-def token_text(tokens: DataFrame) -> DataFrame:
+def token_text(tokens: DataFrame, longest: int) -> DataFrame:
     """Token texts in order, one row per tile of an image: all_text, packed, and the cut before it.
 
     ``packed`` keeps word characters only. ``cut`` joins the end of the packed text before a tile
-    with its start, so that digit sequences across a cut are seen. Tiles bound every string.
+    with its start, so that sequences of up to ``longest`` characters across a cut are seen. Tiles bound every string.
     """
+    edge = max(1, longest - 1)
     t = tokens.select("image_id", tile_of(F.col("token_index")).alias("tile"), "token_index", "text")
     text = (t.groupBy("image_id", "tile").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
                 F.struct("token_index", "text"))), lambda x: x.text), " ").alias("all_text"))
             .withColumn("packed", F.regexp_replace("all_text", r"(?U)[^\w]", "")))
-    edges = (text.filter("packed <> ''").select("image_id", "tile", F.substring("packed", 1, _EDGE).alias("head"),
-                                                F.right("packed", F.lit(_EDGE)).alias("tail")))
+    edges = (text.filter("packed <> ''").select("image_id", "tile", F.substring("packed", 1, edge).alias("head"),
+                                                F.right("packed", F.lit(edge)).alias("tail")))
     # every tile left here has at least one character, so this many tiles before it suffice
-    before = Window.partitionBy("image_id").orderBy("tile").rowsBetween(-_EDGE, -1)
+    before = Window.partitionBy("image_id").orderBy("tile").rowsBetween(-edge, -1)
     cuts = edges.select("image_id", F.lit("").alias("all_text"), F.concat(
-        F.right(F.array_join(F.collect_list("tail").over(before), ""), F.lit(_EDGE)), "head").alias("packed"), "tile")
+        F.right(F.array_join(F.collect_list("tail").over(before), ""), F.lit(edge)), "head").alias("packed"), "tile")
     return text.select("image_id", "all_text", "packed").unionByName(
         cuts.filter("tile > 0").select("image_id", "all_text", "packed"))
 
@@ -53,20 +52,25 @@ def token_evidence(tokens: DataFrame, labels: DataFrame) -> DataFrame:
     for order in ((y, m, d), (short, m, d), (d, m, y), (d, m, short)):
         sequence = sequence | packed.contains(F.concat(*order))
     has = lambda c: F.max(F.col("all_text").contains(c))
-    return (labels.select("image_id", "year", "month", "day").distinct().join(token_text(tokens), "image_id")
+    longest = labels.agg(F.max(F.length(F.concat(y, m, d)))).first()[0] or 1
+    return (labels.select("image_id", "year", "month", "day").distinct().join(token_text(tokens, longest), "image_id")
             .groupBy("image_id", "year", "month", "day")
             .agg((F.max(sequence) | (has(y) & has(m) & has(d))).alias("token_found")))
 
 
 def audit_labels(labels: DataFrame, truth: DataFrame | None = None, tokens: DataFrame | None = None,
-                 min_year: int = MIN_YEAR, max_year: int = MAX_YEAR) -> DataFrame:
-    """Flags per label row (types and messages), ``is_clean`` and the facts the summary counts."""
+                 min_year: int = MIN_YEAR, max_year: int = MAX_YEAR, images: DataFrame | None = None) -> DataFrame:
+    """Flags per label row (types and messages), ``is_clean`` and the facts the summary counts.
+
+    ``images`` has the ids of all images whose tokens were read, those without any token too: a label of
+    an image without tokens is not evidenced. Repeated truth ids count once, the last one.
+    """
     c = F.col
-    rows = labels.select(*[F.trim(F.coalesce(F.col(n), F.lit(""))).alias(n)
+    rows = labels.select(*[trim_ws(F.coalesce(F.col(n), F.lit(""))).alias(n)
                            for n in ("image_id", "year", "month", "day", "final_date")])
     if truth is not None:
         have = set(truth.columns)
-        t = truth.select("image_id", *[(F.trim(F.coalesce(F.col(n), F.lit(""))) if n in have else F.lit("")).alias(f"gt_{n}")
+        t = last_per_id(truth).select("image_id", *[(trim_ws(F.coalesce(F.col(n), F.lit(""))) if n in have else F.lit("")).alias(f"gt_{n}")
                                        for n in ("year", "month", "day", "final_date")], F.lit(True).alias("has_gt"))
         rows = rows.join(t, "image_id", "left")
     else:
@@ -75,6 +79,10 @@ def audit_labels(labels: DataFrame, truth: DataFrame | None = None, tokens: Data
     if tokens is not None:
         found = token_evidence(tokens, rows.filter("final_date <> 'NONE'")).withColumnRenamed("token_found", "__found")
         rows = rows.join(found, ["image_id", "year", "month", "day"], "left")
+        if images is not None:
+            read = images.select("image_id").distinct().withColumn("__read", F.lit(True))
+            empty = F.col("__read") & (F.col("final_date") != "NONE")
+            rows = rows.join(read, "image_id", "left").withColumn("__found", F.coalesce("__found", F.when(empty, F.lit(False)))).drop("__read")
     else:
         rows = rows.withColumn("__found", F.lit(None).cast("boolean"))
     none = c("final_date") == "NONE"
@@ -166,9 +174,9 @@ def submission_check_strict(df: DataFrame, line: str = "line") -> DataFrame:
 
     ``line`` is the line number of each row in the file.
     """
-    missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
-    if missing:
-        raise ValueError(f"Invalid columns: {missing} missing")
+    columns = [c for c in df.columns if c != line]
+    if columns != REQUIRED_COLUMNS:
+        raise ValueError(f"Invalid columns: {columns}, expected {REQUIRED_COLUMNS}")
     v = df.withColumn("__v", strict_violation())
     bad = F.col("__v").isNotNull()
     return v.agg(F.count("*").alias("rows"), F.sum(F.when(bad, 1).otherwise(0)).alias("violations"),
@@ -177,8 +185,11 @@ def submission_check_strict(df: DataFrame, line: str = "line") -> DataFrame:
                  (F.count("*") == 0).alias("is_empty"))
 
 
-def submission_check_lenient(df: DataFrame, line: str = "line", limit: int = 10) -> DataFrame:
-    """The first violations in file order; the older year-missing form is accepted."""
+def submission_check_lenient(df: DataFrame, line: str = "line", limit: int | None = None) -> DataFrame:
+    """All violations in file order with their total; the older year-missing form is accepted.
+
+    ``limit`` lists only the first ones; ``total`` still counts all.
+    """
     c = F.col
     parts = F.split("final_date", "-")
     form = (F.when((c("final_date") == "NONE") & ((c("year") != "NONE") | (c("month") != "NONE") | (c("day") != "NONE")),
@@ -190,8 +201,10 @@ def submission_check_lenient(df: DataFrame, line: str = "line", limit: int = 10)
             .when(c("final_date").rlike(STRICT_DATE) | c("final_date").rlike(YEAR_MISSING), None)
             .otherwise("invalid final_date format"))
     messages = F.array_compact(F.array(F.when(c("image_id") == "", "missing image_id"), form))
-    return (df.select(line, F.posexplode(messages).alias("__i", "message")).orderBy(line, "__i").limit(limit)
-            .select(line, "message"))
+    found = df.select(line, F.posexplode(messages).alias("__i", "message"))
+    total = found.agg(F.count("*").alias("total"))      # one row
+    listed = found.orderBy(line, "__i")
+    return (listed if limit is None else listed.limit(limit)).crossJoin(F.broadcast(total)).select(line, "message", "total")
 
 
 def numbered_lines(df: DataFrame, *order: str) -> DataFrame:

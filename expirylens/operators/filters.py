@@ -8,14 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from expirylens.functions.text import file_stem, looks_date_like
-from expirylens.operators.ordering import with_global_index
+from expirylens.functions.text import file_stem, looks_date_like, trim_ws
+from expirylens.operators.ordering import renumber, with_global_index
 
 
 def filter_ids(df: DataFrame, ids: DataFrame, id_col: str = "image_id") -> DataFrame:
     return df.join(ids.select(file_stem(F.col("id")).alias(id_col)).distinct(), id_col, "left_semi")
 
 
+def last_per_id(df: DataFrame, id_col: str = "image_id", order: str = "row_order") -> DataFrame:
+    """One row per id: the last by ``order`` where the table has that column, else the greatest by its other columns.
+
+    Label joins take labels through this, so a repeated id never multiplies rows. It combines on the map side, and the
+    join that follows reuses its partitioning.
+    """
+    rest = [c for c in df.columns if c != id_col]
+    by = F.struct(*([order] if order in rest else []), *[c for c in rest if c != order])
+    return df.groupBy(id_col).agg(F.max(by).alias("__r")).select(*[id_col if c == id_col else F.col(f"__r.{c}").alias(c) for c in df.columns])
+
+
 def limit_images(df: DataFrame, n: int, order: str = "image_id") -> DataFrame:
     """First n rows by path; Spark takes the top n per partition before merging them."""
     return df.orderBy(order).limit(n)
@@ -24,7 +35,7 @@ def limit_images(df: DataFrame, n: int, order: str = "image_id") -> DataFrame:
 def shard(df: DataFrame, index: int, count: int, order: str = "image_id") -> DataFrame:
     """Every count-th row of the ordered table, starting at index."""
     if not 0 <= index < count:
-        raise ValueError("shard_index must be within [0, shard_count)")
+        raise ValueError(f"index {index} is not one of {count} shards")
     return with_global_index(df, order).filter(F.pmod("row_index", F.lit(count)) == index).drop("row_index")
 
 
@@ -139,7 +150,8 @@ def review_filter(review: DataFrame, mode: str = "all", query: str = "") -> Data
 
 
 def filter_source(tokens: DataFrame, source: str) -> DataFrame:
-    return tokens.filter(~F.col("source").eqNullSafe(source))
+    """Tokens of all other sources; their positions close up."""
+    return renumber(tokens.filter(~F.col("source").eqNullSafe(source)))
 
 
 def pending_items(items: DataFrame, done: DataFrame, batch_size: int, key: str = "image_id") -> DataFrame:
@@ -154,11 +166,18 @@ def keep_trainable_labels(labels: DataFrame) -> DataFrame:
     return labels.filter((f != "") & (F.upper(f) != "NONE") & ~f.contains("None"))
 
 
-def explode_label_lines(labels: DataFrame, text: str = "text_found", min_length: int = 3) -> DataFrame:
-    """Lines of a multi-line text: trimmed, long enough, first occurrence only, numbered in order."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\r|\n"), F.trim),
+def explode_label_lines(labels: DataFrame, text: str = "text_found", min_length: int = 3, order: str = "image_id") -> DataFrame:
+    """Lines of multi-line texts: trimmed, long enough, each line once in the whole table.
+
+    A line stays with its first row by ``order``, at its first place there; the lines a row keeps are numbered in order.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\r|\n"), trim_ws),
                      lambda s: F.length(s) >= min_length)
-    return labels.select("image_id", F.posexplode(F.array_distinct(lines)).alias("line_number", "line"))
+    rows = labels.select("image_id", F.col(order).alias("__row"), F.posexplode(F.array_distinct(lines)).alias("__at", "line"))
+    first = rows.groupBy("line").agg(F.min(F.struct("__row", "image_id", "__at")).alias("f"))
+    kept = first.select("f.image_id", F.col("f.__row").alias("__row"), F.col("f.__at").alias("__at"), "line")
+    number = Window.partitionBy("image_id").orderBy("__row", "__at")      # the lines of one row
+    return kept.select("image_id", (F.row_number().over(number) - 1).alias("line_number"), "line")
 
 
 def charset(labels: DataFrame, label: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from expirylens.functions.dates import (candidate_final_date, final_date_sql, normalize_validated,
                                         normalize_simple, prediction_matches)
 from expirylens.functions.text import is_dateish
+from expirylens.operators.filters import last_per_id
 from expirylens.operators.ordering import with_global_index
 from expirylens.operators.selection import detector_choice
 
@@ -23,19 +24,19 @@ def _share(cond: Column) -> Column:
 
 def attach_labels(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """Left join of labels; ground_truth N/A and is_correct null where there is no label."""
-    j = predictions.join(labels.select("image_id", F.col("final_date").alias("__t")), "image_id", "left")
+    j = predictions.join(last_per_id(labels).select("image_id", F.col("final_date").alias("__t")), "image_id", "left")
     return (j.withColumn("is_correct", F.when(F.col("__t").isNotNull(), prediction_matches("final_date", "__t")))
             .withColumn("ground_truth", F.coalesce("__t", F.lit("N/A"))).drop("__t"))
 
 
 def tokens_with_labels(tokens: DataFrame, labels: DataFrame) -> DataFrame:
-    return tokens.join(labels.select("image_id", F.col("final_date").alias("target")), "image_id")
+    return tokens.join(last_per_id(labels).select("image_id", F.col("final_date").alias("target")), "image_id")
 
 
 def default_label_join(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """Every prediction with its label; a missing label counts as all NONE. Plain string matches."""
     none = F.lit("NONE")
-    t = labels.select("image_id", *[F.col(c).alias(f"target_{c}") for c in ("year", "month", "day", "final_date")])
+    t = last_per_id(labels).select("image_id", *[F.col(c).alias(f"target_{c}") for c in ("year", "month", "day", "final_date")])
     j = predictions.join(t, "image_id", "left")
     return j.withColumns({f"target_{c}": F.coalesce(f"target_{c}", none) for c in ("year", "month", "day", "final_date")}
                          ).withColumns({f"{n}_match": F.coalesce(F.col(c) == F.col(f"target_{c}"), F.lit(False))
@@ -45,7 +46,7 @@ def default_label_join(predictions: DataFrame, labels: DataFrame) -> DataFrame:
 
 def eval_join(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """Inner join with per-component matches."""
-    t = labels.select("image_id", *[F.col(c).alias(f"{c}_gt") for c in ("year", "month", "day", "final_date")])
+    t = last_per_id(labels).select("image_id", *[F.col(c).alias(f"{c}_gt") for c in ("year", "month", "day", "final_date")])
     return predictions.join(t, "image_id").withColumns({
         f"{c}_match": F.col(c) == F.col(f"{c}_gt") for c in ("year", "month", "day", "final_date")})
 
@@ -146,7 +147,7 @@ def evaluation_rows(predictions: DataFrame, scored: DataFrame, tokens: DataFrame
     no candidate list is built. Token facts are two map-side combined flags.
     """
     key = lambda c: F.expr(final_date_sql(c))
-    lab = labels.select("image_id", F.col("final_date").alias("target")).withColumn("target_key", key("target"))
+    lab = last_per_id(labels).select("image_id", F.col("final_date").alias("target")).withColumn("target_key", key("target"))
     shown = F.coalesce(candidate_final_date(F.col("year"), F.col("month"), F.col("day"), F.col("calendar_valid")),
                        F.col("raw_text"))
     dates = (scored.select("image_id", shown.alias("shown")).groupBy("image_id", "shown")

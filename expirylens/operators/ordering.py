@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from expirylens.plans.storage import materialise
+from expirylens.schemas import tile_of
 
 
 def with_global_index(df: DataFrame, *order: str | Column, name: str = "row_index") -> DataFrame:
@@ -39,15 +40,30 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int =
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+def renumber(tokens: DataFrame, *passes: str) -> DataFrame:
+    """Gap-free token positions per image, from 0, in order of (passes, token_index).
+
+    Tokens are numbered inside their (image, pass, tile) and shifted by the sizes of those before, so an
+    image with a large share of all tokens is spread over its tiles. Equal positions follow by text.
+    """
+    keys = ["image_id", *passes, "__tile"]
+    t = tokens.withColumn("__tile", tile_of(F.col("token_index")))
+    before = Window.partitionBy("image_id").orderBy(*keys[1:])      # one row per pass and tile
+    shift = (t.groupBy(*keys).agg(F.count("*").alias("__n"))
+             .select(*keys, (F.sum("__n").over(before) - F.col("__n")).alias("__shift")))
+    inside = Window.partitionBy(*keys).orderBy("token_index", "text")
+    return (t.withColumn("__pos", F.row_number().over(inside) - 1).join(shift, keys)
+            .withColumn("token_index", (F.col("__shift") + F.col("__pos")).cast("int"))
+            .select(*tokens.columns))
+
+
 def join_by_tile(left: DataFrame, right: DataFrame, key: str, tile: str, how: str = "inner") -> DataFrame:
     """Join rows that carry a tile number with per-key rows, spread over the key's tiles.
 
-    The few per-key rows are copied to every tile the left side has, so a key with very many rows
+    The few per-key rows are copied to every tile that the left side has, so a key with very many rows
     is joined tile by tile, and a later aggregation by (key, tile) needs no further exchange.
     """
-    last = left.groupBy(key).agg(F.max(tile).alias("__last"))
-    spread = (right.join(last, key).withColumn(tile, F.explode(F.sequence(F.lit(0), F.col("__last"))))
-              .drop("__last"))
+    spread = right.join(left.select(key, tile).distinct(), key)
     return left.join(spread, [key, tile], how)
 
 

@@ -8,16 +8,13 @@ from expirylens.functions.text import contains_any, is_dateish
 from expirylens.operators.boxes import low_confidence_images
 from expirylens.operators.candidates import images_without_candidates
 from expirylens.operators.filters import filter_source
-from expirylens.operators.ordering import top_per_group
+from expirylens.operators.ordering import renumber, top_per_group
 
 # Case-sensitive keyword sets and limits of the fast exit.
 EXPIRY_WORDS = ("소비", "유통", "까지", "기한", "EXP", "BBD", "BE")
 NEGATIVE_WORDS = ("제조", "PROD", "MFG", "PKG")
 MIN_YEAR, MAX_YEAR, FAST_EXIT_CONFIDENCE = 2020, 2035, 0.85
 
-# Token positions of later passes follow those of earlier ones at this distance.
-PASS_STRIDE = 1 << 24
-
 
 def can_fast_exit(tokens: DataFrame, cands: DataFrame, min_confidence: float = FAST_EXIT_CONFIDENCE,
                   min_year: int = MIN_YEAR, max_year: int = MAX_YEAR) -> DataFrame:
@@ -43,15 +40,19 @@ def tag_source(tokens: DataFrame, source: str) -> DataFrame:
     return tokens.withColumn("source", F.lit(source))
 
 
-def append_pass(tokens: DataFrame, number: int) -> DataFrame:
-    """Move token positions behind those of the passes before; their order stays."""
-    return tokens.withColumn("token_index", (F.col("token_index") + F.lit(number * PASS_STRIDE)).cast("int"))
+def merge_passes(*passes: DataFrame) -> DataFrame:
+    """All passes' tokens, each image's positions renumbered in order of (pass, position)."""
+    merged = None
+    for number, tokens in enumerate(passes):
+        part = tokens.withColumn("__pass", F.lit(number))
+        merged = part if merged is None else merged.unionByName(part)
+    return renumber(merged, "__pass").drop("__pass")
 
 
 def route_tiers(tier1: DataFrame, tier2: DataFrame, tier3: DataFrame, fast: DataFrame) -> DataFrame:
     """Tokens per image after routing: fast-exit images keep tier 1, others get all tiers in order."""
     rest = lambda t: t.join(fast.select("image_id"), "image_id", "left_anti")
-    return tier1.unionByName(append_pass(rest(tier2), 1)).unionByName(append_pass(rest(tier3), 2))
+    return merge_passes(tier1, rest(tier2), rest(tier3))
 
 
 def tier_reached(images: DataFrame, tier3: DataFrame, fast: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def fill_missing_from_second_pass(base: DataFrame, second: DataFrame, extract, s
     # images whose tokens all came from the dropped source are empty now and count as bare
     emptied = base.select("image_id").distinct().join(first.select("image_id").distinct(), "image_id", "left_anti")
     ids = bare.unionByName(emptied)
-    return first.unionByName(append_pass(second.join(ids, "image_id", "left_semi"), 1))
+    return merge_passes(first, second.join(ids, "image_id", "left_semi"))
 
 
 def replace_low_confidence(first: DataFrame, fallback: DataFrame, images: DataFrame, threshold: float = 0.20) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from expirylens.functions.dates import candidate_final_date, final_date_sql
 from expirylens.operators import selection as S
 from expirylens.operators.candidates import extract_candidates
+from expirylens.operators.filters import last_per_id
 from expirylens.operators.ordering import join_by_tile
 from expirylens.plans.storage import materialise
 
@@ -67,7 +68,7 @@ def product_grid(grid: dict[str, list], limit: int | None = None, strided: bool
     combos = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     if limit is None or len(combos) <= limit:
         return combos
-    return combos[::len(combos) // limit][:limit] if strided else combos[:limit]
+    return [combos[i * len(combos) // limit] for i in range(limit)] if strided else combos[:limit]
 
 
 def ablation_stages() -> list[tuple[str, dict]]:
@@ -180,22 +181,26 @@ def _with_combo_columns(df: DataFrame, combos: list[dict], extra: list[str] | No
     return df.join(F.broadcast(table.withColumn("combo", F.col("combo").cast("int"))), "combo")
 
 
-def labelled_candidates(feats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidates of labelled images with ``is_correct`` against the label (string or readable date)."""
+def labelled_candidates(feats: DataFrame, labels: DataFrame, both_unreadable: bool = False) -> DataFrame:
+    """Candidates of labelled images with ``is_correct`` against the label (string or readable date).
+
+    ``both_unreadable`` is the rule of the whole pipeline, where two values that are no dates match too.
+    """
     key = lambda c: F.expr(final_date_sql(c))
-    lab = labels.select("image_id", F.col("final_date").alias("target"), key("final_date").alias("target_key"))
+    lab = last_per_id(labels).select("image_id", F.col("final_date").alias("target"), key("final_date").alias("target_key"))
     shown = candidate_final_date(F.col("year"), F.col("month"), F.col("day"), F.col("calendar_valid"), "NONE", "NONE")
     c = feats.withColumns({"predicted": F.coalesce(shown, F.lit("NONE")), "o1": F.lit(0), "o2": F.lit(0.0),
                            "o3": F.col("cand_ordinal"), "tile": S.candidate_tile(F.col("cand_ordinal"))})
     own = F.when(F.col("calendar_valid"), F.struct("year", "month", "day"))
+    neither = own.isNull() & F.col("target_key").isNull() if both_unreadable else F.lit(False)
     return join_by_tile(c, lab, "image_id", "tile").withColumn(
-        "is_correct", (F.col("predicted") == F.col("target")) | F.coalesce(own.eqNullSafe(F.col("target_key"))
-                                                                           & F.col("target_key").isNotNull(), F.lit(False)))
+        "is_correct", (F.col("predicted") == F.col("target")) | neither
+        | F.coalesce(own.eqNullSafe(F.col("target_key")) & F.col("target_key").isNotNull(), F.lit(False)))
 
 
-def _label_counts(labels: DataFrame, cands: DataFrame, image_ids: DataFrame) -> DataFrame:
+def _label_counts(labels: DataFrame, cands: DataFrame, image_ids: DataFrame, both_unreadable: bool = False) -> DataFrame:
     """One row: images evaluated, readable targets, covered targets, images without any candidate."""
-    lab = labels.join(image_ids.select("image_id").distinct(), "image_id", "left_semi").select(
+    lab = last_per_id(labels).join(image_ids.select("image_id").distinct(), "image_id", "left_semi").select(
         "image_id", "final_date", F.expr(final_date_sql("final_date")).isNotNull().alias("readable"))
     per = cands.groupBy("image_id").agg(F.max("is_correct").alias("hit"))
     j = lab.join(per, "image_id", "left")
@@ -203,14 +208,14 @@ def _label_counts(labels: DataFrame, cands: DataFrame, image_ids: DataFrame) ->
     empty = F.col("hit").isNull()
     return j.agg(F.count("*").alias("total_images"), n(F.col("readable")).alias("targets"),
                  n(F.col("readable") & F.coalesce("hit", F.lit(False))).alias("covered"), n(empty).alias("none_predictions"),
-                 n(empty & (F.col("final_date") == "NONE")).alias("right_without"))
+                 n(empty & ((F.col("final_date") == "NONE") | (~F.col("readable") if both_unreadable else F.lit(False)))).alias("right_without"))
 
 
 def grid_search(feats: DataFrame, labels: DataFrame, images: DataFrame, grid: dict[str, list] | None = None,
-                max_combinations: int = 2000) -> DataFrame:
+                max_combinations: int | None = None) -> DataFrame:
     """Exact match, recall, selection and NONE rate of every weight set, best first.
 
-    ``images`` are the ids of the token table; images without candidates predict NONE whatever the
+    All weight sets of the grid are tried; ``max_combinations`` takes evenly spaced ones instead. ``images`` are the ids of the token table; images without candidates predict NONE whatever the
     weights. Selection accuracy is correct / covered and can exceed 1.
     """
     combos = product_grid(grid or DEFAULT_GRID, max_combinations, strided=True)
@@ -236,9 +241,11 @@ def _parser_features(tokens: DataFrame, day_first: bool, month_names: bool, stor
 
 
 def evaluate_params(tokens: DataFrame, labels: DataFrame, params: list[dict], store=materialise,
-                    features_for=None) -> DataFrame:
+                    features_for=None, both_unreadable: bool = False, images: DataFrame | None = None) -> DataFrame:
     """Exact match of parameter sets that may also differ in parser flags.
 
+    ``images`` has the ids of all images, those without tokens too; by default the tokens' own.
+
     Extraction and features run once per distinct pair of parser flags (four at most); all weight
     sets of a pair share them.
     """
@@ -250,8 +257,8 @@ def evaluate_params(tokens: DataFrame, labels: DataFrame, params: list[dict], st
     out = None
     for (day_first, month_names), indexes in groups.items():
         combos = [{n: params[i].get(n, getattr(base, n)) for n in S.WEIGHT_NAMES} for i in indexes]
-        cands = labelled_candidates(make(day_first, month_names), labels)
-        counts = F.broadcast(_label_counts(labels, cands, tokens))
+        cands = labelled_candidates(make(day_first, month_names), labels, both_unreadable)
+        counts = F.broadcast(_label_counts(labels, cands, tokens if images is None else images, both_unreadable))
         number = F.element_at(F.array(*[F.lit(i) for i in indexes]), F.col("combo") + 1)
         part = count_correct(cands, S.FEATURE_COLUMNS, combos).crossJoin(counts).select(
             number.alias("combo"), (F.col("correct") + F.col("right_without")).alias("correct"),
@@ -276,16 +283,16 @@ def stage_ablation(tokens: DataFrame, labels: DataFrame, store=materialise, feat
             .withColumn("delta_em", F.round("__d", 4)).drop("__d", "combo"))
 
 
-def cartesian_ablation(tokens: DataFrame, labels: DataFrame, grid: dict[str, list], max_runs: int = 8,
+def cartesian_ablation(tokens: DataFrame, labels: DataFrame, grid: dict[str, list], max_runs: int | None = None,
                        store=materialise, features_for=None) -> DataFrame:
-    """First max_runs combinations of a grid over weights and parser flags, with their metrics."""
+    """All combinations of a grid over weights and parser flags (or the first ``max_runs``), with their metrics."""
     combos = product_grid({k: v if isinstance(v, list) else [v] for k, v in grid.items()}, max_runs)
     flat = [{k.rsplit(".", 1)[-1]: v for k, v in c.items()} for c in combos]
     div = lambda a, b: F.col(a) / F.nullif(F.col(b).cast("double"), F.lit(0.0))
-    r = evaluate_params(tokens, labels, flat, store, features_for).select(
+    r = evaluate_params(tokens, labels, flat, store, features_for, both_unreadable=True).select(
         "combo", F.format_string("run_%03d", F.col("combo") + 1).alias("run"),
         div("correct", "total").alias("final_date_exact_match"), div("covered", "targets").alias("candidate_recall"),
-        F.col("total").alias("labeled_count"))
+        div("correct", "covered").alias("candidate_selection_accuracy"), F.col("total").alias("labeled_count"))
     return _with_combo_columns(r, flat).drop("combo")
 
 
@@ -307,11 +314,12 @@ def source_multiplier_sweep(tokens: DataFrame, labels: DataFrame, source: str, p
     weights = [{n: getattr(params, n) for n in S.WEIGHT_NAMES}]
     for m in multipliers:
         scaled = feats.withColumn("recognition_confidence", F.col("recognition_confidence") - F.col("part") * (1 - m))
-        cands_m = labelled_candidates(scaled, labels)
+        cands_m = labelled_candidates(scaled, labels, both_unreadable=True)
         r = count_correct(cands_m, S.FEATURE_COLUMNS, weights).crossJoin(
-            F.broadcast(_label_counts(labels, cands_m, tokens))).select(
+            F.broadcast(_label_counts(labels, cands_m, tokens, both_unreadable=True))).select(
             F.lit(m).alias("multiplier"), ((F.col("correct") + F.col("right_without")) / F.col("total_images")).alias("final_em"),
-            (F.col("covered") / F.nullif(F.col("targets").cast("double"), F.lit(0.0))).alias("candidate_recall"))
+            (F.col("covered") / F.nullif(F.col("targets").cast("double"), F.lit(0.0))).alias("candidate_recall"),
+            ((F.col("correct") + F.col("right_without")) / F.nullif(F.col("covered").cast("double"), F.lit(0.0))).alias("selection_accuracy"))
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -345,7 +353,7 @@ def pool_spatial(pool: DataFrame) -> DataFrame:
 
 
 def _evaluate_fit(pool: DataFrame, labels: DataFrame, combos: list[dict], features: list[str], score) -> DataFrame:
-    lab = labels.select("image_id", F.col("final_date").alias("target"))
+    lab = last_per_id(labels).select("image_id", F.col("final_date").alias("target"))
     c = join_by_tile(pool, lab, "image_id", "tile").withColumn("is_correct", F.coalesce(F.col("prediction") == F.col("target"), F.lit(False)))
     found = F.broadcast(c.filter("is_correct").select("image_id").distinct().agg(F.count("*").alias("found"))
                         .crossJoin(F.broadcast(labels.agg(F.count("*").alias("images")))))

@@ -132,7 +132,7 @@ def keyword_blocks(tokens: DataFrame) -> DataFrame:
 
 
 def date_extremes(cands: DataFrame) -> DataFrame:
-    """Per image: earliest and latest complete date, whether any exists, and the last tile.
+    """Per image: earliest and latest complete date, the tiles that hold candidates, and the last of them.
 
     A raw text counts once: its last ``ymd*`` reading, otherwise its first reading. Both levels
     combine on the map side.
@@ -144,16 +144,16 @@ def date_extremes(cands: DataFrame) -> DataFrame:
                     F.max_by("d", F.when(F.col("d").isNotNull() & F.col("pattern").startswith("ymd"),
                                          F.col("cand_ordinal"))).alias("last_ymd"),
                     F.min_by("d", F.when(F.col("d").isNotNull(), F.col("cand_ordinal"))).alias("first_any"),
-                    F.max(candidate_tile(F.col("cand_ordinal"))).alias("tile")))
+                    F.collect_set(candidate_tile(F.col("cand_ordinal"))).alias("tiles")))
     date_of_text = F.coalesce("last_ymd", "first_any")
     return per_text.groupBy("image_id").agg(
         F.min(date_of_text).alias("min_date"), F.max(date_of_text).alias("max_date"),
-        F.max("tile").alias("last_tile"))
+        F.array_distinct(F.flatten(F.collect_list("tiles"))).alias("tiles")).withColumn("last_tile", F.array_max("tiles"))
 
 
-def spread_over_tiles(per_image: DataFrame, last_tile: str = "last_tile") -> DataFrame:
-    """Copy per-image rows to every tile of the image (one for all but huge images)."""
-    return per_image.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col(last_tile))))
+def spread_over_tiles(per_image: DataFrame) -> DataFrame:
+    """Copy per-image rows to every tile of the image that holds candidates (one for all but huge images)."""
+    return per_image.withColumn("tile", F.explode("tiles")).drop("tiles")
 
 
 def _context_columns(kws: Column, same_line_bonus: float) -> dict[str, Column]:
@@ -293,8 +293,8 @@ def other_source_iou(cands: DataFrame) -> DataFrame:
              .groupBy("image_id", F.when(F.col("source") == "yolo", "baseline").otherwise("yolo").alias("source"),
                       F.col("tile").alias("block"))
              .agg(F.collect_set("union_box").alias("boxes")))
-    last = c.groupBy("image_id").agg(F.max("tile").alias("last_tile"))
-    boxes = spread_over_tiles(boxes.join(last, "image_id").drop("block")).drop("last_tile")
+    tiles = c.groupBy("image_id").agg(F.collect_set("tile").alias("tiles"))
+    boxes = spread_over_tiles(boxes.join(tiles, "image_id").drop("block"))
     joined = c.join(boxes, ["image_id", "source", "tile"], "left")
     best = F.array_max(F.transform("boxes", lambda b: box_iou(F.col("union_box"), b)))
     return (joined.withColumn("__iou", best).groupBy(*c.columns)

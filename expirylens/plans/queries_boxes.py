@@ -58,15 +58,15 @@ def j11_crops(spark, d):
     return aligned(spark, d).filter("status = 'ok'").select("image_id", F.round("overlap", 6).alias("overlap"), "crop_box.*", "raw_text")
 
 
-@query("j12_fill_missing_from_second_pass", sql("""SELECT image_id, count(*) AS tokens, max(second) AS used_second FROM (
-    SELECT image_id, 0 AS second FROM tok WHERE source <> 'baseline'
-    UNION ALL SELECT s.image_id, 1 FROM (SELECT image_id FROM spl, range(4)) s WHERE image_id IN (SELECT image_id FROM tok)
-        AND image_id NOT IN (SELECT image_id FROM cand WHERE source <> 'baseline')) GROUP BY 1""", "tok", "cand", "spl"))
+@query("j12_fill_missing_from_second_pass", sql("""SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY second, i) - 1 AS token_index, second FROM (
+    SELECT image_id, 0 AS second, token_index AS i FROM tok WHERE source <> 'baseline'
+    UNION ALL SELECT s.image_id, 1, i FROM (SELECT image_id, range AS i FROM spl, range(4)) s WHERE image_id IN (SELECT image_id FROM tok)
+        AND image_id NOT IN (SELECT image_id FROM cand WHERE source <> 'baseline'))""", "tok", "cand", "spl"))
 def j12(spark, d):
     out = R.fill_missing_from_second_pass(
         X.tokens(spark, d), X.split_tokens(spark, d).withColumn("source", F.lit("second")),
-        lambda t: C.extract_candidates(t, True, True, join_lines=False), "baseline")
-    return out.groupBy("image_id").agg(F.count("*").alias("tokens"), F.max((F.col("source") == "second").cast("int")).alias("used_second"))
+        lambda t: C.extract_candidates(t, True, True), "baseline")
+    return out.select("image_id", "token_index", (F.col("source") == "second").cast("int").alias("second"))
 
 
 @query("j13_weak_label_matches", sql("""SELECT image_id, label, text AS raw_text, greatest(0, x1::INT - 6) AS "left", greatest(0, y1::INT - 6) AS top,
@@ -166,10 +166,10 @@ def r19_rate(spark, d):
         "agreement_rate", F.round("agreement_rate", 6))
 
 
-@query("a36_low_confidence_images", sql("""SELECT i.image_id FROM img i LEFT JOIN (SELECT image_id, avg(conf) AS c FROM tok WHERE token_index > 0 GROUP BY 1) t USING (image_id)
+@query("a36_low_confidence_images", sql("""SELECT i.image_id FROM img i LEFT JOIN (SELECT image_id, avg(conf) AS c FROM tok GROUP BY 1) t USING (image_id)
     WHERE c IS NULL OR c < 0.62""", "img", "tok"))
 def a36(spark, d):
-    return B.low_confidence_images(X.tokens(spark, d).filter("token_index > 0"), X.images(spark, d), 0.62).select("image_id")
+    return B.low_confidence_images(X.tokens(spark, d), X.images(spark, d), 0.62).select("image_id")
 
 
 @query("f15_gt_date_crops", sql("""SELECT image_id, label, round(min(bx1), 6) AS x1, round(min(by1), 6) AS y1, round(max(bx2), 6) AS x2, round(max(by2), 6) AS y2 FROM bp
@@ -203,12 +203,11 @@ def _tiers(spark, d):
     return t, t2, t3, R.can_fast_exit(t, X.candidates(spark, d))
 
 
-@query("x3_route_tiers", sql("""SELECT image_id, count(*) AS tokens, sum((source = 'yolo_expert')::INT) AS expert FROM (SELECT image_id, source FROM tok
-    UNION ALL SELECT image_id, 'baseline' FROM tok WHERE token_index % 2 = 0 AND image_id NOT IN (SELECT image_id FROM fx)
-    UNION ALL SELECT image_id, 'yolo_expert' FROM tok WHERE token_index = 3 AND image_id NOT IN (SELECT image_id FROM fx)) GROUP BY 1""", "tok", "cand", "kw", **_FAST))
+@query("x3_route_tiers", sql("""SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY p, i) - 1 AS token_index, text, source FROM (SELECT image_id, 0 AS p, token_index AS i, text, source FROM tok
+    UNION ALL SELECT image_id, 1, token_index, text, 'baseline' FROM tok WHERE token_index % 2 = 0 AND image_id NOT IN (SELECT image_id FROM fx)
+    UNION ALL SELECT image_id, 2, token_index, text, 'yolo_expert' FROM tok WHERE token_index = 3 AND image_id NOT IN (SELECT image_id FROM fx))""", "tok", "cand", "kw", **_FAST))
 def x3(spark, d):
-    return R.route_tiers(*_tiers(spark, d)).groupBy("image_id").agg(
-        F.count("*").alias("tokens"), F.sum((F.col("source") == "yolo_expert").cast("int")).alias("expert"))
+    return R.route_tiers(*_tiers(spark, d)).select("image_id", "token_index", "text", "source")
 
 
 @query("x3_tier_reached", sql("""SELECT image_id, CASE WHEN image_id IN (SELECT image_id FROM fx) THEN 1 WHEN image_id IN (SELECT image_id FROM tok WHERE token_index = 3) THEN 3 ELSE 2 END AS tier_reached

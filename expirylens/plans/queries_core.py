@@ -128,7 +128,7 @@ def t3(spark, d):
     FROM cand""", "cand"))
 def t4(spark, d):
     p = F.col("p")
-    t = X.tokens(spark, d).filter("token_index > 0").withColumn("p", D.parse_date_text("text", "", True, True))
+    t = X.tokens(spark, d).withColumn("p", D.parse_date_text("text", "", True, True))
     return t.filter(p.isNotNull()).select("image_id", "token_index", p.year.alias("year"), p.month.alias("month"),
                                           p.day.alias("day"), p.pattern.alias("pattern"), p.calendar_valid.alias("calendar_valid"))
 
@@ -183,10 +183,9 @@ def t6(spark, d):
                                          F.concat(key.year, key.month, key.day).alias("key"))
 
 
-@query("t7_calendar_valid", sql("""SELECT image_id, year, month, day, final_date = 'NONE' OR (final_date NOT LIKE '%-13-%'
-    AND try_cast(replace(final_date, '/', '-') AS DATE) IS NOT NULL) AS valid FROM noisy WHERE dated AND k <> 5""", "noisy"))
+@query("t7_calendar_valid", sql("""SELECT image_id, year, month, day, coalesce(try_cast(year || '-' || month || '-' || day AS DATE) IS NOT NULL, false) AS valid FROM noisy""", "noisy"))
 def t7(spark, d):
-    n = X.noisy_labels(spark, d).filter("final_date <> 'NONE' AND day <> '00'")
+    n = X.noisy_labels(spark, d)
     return n.select("image_id", "year", "month", "day",
                     D.calendar_valid(F.col("year"), F.col("month"), F.col("day")).alias("valid"))
 
@@ -201,28 +200,30 @@ def t8(spark, d):
     return N.normalize_prediction(sel, none_token="----").select("image_id", "year", "month", "day", "final_date")
 
 
-@query("t9_normalized_options", sql("""SELECT image_id, rn AS token_index, CASE WHEN form IN (1, 3) THEN iso END AS first_option,
+@query("t9_normalized_options", sql("""SELECT image_id, rn AS token_index, CASE WHEN form = 4 THEN '2020-0' || strftime(d, '%Y')[3] || '-0' || strftime(d, '%Y')[4] ELSE iso END AS first_option,
     form <> 4 AS label_is_an_option FROM (SELECT *, strftime(d, '%Y-%m-%d') AS iso FROM dt)""", "dt"))
 def t9(spark, d):
     t = X.dated_lines(spark, d).withColumn("text", X.date_text(F.col("rn"), F.col("d"))).withColumn(
         "o", D.normalized_options(F.col("text")))
     return t.select("image_id", F.col("rn").alias("token_index"),
-                    F.when((F.col("rn") % 5).isin(1, 3), F.get("o", F.lit(0))).alias("first_option"),
+                    F.get("o", F.lit(0)).alias("first_option"),
                     F.array_contains("o", F.date_format("d", "yyyy-MM-dd")).alias("label_is_an_option"))
 
 
-@query("t10_normalize_simple", sql("""SELECT image_id, rn AS token_index, strftime(d, '%Y-%m-%d') AS simple FROM dt
-    WHERE form IN (1, 3)""", "dt"))
+@query("t10_normalize_simple", sql("""SELECT image_id, rn AS token_index, CASE form WHEN 2 THEN '20' || strftime(d, '%d-%m') || '-20' WHEN 4 THEN '2020-0' || strftime(d, '%Y')[3] || '-0' || strftime(d, '%Y')[4]
+    ELSE strftime(d, '%Y-%m-%d') END AS simple FROM dt""", "dt"))
 def t10(spark, d):
-    t = X.dated_lines(spark, d).filter((F.col("rn") % 5).isin(1, 3))
+    """All shapes; a day first and a month name are misread."""
+    t = X.dated_lines(spark, d)
     return t.select("image_id", F.col("rn").alias("token_index"),
                     D.normalize_simple(X.date_text(F.col("rn"), F.col("d"))).alias("simple"))
 
 
-@query("t11_normalize_validated", sql("""SELECT image_id, rn AS token_index, strftime(d, '%Y-%m-%d') AS validated FROM dt
-    WHERE form <> 2""", "dt"))
+@query("t11_normalize_validated", sql("""SELECT image_id, rn AS token_index, CASE WHEN form = 2 THEN '20' || strftime(d, '%d-%m') || '-20'
+    ELSE strftime(d, '%Y-%m-%d') END AS validated FROM dt""", "dt"))
 def t11(spark, d):
-    t = X.dated_lines(spark, d).filter(F.col("rn") % 5 != 2)
+    """All shapes; a day first is misread."""
+    t = X.dated_lines(spark, d)
     return t.select("image_id", F.col("rn").alias("token_index"),
                     D.normalize_validated(X.date_text(F.col("rn"), F.col("d"))).alias("validated"))
 
@@ -254,10 +255,10 @@ def t15(spark, d):
         ("ocr.params.model_dir", "model_dir"), ("selector.plugin", "plain"))])
 
 
-@query("t16_confidence_band", sql("""SELECT image_id, rn AS token_index,
-    CASE WHEN conf >= 0.8 THEN 'lime' WHEN conf >= 0.5 THEN 'yellow' ELSE 'red' END AS band FROM dt""", "dt"))
+@query("t16_confidence_band", sql("""SELECT image_id, token_index,
+    CASE WHEN conf >= 0.8 THEN 'lime' WHEN conf >= 0.5 THEN 'yellow' ELSE 'red' END AS band FROM tok""", "tok"))
 def t16(spark, d):
-    return X.tokens(spark, d).filter("token_index > 0").select("image_id", "token_index", T.confidence_band(F.col("confidence")).alias("band"))
+    return X.tokens(spark, d).select("image_id", "token_index", T.confidence_band(F.col("confidence")).alias("band"))
 
 
 # --- candidates ----------------------------------------------------------------------------------
@@ -290,7 +291,7 @@ def c3(spark, d):
 def c5(spark, d):
     """Detection confidence from the column, from the extras, or 0."""
     dc, i = F.col("detection_confidence"), F.col("token_index")
-    t = X.tokens(spark, d).filter("token_index > 0").withColumns({
+    t = X.tokens(spark, d).withColumns({
         "extras": F.when(i % 3 == 1, F.create_map(F.lit("detection_confidence"), dc.cast("string"))),
         "detection_confidence": F.when(i % 3 == 2, dc)})
     return C.token_candidates(t, True, True).select("image_id", F.col("first_index").alias("token_index"),

@@ -71,10 +71,10 @@ def f5_tokens(spark, d):
 
 
 @query("f6_full_date_and_target", sql("""SELECT image_id, k IN (0,1,2,3,5,6,7,8,9,10,11,12,13,14,15,16) AND dated AS is_full,
-    CASE WHEN dated THEN replace(replace(final_date, '-', ''), '/', '') END AS target FROM noisy WHERE k <> 7""", "noisy"))
+    CASE WHEN dated THEN replace(replace(final_date, '-', ''), '/', '') END AS target FROM noisy""", "noisy"))
 def f6(spark, d):
     f = F.col("final_date")
-    return X.noisy_labels(spark, d).filter("image_id <> ''").select("image_id", T.is_full_date(f).alias("is_full"), T.numeric_target(f).alias("target"))
+    return X.noisy_labels(spark, d).select("image_id", T.is_full_date(f).alias("is_full"), T.numeric_target(f).alias("target"))
 
 
 @query("f7_label_group", f"WITH dl AS ({_DL}) SELECT image_id, label_group FROM dl")
@@ -113,9 +113,9 @@ def f11(spark, d):
     return O.head_sample(X.labels(spark, d), 25, "image_id")
 
 
-@query("f13_filter_source", sql("SELECT image_id, token_index FROM tok WHERE source <> 'yolo'", "tok"))
+@query("f13_filter_source", sql("SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY token_index) - 1 AS token_index, text FROM tok WHERE source <> 'yolo'", "tok"))
 def f13(spark, d):
-    return O.filter_source(X.tokens(spark, d), "yolo").select("image_id", "token_index")
+    return O.filter_source(X.tokens(spark, d), "yolo").select("image_id", "token_index", "text")
 
 
 @query("f14_pending_items", """SELECT image_id, (row_number() OVER (ORDER BY image_id) - 1) // 64 AS batch FROM (
@@ -131,9 +131,9 @@ def f15(spark, d):
 
 
 @query("f16_explode_label_lines", r"""SELECT image_id, md5(line) AS line, row_number() OVER (PARTITION BY image_id ORDER BY first) - 1 AS line_number FROM (
-    SELECT image_id, line, min(i) AS first FROM (SELECT image_id, trim(l, ' ') AS line, i FROM (
+    SELECT min(image_id) AS image_id, line, arg_min(i, (image_id, i)) AS first FROM (SELECT image_id, trim(l, ' ') AS line, i FROM (
         SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS image_id, unnest(string_split(text, chr(10))) AS l,
-            generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE length(line) >= 3 GROUP BY image_id, line)""")
+            generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE length(line) >= 3 GROUP BY line)""")
 def f16(spark, d):
     return O.explode_label_lines(_docs(spark, d), "text").select("image_id", "line_number", F.md5("line").alias("line"))
 

@@ -24,20 +24,19 @@ _TOK = "SELECT image_id, {i} AS token_index, text, conf AS confidence, det AS de
 _POS = "row_number() OVER (PARTITION BY image_id ORDER BY token_index) - 1"
 
 
-@query("s1_read_token_sidecars", sql("SELECT image_id, token_index, text FROM (SELECT image_id, rn - 1 AS token_index, text FROM dt WHERE rn <= 2)", "dt"))
+@query("s1_read_token_sidecars", sql("""SELECT image_id, token_index, text, row_number() OVER (PARTITION BY CAST(substr(image_id, 5) AS INT) // 500 ORDER BY image_id, token_index) - 1 AS position FROM tok""", "tok"))
 def s1(spark, d):
     """Sidecar arrays as whole files, one per 500 orders, unpacked with their position."""
-    t = X.tokens(spark, d).filter("token_index BETWEEN 1 AND 2")
+    t = X.tokens(spark, d)
     path = shared_folder(spark)
     k = F.floor(F.substring("image_id", 5, 8).cast("int") / 500).cast("string")
     rows = t.groupBy(k.alias("k")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(
         "image_id", "token_index", "text", "confidence"))), lambda x: F.struct(
-            F.concat_ws("~", x.image_id, x.text).alias("text"), x.confidence.alias("confidence")))).alias("value"))
+            F.concat_ws("~", x.image_id, x.token_index.cast("string"), x.text).alias("text"), x.confidence.alias("confidence")))).alias("value"))
     rows.repartition("k").write.partitionBy("k").text(path)
     read = I.read_token_sidecars(spark, _rename_parts(spark, path, "side_%06d.png.ocr.json"))
     parts = F.split("text", "~")
-    return read.select(parts[0].alias("image_id"), parts[1].alias("text")).join(
-        t.select("image_id", "text", (F.col("token_index") - 1).alias("token_index")), ["image_id", "text"]).distinct()
+    return read.select(parts[0].alias("image_id"), parts[1].cast("int").alias("token_index"), parts[2].alias("text"), F.col("token_index").alias("position"))
 
 
 def _rename_parts(spark, path, name):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from expirylens.functions.geometry import box_from_array
-from expirylens.functions.text import file_stem
+from expirylens.functions.text import file_stem, trim_ws
+from expirylens.operators.filters import last_per_id
 from expirylens.schemas import (BOX_MANIFEST, DETECTOR_PREDICTIONS, TOKEN_CACHE, TOKEN_COLUMNS, TOKEN_JSON)
 
 # Fixed value: file suffixes that count as images.
@@ -52,7 +53,7 @@ def read_token_cache(spark: SparkSession, paths: str | list[str], on_duplicate:
             "value", F.lit(i).alias("source_number"), F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
         lines = part if lines is None else lines.unionByName(part)
-    lines = lines.filter(F.trim("value") != "")
+    lines = lines.filter(trim_ws(F.col("value")) != "")
     mode = {"mode": "PERMISSIVE" if drop_malformed else "FAILFAST"}
     rows = lines.select(F.from_json("value", TOKEN_CACHE, mode).alias("r"), "source_number", "file", "block", "line")
     rows = rows.select("r.*", "source_number", "file", "block", "line").filter(F.col("image_id").isNotNull())
@@ -64,18 +65,32 @@ def read_token_cache(spark: SparkSession, paths: str | list[str], on_duplicate:
     return _token_rows(rows.select("image_id", "tokens"))
 
 
-def read_labels(spark: SparkSession, path: str, id_col: str | None = None, date_col: str | None = None) -> DataFrame:
-    """CSV labels with string columns only; ``filename``/``date`` files become image_id/final_date."""
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    raw = raw.toDF(*[c.strip() for c in raw.columns])
+def read_cached_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Ids of all images of token caches, those with an empty token list too: they count in totals and audits."""
+    return (spark.read.text(paths).filter(trim_ws(F.col("value")) != "").select(F.from_json("value", TOKEN_CACHE).alias("r"))
+            .select("r.image_id").filter("image_id IS NOT NULL").distinct())
+
+
+def read_labels(spark: SparkSession, path: str, id_col: str | None = None, date_col: str | None = None,
+                multi_line: bool = True) -> DataFrame:
+    """CSV labels with string columns only; ``filename``/``date`` files become image_id/final_date.
+
+    A record may hold line breaks in quotes; ``multi_line=False`` lets Spark split files without any. Of several
+    records with one id the last counts (by file, then by line).
+    """
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
+    names = [c.strip() for c in raw.columns]
+    raw = raw.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                   F.monotonically_increasing_id().alias("line")).alias("row_order")).toDF(*names, "row_order")
     id_col = id_col or ("image_id" if "image_id" in raw.columns else "filename")
     date_col = date_col or ("final_date" if "final_date" in raw.columns else "date")
     if id_col not in raw.columns or date_col not in raw.columns:
         raise ValueError(f"Labels need an id and a date column: {path}")
-    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    text = lambda c: trim_ws(F.coalesce(F.col(c), F.lit("")))
     key = text(id_col) if id_col == "image_id" else file_stem(text(id_col))
-    rest = [c for c in raw.columns if c not in (id_col, date_col)]
-    return raw.select(key.alias("image_id"), text(date_col).alias("final_date"), *[text(c).alias(c) for c in rest])
+    rest = [c for c in raw.columns if c not in (id_col, date_col, "row_order")]
+    rows = raw.select(key.alias("image_id"), text(date_col).alias("final_date"), *[text(c).alias(c) for c in rest], "row_order")
+    return last_per_id(rows).drop("row_order")
 
 
 def read_detector_predictions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
