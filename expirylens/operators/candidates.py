@@ -63,7 +63,7 @@ def images_without_candidates(tokens: DataFrame, cands: DataFrame) -> DataFrame:
 
 def joined_candidates(tokens: DataFrame, found: DataFrame, day_first: bool = False,
                       month_names: bool = False, keep_invalid: bool = False,
-                      y_tolerance: float = 0.6) -> DataFrame:
+                      y_tolerance: float = 0.6, materialise=None) -> DataFrame:
     """Candidates from reconstructed lines, for images without any candidate in ``found``.
 
     Each line is tried as it is and without blanks; an image keeps only the first such text that
@@ -71,7 +71,8 @@ def joined_candidates(tokens: DataFrame, found: DataFrame, day_first: bool = Fal
     """
     t = as_tokens(tokens)
     bare = images_without_candidates(t, found)
-    lines = reconstruct_lines(t.join(bare, "image_id", "left_semi"), y_tolerance)
+    own = t.join(bare, "image_id", "left_semi")
+    lines = reconstruct_lines(materialise(own) if materialise else own, y_tolerance)
     lines = lines.filter(F.col("text").rlike(_MAY_HOLD_DATE))
     variants = lines.select(
         "image_id", "line_ordinal", "members", "token_indices",
@@ -113,7 +114,8 @@ def extract_candidates(tokens: DataFrame, day_first: bool = False, month_names:
     """All date candidates of a token table (token pass, then the joined-line pass).
 
     The joined-line pass asks which images the token pass left empty, so the token pass is
-    evaluated twice unless ``materialise`` (see plans.storage) stores its result first.
+    evaluated twice unless ``materialise`` (see plans.storage) stores its result first. Then the tokens and
+    the candidates of the second pass are stored as well, and the result reads stored tables only.
     """
     t = as_tokens(tokens)
     if sanitization_mode != "none":
@@ -123,8 +125,8 @@ def extract_candidates(tokens: DataFrame, day_first: bool = False, month_names:
         return found
     if materialise:
         found = materialise(found)
-    return found.unionByName(
-        joined_candidates(t, found, day_first, month_names, keep_invalid).select(*CANDIDATE_COLUMNS))
+    joined = joined_candidates(t, found, day_first, month_names, keep_invalid, materialise=materialise).select(*CANDIDATE_COLUMNS)
+    return found.unionByName(materialise(joined) if materialise else joined)
 
 
 def dedup_candidates(cands: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from expirylens.functions.dates import (candidate_final_date, final_date_sql, normalize_validated,
@@ -77,6 +79,22 @@ def percentile_floor(df: DataFrame, value: str, q: float, *tie_break: str) -> Da
             .agg(F.coalesce(F.max(value), F.lit(0.0)).alias("value")))
 
 
+def positional(df: DataFrame, value: str, wanted: dict[str, Callable[[Column], Column]], *tie_break: str) -> DataFrame:
+    """One row: for each name the value at a (possibly fractional) 0-based position, a function of the number of values.
+
+    Between two positions the value is interpolated. The values are indexed in a distributed sort; only the ones asked
+    for are gathered. Null for no rows.
+    """
+    indexed = with_global_index(df.filter(F.col(value).isNotNull()), value, *tie_break).select(F.col(value).cast("double").alias("__v"), "row_index")
+    n = indexed.agg(F.count("*").cast("double").alias("__n"))
+
+    def part(position: Column) -> Column:
+        low = F.floor(position)
+        return F.sum(F.when(F.col("row_index") == low, F.col("__v") * (low + 1 - position))
+                     .when(F.col("row_index") == low + 1, F.col("__v") * (position - low)))
+    return indexed.crossJoin(F.broadcast(n)).agg(*[part(at(F.col("__n"))).alias(name) for name, at in wanted.items()])
+
+
 def run_metrics(predictions: DataFrame, wall_seconds: float, latency: str = "elapsed_ms") -> DataFrame:
     """Counts, NONE rate, latency mean/median/p95 and throughput of one run, as one row."""
     n = F.count("*")
@@ -84,12 +102,13 @@ def run_metrics(predictions: DataFrame, wall_seconds: float, latency: str = "ela
     base = predictions.agg(
         n.alias("image_count"), none.alias("none_count"), F.coalesce(ratio(none, n), F.lit(0.0)).alias("none_rate"),
         F.coalesce(F.avg(latency), F.lit(0.0)).alias("latency_ms_mean"),
-        F.coalesce(F.percentile(latency, 0.5), F.lit(0.0)).alias("latency_ms_median"),
         F.lit(wall_seconds).alias("wall_seconds"),
         F.coalesce(ratio(F.lit(wall_seconds), n), F.lit(0.0)).alias("sec_per_image"),
         F.coalesce(ratio(n, F.lit(wall_seconds)), F.lit(0.0)).alias("images_per_sec"))
-    p95 = percentile_floor(predictions, latency, 0.95, "image_id").withColumnRenamed("value", "latency_ms_p95")
-    return base.crossJoin(F.broadcast(p95))
+    ranks = positional(predictions, latency, {
+        "latency_ms_median": lambda n: (n - 1) * 0.5,
+        "latency_ms_p95": lambda n: F.greatest(F.lit(0.0), F.floor(n * 0.95) - 1)}, "image_id").fillna(0.0)
+    return base.crossJoin(F.broadcast(ranks))
 
 
 STAGES = ("preprocess_ms", "detection_ms", "recognition_ms", "ocr_ms", "candidate_generation_ms",
@@ -296,15 +315,16 @@ def latency_report(rows: DataFrame) -> DataFrame:
     """Mean, median, interpolated p95, 500-item extrapolation, fast exits and component average."""
     n = F.count("*")
     hits = _share(F.col("year_match")) + _share(F.col("month_match")) + _share(F.col("day_match"))
+    ranks = positional(rows, "latency_sec", {
+        "latency_sec_median": lambda n: (n - 1) * 0.5, "latency_sec_p95": lambda n: (n - 1) * 0.95})
+    ranks = ranks.select(*[F.round(c, 3).alias(c) for c in ranks.columns])
     return rows.agg(
         n.alias("images"), F.round(ratio(_share(F.col("em_match")), n), 4).alias("exact_match"),
         F.round(ratio(hits, 3 * n), 4).alias("component_avg"),
         F.round(F.avg("latency_sec"), 3).alias("latency_sec_mean"),
-        F.round(F.percentile("latency_sec", 0.5), 3).alias("latency_sec_median"),
-        F.round(F.percentile("latency_sec", 0.95), 3).alias("latency_sec_p95"),
         F.round(F.avg("latency_sec") * 500 / 60, 1).alias("extrapolated_500_min"),
         _share(F.col("fast_exit")).alias("fast_exit_count"),
-        *[_share(F.col("tier") == t).alias(f"tier_{t}") for t in (1, 2, 3)])
+        *[_share(F.col("tier") == t).alias(f"tier_{t}") for t in (1, 2, 3)]).crossJoin(F.broadcast(ranks))
 
 
 def crop_eval(rows: DataFrame, seconds: float) -> DataFrame:

@@ -184,10 +184,16 @@ def context_features(cands: DataFrame, tokens: DataFrame, same_line_bonus: float
     # more than one block only in images with very many keywords; the grouping keys contain the
     # join keys, so this needs no further exchange
     cap = lambda x: F.least(F.lit(1.5), F.coalesce(F.max(x), F.lit(0.0)))
-    return (scored.groupBy(*c.columns, "min_date", "max_date", "last_tile")
-            .agg(cap("p").alias("positive_keyword"), cap("n").alias("negative_keyword"),
-                 cap("s").alias("spatial_relation"))
-            .drop("tile"))
+    return per_candidate(scored, [*c.columns, "min_date", "max_date", "last_tile"], {
+        "positive_keyword": cap("p"), "negative_keyword": cap("n"), "spatial_relation": cap("s")}).drop("tile")
+
+
+def per_candidate(rows: DataFrame, columns: list[str], values: dict[str, Column],
+                  keys: tuple[str, ...] = ("image_id", "tile", "cand_ordinal")) -> DataFrame:
+    """Aggregates per candidate; its other columns, arrays and structs among them, are carried along, not compared."""
+    rest = [n for n in columns if n not in keys]
+    return (rows.groupBy(*keys).agg(F.first(F.struct(*rest)).alias("__c"), *[v.alias(n) for n, v in values.items()])
+            .select(*[n if n in keys else F.col(f"__c.{n}").alias(n) for n in columns], *values))
 
 
 def features(cands: DataFrame, tokens: DataFrame, params: ScoreParams = ScoreParams()) -> DataFrame:
@@ -297,8 +303,8 @@ def other_source_iou(cands: DataFrame) -> DataFrame:
     boxes = spread_over_tiles(boxes.join(tiles, "image_id").drop("block"))
     joined = c.join(boxes, ["image_id", "source", "tile"], "left")
     best = F.array_max(F.transform("boxes", lambda b: box_iou(F.col("union_box"), b)))
-    return (joined.withColumn("__iou", best).groupBy(*c.columns)
-            .agg(F.coalesce(F.max("__iou"), F.lit(0.0)).alias("spatial")).drop("tile"))
+    return per_candidate(joined.withColumn("__iou", best), c.columns, {"spatial": F.coalesce(F.max("__iou"), F.lit(0.0))},
+                         keys=("image_id", "tile", "source", "cand_ordinal")).drop("tile")
 
 
 def union_rank_column(params: UnionParams) -> Column:

@@ -23,10 +23,11 @@ def forget() -> None:
     _stored.clear()
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, build, store=materialise) -> DataFrame:
+    """The table of that name, built and stored on first use; ``store=None`` where ``build`` stores its result itself."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
-        _stored[key] = materialise(build())
+        _stored[key] = store(build()) if store else build()
     return _stored[key]
 
 
@@ -151,7 +152,7 @@ def noisy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "candidates", lambda: C.extract_candidates(
-        tokens(spark, sf_dir), True, True, materialise=materialise))
+        tokens(spark, sf_dir), True, True, materialise=materialise), store=None)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

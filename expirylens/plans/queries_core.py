@@ -10,6 +10,7 @@ from expirylens.operators.lines import reconstruct_lines
 from expirylens.plans import fixtures as X
 from expirylens.plans.catalog import query
 from expirylens.plans.oracle_parts import sql
+from expirylens.plans.storage import materialise
 from expirylens.plans.flows import predict
 
 _CAND_COLS = ["image_id", "token_index", "raw_text", "year", "month", "day", "pattern",
@@ -31,7 +32,7 @@ def c1(spark, d):
     CASE WHEN o_orderkey % 7 = 0 THEN 0.815::DOUBLE ELSE 0.82::DOUBLE END AS recognition_confidence FROM spl""", "spl"))
 def c2(spark, d):
     t = X.split_tokens(spark, d)
-    return C.extract_candidates(t, True, True).filter("joined AND pattern LIKE 'ymd%'").select(
+    return C.extract_candidates(t, True, True, materialise=materialise).filter("joined AND pattern LIKE 'ymd%'").select(
         "image_id", "raw_text", "year", "month", "day", "pattern",
         F.array_join(F.transform("token_indices", lambda i: i.cast("string")), ",").alias("token_indices"),
         F.round("recognition_confidence", 6).alias("recognition_confidence"))

@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 FOLDER = "spark.checkpoint.dir"
 
 
+_chosen: list[str] = []
+
+
+def use_folder(path: str) -> None:
+    """The folder for sessions that name none."""
+    _chosen[:] = [path]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The name of a new folder below ``spark.checkpoint.dir``, which all executors must share.
 
     There is no default: a local folder would be another one on each machine.
     """
-    base = spark.conf.get(FOLDER, None)
+    base = spark.conf.get(FOLDER, None) or next(iter(_chosen), None)
     if not base:
         raise ValueError(f"set {FOLDER} to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/expirylens-{uuid.uuid4().hex}"
