@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,12 @@ LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "
 
 FEATURES = ["log_words", "insults", "contempt", "hostile", "insult_rate", "contempt_rate", "hostile_rate", "kinds", "disguised",
             "disguised_rate", "second_person_rate", "near_second_person", "densest", "capitals", "capital_words", "punctuation",
-            "exclamations", "questions", "symbols", "digits_in_words", "long_runs", "mean_word", "repeated_words"]
+            "exclamations", "questions", "symbols", "digits_in_words", "long_runs", "mean_word", "repeated_words",
+            "learned", "learned_rate", "learned_kinds", "learned_weight"]
 NEAR, WINDOW = 6, 50
+# Learned lexicon: word beginnings of so many letters, in at least three texts with the label and this part of
+# them, and so many times likelier there than in texts without it. The strongest are kept, up to a number.
+STEM, LEAST_PART, LEAST_LIFT, MOST_STEMS = 4, 0.01, 15.0, 2000
 
 _PUNCTUATION = {ord(c): " " for c in ".,;:!?\"'()[]{}<>«»“”„‘’…—–-/\\|*_#%&$@+=~^`¡¿"}
 _DISGUISE = {ord(k): v for k, v in LOOKALIKES.items()} | {ord(c): None for c in ".,;:?\"'()[]{}*_-#%&+=~^`/\\"}
@@ -39,10 +45,15 @@ _MARKS = re.compile(r"[.,;:!?]")
 _SYMBOLS = re.compile(r"[#$%&*@^~+=<>|\\{}\[\]_]")
 
 
-def features(text: str) -> list[float]:
-    """The numbers named in FEATURES, over the whole text; all zero for a text without words."""
+def _split(text: str) -> list[str]:
+    return text.lower().translate(_PUNCTUATION).split()
+
+
+def features(text: str, stems: dict[str, float] | None = None) -> list[float]:
+    """The numbers named in FEATURES, over the whole text; all zero for a text without words. ``stems``: the learned lexicon."""
+    stems = stems or {}
     low = text.lower()
-    words = low.translate(_PUNCTUATION).split()
+    words = _split(text)
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
@@ -63,6 +74,7 @@ def features(text: str) -> list[float]:
             y = np.array([-10 * NEAR, *you, 10 * NEAR + n])
             near = int((np.minimum(at - y[k], y[k + 1] - at) <= NEAR).sum())
         densest = int((np.searchsorted(at, at + WINDOW) - np.arange(len(at))).max())
+    learned = [w[:STEM] for w in words if w[:STEM] in stems]
     chars = len(text)
     upper = sum(map(str.isupper, text)) if chars < 1 << 14 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
     parts = text.split()
@@ -70,7 +82,8 @@ def features(text: str) -> list[float]:
         np.log1p(n), *kinds, *(1000 * k / n for k in kinds), len(set(found)), hidden, 1000 * hidden / n, 1000 * len(you) / n, near, densest,
         upper / chars, sum(w.isupper() and len(w) > 2 for w in parts) / n, len(_MARKS.findall(text)) / chars,
         1000 * text.count("!") / n, 1000 * text.count("?") / n, len(_SYMBOLS.findall(text)) / chars, 1000 * len(_MIXED.findall(low)) / n,
-        1000 * len(_RUN.findall(low)) / n, chars / n, 1 - len(set(words)) / n)]
+        1000 * len(_RUN.findall(low)) / n, chars / n, 1 - len(set(words)) / n,
+        len(learned), 1000 * len(learned) / n, len(set(learned)), sum(stems[s] for s in set(learned)))]
 
 
 _INSULTS, _CONTEMPT, _HOSTILE, _YOU = map(frozenset, (INSULTS, CONTEMPT, HOSTILE, SECOND_PERSON))
@@ -78,11 +91,38 @@ _STRONG = _INSULTS | _CONTEMPT
 _ALL = _STRONG | _HOSTILE
 
 
-def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def learn_stems(taught: DataFrame) -> dict[str, float]:
+    """Word beginnings that speak for the label, with their log lift; ``taught`` has text and label.
+
+    Tasks count first, each text once; at most MOST_STEMS rows come to the driver.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[Counter] = [Counter(), Counter()]
+        for batch in batches:
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = {w[:STEM] for w in _split(text.as_py() or "")}
+                seen[int(label)].update(words)
+                seen[int(label)][""] += 1  # the number of texts
+        stems = list(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *[pa.array([c[s] for s in stems], pa.int64()) for c in seen]], ["stem", "without", "with"])
+
+    counts = materialise(taught.select("text", "label").mapInArrow(run, "stem string, without long, `with` long")
+                         .groupBy("stem").agg(F.sum("without").alias("without"), F.sum("with").alias("with")))
+    total = counts.filter("stem = ''").first()
+    if total is None or not total["without"] or not total["with"]:
+        return {}
+    lift = (F.col("with") / total["with"]) / ((F.col("without") + 0.5) / total["without"])
+    rows = (counts.filter((F.col("stem") != "") & (F.col("with") >= max(3, LEAST_PART * total["with"])))
+            .select("stem", F.log(lift).alias("weight"), "with").filter(F.col("weight") >= math.log(LEAST_LIFT))
+            .orderBy(F.desc(F.col("weight") * F.col("with")), "stem").limit(MOST_STEMS).collect())
+    return {r.stem: r.weight for r in rows}
+
+
+def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stems: dict[str, float] | None = None) -> DataFrame:
     """(id, features array<double>) of each row's whole text; a null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t or "") for t in (x.as_py() for x in batch.column(1))]
+            rows = [features(t or "", stems) for t in (x.as_py() for x in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], [id_col, "features"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, features array<double>")
@@ -94,11 +134,12 @@ def held_out(id_col: str = "doc_id"):
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          most_rows: int = 100_000, trees: int = 30, depth: int = 4) -> DataFrame:
+          most_rows: int = 100_000, trees: int = 20, depth: int = 4) -> DataFrame:
     """(id, held_out, score, predicted) for each row: a calibrated probability of the label, and score >= 0.5.
 
-    Only the text enters a score. The trees learn from labelled rows outside the held-out fold, four
-    fifths of them for the trees and one fifth for the isotonic calibration (by a hash of the id).
+    Only the text enters a score. What is learned comes from labelled rows outside the held-out fold: two fifths
+    of them (by a hash of the id) give a lexicon of word beginnings, two fifths the trees, one fifth the
+    isotonic calibration.
     ``most_rows`` bounds the labelled rows used for learning: beyond it a hash of the id picks as many.
 
     Labels are averaged by id first (null labels are none), so repeated labels add no rows. An id
@@ -107,23 +148,27 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     row of ``docs`` is returned, repeated rows and null ids too; an empty table gives no rows. Other
     columns are left out.
     """
-    table = materialise(feature_table(docs, id_col, text_col))
     known = labels.select(F.col(id_col).alias("of"), F.col(label_col).cast("double").alias("y")).filter("of IS NOT NULL AND y IS NOT NULL")
     known = known.groupBy("of").agg((F.avg("y") >= 0.5).cast("double").alias("label")).filter(~held_out("of"))
     draw = F.crc32(F.concat(F.lit("draw "), F.col("of").cast("string"))) / float(1 << 32)
     n = known.count()
     known = materialise(known.filter(draw < F.lit(min(1.0, 0.95 * most_rows / max(n, 1)))))
-    # at most about most_rows rows of two numbers
-    taught = materialise(table.join(F.broadcast(known), table[id_col] == known["of"]).select(
-        F.col("features").alias("list"), "label", (F.crc32(F.concat(F.lit("part "), F.col("of").cast("string"))) % 5 == 0).alias("calibrates")))
+    part = F.crc32(F.concat(F.lit("part "), F.col("of").cast("string"))) % 5
+    # broadcast: at most about most_rows rows of two numbers
+    named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    stems = learn_stems(named.join(F.broadcast(known.filter(part >= 3)), F.col("__id") == F.col("of")))
+    table = materialise(feature_table(docs, id_col, text_col, stems))
+    taught = materialise(table.join(F.broadcast(known), table[id_col] == known["of"]).filter(part < 3).select(
+        F.col("features").alias("list"), "label", (part == 0).alias("calibrates")))
     sums = {(r.calibrates, r.label): r["count"] for r in taught.groupBy("calibrates", "label").count().collect()}
     out = table.select(id_col, held_out(id_col).alias("held_out"), "features")
     if not all(sums.get((part, y)) for part in (True, False) for y in (0.0, 1.0)):
         total = sum(sums.values())
         mean = sum(c for (_, y), c in sums.items() if y) / total if total else 0.0
         return out.select(id_col, "held_out", F.lit(float(mean)).alias("score"), F.lit(int(mean >= 0.5)).alias("predicted"))
-    vectors = taught.select(array_to_vector("list").alias("x"), "label", "calibrates")
-    model = GBTClassifier(featuresCol="x", labelCol="label", predictionCol="p", maxIter=trees, maxDepth=depth, stepSize=0.15, maxBins=48, minInstancesPerNode=5, seed=1).fit(vectors.filter("NOT calibrates"))
+    # every tree is several jobs over these few rows, so they are kept in few partitions
+    vectors = taught.select(array_to_vector("list").alias("x"), "label", "calibrates").coalesce(-(-sum(sums.values()) // 20_000))
+    model = GBTClassifier(featuresCol="x", labelCol="label", predictionCol="p", maxIter=trees, maxDepth=depth, stepSize=0.25, maxBins=48, minInstancesPerNode=5, seed=1).fit(vectors.filter("NOT calibrates"))
     margins = model.transform(vectors.filter("calibrates")).select(vector_to_array("probability")[1].alias("margin"), "label")
     steps = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(margins)
     scored = model.transform(out.withColumn("x", array_to_vector("features"))).withColumn("margin", vector_to_array("probability")[1])
