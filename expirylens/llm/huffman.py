@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -60,17 +61,15 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(symbol, length) for each value of the next ``width`` bits, and that width."""
+def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """symbol * 64 + length for each value of the next ``width`` bits, and that width."""
     width = max(1, int(lengths.max(initial=0)))
-    symbol, size = np.zeros(1 << width, np.uint32), np.ones(1 << width, np.uint8)
-    at = 0
-    for s in np.lexsort((np.arange(len(lengths)), lengths)):
-        if lengths[s]:
-            to = at + (1 << width - int(lengths[s]))
-            symbol[at:to], size[at:to] = s, lengths[s]
-            at = to
-    return symbol, size, width
+    table = np.ones(1 << width, np.int64)
+    order = np.lexsort((np.arange(len(lengths)), lengths))
+    order = order[lengths[order] > 0]
+    filled = np.repeat(order * 64 + lengths[order], 1 << width - lengths[order])
+    table[:len(filled)] = filled
+    return table, width
 
 
 def encode_block(tokens: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -89,18 +88,19 @@ def encode_block(tokens: np.ndarray, codes: np.ndarray, lengths: np.ndarray) ->
     return out[:-1].astype(">u4").tobytes(), begin[::CHECKPOINT]
 
 
-def decode_block(bits: bytes, checkpoints: np.ndarray, tokens: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+def decode_block(bits: bytes, checkpoints: np.ndarray, tokens: int, table: tuple[np.ndarray, int]) -> np.ndarray:
     """The tokens: from all checkpoints at once, one table look-up for each token."""
-    symbol, size, width = table
-    words = np.append(np.frombuffer(bits, ">u4").astype(np.uint64), np.zeros(2, np.uint64))
+    entries, width = table
+    # the last lane reads on behind its end, at most a checkpoint's longest codes
+    words = np.append(np.frombuffer(bits, ">u4").astype(np.int64), np.zeros(CHECKPOINT * width // 32 + 3, np.int64))
+    pairs = words[:-1] << 31 | words[1:] >> 1  # the 63 bits from each word on; the lowest is never needed
     at = checkpoints.astype(np.int64)
     out = np.empty((CHECKPOINT, len(at)), np.uint32)
+    mask = (1 << width) - 1
     for k in range(min(CHECKPOINT, tokens)):
-        word = np.minimum(at >> 5, len(words) - 2)  # a lane at its end reads on
-        window = (words[word] << np.uint64(32) | words[word + 1]) >> (64 - width - (at & 31)).astype(np.uint64) & np.uint64((1 << width) - 1)
-        window = window.astype(np.int64)
-        out[k] = symbol[window]
-        at = at + size[window]
+        entry = entries[pairs[at >> 5] >> 63 - width - (at & 31) & mask]
+        out[k] = entry >> 6
+        at += entry & 63
     return out.T.reshape(-1)[:tokens]
 
 
@@ -129,8 +129,9 @@ def token_counts(tokens: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for wide, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.bincount(_array(wide, ids.as_buffer()), minlength=len(total))
+            for wide in (False, True):
+                data = b"".join(batch.column(1).filter(pc.equal(batch.column(0), wide)).to_pylist())
+                own = np.bincount(_array(wide, data), minlength=len(total))
                 own[:len(total)] += total
                 total = own
         used = np.flatnonzero(total)

@@ -27,6 +27,7 @@ _FIND = re.compile(r"""
   | (?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
   | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
   | (?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))
+  | (?P<secret>(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}(?P<quote>["']))(?P<value>[^"'\s]{8,200})(?P=quote)
   | (?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))
 """, re.VERBOSE)
 
@@ -124,7 +125,7 @@ def _date(f: Feistel, text: str, sep: str, year_first: bool) -> tuple[str, str]
 def pseudonym(f: Feistel, m: re.Match) -> tuple[str, str] | None:
     """(kind, replacement) of a match, or None if its value is not valid."""
     kind, text = m.lastgroup, m[0]
-    for name in ("email", "iban", "ymd", "dmy", "ip", "ssn", "phone", "card"):
+    for name in ("email", "secret", "iban", "ymd", "dmy", "ip", "ssn", "phone", "card"):
         if m[name] is not None:
             kind = name
     digits = "".join(c for c in text if c.isdigit())
@@ -132,6 +133,8 @@ def pseudonym(f: Feistel, m: re.Match) -> tuple[str, str] | None:
         user, _, host = text.rpartition("@")
         name, dot, top = host.rpartition(".")
         return kind, _permute_mixed(f, user.lower(), "user") + "@" + _permute_mixed(f, name.lower(), "host") + dot + top
+    if kind == "secret":
+        return kind, m["secret"] + _permute_mixed(f, m["value"], "secret") + m["quote"]
     if kind == "iban":
         plain = text.replace(" ", "")
         if IBAN_LENGTHS.get(plain[:2]) != len(plain) or iban_digits(plain[4:], plain[:2]) != plain[2:4]:
@@ -187,8 +190,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", spans_col: s
     """All rows and columns of ``docs`` with personal data in the text replaced, and ``pii_spans``.
 
     E-mail addresses, IBANs (length and check digits), calendar dates from 1900 to 2099, IPv4 addresses, social
-    security numbers, phone numbers and payment cards (Luhn) are replaced by values of the same format that
-    pass the same test. The key decides a permutation for each kind, so equal values get equal pseudonyms in
+    security numbers, phone numbers, payment cards (Luhn) and quoted secrets (``token = "..."``) are replaced by values
+    of the same format that pass the same test. The key decides a permutation for each kind, so equal values get equal pseudonyms in
     all rows, in whatever punctuation, and different ones never collide. Numbers that fail their test stay.
 
     ``pii_spans`` lists (kind, start, end) in the new text. A null text stays null and has no spans, an empty one

@@ -179,3 +179,10 @@ def test_pii_of_odd_rows(spark, odd_docs, no_docs):
     hit = spark.createDataFrame([(1, "a@b.example"), (2, "a@b.example"), (3, None)], "doc_id long, text string")
     rows = {r.doc_id: r for r in pii.pseudonymise(hit, "k").collect()}
     assert rows[1].text == rows[2].text != "a@b.example" and rows[1].pii_spans[0].kind == "email" and rows[3].text is None
+
+
+def test_quoted_secrets_are_replaced():
+    f = pii.Feistel("k")
+    new, spans = pii.replace(f, 'a token = "24be64439e3e49cf" b api_key: \'ABCdef123456\' c token = "short"')
+    assert [k for k, _, _ in spans] == ["secret", "secret"] and "24be6443" not in new and "ABCdef" not in new
+    assert new.startswith('a token = "') and new.endswith('c token = "short"') and len(new) == 72
