@@ -13,7 +13,7 @@ from types import ModuleType
 import numpy as np
 
 # Words whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 _AFTER_WORD = re.compile(r"(?<=\w) ")
 
 
