@@ -167,9 +167,9 @@ def r19_rate(spark, d):
 
 
 @query("a36_low_confidence_images", sql("""SELECT i.image_id FROM img i LEFT JOIN (SELECT image_id, avg(conf) AS c FROM tok GROUP BY 1) t USING (image_id)
-    WHERE c IS NULL OR c < 0.62""", "img", "tok"))
+    WHERE c IS NULL OR c < 0.6205""", "img", "tok"))
 def a36(spark, d):
-    return B.low_confidence_images(X.tokens(spark, d), X.images(spark, d), 0.62).select("image_id")
+    return B.low_confidence_images(X.tokens(spark, d), X.images(spark, d), 0.6205).select("image_id")
 
 
 @query("f15_gt_date_crops", sql("""SELECT image_id, label, round(min(bx1), 6) AS x1, round(min(by1), 6) AS y1, round(max(bx2), 6) AS x2, round(max(by2), 6) AS y2 FROM bp
