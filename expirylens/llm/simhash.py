@@ -15,9 +15,10 @@ from expirylens.llm.components import components
 from expirylens.llm.gray_index import GrayIndex, unite
 
 SEED = 42
-# A (band, value) group with more distinct fingerprints than this is dealt out again by further bands.
+# A (band, value) group with more distinct fingerprints than this is dealt out again by further bands, and what
+# is still larger, or has no further bands, is cut into blocks of half the size that are searched in pairs.
 GROUP_LIMIT = 1 << 14
-# Routed rows searched at once in a task; larger groups are searched whole.
+# Routed rows searched at once in a task.
 CHUNK = 1 << 14
 # Up to as many hot groups (12 bytes each) are sent to all executors; beyond it they are joined by a shuffle.
 HOT_BROADCAST = 100_000
@@ -111,14 +112,30 @@ def _value(number: int, bits: list[int]) -> int:
     return out
 
 
+def _block_pairs(print_: bytes, blocks: int) -> list[int]:
+    """Numbers from 1 on of the block pairs that a row belongs to; any two rows share one. Zero if there is one block."""
+    if blocks < 2:
+        return [0]
+    own = xxhash.xxh64_intdigest(print_, SEED) % blocks
+    return [1 + min(own, k) * blocks + max(own, k) for k in range(blocks) if k != own]
+
+
+def _marked(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with the columns of the hot keys, null for others."""
+    few = hot.limit(HOT_BROADCAST + 1).count() <= HOT_BROADCAST
+    return rows.join(F.broadcast(hot) if few else hot, keys, "left")
+
+
 def _routed(distinct: DataFrame, bits: int, max_diff: int, own_routes: bool) -> DataFrame:
-    """(band, value, fingerprint): fingerprints that may be linked share one (band, value) at least.
+    """(band, value, band2, value2, pair, fingerprint): fingerprints that may be linked agree in all but the last once at least.
 
     Without own routes these are ``max_diff`` + 1 bands of the fingerprint: of two fingerprints that differ
     in ``max_diff`` bits or fewer, one band is equal. A band value with too many fingerprints is dealt
-    again in the same way by the other bits, or by its second routes.
+    again in the same way by the other bits. A group with own routes that is too large, and one that still is after
+    the second deal, is cut into blocks; each pair of blocks is a group of its own, so every pair of the group meets.
     """
     bands = _pieces(list(range(bits)), max_diff + 1) if not own_routes else []
+    keys = ["band", "value", "band2", "value2"]
 
     def first(batches):
         for batch in batches:
@@ -129,30 +146,42 @@ def _routed(distinct: DataFrame, bits: int, max_diff: int, own_routes: bool) ->
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                if not row["hot"]:
+                if not row["count"]:
                     out.append((row["band"], row["value"], 0, 0, row["fingerprint"]))
-                elif own_routes:
-                    out += [(row["band"], row["value"], 1 + k, v, row["fingerprint"]) for k, v in enumerate(row["routes"]) if k != row["band"]]
                 else:
                     n, used = int.from_bytes(row["fingerprint"]), set(bands[row["band"]])
                     rest = _pieces([b for b in range(bits) if b not in used], max_diff + 1)
                     out += [(row["band"], row["value"], 1 + k, _value(n, b), row["fingerprint"]) for k, b in enumerate(rest)]
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["band", "value", "band2", "value2", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], [*keys, "fingerprint"])
+
+    def cut(batches):
+        for batch in batches:
+            blocks = [-(-2 * (c or 0) // GROUP_LIMIT) for c in batch.column(5).to_pylist()]
+            pairs = [_block_pairs(p, n) for p, n in zip(batch.column(4).to_pylist(), blocks, strict=True)]
+            at = pa.array(np.repeat(np.arange(len(pairs)), [len(p) for p in pairs]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(4)], pa.array([k for p in pairs for k in p], pa.int64()), batch.column(4).take(at)], [*keys, "pair", "fingerprint"])
+
+    def over(rows: DataFrame, by: list[str]) -> DataFrame:
+        return materialise(rows.groupBy(*by).count().filter(F.col("count") > GROUP_LIMIT))
 
     if own_routes:
-        rows = distinct.select(F.posexplode("routes").alias("band", "value"), "fingerprint", "routes")
+        rows = distinct.select(F.posexplode("routes").alias("band", "value"), "fingerprint").withColumns({"band2": F.lit(0), "value2": F.lit(0).cast("long")})
+        hot = over(rows, keys)
     else:
         rows = distinct.select("fingerprint").mapInArrow(first, "band int, value long, fingerprint binary")
-    hot = materialise(rows.groupBy("band", "value").count().filter(F.col("count") > GROUP_LIMIT).select("band", "value", F.lit(True).alias("hot")))
-    few = hot.limit(HOT_BROADCAST + 1).count() <= HOT_BROADCAST
-    marked = rows.join(F.broadcast(hot) if few else hot, ["band", "value"], "left")
-    return marked.mapInArrow(again, "band int, value long, band2 int, value2 long, fingerprint binary")
+        hot = over(rows, ["band", "value"])
+        rows = _marked(rows, hot, ["band", "value"]).mapInArrow(again, "band int, value long, band2 int, value2 long, fingerprint binary")
+        if not hot.isEmpty():
+            hot = over(rows.filter("band2 > 0"), keys)
+    if hot.isEmpty():
+        return rows.select(*keys, F.lit(0).cast("long").alias("pair"), "fingerprint")
+    return _marked(rows, hot, keys).select(*keys, "fingerprint", "count").mapInArrow(cut, "band int, value long, band2 int, value2 long, pair long, fingerprint binary")
 
 
 def _links(routed: DataFrame, bits: int, max_diff: int) -> DataFrame:
     """(a, b): fingerprints joined into trees, one tree for each set that links connect inside a group."""
-    keys = ["band", "value", "band2", "value2"]
+    keys = ["band", "value", "band2", "value2", "pair"]
 
     def search(key: np.ndarray, prints: list[bytes]):
         words = np.frombuffer(b"".join(prints), ">u8").astype(np.uint64).reshape(len(prints), bits // 64)
@@ -170,10 +199,10 @@ def _links(routed: DataFrame, bits: int, max_diff: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([prints[rows[i]] for i in linked], pa.binary()), pa.array([prints[rows[parent[i]]] for i in linked], pa.binary())], ["a", "b"])
 
     def run(batches):
-        key, prints = np.zeros((0, 4), np.int64), []
+        key, prints = np.zeros((0, 5), np.int64), []
         for batch in batches:
-            key = np.concatenate([key, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)])
-            prints += batch.column(4).to_pylist()
+            key = np.concatenate([key, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)], 1)])
+            prints += batch.column(5).to_pylist()
             if len(prints) < CHUNK:
                 continue
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1

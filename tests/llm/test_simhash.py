@@ -121,3 +121,24 @@ def test_wide_fingerprints_find_near_copies_and_leave_others(spark):
     rows = simhash.near_duplicates(df, shingle=5, bits=512, max_diff=limit, routes=20).collect()
     assert sum(r.component_id == r.doc_id // 2 * 2 for r in rows) >= 0.98 * len(rows)
     assert all(r.component_id in (r.doc_id, r.doc_id // 2 * 2) for r in rows)
+
+
+def test_hot_groups_with_routes_lose_no_link(spark, monkeypatch):
+    """Fingerprints that share one route only, in a group over the limit; groups that are still large after the second deal."""
+    rng = np.random.default_rng(9)
+    base = [int.from_bytes(rng.bytes(64)) for _ in range(150)]
+    prints = base + [p ^ 1 << int(rng.integers(512)) for p in base]
+    df = spark.createDataFrame([(p.to_bytes(64), [7, 1000 + k]) for k, p in enumerate(prints)], "fingerprint binary, routes array<long>")
+
+    def links():
+        return dict(components(simhash._links(simhash._routed(df, 512, 78, True), 512, 78), "a", "b").collect())
+
+    whole = links()
+    assert len(whole) == 300
+    monkeypatch.setattr(simhash, "GROUP_LIMIT", 16)
+    assert links() == whole
+    routed = simhash._routed(df, 512, 78, True).groupBy("band", "value", "band2", "value2", "pair").count().toPandas()
+    assert routed["count"].max() < 40
+    near = spark.createDataFrame([(k.to_bytes(8),) for k in range(200)], "fingerprint binary")
+    routed = simhash._routed(near, 64, 2, False).groupBy("band", "value", "band2", "value2", "pair").count().toPandas()
+    assert routed["count"].max() < 40
