@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from expirylens.llm import decontamination, packing, pii, simhash, tokens, toxicity
 from expirylens.llm.common import materialise, table
@@ -12,32 +12,42 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BITS, ROUTES, ROUTE_BITS = 512, 20, 20
 
 
+# Names the row that a stage decides on; ids may be null or repeat.
+ROW = "__row"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row (its task and its place there), stored, so that it stays the same."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows whose keys are not among the bad ones, without the key."""
+    return docs.join(materialise(bad.select(ROW)), ROW, "left_anti").select([c for c in docs.columns if c != ROW])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated score is below one half. Rows with a rejected id go together."""
-    found = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    bad = materialise(found.filter("predicted = 1").select("doc_id").distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """Rows whose calibrated score is below one half."""
+    docs = with_row_key(docs)
+    found = toxicity.score(docs, table(spark, sf_dir, "labels"), row_col=ROW)
+    return without(docs, found.filter("predicted = 1"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near copies; of several rows with that id the least text.
-    A class whose ids are all null keeps its rows."""
-    found = simhash.near_duplicates(docs, shingle=SHINGLE_WORDS, bits=BITS, max_diff=simhash.differing_bits(SIMILARITY, BITS),
+    """One row of each class of near copies: the one with the least id, null ids last."""
+    docs = with_row_key(docs)
+    # equal ids are ordered by a hash of the text, so that the choice does not hang on how rows are stored
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.col(ROW).alias("row"))
+    found = simhash.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key", shingle=SHINGLE_WORDS, bits=BITS,
+                                    max_diff=simhash.differing_bits(SIMILARITY, BITS),
                                     routes=ROUTES, route_bits=ROUTE_BITS)
-    rest = materialise(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(rest, "doc_id", "left_anti").select(docs.columns)
-    # only rows whose id occurs again have to meet
-    again = materialise(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    first = Window.partitionBy("doc_id").orderBy("text", *[c for c, kind in docs.dtypes if c != "text" and "map<" not in kind])
-    place = "__place"
-    named = (kept.join(again, "doc_id").select(docs.columns).withColumn(place, F.row_number().over(first))
-             .filter(F.col(place) == 1).drop(place))
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(named)
+    return without(docs, found.filter("key.row <> component_id.row").select(F.col("key.row").alias(ROW)))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item within its edit budget."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+    """Rows that hold no test item within its edit budget."""
+    docs = with_row_key(docs)
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"), id_col=ROW).drop(ROW)
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

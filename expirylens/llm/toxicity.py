@@ -118,14 +118,18 @@ def learn_stems(taught: DataFrame) -> dict[str, float]:
     return {r.stem: r.weight for r in rows}
 
 
-def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stems: dict[str, float] | None = None) -> DataFrame:
-    """(id, features array<double>) of each row's whole text; a null text counts as empty."""
+def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stems: dict[str, float] | None = None,
+                  row_col: str | None = None) -> DataFrame:
+    """(id, features array<double>) of each row's whole text, and its ``row_col`` if named; a null text counts as empty."""
+    own = [row_col] if row_col else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t or "", stems) for t in (x.as_py() for x in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], [id_col, "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64())), *batch.columns[2:]], [id_col, "features", *own])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, features array<double>")
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *own)]
+    return docs.select(id_col, text_col, *own).mapInArrow(run, ", ".join([kinds[0], "features array<double>", *kinds[1:]]))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -134,8 +138,8 @@ def held_out(id_col: str = "doc_id"):
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          most_rows: int = 100_000, trees: int = 12, depth: int = 3) -> DataFrame:
-    """(id, held_out, score, predicted) for each row: a calibrated probability of the label, and score >= 0.5.
+          most_rows: int = 100_000, trees: int = 12, depth: int = 3, row_col: str | None = None) -> DataFrame:
+    """(id, held_out, score, predicted), and ``row_col`` if named, for each row: a calibrated probability of the label, and score >= 0.5.
 
     Only the text enters a score. What is learned comes from labelled rows outside the held-out fold: two fifths
     of them (by a hash of the id) give a lexicon of word beginnings, two fifths the trees, one fifth the
@@ -148,6 +152,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     row of ``docs`` is returned, repeated rows and null ids too; an empty table gives no rows. Other
     columns are left out.
     """
+    own = [row_col] if row_col else []
     known = labels.select(F.col(id_col).alias("of"), F.col(label_col).cast("double").alias("y")).filter("of IS NOT NULL AND y IS NOT NULL")
     known = known.groupBy("of").agg((F.avg("y") >= 0.5).cast("double").alias("label")).filter(~held_out("of"))
     draw = F.crc32(F.concat(F.lit("draw "), F.col("of").cast("string"))) / float(1 << 32)
@@ -157,21 +162,21 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # broadcast: at most about most_rows rows of two numbers
     named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     stems = learn_stems(named.join(F.broadcast(known.filter(part >= 3)), F.col("__id") == F.col("of")))
-    table = materialise(feature_table(docs, id_col, text_col, stems))
+    table = materialise(feature_table(docs, id_col, text_col, stems, row_col))
     taught = materialise(table.join(F.broadcast(known), table[id_col] == known["of"]).filter(part < 3).select(
         F.col("features").alias("list"), "label", (part == 0).alias("calibrates")))
     sums = {(r.calibrates, r.label): r["count"] for r in taught.groupBy("calibrates", "label").count().collect()}
-    out = table.select(id_col, held_out(id_col).alias("held_out"), "features")
+    out = table.select(id_col, held_out(id_col).alias("held_out"), "features", *own)
     if not all(sums.get((part, y)) for part in (True, False) for y in (0.0, 1.0)):
         total = sum(sums.values())
         mean = sum(c for (_, y), c in sums.items() if y) / total if total else 0.0
-        return out.select(id_col, "held_out", F.lit(float(mean)).alias("score"), F.lit(int(mean >= 0.5)).alias("predicted"))
+        return out.select(id_col, "held_out", F.lit(float(mean)).alias("score"), F.lit(int(mean >= 0.5)).alias("predicted"), *own)
     # every tree is several jobs over these few rows, so they are kept in few partitions
     vectors = taught.select(array_to_vector("list").alias("x"), "label", "calibrates").coalesce(-(-sum(sums.values()) // 20_000))
     model = GBTClassifier(featuresCol="x", labelCol="label", predictionCol="p", maxIter=trees, maxDepth=depth, stepSize=0.25, maxBins=48, minInstancesPerNode=5, seed=1).fit(vectors.filter("NOT calibrates"))
     margins = model.transform(vectors.filter("calibrates")).select(vector_to_array("probability")[1].alias("margin"), "label")
     steps = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(margins)
     scored = model.transform(out.withColumn("x", array_to_vector("features"))).withColumn("margin", vector_to_array("probability")[1])
-    scored = steps.transform(scored.select(id_col, "held_out", "margin"))
+    scored = steps.transform(scored.select(id_col, "held_out", "margin", *own))
     limited = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
-    return scored.select(id_col, "held_out", limited.alias("score"), (limited >= 0.5).cast("int").alias("predicted"))
+    return scored.select(id_col, "held_out", limited.alias("score"), (limited >= 0.5).cast("int").alias("predicted"), *own)
