@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from expirylens.llm import decontamination, packing, pii, simhash, tokens, toxicity
 from expirylens.llm.common import materialise, table
 
-# Similarity of word shingles from which documents are near copies, and how it shows in fingerprints.
+# Exact Jaccard similarity of word shingles from which documents are near copies, and the fingerprints that propose them.
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-BITS, ROUTES, ROUTE_BITS = 512, 20, 20
+BITS, ROUTES = 512, 20
 
 
 # Names the row that a stage decides on; ids may be null or repeat.
@@ -39,8 +39,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # equal ids are ordered by a hash of the text, so that the choice does not hang on how rows are stored
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.col(ROW).alias("row"))
     found = simhash.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key", shingle=SHINGLE_WORDS, bits=BITS,
-                                    max_diff=simhash.differing_bits(SIMILARITY, BITS),
-                                    routes=ROUTES, route_bits=ROUTE_BITS)
+                                    max_diff=simhash.proposing_bits(SIMILARITY, BITS), routes=ROUTES, least=SIMILARITY)
     return without(docs, found.filter("key.row <> component_id.row").select(F.col("key.row").alias(ROW)))
 
 

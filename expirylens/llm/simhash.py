@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from expirylens.llm.common import materialise
+from expirylens.llm.common import arrow_rows, materialise
 from expirylens.llm.components import components
 from expirylens.llm.gray_index import GrayIndex, unite
 
@@ -20,6 +20,10 @@ SEED = 42
 GROUP_LIMIT = 1 << 14
 # Routed rows searched at once in a task.
 CHUNK = 1 << 14
+# Least hashes that make one route.
+ROUTE_ROWS = 4
+# Texts and bytes of shingles in a block of a proposed class, blocks of a class unless the bytes need more.
+CHECK_ROWS, CHECK_BYTES, CHECK_BLOCKS = 128, 1 << 23, 64
 # Up to as many hot groups (12 bytes each) are sent to all executors; beyond it they are joined by a shuffle.
 HOT_BROADCAST = 100_000
 
@@ -68,33 +72,54 @@ def differing_bits(similarity: float, bits: int) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def proposing_bits(similarity: float, bits: int) -> int:
+    """Differing bits up to which pairs are proposed as being of that Jaccard similarity or more.
+
+    Six standard errors over the mean. The mean is higher for very short texts (3/16 of the bits for 4 shingles of 5).
+    """
+    mean = differing_bits(similarity, bits)
+    return round(mean + 6 * math.sqrt(mean * (bits - mean) / bits))
+
+
+def least_routes(h: np.ndarray, routes: int, rows: int = ROUTE_ROWS) -> list[int]:
+    """For each route a number of 63 bits that sums up the least values of ``rows`` mixes of the hashes.
+
+    Two sets share a route with the probability s ** rows, where s is their Jaccard similarity.
+    """
+    if not len(h):
+        return [0] * routes
+    mixes = np.random.default_rng(SEED).integers(0, 1 << 64, (2, routes * rows), dtype=np.uint64)
+    low = np.full(routes * rows, ~np.uint64(0))
+    for at in range(0, len(h), 1024):
+        np.minimum(low, ((h[at:at + 1024, None] ^ mixes[0]) * (mixes[1] | np.uint64(1))).min(0), out=low)
+    return [xxhash.xxh64_intdigest(r.tobytes(), SEED) >> 1 for r in low.reshape(routes, rows)]
+
+
 def _words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                 bits: int = 64, routes: int = 0, route_bits: int = 20) -> DataFrame:
+                 bits: int = 64, routes: int = 0) -> DataFrame:
     """(id, fingerprint): big-endian binary of ``bits`` bits, over word shingles of the whole text.
 
     A-Z are lower-cased; words are what white space (blank, tab to carriage return) parts. A text of
     fewer words than a shingle counts as one shingle, a null or empty one has the fingerprint zero.
-    With ``routes`` there is also ``routes``: so many bands of ``route_bits`` bits, as longs, of a
-    SimHash over the set of single words, which differs less between near copies than the shingles do.
+    With ``routes`` the shingles are a set, without repeats, and there is also ``routes``: so many numbers
+    (``least_routes``) that sets of a high Jaccard similarity have in common.
     """
-    width, extra = bits // 64, -(-routes * route_bits // 64)
+    width = bits // 64
     fields = [docs.schema[id_col].simpleString().replace(":", " ", 1), "fingerprint binary"] + ["routes array<long>"] * bool(routes)
-    shifts = np.arange(routes) * route_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, bands = [], []
             for text in batch.column(1):
-                words = _words(text.as_py())
-                prints.append(majority(shingle_hashes(words, shingle), width).astype(">u8").tobytes())
+                hashes = shingle_hashes(_words(text.as_py()), shingle)
                 if routes:
-                    own = majority(np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64), extra)
-                    line = int.from_bytes(own.tobytes(), "little")
-                    bands.append([line >> int(s) & (1 << route_bits) - 1 for s in shifts])
+                    hashes = np.unique(hashes)
+                    bands.append(least_routes(hashes, routes))
+                prints.append(majority(hashes, width).astype(">u8").tobytes())
             columns = [batch.column(0), pa.array(prints, pa.binary())] + [pa.array(bands, pa.list_(pa.int64()))] * bool(routes)
             yield pa.RecordBatch.from_arrays(columns, [id_col, "fingerprint"] + ["routes"] * bool(routes))
 
@@ -216,13 +241,79 @@ def _links(routed: DataFrame, bits: int, max_diff: int) -> DataFrame:
     return routed.repartition(*keys).sortWithinPartitions(*keys, "fingerprint").mapInArrow(run, "a binary, b binary")
 
 
+def exact_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of a Jaccard similarity of ``least`` or more that join the sets (sorted, without repeats) as all such pairs do."""
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    sizes, label, out = sizes[order], np.arange(len(sets)), []
+    for i in range(1, len(sets)):
+        own = sets[order[i]]
+        left = np.arange(np.searchsorted(sizes, int(least * sizes[i])), i)
+        while len(left := left[label[left] != label[i]]):
+            j, left = left[0], left[1:]
+            both = len(np.intersect1d(sets[order[j]], own, assume_unique=True))
+            if both and both / (sizes[i] + sizes[j] - both) >= least:
+                out.append((int(order[i]), int(order[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _verified(docs: DataFrame, id_col: str, text_col: str, proposed: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(a, b): fingerprints of one proposed class whose texts have that exact Jaccard similarity of shingles.
+
+    ``proposed`` has (fingerprint, least_id, root). A class goes by blocks of texts, compared block against block: rows in a
+    task are bounded, and a task hands on a tree over the linked fingerprints.
+    """
+    def shingles(batches):
+        for batch in batches:
+            for part in arrow_rows(batch):
+                sets = [np.unique(shingle_hashes(_words(t.as_py()), shingle)).tobytes() for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["root", "fingerprint", "shingles"])
+
+    def deal(batches):
+        for batch in batches:
+            for part in arrow_rows(batch):
+                pairs = [_block_pairs(p, n or 1) for p, n in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                for begin in range(0, max(map(len, pairs), default=0), 8):  # a few copies of long texts at a time
+                    some = [p[begin:begin + 8] for p in pairs]
+                    at = pa.array(np.repeat(np.arange(len(some)), [len(p) for p in some]))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array([k for p in some for k in p], pa.int64()), part.column(1).take(at), part.column(2).take(at)],
+                                                     ["root", "pair", "fingerprint", "shingles"])
+
+    def check(batches):
+        key, prints, sets = None, [], []
+
+        def links():
+            if found := exact_links(sets, least):
+                yield pa.RecordBatch.from_arrays([pa.array([prints[p[k]] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for root, pair, print_, own in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                if key != (root, pair):
+                    yield from links()
+                    key, prints, sets = (root, pair), [], []
+                prints.append(print_)
+                sets.append(np.frombuffer(own, np.uint64))
+        yield from links()
+
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(proposed.withColumnRenamed("least_id", "__of"), F.col("__id") == F.col("__of"))
+    rows = materialise(rows.select("root", "fingerprint", "text").mapInArrow(shingles, "root binary, fingerprint binary, shingles binary"))
+    size = rows.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles").cast("long")).alias("bytes"))
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / CHECK_ROWS), F.lit(CHECK_BLOCKS)), F.ceil(F.col("bytes") / CHECK_BYTES)).cast("int")
+    hot = materialise(size.filter((F.col("n") > 2 * CHECK_ROWS) | (F.col("bytes") > 2 * CHECK_BYTES)).select("root", blocks.alias("blocks")))
+    dealt = _marked(rows, hot, ["root"]).select("root", "fingerprint", "shingles", "blocks").mapInArrow(deal, "root binary, pair long, fingerprint binary, shingles binary")
+    return dealt.repartition("root", "pair").sortWithinPartitions("root", "pair", "fingerprint").mapInArrow(check, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 64,
-                    max_diff: int = 2, routes: int = 0, route_bits: int = 20) -> DataFrame:
+                    max_diff: int = 2, routes: int = 0, least: float = 0.0) -> DataFrame:
     """(id, fingerprint, component_id) for every row: the least id that links can reach.
 
     Two texts are linked if their fingerprints differ in ``max_diff`` bits or fewer. Without ``routes`` all
     such links are found. With them the links between fingerprints that share one of the routes are found;
-    this is for wide fingerprints, where the differing bits estimate a similarity.
+    this is for wide fingerprints, where the differing bits estimate a similarity. With ``least`` such links only propose
+    classes: inside a proposed class, texts are linked if the exact Jaccard similarity of their shingles is ``least`` or more.
+    Ids must then name single rows and not be null.
 
     Equal fingerprints are one node, so copies cost one row in the search however many there are; they are
     merged on the map side. Each search group is indexed in Gray order (``gray_index``), and a task hands on
@@ -230,10 +321,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes, so a repeated row is in its own class with itself. Empty and null texts link with each other
     like any texts. A class without any non-null id has a null component_id. An empty table gives no rows.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle, bits, routes, route_bits))
+    prints = materialise(fingerprints(docs, id_col, text_col, shingle, bits, routes))
     nodes = materialise(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least_id"), *[F.min("routes").alias("routes")] * bool(routes)))
     links = _links(_routed(nodes, bits, max_diff, bool(routes)), bits, max_diff)
     classes = components(links, "a", "b")
+    if least:
+        proposed = nodes.select("fingerprint", "least_id").join(classes.withColumnRenamed("node", "fingerprint"), "fingerprint")
+        classes = components(_verified(docs, id_col, text_col, proposed, shingle, least), "a", "b")
     of_node = (nodes.select("fingerprint", "least_id").join(classes.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
                .select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")))
     of_node = materialise(of_node)

@@ -123,6 +123,32 @@ def test_wide_fingerprints_find_near_copies_and_leave_others(spark):
     assert all(r.component_id in (r.doc_id, r.doc_id // 2 * 2) for r in rows)
 
 
+def jaccard(a, b, size=5):
+    a, b = ({tuple(t.lower().split()[k:k + size]) for k in range(max(1, len(t.split()) - size + 1))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_at_the_threshold_are_exact(spark):
+    """Pairs on both sides of 0.8, and close to it: new words at places, new text at the end, very short texts."""
+    rng = np.random.default_rng(8)
+    docs = []
+    for i in range(240):
+        n = int(rng.choice([8, 9, 13, 40, 150, 400]))
+        words = [f"d{i}w{k}" for k in range(n)]
+        docs.append(" ".join(words))
+        if i % 2:
+            words += [f"d{i}new{k}" for k in range(max(1, round((n - 4) * rng.uniform(0.15, 0.35))))]
+        else:
+            for k in rng.choice(n, max(1, round(n * rng.uniform(0.01, 0.035))), replace=False):
+                words[k] = f"d{i}other{k}"
+        docs.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = simhash.near_duplicates(df, shingle=5, bits=512, max_diff=simhash.proposing_bits(0.8, 512), routes=20, least=0.8).collect()
+    got = {r.doc_id for r in rows if r.component_id != r.doc_id}
+    want = {i + 1 for i in range(0, len(docs), 2) if jaccard(docs[i], docs[i + 1]) >= 0.8}
+    assert got == want and 60 < len(want) < 200
+
+
 def test_hot_groups_with_routes_lose_no_link(spark, monkeypatch):
     """Fingerprints that share one route only, in a group over the limit; groups that are still large after the second deal."""
     rng = np.random.default_rng(9)
@@ -142,3 +168,15 @@ def test_hot_groups_with_routes_lose_no_link(spark, monkeypatch):
     near = spark.createDataFrame([(k.to_bytes(8),) for k in range(200)], "fingerprint binary")
     routed = simhash._routed(near, 64, 2, False).groupBy("band", "value", "band2", "value2", "pair").count().toPandas()
     assert routed["count"].max() < 40
+
+
+def test_large_proposed_classes_are_checked_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHECK_ROWS", 4)
+    words = [f"w{k}" for k in range(100)]
+    docs = []
+    for i in range(60):  # each is near to the one before it only
+        words[i:i + 1] = [f"new{i}"]
+        docs.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = simhash.near_duplicates(df, shingle=5, bits=512, max_diff=simhash.proposing_bits(0.8, 512), routes=20, least=0.8).collect()
+    assert {r.component_id for r in rows} == {0} and len(rows) == 60
