@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame
 from expirylens.llm.common import extended
 
 ROUNDS = 10
-# Letters of an IBAN by country are checked by its length there.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27,
-                "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+# The length of an IBAN in each country that has them.
+IBAN_LENGTHS = {k: int(n) for k, n in (x.split(":") for x in """AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22
+CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HN:28 HR:21 HU:28 IE:22 IL:23
+IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15
+OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22
+VG:24 XK:20 YE:30""".split())}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 _FIND = re.compile(r"""
@@ -27,9 +30,12 @@ _FIND = re.compile(r"""
   | (?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
   | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
   | (?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))
-  | (?P<secret>(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}(?P<quote>["']))(?P<value>[^"'\s]{8,200})(?P=quote)
+  | (?P<secret>(?<![A-Za-z])(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}(?P<quote>["']))(?P<value>[^"'\s]{8,})(?P=quote)
   | (?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))
 """, re.VERBOSE)
+_CARD = re.compile(r"(?P<card>\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))")
+# Longer values are permuted in pieces, as the numbers that stand for them grow with them.
+PIECE = 200
 
 
 class Feistel:
@@ -88,7 +94,10 @@ def _permute_digits(f: Feistel, digits: str, kind: str) -> str:
 
 
 def _permute_mixed(f: Feistel, text: str, kind: str) -> str:
-    """Letters to letters of the same case, digits to digits, the rest as it is; all places as one mixed-radix number."""
+    """Letters to letters of the same case, digits to digits, the rest as it is; all places as one mixed-radix number.
+    Longer texts go in pieces, each by a permutation of its own."""
+    if len(text) > PIECE:
+        return "".join(_permute_mixed(f, text[k:k + PIECE], f"{kind} {k}" if k else kind) for k in range(0, len(text), PIECE))
     sizes = [10 if c in "0123456789" else 26 if c.isascii() and c.isalpha() else 1 for c in text]
     value, size = 0, 1
     for c, n in zip(text, sizes, strict=True):
@@ -124,10 +133,14 @@ def _date(f: Feistel, text: str, sep: str, year_first: bool) -> tuple[str, str]
 
 def pseudonym(f: Feistel, m: re.Match) -> tuple[str, str] | None:
     """(kind, replacement) of a match, or None if its value is not valid."""
-    kind, text = m.lastgroup, m[0]
-    for name in ("email", "secret", "iban", "ymd", "dmy", "ip", "ssn", "phone", "card"):
-        if m[name] is not None:
-            kind = name
+    return _pseudonym(f, _kind(m), m[0], m)
+
+
+def _kind(m: re.Match) -> str:
+    return next(k for k in ("email", "secret", "iban", "ymd", "dmy", "ip", "ssn", "phone", "card") if m[k] is not None)
+
+
+def _pseudonym(f: Feistel, kind: str, text: str, m: re.Match) -> tuple[str, str] | None:
     digits = "".join(c for c in text if c.isdigit())
     if kind == "email":
         user, _, host = text.rpartition("@")
@@ -171,18 +184,41 @@ def pseudonym(f: Feistel, m: re.Match) -> tuple[str, str] | None:
     return None
 
 
+def _shorter(f: Feistel, m: re.Match) -> tuple[tuple[str, str] | None, int]:
+    """(kind, replacement) and end of the longest valid value that begins where a match that is not valid does.
+
+    A greedy match takes in digits or capitals that follow a value; values end where a group does.
+    """
+    kind, text = _kind(m), m[0]
+    if kind in ("iban", "phone", "card"):
+        for size in range(len(text) - 1, 7, -1):
+            if text[size - 1].isalnum() and not text[size].isalnum() and (got := _pseudonym(f, kind, text[:size], m)):
+                return got, m.start() + size
+    if kind != "card" and (card := _CARD.match(m.string, m.start())):
+        if got := _pseudonym(f, "card", card[0], card):
+            return got, card.end()
+        for size in range(len(card[0]) - 1, 12, -1):
+            if card[0][size - 1].isdigit() and not card[0][size].isdigit() and (got := _pseudonym(f, "card", card[0][:size], card)):
+                return got, m.start() + size
+    return None, m.end()
+
+
 def replace(f: Feistel, text: str) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each in the new text."""
     out, spans, at, size = [], [], 0, 0
-    for m in _FIND.finditer(text):
-        got = pseudonym(f, m)
+    look = 0
+    while m := _FIND.search(text, look):
+        got, end = pseudonym(f, m), m.end()
+        if got is None:
+            got, end = _shorter(f, m)
         if got is None:
+            look = m.start() + 1
             continue
         out += [text[at:m.start()], got[1]]
         size += m.start() - at
         spans.append((got[0], size, size + len(got[1])))
         size += len(got[1])
-        at = m.end()
+        at = look = end
     return "".join(out) + text[at:], spans
 
 
@@ -192,7 +228,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", spans_col: s
     E-mail addresses, IBANs (length and check digits), calendar dates from 1900 to 2099, IPv4 addresses, social
     security numbers, phone numbers, payment cards (Luhn) and quoted secrets (``token = "..."``) are replaced by values
     of the same format that pass the same test. The key decides a permutation for each kind, so equal values get equal pseudonyms in
-    all rows, in whatever punctuation, and different ones never collide. Numbers that fail their test stay.
+    all rows, in whatever punctuation, and different ones never collide. Numbers that
+    fail their test stay; where more digits or capitals follow a valid one, the longest valid beginning is replaced.
 
     ``pii_spans`` lists (kind, start, end) in the new text. A null text stays null and has no spans, an empty one
     stays empty; repeated rows get equal results; a column named ``pii_spans`` is replaced. Nothing is shuffled.

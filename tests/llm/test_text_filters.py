@@ -186,3 +186,28 @@ def test_quoted_secrets_are_replaced():
     new, spans = pii.replace(f, 'a token = "24be64439e3e49cf" b api_key: \'ABCdef123456\' c token = "short"')
     assert [k for k, _, _ in spans] == ["secret", "secret"] and "24be6443" not in new and "ABCdef" not in new
     assert new.startswith('a token = "') and new.endswith('c token = "short"') and len(new) == 72
+
+
+@pytest.mark.parametrize("text, kind, value", [
+    ("pay 4111 1111 1111 1111 12/27 now", "card", "4111 1111 1111 1111"), ("4111111111111111 123", "card", "4111111111111111"),
+    ("no. 12 4111 1111 1111 1111", "card", "4111 1111 1111 1111"), ("DE89370400440532013000 EUR 500", "iban", "DE89370400440532013000"),
+    ("DE89 3704 0044 0532 0130 00 I paid", "iban", "DE89 3704 0044 0532 0130 00"), ("to MT84MALT011000012345MTLCAST001S.", "iban", "MT84MALT011000012345MTLCAST001S"),
+    ("AB12 DE89 3704 0044 0532 0130 00", "iban", "DE89 3704 0044 0532 0130 00"), ("TR33 0006 1005 1978 6457 8413 26", "iban", "TR33 0006 1005 1978 6457 8413 26"),
+    ("call +1 555 123 4567 1111 2222 now", "phone", "+1 555 123 4567 1111")])
+def test_values_that_more_digits_or_capitals_follow(text, kind, value):
+    f = pii.Feistel("k")
+    new, spans = pii.replace(f, text)
+    [(got, a, b)] = spans
+    at = text.index(value)
+    assert got == kind and a == at and b == at + len(value) and new[a:b] != value
+    assert new[:a] == text[:at] and new[b:] == text[at + len(value):]
+
+
+def test_secrets_of_any_case_and_length():
+    f = pii.Feistel("k")
+    long = "aB3" * 5000
+    new, spans = pii.replace(f, f'TOKEN = "9233A8BC01" and Api_Key: \'{long}\' and my_PASSWORD="hunter2hunter2"')
+    assert [k for k, _, _ in spans] == ["secret"] * 3 and "9233A8BC01" not in new and long[:300] not in new and "hunter2" not in new
+    pieces = {new[spans[1][1]:spans[1][2]][k:k + pii.PIECE] for k in range(20, 14000, 600)}
+    assert len(pieces) == len(range(20, 14000, 600))
+    assert pii.replace(f, "u" * 9000 + "@example.com")[1][0][0] == "email"
