@@ -9,6 +9,7 @@ Paths through navigation, forms and the like are no candidates.
 from __future__ import annotations
 
 import html
+import os
 import re
 from collections.abc import Iterator
 
@@ -42,11 +43,22 @@ _SCOPES = frozenset("ul ol dl table div article section main body blockquote nav
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)""", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 _ROLE = re.compile(r"""\brole\s*=\s*["']?([\w-]+)""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether there is an attribute hidden, a style display:none or aria-hidden=true."""
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).strip()
+        if (name == "hidden" and not value.lower().startswith(("false", "until")) or name == "aria-hidden" and value.lower() == "true"
+                or name == "style" and _NOT_SHOWN.search(value)):
+            return True
+    return False
+
+
 def _label(name: str, attributes: str, inside: bool) -> tuple[str, bool]:
     """The element's step in a path, and whether it stands beside the article. inside: it is part of one."""
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if attributes else ""
@@ -56,7 +68,7 @@ def _label(name: str, attributes: str, inside: bool) -> tuple[str, bool]:
     if name in ASIDE_TAGS and not (name == "header" and inside):
         return step, True
     if attributes:
-        if (role := _ROLE.search(attributes)) and role[1].lower() in ASIDE_ROLES or _HIDDEN.search(attributes):
+        if (role := _ROLE.search(attributes)) and role[1].lower() in ASIDE_ROLES or _hidden(attributes):
             return step, True
         if names:
             words = {w.lower() for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names))}
@@ -174,9 +186,11 @@ def content(found: list[tuple[str, str, bool, int]]) -> tuple[list[str], list[st
     # the parts of an article that holds content are content: lists, quotations, short lines
     whole = {r for p in chosen if (r := root(p))}
     parents = {p.rpartition("/")[0] for p in chosen}
+    # without such a part, the nearest element above all chosen paths stands for it
+    above = [] if whole else os.path.commonprefix([p.split("/")[:-1] for p in chosen])
     for p in paths:
         steps = p.split("/")
-        if root(p) in whole or steps[-1].split(".")[0] in HEADINGS and p.rpartition("/")[0] in parents:
+        if root(p) in whole or not whole and steps[:len(above)] == above or steps[-1].split(".")[0] in HEADINGS and p.rpartition("/")[0] in parents:
             chosen.add(p)
     return [b[1] for b in kept if b[0] in chosen], [p for p in paths if p in chosen]
 

@@ -125,3 +125,16 @@ def test_language_query_covers_both_tables(spark, sf):
     assert {r.doc_id for r in rows if r.kind == "document"} == docs.keys() and {r.page_id for r in rows if r.kind == "page"} == pages.keys()
     right = [r.lang == (docs[r.doc_id] if r.kind == "document" else pages[r.page_id]) for r in rows]
     assert np.mean(right) > 0.95
+
+
+def test_blocks_beside_long_paragraphs_without_an_article_element():
+    from expirylens.llm.html_extraction import main_text
+    long = "A long sentence, with commas, about rivers; it goes on. " * 20
+    page = ("<body><nav><p>Home page link</p></nav><div class='content'>" + f"<p>{long}</p>" * 10 + "<ul>" + "".join(f"<li>item{k}</li>" for k in range(8))
+            + "</ul><table><tr>" + "".join(f"<td>cell{k}</td>" for k in range(8)) + "</tr></table></div></body>")
+    text = main_text(page)[0]
+    assert all(f"item{k}" in text and f"cell{k}" in text for k in range(8)) and "Home" not in text
+    for shown in ('class="overflow-hidden"', 'style="overflow:hidden"', 'data-hidden="1"'):
+        assert "rivers" in main_text(f"<body><div {shown}><p>{long}</p></div></body>")[0]
+    for not_shown in ("hidden", 'style="display: none"', "aria-hidden=true", 'hidden=""'):
+        assert main_text(f"<body><div {not_shown}><p>{long}</p></div></body>")[0] == ""
