@@ -76,7 +76,7 @@ def features(text: str, stems: dict[str, float] | None = None) -> list[float]:
         densest = int((np.searchsorted(at, at + WINDOW) - np.arange(len(at))).max())
     learned = [w[:STEM] for w in words if w[:STEM] in stems]
     chars = len(text)
-    upper = sum(map(str.isupper, text)) if chars < 1 << 14 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
+    upper = sum(map(str.isupper, text))
     parts = text.split()
     return [float(x) for x in (
         np.log1p(n), *kinds, *(1000 * k / n for k in kinds), len(set(found)), hidden, 1000 * hidden / n, 1000 * len(you) / n, near, densest,

@@ -211,3 +211,8 @@ def test_secrets_of_any_case_and_length():
     pieces = {new[spans[1][1]:spans[1][2]][k:k + pii.PIECE] for k in range(20, 14000, 600)}
     assert len(pieces) == len(range(20, 14000, 600))
     assert pii.replace(f, "u" * 9000 + "@example.com")[1][0][0] == "email"
+
+
+def test_capitals_count_alike_in_long_texts():
+    at = toxicity.FEATURES.index("capitals")
+    assert toxicity.features("ЖУК " * 5000)[at] == toxicity.features("ЖУК " * 50)[at] == 0.75
