@@ -13,10 +13,14 @@ from expirylens.llm.common import arrow_rows, materialise, shared_folder
 from expirylens.llm.tokens import Encoder
 
 
-def piece_lengths(n: int, longest: int) -> list[int]:
-    """Lengths that sum to n: as many of the longest as fit, then the powers of two of the rest, falling."""
-    rest = n % longest
-    return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def pieces_of(n: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of documents of n ids each: the document's index, the piece's length and its start there."""
+    sizes = longest >> np.arange(longest.bit_length())
+    counts = np.column_stack([n // longest, (n % longest)[:, None] >> np.arange(longest.bit_length() - 2, -1, -1) & 1])
+    at = np.repeat(np.arange(len(n)), counts.sum(1))
+    size = np.repeat(np.tile(sizes, len(n)), counts.reshape(-1))
+    ends = np.cumsum(size)
+    return at, size, ends - size - (np.cumsum(n) - n)[at]
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
@@ -45,18 +49,22 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         encoder, part, seen = Encoder.kept(tokenizer), TaskContext.get().partitionId(), {}
         for whole in batches:
             for batch in arrow_rows(whole):
-                at, start, bucket, ids, total, row = [], [], [], [], [], []
-                for i, tokens in enumerate(encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
-                    data, n, done = tokens.astype("<u4").tobytes() + end_id.to_bytes(4, "little"), len(tokens) + 1, 0
-                    for size in piece_lengths(n, longest):
-                        at.append(i), start.append(done), bucket.append(size), total.append(n)
-                        ids.append(data[4 * done:4 * (done + size)])
-                        row.append(seen.get(size, 0))
-                        seen[size] = row[-1] + 1
-                        done += size
+                tokens = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+                n = np.array([len(t) + 1 for t in tokens], np.int64)
+                end = np.array([end_id], np.uint32)
+                # pieces cut a document's ids in order, so all of them together are the documents' ids one after the other
+                stream = np.concatenate([x for t in tokens for x in (t, end)], dtype="<u4", casting="unsafe")
+                at, size, start = pieces_of(n, longest)
+                row = np.empty(len(size), np.int64)
+                for bucket in np.unique(size).tolist():
+                    own = np.flatnonzero(size == bucket)
+                    row[own] = seen.get(bucket, 0) + np.arange(len(own))
+                    seen[bucket] = int(row[own[-1]]) + 1
+                cuts = np.append(0, np.cumsum(4 * size)).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts), pa.py_buffer(stream)])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(bucket, pa.int32()),
-                    pa.array(ids, pa.binary()), pa.array(total, pa.int64()), pa.array(np.full(len(at), part), pa.int32()), pa.array(row, pa.int64())], names)
+                    batch.column(0).take(pa.array(at)), pa.array(start), pa.array(size.astype(np.int32)), ids, pa.array(n[at]),
+                    pa.array(np.full(len(at), part), pa.int32()), pa.array(row)], names)
 
     pieces = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, start long, bucket int, ids binary, doc_tokens long, part int, row long")
     path = shared_folder(docs.sparkSession)

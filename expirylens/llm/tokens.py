@@ -12,9 +12,14 @@ from types import ModuleType
 
 import numpy as np
 
-# Words whose ids a worker keeps; beyond it the cache starts anew.
+# Words whose ids a worker keeps, in two generations: the older one goes when the younger is full.
 CACHE_WORDS = 500_000
 _AFTER_WORD = re.compile(r"(?<=\w) ")
+# Letters, digits and signs between whose runs a byte-level vocabulary cuts anyway, and a line's end inside a word.
+_RUNS = r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[-.,;:!?()\"=/_%&*+<>@#$\[\]{}|~^]+"
+_SIMPLE = re.compile(rf"(?:{_RUNS})(?:{_RUNS}|\n(?=\S))*")
+_PIECES = re.compile(rf"{_RUNS}|\n")
+_LETTERS, _SIGNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,;:!?()"
 
 
 def default_path() -> str:
@@ -49,6 +54,8 @@ class Encoder:
         self.by_word = (spec.get("normalizer") is None and before.get("type") == "ByteLevel"
                         and before.get("use_regex", True) and not before.get("add_prefix_space", False))
         self.words: dict[str, bytes] = {}  # what follows a blank and ends in a visible character: ids with the blank
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}  # pieces that follow another one
         if self.by_word:
             vocabulary = self.tokenizer.get_vocab()
             self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a blank
@@ -57,12 +64,9 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Keep the ids of those words after which a text can be cut. They are tokenized side by side: in between
-        two of them, and nowhere else, an id begins with a blank."""
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        new = [w for w in words if _visible_end(w)]
+    def _learn(self, new: list[str]) -> None:
+        """Keep the ids of pieces that a blank precedes and after which a text can be cut. They are tokenized side by side: in
+        between two of them, and nowhere else, an id begins with a blank."""
         for at in range(0, len(new), 64 * 100):
             lines = [new[k:k + 64] for k in range(at, min(len(new), at + 64 * 100), 64)]
             for line, e in zip(lines, self.tokenizer.encode_batch_fast([" " + " ".join(line) for line in lines], add_special_tokens=False), strict=True):
@@ -80,38 +84,75 @@ class Encoder:
         return state[path]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not self.by_word:
+            return [np.frombuffer(x, self.dtype) for x in self._ids(texts)]
         gc.disable()  # lists of words are many here, and never cycles
         try:
             return self._encode(texts)
         finally:
             gc.enable()
 
+    def _add(self, words: set[str]) -> None:
+        """Keep the ids of those words, each behind a blank, after which a text can be cut: those of their runs, one after the other."""
+        older, new, joined = self.older.get, [], []
+        for word in words:
+            if (ids := older(word)) is not None:
+                self.words[word] = ids
+                continue
+            stem = word.rstrip(_SIGNS)
+            if stem and (stem.isalpha() if stem.isascii() else _LETTERS.fullmatch(stem)):
+                if stem is word or len(stem) == len(word):
+                    new.append(word)
+                else:
+                    joined.append((word, stem, [word[len(stem):]]))
+            elif _SIMPLE.fullmatch(word):
+                first, *rest = _PIECES.findall(word)
+                joined.append((word, first, rest))
+            elif _visible_end(word):
+                new.append(word)
+        known = self.words
+        for stem in {j[1] for j in joined}.difference(new):
+            if stem not in known:
+                if (ids := older(stem)) is None:
+                    new.append(stem)
+                else:
+                    known[stem] = ids
+        self._learn(new)
+        tails = list({p for _, _, rest in joined for p in rest if p not in self.tails})
+        self.tails.update(zip(tails, self._ids(tails), strict=True))
+        for word, stem, rest in joined:
+            known[word] = known[stem] + (self.tails[rest[0]] if len(rest) == 1 else b"".join([self.tails[p] for p in rest]))
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_word:
-            return [np.frombuffer(x, self.dtype) for x in self._ids(texts)]
-        split = [t.split(" ") for t in texts]
-        missing: set[str] = set()
-        odd = [i for i, words in enumerate(split) if len(words) > 1 and not _visible_end(words[0])]
+        if len(self.words) > CACHE_WORDS // 2:
+            self.older, self.words = self.words, {}
+        if len(self.tails) > CACHE_WORDS // 4:
+            self.tails = {}
         get = self.words.get
-        bodies = [list(map(get, words[1:])) for words in split]
+        split = [t.split(" ") for t in texts]
+        bodies = [list(map(get, words)) for words in split]
         gaps = {i: [k for k, ids in enumerate(body) if ids is None] for i, body in enumerate(bodies) if None in body}
+        missing: set[str] = set()
         for i, places in gaps.items():
             words = split[i]
-            missing.update([words[k + 1] for k in places])
+            missing.update([words[k] for k in places if k])
         if missing:
-            self._learn(missing)
-            for i, places in gaps.items():
-                words, body = split[i], bodies[i]
-                for k in places:
-                    word = words[k + 1]
-                    body[k] = get(word)
-                    if body[k] is None:
-                        if not _visible_end(word) and k == len(body) - 1:
-                            body[k] = self._ids([" " + word])[0]  # nothing follows it
-                        else:
-                            odd.append(i)
+            self._add(missing)
+        odd = [i for i, words in enumerate(split) if len(words) > 1 and not _visible_end(words[0])]
+        for i, places in gaps.items():
+            words, body = split[i], bodies[i]
+            for k in places:
+                if (ids := get(words[k])) is not None:
+                    body[k] = ids
+                elif k and k == len(body) - 1:
+                    body[k] = self._ids([" " + words[k]])[0]  # nothing follows it
+                elif k:
+                    odd.append(i)
         heads = [words[0] for words in split]
         for i in set(odd):  # blanks beside white space: cut only after letters and digits
             heads[i], *rest = _AFTER_WORD.split(texts[i])
-            bodies[i] = self._ids([" " + w for w in rest])
-        return [np.frombuffer(head + b"".join(body), self.dtype) for head, body in zip(self._ids(heads), bodies, strict=True)]
+            bodies[i] = [b"", *self._ids([" " + w for w in rest])]
+        for body, head in zip(bodies, self._ids(heads), strict=True):
+            body[0] = head
+        return [np.frombuffer(b"".join(body), self.dtype) for body in bodies]

@@ -31,10 +31,15 @@ def test_special_strings_are_text(encoder):
     assert 50256 not in encoder.encode(["<|endoftext|>"])[0]
 
 
-def test_piece_lengths():
-    for n in range(1, 5000, 7):
-        sizes = packing.piece_lengths(n, 1024)
-        assert sum(sizes) == n and all(s & (s - 1) == 0 and s <= 1024 for s in sizes) and len(sizes) <= n // 1024 + 10
+@pytest.mark.parametrize("longest", [1, 8, 1024])
+def test_pieces(longest):
+    n = np.arange(1, 5000, 7)
+    at, size, start = packing.pieces_of(n, longest)
+    for i, total in enumerate(n.tolist()):
+        own, starts = size[at == i].tolist(), start[at == i].tolist()
+        rest = total % longest
+        assert own == [longest] * (total // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+        assert starts == [sum(own[:k]) for k in range(len(own))]
 
 
 def check_packing(spark, encoder, docs, rows):
