@@ -24,6 +24,8 @@ CLASSES = 4
 COLUMNS = 97
 # Words and characters of a block on average, and cells of a distance matrix that are in memory at once.
 BLOCK_WORDS, BLOCK_CHARS, TILE = 2048, 1 << 20, 1 << 22
+# Parts into which a cell's words are dealt where they meet the cell's facts.
+SALTS = 32
 # Different words that a task counts before it passes them on.
 COUNTED_WORDS = 400_000
 # Latin-1 letters as single bytes, lower-cased in A-Z only; shorter runs can't give a word of six letters.
@@ -162,7 +164,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     placed = materialise(known.mapInArrow(cells, "word string, n long, " + ", ".join(f"{p} long" for p in place)))
     parts = F.greatest(F.lit(1.0), F.ceil(F.count("*") / BLOCK_WORDS), F.ceil(F.sum("size") / BLOCK_CHARS)).cast("int")
     sizes = materialise(placed.groupBy(place).agg(parts.alias("parts")))
-    blocks = materialise(placed.join(sizes, place).withColumn("block", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"))
+    # a cell may hold much of the vocabulary: its words meet its number of blocks by salt, then go by block
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("word", F.lit(1)), F.lit(SALTS)).cast("int"))
+    salts = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    blocks = materialise(salted.join(salts, [*place, "salt"]).withColumn("block", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"))
                          .groupBy(*place, "block").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("counts")))
 
     def moved(length: int, **by: int):
