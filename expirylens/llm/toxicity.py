@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,31 +43,70 @@ _DISGUISE = {ord(k): v for k, v in LOOKALIKES.items()} | {ord(c): None for c in
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _SPELLED = re.compile(r"(?<!\w)[^\W\d_]([ .\-_*])[^\W\d_](?:\1[^\W\d_]){2,}(?!\w)")
 _MIXED = re.compile(r"[^\W\d_][0-9@$!|]+[^\W\d_]")
-_MARKS = re.compile(r"[.,;:!?]")
-_SYMBOLS = re.compile(r"[#$%&*@^~+=<>|\\{}\[\]_]")
+_SIGNS = np.array([ord(c) for c in "0123456789@$!|"], "<u4")
+
+
+_LETTER, _UPPER, _PLAIN, _UNDISGUISED = range(4)
+_DELETED = 0xFFFFFFFF
+
+
+@cache
+def _tables() -> tuple[np.ndarray, ...]:
+    """By code point: whether it's a letter as the patterns mean it, whether it's upper case, and what both translations make of it."""
+    every = [chr(c) for c in range(sys.maxunicode + 1)]
+    plain, undisguised = np.arange(len(every), dtype="<u4"), np.arange(len(every), dtype="<u4")
+    for table, change in ((plain, _PUNCTUATION), (undisguised, _DISGUISE)):
+        for code, to in change.items():
+            table[code] = _DELETED if to is None else ord(to)
+    return (np.array([c.isalnum() and not c.isdecimal() for c in every]), np.array([c.isupper() for c in every]), plain, undisguised)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _translated(codes: np.ndarray, table: int) -> list[str]:
+    """The words of a text once its characters are translated."""
+    out = _tables()[table][codes]
+    return out[out != _DELETED].tobytes().decode("utf-32-le", "surrogatepass").split()
 
 
 def _split(text: str) -> list[str]:
-    return text.lower().translate(_PUNCTUATION).split()
+    return _translated(_codes(text.lower()), _PLAIN)
 
 
 def features(text: str, stems: dict[str, float] | None = None) -> list[float]:
     """The numbers named in FEATURES, over the whole text; all zero for a text without words. ``stems``: the learned lexicon."""
     stems = stems or {}
     low = text.lower()
-    words = _split(text)
+    codes = _codes(low)
+    words = _translated(codes, _PLAIN)
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
-    plain = [i for i, w in enumerate(words) if w in _ALL]
+    different = set(words)
+    plain = [] if different.isdisjoint(_ALL) else [i for i, w in enumerate(words) if w in _ALL]
     found = [words[i] for i in plain]
     kinds = [sum(w in s for w in found) for s in (_INSULTS, _CONTEMPT, _HOSTILE)]
-    # what only shows once look-alikes, separators, spelling out and stretched letters are undone
-    folded = _RUN.sub(r"\1", low) if _RUN.search(low) else low
-    spelled = [re.sub(r"[ .\-_*]", "", m[0]) for m in _SPELLED.finditer(folded)]
-    hidden = sum(w in _STRONG for w in spelled) + sum(w in _STRONG for w in folded.translate(_DISGUISE).split())
+    # what only shows once look-alikes, separators, spelling out and stretched letters are undone; each pattern runs only
+    # where its least part stands: three equal characters, a separator in every second place, a sign beside a letter
+    letter = _tables()[_LETTER][codes]
+    same = codes[1:] == codes[:-1]
+    stretched = len(_RUN.findall(low)) if (same[1:] & same[:-1] & letter[2:]).any() else 0
+    folded = _RUN.sub(r"\1", low) if stretched else low
+    spelled = []
+    for c in " .-_*":
+        at = _codes(folded) == ord(c) if stretched else codes == ord(c)
+        if (at[4:] & at[2:-2] & at[:-4]).any():
+            spelled = [re.sub(r"[ .\-_*]", "", m[0]) for m in _SPELLED.finditer(folded)]
+            break
+    mixed = 0
+    if any(c in low for c in "0123456789@$!|"):
+        signs = np.isin(codes, _SIGNS)
+        mixed = len(_MIXED.findall(low)) if (signs[1:] & letter[:-1]).any() else 0
+    hidden = sum(w in _STRONG for w in spelled) + sum(w in _STRONG for w in _translated(_codes(folded), _UNDISGUISED))
     hidden = max(0, hidden - sum(w in _STRONG for w in found))
-    you = [i for i, w in enumerate(words) if w in _YOU]
+    you = [] if different.isdisjoint(_YOU) else [i for i, w in enumerate(words) if w in _YOU]
     near = densest = 0
     if plain:
         at = np.array(plain)
@@ -74,15 +115,15 @@ def features(text: str, stems: dict[str, float] | None = None) -> list[float]:
             y = np.array([-10 * NEAR, *you, 10 * NEAR + n])
             near = int((np.minimum(at - y[k], y[k + 1] - at) <= NEAR).sum())
         densest = int((np.searchsorted(at, at + WINDOW) - np.arange(len(at))).max())
-    learned = [w[:STEM] for w in words if w[:STEM] in stems]
+    learned = [s for s in [w[:STEM] for w in words] if s in stems] if any(w[:STEM] in stems for w in different) else []
     chars = len(text)
-    upper = sum(map(str.isupper, text))
-    parts = text.split()
+    upper = int(_tables()[_UPPER][_codes(text)].sum())
+    capitals = sum([w.isupper() for w in text.split() if len(w) > 2]) if upper else 0
     return [float(x) for x in (
         np.log1p(n), *kinds, *(1000 * k / n for k in kinds), len(set(found)), hidden, 1000 * hidden / n, 1000 * len(you) / n, near, densest,
-        upper / chars, sum(w.isupper() and len(w) > 2 for w in parts) / n, len(_MARKS.findall(text)) / chars,
-        1000 * text.count("!") / n, 1000 * text.count("?") / n, len(_SYMBOLS.findall(text)) / chars, 1000 * len(_MIXED.findall(low)) / n,
-        1000 * len(_RUN.findall(low)) / n, chars / n, 1 - len(set(words)) / n,
+        upper / chars, capitals / n, sum(map(text.count, ".,;:!?")) / chars,
+        1000 * text.count("!") / n, 1000 * text.count("?") / n, sum(map(text.count, "#$%&*@^~+=<>|\\{}[]_")) / chars, 1000 * mixed / n,
+        1000 * stretched / n, chars / n, 1 - len(different) / n,
         len(learned), 1000 * len(learned) / n, len(set(learned)), sum(stems[s] for s in set(learned)))]
 
 
