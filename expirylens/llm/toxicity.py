@@ -34,8 +34,10 @@ FEATURES = ["log_words", "insults", "contempt", "hostile", "insult_rate", "conte
             "exclamations", "questions", "symbols", "digits_in_words", "long_runs", "mean_word", "repeated_words",
             "learned", "learned_rate", "learned_kinds", "learned_weight"]
 NEAR, WINDOW = 6, 50
+# Folds of the cross-fitting.
+FOLDS = 3
 # Learned lexicon: word beginnings of so many letters, in at least three texts with the label and this part of
-# them, and so many times likelier there than in texts without it. The strongest are kept, up to a number.
+# them, and so many times likelier there than in texts without it. The strongest are kept, up to a number that is a parameter.
 STEM, LEAST_PART, LEAST_LIFT, MOST_STEMS = 4, 0.01, 15.0, 2000
 
 _PUNCTUATION = {ord(c): " " for c in ".,;:!?\"'()[]{}<>«»“”„‘’…—–-/\\|*_#%&$@+=~^`¡¿"}
@@ -132,41 +134,52 @@ _STRONG = _INSULTS | _CONTEMPT
 _ALL = _STRONG | _HOSTILE
 
 
-def learn_stems(taught: DataFrame) -> dict[str, float]:
-    """Word beginnings that speak for the label, with their log lift; ``taught`` has text and label.
+def learn_stems(taught: DataFrame, most: int = MOST_STEMS) -> list[dict[str, float]]:
+    """Word beginnings that speak for the label, with their log lift: for each fold what the other folds teach, and last what all do.
 
-    Tasks count first, each text once; at most MOST_STEMS rows come to the driver.
+    ``taught`` has text, label and fold. Tasks count first, each text once; at most ``most`` rows come to the driver for each lexicon.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[Counter] = [Counter(), Counter()]
+        seen: list[list[Counter]] = [[Counter(), Counter()] for _ in range(FOLDS)]
         for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = {w[:STEM] for w in _split(text.as_py() or "")}
-                seen[int(label)].update(words)
-                seen[int(label)][""] += 1  # the number of texts
-        stems = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *[pa.array([c[s] for s in stems], pa.int64()) for c in seen]], ["stem", "without", "with"])
-
-    counts = materialise(taught.select("text", "label").mapInArrow(run, "stem string, without long, `with` long")
-                         .groupBy("stem").agg(F.sum("without").alias("without"), F.sum("with").alias("with")))
+            for text, label, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                seen[fold][int(label)].update({w[:STEM] for w in _split(text.as_py() or "")})
+                seen[fold][int(label)][""] += 1  # the number of texts
+        for fold, pair in enumerate(seen):
+            stems = list(pair[0].keys() | pair[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array([fold] * len(stems), pa.int32()),
+                                              *[pa.array([c[s] for s in stems], pa.int64()) for c in pair]], ["stem", "fold", "without", "with"])
+
+    counts = (taught.select("text", "label", "fold").mapInArrow(run, "stem string, fold int, without long, `with` long").groupBy("stem").agg(
+        *[F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for k in range(FOLDS + 1) for c in ("without", "with")]))
+    counts = materialise(counts)
     total = counts.filter("stem = ''").first()
-    if total is None or not total["without"] or not total["with"]:
-        return {}
-    lift = (F.col("with") / total["with"]) / ((F.col("without") + 0.5) / total["without"])
-    rows = (counts.filter((F.col("stem") != "") & (F.col("with") >= max(3, LEAST_PART * total["with"])))
-            .select("stem", F.log(lift).alias("weight"), "with").filter(F.col("weight") >= math.log(LEAST_LIFT))
-            .orderBy(F.desc(F.col("weight") * F.col("with")), "stem").limit(MOST_STEMS).collect())
-    return {r.stem: r.weight for r in rows}
-
-
-def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stems: dict[str, float] | None = None,
-                  row_col: str | None = None) -> DataFrame:
-    """(id, features array<double>) of each row's whole text, and its ``row_col`` if named; a null text counts as empty."""
-    own = [row_col] if row_col else []
+    found = []
+    for k in range(FOLDS + 1):
+        if total is None or not total[f"without_{k}"] or not total[f"with_{k}"]:
+            found.append({})
+            continue
+        held = F.col(f"with_{k}")
+        lift = (held / total[f"with_{k}"]) / ((F.col(f"without_{k}") + 0.5) / total[f"without_{k}"])
+        rows = (counts.filter((F.col("stem") != "") & (held >= max(3, LEAST_PART * total[f"with_{k}"])))
+                .select("stem", F.log(lift).alias("weight"), held.alias("with")).filter(F.col("weight") >= math.log(LEAST_LIFT))
+                .orderBy(F.desc(F.col("weight") * F.col("with")), "stem").limit(most).collect())
+        found.append({r.stem: r.weight for r in rows})
+    return found
+
+
+def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stems: list[dict[str, float]] | None = None,
+                  own: tuple[str, ...] = (), fold_col: str | None = None) -> DataFrame:
+    """(id, features array<double>) of each row's whole text, and its columns ``own``; a null text counts as empty.
+
+    The last lexicon of ``stems`` serves all rows, or each row the one of its fold where ``fold_col`` (one of ``own``) is named.
+    """
+    stems = stems or [{}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t or "", stems) for t in (x.as_py() for x in batch.column(1))]
+            folds = batch.column(2 + own.index(fold_col)).to_pylist() if fold_col else [-1] * batch.num_rows
+            rows = [features(t.as_py() or "", stems[k]) for t, k in zip(batch.column(1), folds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64())), *batch.columns[2:]], [id_col, "features", *own])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *own)]
@@ -178,46 +191,60 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
+def calibration_rows(margins: DataFrame, mean: float) -> DataFrame:
+    """The rows for the isotonic fit, and at either end one more row that holds the mean label: steps of few rows don't reach 0 or 1."""
+    ends = margins.agg(F.min("margin").alias("low"), F.max("margin").alias("high"))
+    return margins.select("margin", "label").unionByName(ends.select(F.explode(F.array("low", "high")).alias("margin"), F.lit(float(mean)).alias("label")))
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          most_rows: int = 100_000, trees: int = 12, depth: int = 3, row_col: str | None = None) -> DataFrame:
+          most_rows: int = 100_000, trees: int = 20, depth: int = 4, row_col: str | None = None, most_stems: int = MOST_STEMS) -> DataFrame:
     """(id, held_out, score, predicted), and ``row_col`` if named, for each row: a calibrated probability of the label, and score >= 0.5.
 
-    Only the text enters a score. What is learned comes from labelled rows outside the held-out fold: two fifths
-    of them (by a hash of the id) give a lexicon of word beginnings, two fifths the trees, one fifth the
-    isotonic calibration.
-    ``most_rows`` bounds the labelled rows used for learning: beyond it a hash of the id picks as many.
+    Only the text enters a score. What is learned comes from labelled rows outside the held-out fold, cross-fitted over three
+    folds (by a hash of the id): a row's lexicon of word beginnings, and the trees that judge it for the calibration, come from the
+    other folds alone, so all labelled rows calibrate one isotonic fit. The lexicon and the trees of all folds then score all rows.
+    ``most_rows`` bounds the labelled rows used for learning (beyond it a hash of the id picks as many), ``most_stems`` the lexicon.
 
     Labels are averaged by id first (null labels are none), so repeated labels add no rows. An id
-    with several texts teaches with each. Without two classes to learn from, all scores are the mean label, or 0
-    without labels. Empty and null texts get a score like others, from features that are zero. Every
+    with several texts teaches with each. Where a fold's others lack one of the two classes, all scores are the mean label; without
+    labels they are 0. Few labels give scores near the mean: one row of the mean label stands at either end of the calibration.
+    Empty and null texts get a score like others, from features that are zero. Every
     row of ``docs`` is returned, repeated rows and null ids too; an empty table gives no rows. Other
     columns are left out.
     """
-    own = [row_col] if row_col else []
+    own = (row_col,) if row_col else ()
     known = labels.select(F.col(id_col).alias("of"), F.col(label_col).cast("double").alias("y")).filter("of IS NOT NULL AND y IS NOT NULL")
     known = known.groupBy("of").agg((F.avg("y") >= 0.5).cast("double").alias("label")).filter(~held_out("of"))
     draw = F.crc32(F.concat(F.lit("draw "), F.col("of").cast("string"))) / float(1 << 32)
     n = known.count()
-    known = materialise(known.filter(draw < F.lit(min(1.0, 0.95 * most_rows / max(n, 1)))))
-    part = F.crc32(F.concat(F.lit("part "), F.col("of").cast("string"))) % 5
-    # broadcast: at most about most_rows rows of two numbers
-    named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    stems = learn_stems(named.join(F.broadcast(known.filter(part >= 3)), F.col("__id") == F.col("of")))
-    table = materialise(feature_table(docs, id_col, text_col, stems, row_col))
-    taught = materialise(table.join(F.broadcast(known), table[id_col] == known["of"]).filter(part < 3).select(
-        F.col("features").alias("list"), "label", (part == 0).alias("calibrates")))
-    sums = {(r.calibrates, r.label): r["count"] for r in taught.groupBy("calibrates", "label").count().collect()}
-    out = table.select(id_col, held_out(id_col).alias("held_out"), "features", *own)
-    if not all(sums.get((part, y)) for part in (True, False) for y in (0.0, 1.0)):
-        total = sum(sums.values())
-        mean = sum(c for (_, y), c in sums.items() if y) / total if total else 0.0
-        return out.select(id_col, "held_out", F.lit(float(mean)).alias("score"), F.lit(int(mean >= 0.5)).alias("predicted"), *own)
+    fold = (F.crc32(F.concat(F.lit("part "), F.col("of").cast("string"))) % FOLDS).cast("int")
+    known = materialise(known.filter(draw < F.lit(min(1.0, 0.95 * most_rows / max(n, 1)))).withColumn("fold", fold))
+    # broadcast: at most about most_rows rows of three numbers
+    named = docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text"))
+    taught = materialise(named.join(F.broadcast(known), "of"))
+    sums = {(r["fold"], r.label): r["count"] for r in taught.groupBy("fold", "label").count().collect()}
+    total = sum(sums.values())
+    mean = sum(c for (_, y), c in sums.items() if y) / total if total else 0.0
+    if not all(sum(c for (k, label), c in sums.items() if label == y and k != out) for out in range(FOLDS) for y in (0.0, 1.0)):
+        return docs.select(id_col, held_out(id_col).alias("held_out"), F.lit(float(mean)).alias("score"), F.lit(int(mean >= 0.5)).alias("predicted"), *own)
+    stems = learn_stems(taught, most_stems)
     # every tree is several jobs over these few rows, so they are kept in few partitions
-    vectors = taught.select(array_to_vector("list").alias("x"), "label", "calibrates").coalesce(-(-sum(sums.values()) // 20_000))
-    model = GBTClassifier(featuresCol="x", labelCol="label", predictionCol="p", maxIter=trees, maxDepth=depth, stepSize=0.25, maxBins=48, minInstancesPerNode=5, seed=1).fit(vectors.filter("NOT calibrates"))
-    margins = model.transform(vectors.filter("calibrates")).select(vector_to_array("probability")[1].alias("margin"), "label")
-    steps = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(margins)
-    scored = model.transform(out.withColumn("x", array_to_vector("features"))).withColumn("margin", vector_to_array("probability")[1])
-    scored = steps.transform(scored.select(id_col, "held_out", "margin", *own))
+    vectors = feature_table(taught, "of", "text", stems, ("label", "fold"), "fold").select(array_to_vector("features").alias("x"), "label", "fold")
+    vectors = materialise(vectors).coalesce(-(-total // 20_000))
+
+    def fit(rows: DataFrame):
+        return GBTClassifier(featuresCol="x", labelCol="label", predictionCol="p", maxIter=trees, maxDepth=depth, stepSize=0.25, maxBins=48, minInstancesPerNode=5, seed=1).fit(rows)
+
+    def margin(model, rows: DataFrame) -> DataFrame:
+        return model.transform(rows).withColumn("margin", vector_to_array("probability")[1])
+
+    margins = None
+    for k in range(FOLDS):
+        one = margin(fit(vectors.filter(F.col("fold") != k)), vectors.filter(F.col("fold") == k)).select("margin", "label")
+        margins = one if margins is None else margins.unionByName(one)
+    steps = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(calibration_rows(materialise(margins), mean))
+    table = feature_table(docs, id_col, text_col, stems[-1:], own).withColumn("x", array_to_vector("features"))
+    scored = steps.transform(margin(fit(vectors), table).select(id_col, "margin", *own))
     limited = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
-    return scored.select(id_col, "held_out", limited.alias("score"), (limited >= 0.5).cast("int").alias("predicted"), *own)
+    return scored.select(id_col, held_out(id_col).alias("held_out"), limited.alias("score"), (limited >= 0.5).cast("int").alias("predicted"), *own)
