@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from expirylens.llm.common import arrow_rows, materialise, shared_folder
-from expirylens.llm.tokens import Encoder
+from expirylens.llm.tokens import CACHE_WORDS, Encoder
 
 
 def pieces_of(n: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -24,7 +24,7 @@ def pieces_of(n: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
-         longest: int = 1024) -> DataFrame:
+         longest: int = 1024, kept_words: int = CACHE_WORDS) -> DataFrame:
     """One row for each piece of each document: id, start, length, ids, doc_tokens, sequence_id, offset.
 
     A document's ids (with ``end_id`` behind them) are cut into pieces whose lengths are powers of two, at
@@ -34,7 +34,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     Pieces are stored in one bucket (folder) for each length; sequence numbers run through the buckets,
     from the shortest to the longest, without gaps. Texts are read once and never shuffled: numbers follow
-    from the counts per bucket and input task.
+    from the counts per bucket and input task. A worker keeps the ids of ``kept_words`` words, about 200 bytes each.
 
     Null and empty texts are the end id alone. Rows with equal or null ids are documents of their own, told
     apart by ``sequence_id``. A text of any length is cut; an empty table gives no rows. Columns other
@@ -46,7 +46,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     names = [id_col, "start", "bucket", "ids", "doc_tokens", "part", "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder.kept(tokenizer), TaskContext.get().partitionId(), {}
+        encoder, part, seen = Encoder.kept(tokenizer, kept_words), TaskContext.get().partitionId(), {}
         for whole in batches:
             for batch in arrow_rows(whole):
                 tokens = encoder.encode([t or "" for t in batch.column(1).to_pylist()])

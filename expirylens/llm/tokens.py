@@ -8,12 +8,13 @@ import os
 import re
 import sys
 import unicodedata
+from operator import add
 from types import ModuleType
 
 import numpy as np
 
 # Words whose ids a worker keeps, in two generations: the older one goes when the younger is full.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 _AFTER_WORD = re.compile(r"(?<=\w) ")
 # Letters, digits and signs between whose runs a byte-level vocabulary cuts anyway, and a line's end inside a word.
 _RUNS = r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[-.,;:!?()\"=/_%&*+<>@#$\[\]{}|~^]+"
@@ -41,10 +42,11 @@ class Encoder:
     ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core already
+        self.kept_words = kept_words
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -76,11 +78,12 @@ class Encoder:
                 self.words.update(zip(line, [data[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
 
     @classmethod
-    def kept(cls, path: str) -> Encoder:
+    def kept(cls, path: str, kept_words: int = CACHE_WORDS) -> Encoder:
         """The worker's own encoder of that vocabulary: its words serve the tasks that follow, too."""
         state = sys.modules.setdefault("expirylens_worker_state", ModuleType("expirylens_worker_state")).__dict__
         if path not in state:
             state[path] = cls(path)
+        state[path].kept_words = kept_words
         return state[path]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -95,39 +98,45 @@ class Encoder:
 
     def _add(self, words: set[str]) -> None:
         """Keep the ids of those words, each behind a blank, after which a text can be cut: those of their runs, one after the other."""
-        older, new, joined = self.older.get, [], []
+        known, older = self.words, self.older
+        new, cut = [], []
         for word in words:
-            if (ids := older(word)) is not None:
-                self.words[word] = ids
-                continue
+            if word in older:
+                known[word] = older[word]
+            elif word.isalpha():  # letters are never cut
+                new.append(word)
+            else:
+                cut.append(word)
+        ended, stems, ends = [], [], []  # words that are letters with signs behind them
+        runs = []  # words of several runs
+        for word in cut:
             stem = word.rstrip(_SIGNS)
-            if stem and (stem.isalpha() if stem.isascii() else _LETTERS.fullmatch(stem)):
-                if stem is word or len(stem) == len(word):
-                    new.append(word)
-                else:
-                    joined.append((word, stem, [word[len(stem):]]))
+            if stem and len(stem) < len(word) and (stem.isalpha() if stem.isascii() else _LETTERS.fullmatch(stem)):
+                ended.append(word)
+                stems.append(stem)
+                ends.append(word[len(stem):])
             elif _SIMPLE.fullmatch(word):
-                first, *rest = _PIECES.findall(word)
-                joined.append((word, first, rest))
+                runs.append((word, *_PIECES.findall(word)))
             elif _visible_end(word):
                 new.append(word)
-        known = self.words
-        for stem in {j[1] for j in joined}.difference(new):
+        firsts = set(stems).union([r[1] for r in runs]).difference(new)
+        for stem in firsts:
             if stem not in known:
-                if (ids := older(stem)) is None:
-                    new.append(stem)
+                if stem in older:
+                    known[stem] = older[stem]
                 else:
-                    known[stem] = ids
+                    new.append(stem)
         self._learn(new)
-        tails = list({p for _, _, rest in joined for p in rest if p not in self.tails})
+        tails = [p for p in set(ends).union(*[r[2:] for r in runs]) if p not in self.tails]
         self.tails.update(zip(tails, self._ids(tails), strict=True))
-        for word, stem, rest in joined:
-            known[word] = known[stem] + (self.tails[rest[0]] if len(rest) == 1 else b"".join([self.tails[p] for p in rest]))
+        known.update(zip(ended, map(add, map(known.__getitem__, stems), map(self.tails.__getitem__, ends)), strict=True))
+        for word, stem, *rest in runs:
+            known[word] = known[stem] + b"".join([self.tails[p] for p in rest])
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > CACHE_WORDS // 2:
+        if len(self.words) > self.kept_words // 2:
             self.older, self.words = self.words, {}
-        if len(self.tails) > CACHE_WORDS // 4:
+        if len(self.tails) > self.kept_words // 4:
             self.tails = {}
         get = self.words.get
         split = [t.split(" ") for t in texts]
