@@ -57,7 +57,7 @@ def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training sequences: one row for each piece, its ids as little-endian unsigned 32-bit numbers."""
-    return packing.pack(docs, tokens.default_path(), end_id=0, longest=1024)
+    return packing.pack(docs, tokens.default_path(), end_id=0, longest=1024, kept_words=500_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", keep_one_of_each), ("decontamination", drop_benchmark),
