@@ -30,13 +30,29 @@ def detection_confidence(column: Column, extras: Column) -> Column:
 _MAY_HOLD_DATE = "[0-9OoIil|]"
 
 
+def text_spans(texts: DataFrame, day_first: bool = False, month_names: bool = False, keep_invalid: bool = False) -> DataFrame:
+    """(text, spans) for each different trimmed text of the column ``text`` that holds a candidate; the grammar runs once for each."""
+    known = texts.filter(F.col("text").rlike(_MAY_HOLD_DATE)).select(F.expr(trim_sql("text")).alias("__trimmed")).distinct()
+    return explode_spans(known, "__trimmed", ["__trimmed"], day_first, month_names, keep_invalid=keep_invalid, as_array=True)
+
+
 def token_candidates(tokens: DataFrame, day_first: bool = False, month_names: bool = False,
-                     keep_invalid: bool = False) -> DataFrame:
-    """Candidates found inside single tokens."""
+                     keep_invalid: bool = False, by_text: bool = False) -> DataFrame:
+    """Candidates found inside single tokens.
+
+    With ``by_text`` the grammar runs over the dictionary of different texts, and tokens get their spans by a join on the text:
+    for tables whose texts repeat, as printed words do. Then only texts with a candidate are kept, a dictionary that fits is
+    broadcast at run time, and else a text with very many tokens is split by the skew join of adaptive execution.
+    """
     t = as_tokens(tokens).filter(F.col("text").rlike(_MAY_HOLD_DATE)).withColumn(
         "detection", detection_confidence(F.col("detection_confidence"), F.col("extras")))
     keep = ["image_id", "token_index", "confidence", "detection", "bbox", "source"]
-    found = explode_spans(t, trim_sql("text"), keep, day_first, month_names, keep_invalid=keep_invalid)
+    if by_text:
+        spans = text_spans(t, day_first, month_names, keep_invalid)
+        found = (t.select(*keep, F.expr(trim_sql("text")).alias("__trimmed")).join(spans, "__trimmed")
+                 .select(*keep, F.posexplode("spans").alias("pos", "s")))
+    else:
+        found = explode_spans(t, trim_sql("text"), keep, day_first, month_names, keep_invalid=keep_invalid)
     return found.select(
         "image_id", (F.col("token_index").cast("long") * ORDINAL_STRIDE + F.col("pos")).alias("cand_ordinal"),
         F.col("s.raw_text").alias("raw_text"), F.col("s.year").alias("year"),
@@ -110,9 +126,11 @@ def joined_candidates(tokens: DataFrame, found: DataFrame, day_first: bool = Fal
 
 def extract_candidates(tokens: DataFrame, day_first: bool = False, month_names: bool = False,
                        keep_invalid: bool = False, sanitization_mode: str = "none",
-                       join_lines: bool = True, materialise=None) -> DataFrame:
+                       join_lines: bool = True, materialise=None, by_text: bool = False) -> DataFrame:
     """All date candidates of a token table (token pass, then the joined-line pass).
 
+    ``by_text`` runs the token pass over the dictionary of different texts (see ``token_candidates``).
+
     The joined-line pass asks which images the token pass left empty, so the token pass is
     evaluated twice unless ``materialise`` (see plans.storage) stores its result first. Then the tokens and
     the candidates of the second pass are stored as well, and the result reads stored tables only.
@@ -120,7 +138,7 @@ def extract_candidates(tokens: DataFrame, day_first: bool = False, month_names:
     t = as_tokens(tokens)
     if sanitization_mode != "none":
         t = as_tokens(sanitize_tokens(t, sanitization_mode))
-    found = token_candidates(t, day_first, month_names, keep_invalid).select(*CANDIDATE_COLUMNS)
+    found = token_candidates(t, day_first, month_names, keep_invalid, by_text).select(*CANDIDATE_COLUMNS)
     if not join_lines:
         return found
     if materialise:

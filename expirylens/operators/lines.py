@@ -10,34 +10,54 @@ from expirylens.schemas import ORDINAL_STRIDE, as_tokens
 # Images with more tokens than this are first cut at empty horizontal bands.
 MAX_TOKENS_IN_ONE_FOLD = 2048
 
+# Tokens whose row numbers are gathered together.
+FOLD_CHUNK = 256
+
 # Island numbers of the two special cases.
 _BOXLESS_ISLAND = 1 << 30
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _row_numbers(sorted_tokens: Column, y_tolerance: float) -> Column:
-    """Row number of every token of an array sorted by (centre y, left edge).
+    """Row number of every token of an array sorted by (centre y, left edge), as an array for each FOLD_CHUNK tokens.
 
     A token joins the first row whose running mean is close enough, otherwise it opens a new
-    row. The mean moves with every token, so this is a fold.
+    row. The mean moves with every token, so this is a fold. Tokens come by centre y: a row whose mean lies further
+    above than the tolerance times the tallest box is out of reach for good and leaves the fold, which
+    holds the rows within reach only. Numbers are gathered by chunk, so that no step copies all of them.
     """
-    zero = F.struct(
-        F.array().cast("array<struct<total:double,n:int,h:double>>").alias("rows"),
-        F.array().cast("array<int>").alias("assigned"))
+    rows_type = "array<struct<id:int,total:double,n:int,h:double>>"
+    reach = F.array_max(F.transform(sorted_tokens, lambda t: t.h)) * y_tolerance
+    start = F.struct(F.array().cast(rows_type).alias("rows"), F.lit(0).alias("next"), reach.alias("reach"))
 
     def step(acc: Column, t: Column) -> Column:
-        fits = F.transform(acc.rows, lambda r, i: F.when(
-            F.abs(t.cy - r.total / r.n) <= F.lit(y_tolerance) * F.greatest(t.h, r.h), i))
-        first = F.array_min(F.filter(fits, lambda i: i.isNotNull()))
-        chosen = F.coalesce(first, F.size(acc.rows))
-        grown = F.transform(acc.rows, lambda r, i: F.when(i == first, F.struct(
-            (r.total + t.cy).alias("total"), (r.n + 1).alias("n"),
-            F.greatest(r.h, t.h).alias("h"))).otherwise(r))
-        opened = F.concat(acc.rows, F.array(F.struct(
-            t.cy.alias("total"), F.lit(1).alias("n"), t.h.alias("h"))))
-        return F.struct(F.when(first.isNull(), opened).otherwise(grown).alias("rows"),
-                        F.concat(acc.assigned, F.array(chosen)).alias("assigned"))
+        def place(live: Column, first: Column) -> Column:
+            opened = F.concat(live, F.array(F.struct(acc.next.alias("id"), t.cy.alias("total"), F.lit(1).alias("n"), t.h.alias("h"))))
+            grown = F.transform(live, lambda r: F.when(r.id == first, F.struct(
+                r.id.alias("id"), (r.total + t.cy).alias("total"), (r.n + 1).alias("n"), F.greatest(r.h, t.h).alias("h"))).otherwise(r))
+            return F.struct(F.when(first.isNull(), opened).otherwise(grown).alias("rows"),
+                            (acc.next + first.isNull().cast("int")).alias("next"), acc.reach.alias("reach"),
+                            F.concat(acc.assigned, F.array(F.coalesce(first, acc.next))).alias("assigned"))
+
+        def first_fit(live: Column) -> Column:
+            fits = F.filter(live, lambda r: F.abs(t.cy - r.total / r.n) <= F.lit(y_tolerance) * F.greatest(t.h, r.h))
+            return F.array_min(F.transform(fits, lambda r: r.id))
+
+        in_reach = F.filter(acc.rows, lambda r: t.cy - r.total / r.n <= acc.reach * (1 + 1e-9))
+        return _bound(in_reach, lambda live: _bound(first_fit(live), lambda first: place(live, first)))
+
+    def chunk(acc: Column, tokens: Column) -> Column:
+        zero = F.struct(acc.rows.alias("rows"), acc.next.alias("next"), acc.reach.alias("reach"), F.array().cast("array<int>").alias("assigned"))
+        return _bound(F.aggregate(tokens, zero, step), lambda end: F.struct(
+            end.rows.alias("rows"), end.next.alias("next"), end.reach.alias("reach"), F.concat(acc.done, F.array(end.assigned)).alias("done")))
 
-    return F.aggregate(sorted_tokens, zero, step).assigned
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sorted_tokens) - 1) / FOLD_CHUNK)), lambda i: F.slice(sorted_tokens, i * FOLD_CHUNK + 1, FOLD_CHUNK))
+    zero = F.struct(start.rows.alias("rows"), start.next.alias("next"), start.reach.alias("reach"), F.array().cast("array<array<int>>").alias("done"))
+    return F.aggregate(chunks, zero, chunk).done
 
 
 def _islands(tokens: DataFrame, y_tolerance: float) -> DataFrame:
@@ -83,20 +103,14 @@ def reconstruct_lines(tokens: DataFrame, y_tolerance: float = 0.6) -> DataFrame:
                                  F.try_element_at("extras", F.lit("detection_confidence")).try_cast("double"),
                                  F.lit(0.0)).alias("detection_confidence"),
                       F.col("bbox"), F.col("source"))
-    groups = (_islands(boxed, y_tolerance).select("image_id", "island", member.alias("m"))
-              .unionByName(boxless.select("image_id", "island", member.alias("m")))
-              .groupBy("image_id", "island")
-              .agg(F.array_sort(F.collect_list("m")).alias("members")))
-    row_of = F.when(F.col("island") == _BOXLESS_ISLAND,
-                    F.transform("members", lambda m: F.lit(0))).otherwise(
-        _row_numbers(F.col("members"), y_tolerance))
-    rows = (groups.withColumn("row_of", row_of)
-            .withColumn("row", F.explode(F.sequence(F.lit(0), F.array_max("row_of"))))
-            .withColumn("line", F.filter("members", lambda m, i: F.get("row_of", i) == F.col("row"))))
-    # inside a row: left to right; equal left edges keep the fold's order
-    ordered = F.when(F.col("island") == _BOXLESS_ISLAND, F.col("line")).otherwise(F.transform(
-        F.array_sort(F.transform("line", lambda m: F.struct(m.left.alias("left"), m.cy.alias("cy"),
-                                                            m.alias("m")))), lambda x: x.m))
+    folded = (_islands(boxed, y_tolerance).select("image_id", "island", member.alias("m"))
+              .groupBy("image_id", "island").agg(F.array_sort(F.collect_list("m")).alias("members")))
+    numbered = folded.select("image_id", "island", F.inline(F.arrays_zip(
+        F.flatten(_row_numbers(F.col("members"), y_tolerance)).alias("row"), F.col("members").alias("m"))))
+    # a row is a group of its own, so the rows of a dense page spread; inside it: left to right, equal left edges in the fold's order
+    rows = (numbered.unionByName(boxless.select("image_id", "island", F.lit(0).alias("row"), member.alias("m")))
+            .groupBy("image_id", "island", "row").agg(F.array_sort(F.collect_list(F.struct("m.left", "m.cy", "m"))).alias("line")))
+    ordered = F.transform("line", lambda x: x.m)
     texts = F.filter(F.transform("members", lambda m: m.token_text), lambda s: s != "")
     return (rows.select("image_id",
                         (F.col("island").cast("long") * ORDINAL_STRIDE + F.col("row")).alias("line_ordinal"),

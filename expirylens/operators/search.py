@@ -236,7 +236,7 @@ def grid_search(feats: DataFrame, labels: DataFrame, images: DataFrame, grid: di
 
 
 def _parser_features(tokens: DataFrame, day_first: bool, month_names: bool, store) -> DataFrame:
-    cands = extract_candidates(tokens, day_first, month_names, materialise=store)
+    cands = extract_candidates(tokens, day_first, month_names, materialise=store, by_text=True)
     return store(S.features(cands, tokens))
 
 
@@ -304,7 +304,7 @@ def source_multiplier_sweep(tokens: DataFrame, labels: DataFrame, source: str, p
     both the plain mean confidence and the share of it that belongs to the source.
     """
     of_source = F.when(F.col("source").eqNullSafe(source), F.col("confidence")).otherwise(F.lit(0.0))
-    cands = extract_candidates(tokens, params.allow_day_first, params.allow_month_names, materialise=store)
+    cands = extract_candidates(tokens, params.allow_day_first, params.allow_month_names, materialise=store, by_text=True)
     feats = S.features(cands, tokens, params)
     conf = tokens.select("image_id", F.col("token_index").alias("i"), of_source.alias("v")).filter("v > 0")
     part = (feats.select("image_id", "cand_ordinal", F.explode("token_indices").alias("i"), F.size("token_indices").alias("n"))

@@ -152,7 +152,7 @@ def noisy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "candidates", lambda: C.extract_candidates(
-        tokens(spark, sf_dir), True, True, materialise=materialise), store=None)
+        tokens(spark, sf_dir), True, True, materialise=materialise, by_text=True), store=None)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

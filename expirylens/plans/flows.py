@@ -20,7 +20,7 @@ def scored_candidates(tokens: DataFrame, params: S.ScoreParams = S.ScoreParams()
     t = as_tokens(tokens)
     if params.sanitization_mode != "none":
         t = as_tokens(sanitize_tokens(t, params.sanitization_mode))
-    cands = extract_candidates(t, params.allow_day_first, params.allow_month_names, params.keep_invalid, materialise=store)
+    cands = extract_candidates(t, params.allow_day_first, params.allow_month_names, params.keep_invalid, materialise=store, by_text=True)
     return S.score_candidates(S.features(cands, t, params), params)
 
 

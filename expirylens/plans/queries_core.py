@@ -32,7 +32,7 @@ def c1(spark, d):
     CASE WHEN o_orderkey % 7 = 0 THEN 0.815::DOUBLE ELSE 0.82::DOUBLE END AS recognition_confidence FROM spl""", "spl"))
 def c2(spark, d):
     t = X.split_tokens(spark, d)
-    return C.extract_candidates(t, True, True, materialise=materialise).filter("joined AND pattern LIKE 'ymd%'").select(
+    return C.extract_candidates(t, True, True, materialise=materialise).filter("joined").select(
         "image_id", "raw_text", "year", "month", "day", "pattern",
         F.array_join(F.transform("token_indices", lambda i: i.cast("string")), ",").alias("token_indices"),
         F.round("recognition_confidence", 6).alias("recognition_confidence"))
@@ -139,7 +139,8 @@ def t4(spark, d):
     CASE WHEN p.pattern LIKE 'ym\\_%' ESCAPE '\\' OR p.pattern = 'my_separated' THEN NULL ELSE strftime(d, '%d') END AS day FROM spl,
     (SELECT unnest(['ymd_korean','ymd_separated','ymd_lot_attached','ymd_spaced','ymd_mixed_compact','ym_korean',
         'ym_separated','dmy_separated','dmy_lot_attached','dmy_spaced','my_separated','mdy_month_name','dmy_month_name',
-        'ymd_compact','md_korean','md_separated']) AS pattern) p WHERE NOT (p.pattern = 'dmy_month_name' AND month(d) = 10)""", "spl"))
+        'ymd_compact','md_korean','md_separated','mdy_separated']) AS pattern) p
+    WHERE NOT (p.pattern = 'dmy_month_name' AND month(d) = 10) AND (p.pattern <> 'mdy_separated' OR day(d) > 12)""", "spl"))
 def t4_patterns(spark, d):
     """Order dates printed in the shape of every pattern and found again by the extractor."""
     f = lambda fmt: F.date_format("d", fmt)
@@ -150,7 +151,7 @@ def t4_patterns(spark, d):
               "dmy_spaced": f("dd MM yyyy"), "my_separated": f("MM/yyyy"),
               "mdy_month_name": F.concat_ws(".", F.upper(f("MMM")), f("dd"), f("yyyy")),
               "dmy_month_name": F.concat(f("dd"), F.upper(f("MMM")), f("yyyy")), "ymd_compact": f("yyyyMMdd"),
-              "md_korean": f("M월 d일"), "md_separated": f("MM/dd")}
+              "md_korean": f("M월 d일"), "md_separated": f("MM/dd"), "mdy_separated": f("MM/dd/yyyy")}
     rows = X.table(spark, d, "orders").select(
         X.image_id(F.col("o_orderkey")).alias("image_id"), F.date_add(F.col("o_orderdate").cast("date"), X.SHIFT_DAYS).alias("d"))
     rows = rows.select("image_id", F.explode(F.array(*[F.struct(F.lit(n).alias("want"), s.alias("text"))
@@ -194,10 +195,9 @@ def t7(spark, d):
 @query("t8_normalize_prediction", sql("""SELECT i.image_id, CASE WHEN c.form IS NULL THEN '----' ELSE year END AS year,
     CASE WHEN c.form IS NULL THEN '----' ELSE month END AS month, CASE WHEN c.form IS NULL THEN '----' ELSE day END AS day,
     CASE WHEN c.form IS NULL THEN '----' ELSE iso END AS final_date
-    FROM img i LEFT JOIN (SELECT * FROM cand WHERE rn = 1) c USING (image_id)""", "img", "cand"))
+    FROM img i LEFT JOIN cand c USING (image_id)""", "img", "cand"))
 def t8(spark, d):
-    first = X.scored(spark, d).filter("first_index = 1")
-    sel = X.images(spark, d).join(first, "image_id", "left")
+    sel = X.images(spark, d).join(X.scored(spark, d), "image_id", "left")
     return N.normalize_prediction(sel, none_token="----").select("image_id", "year", "month", "day", "final_date")
 
 

@@ -21,7 +21,7 @@ def parser_features(spark, d):
         name = f"features_{day_first}_{month_names}"
 
         def build():
-            c = extract_candidates(X.tokens(spark, d), day_first, month_names, materialise=materialise)
+            c = extract_candidates(X.tokens(spark, d), day_first, month_names, materialise=materialise, by_text=True)
             return S.features(c, X.tokens(spark, d))
         return X.stored(spark, d, name, build)
     return make
