@@ -27,7 +27,7 @@ SMOOTHING = np.array([0.05, 0.25, 0.4, 0.25, 0.05])
 BLOCKS = frozenset("""html head body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption
 blockquote pre figure figcaption address details summary nav header footer aside form fieldset menu dialog hr center""".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg iframe textarea select title object canvas math audio video head".split())
+SILENT = frozenset("script style noscript template svg iframe textarea select title audio video head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements, roles and words of class names and ids that stand for what is not the article.
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog button header".split())
@@ -36,6 +36,15 @@ ASIDE_WORDS = frozenset("""ad ads advert adverts advertisement advertising spons
 breadcrumbs footer header masthead sidebar aside comment comments reply replies respond discussion cookie cookies consent gdpr banner notice
 notices popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations widget widgets toolbar
 pagination pager login signin signup search disclaimer copyright legal""".split())
+# Of these, elements and words that may also hold or wrap the article: they count only where little of the page's mass lies in them.
+WEAK_TAGS = frozenset("form header".split())
+WEAK_WORDS = frozenset("""sidebar header masthead banner nav navbar menu toolbar widget widgets search related recommended notice notices legal
+disclaimer discussion overlay modal social""".split())
+# Words that turn a class name around (has-sidebar), and those before which "related" speaks of the matter.
+TURNING = frozenset("has have with without no not hide hides".split())
+MATTER = frozenset("work works literature research studies".split())
+# An element with more than this part of the page's mass is no aside.
+MOST_MASS = 0.5
 # Starting one of these ends an open one of those.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPES = frozenset("ul ol dl table div article section main body blockquote nav header footer aside form".split())
@@ -59,28 +68,46 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
-def _label(name: str, attributes: str, inside: bool) -> tuple[str, bool]:
-    """The element's step in a path, and whether it stands beside the article. inside: it is part of one."""
+def _aside_words(names: str) -> set[str]:
+    """The words of class names and ids that stand for what is not the article."""
+    found = set()
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name))]
+        if TURNING.isdisjoint(words):
+            found |= {w for w, after in zip(words, [*words[1:], ""], strict=True) if w in ASIDE_WORDS and not (w == "related" and after in MATTER)}
+    return found
+
+
+NONE, WEAK, SURE = range(3)
+
+
+def _label(name: str, attributes: str, inside: bool) -> tuple[str, int]:
+    """The element's step in a path, and how surely it stands beside the article. inside: it is part of one."""
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if attributes else ""
     step = f"{name}.{'.'.join(names.split())}" if names else name
     if name in ("html", "body", "main", "article"):
-        return step, False
+        return step, NONE
     if name in ASIDE_TAGS and not (name == "header" and inside):
-        return step, True
+        return step, WEAK if name in WEAK_TAGS else SURE
     if attributes:
         if (role := _ROLE.search(attributes)) and role[1].lower() in ASIDE_ROLES or _hidden(attributes):
-            return step, True
-        if names:
-            words = {w.lower() for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names))}
-            if words & (ASIDE_WORDS - {"header", "banner"} if inside and name in (HEADINGS | {"header"}) else ASIDE_WORDS):
-                return step, True
-    return step, False
-
-
-def blocks(page: str) -> list[tuple[str, str, bool, int]]:
-    """(path, text, aside, characters in links) of every block of text, in page order."""
-    out: list[tuple[str, str, bool, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # name, path, aside
+            return step, SURE
+        if names and (words := _aside_words(names) - ({"header", "banner"} if inside and name in (HEADINGS | {"header"}) else set())):
+            return step, WEAK if words <= WEAK_WORDS else SURE
+    return step, NONE
+
+
+Block = tuple[str, str, tuple[int, ...] | None, int]
+
+
+def blocks(page: str) -> list[Block]:
+    """(path, text, asides, characters in links) of every block of text, in page order.
+
+    asides: the numbers of the elements around it that may stand beside the article; None if one surely does.
+    """
+    out: list[Block] = []
+    stack: list[tuple[str, str, tuple[int, ...] | None]] = []  # name, path, asides
+    doubtful = 0
     text: list[str] = []
     links = in_link = 0
     silent, at = "", 0
@@ -90,7 +117,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, int]]:
         if text:
             line = " ".join("".join(text).split())
             if line:
-                out.append((stack[-1][1] if stack else "", line, bool(stack) and stack[-1][2], links))
+                out.append((stack[-1][1] if stack else "", line, stack[-1][2] if stack else (), links))
             text.clear()
         links = 0
 
@@ -147,9 +174,15 @@ def blocks(page: str) -> list[tuple[str, str, bool, int]]:
             flush()
             if name in EMPTY:
                 continue
-            above = stack[-1] if stack else ("", "", False)
-            step, aside = _label(name, m[3], any(s[0] in ("article", "main") for s in stack))
-            stack.append((name, f"{above[1]}/{step}", aside or above[2]))
+            above = stack[-1] if stack else ("", "", ())
+            step, mark = _label(name, m[3], any(s[0] in ("article", "main") for s in stack))
+            asides = above[2]
+            if mark == SURE:
+                asides = None
+            elif mark == WEAK and asides is not None:
+                asides = (*asides, doubtful)
+                doubtful += 1
+            stack.append((name, f"{above[1]}/{step}", asides))
             if name == "button":
                 in_link = 0
     if not silent:
@@ -159,18 +192,37 @@ def blocks(page: str) -> list[tuple[str, str, bool, int]]:
     return out
 
 
-def content(found: list[tuple[str, str, bool, int]]) -> tuple[list[str], list[str]]:
+def ratios(found: list[Block]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Numbers of the paths, each block's path, and each path's fused ratio of text and punctuation to blocks."""
+    paths = {p: i for i, p in enumerate(dict.fromkeys(b[0] for b in found))}
+    of = np.array([paths[b[0]] for b in found], np.int64)
+    number = np.bincount(of)
+    length = np.bincount(of, [len(b[1]) - min(b[3], len(b[1])) for b in found]) / number
+    marks = (np.bincount(of, [len(_PUNCTUATION.findall(b[1])) for b in found]) + 1) / number
+    smooth = [np.bincount(of, np.convolve(np.pad(x[of], 2, "edge"), SMOOTHING, "valid")) / number for x in (length, marks)]
+    return paths, of, np.sqrt(length * smooth[0]) * np.sqrt(marks * smooth[1])
+
+
+def beside(found: list[Block]) -> set[int]:
+    """The doubtful elements that do stand beside the article: those without most of the page's mass, which is each block's ratio."""
+    _, of, ratio = ratios(found)
+    mass: dict[int, float] = {}
+    for block, path in zip(found, of.tolist(), strict=True):
+        for aside in block[2]:
+            mass[aside] = mass.get(aside, 0.0) + float(ratio[path])
+    total = float(ratio[of].sum())
+    return {aside for aside, own in mass.items() if own <= MOST_MASS * total}
+
+
+def content(found: list[Block]) -> tuple[list[str], list[str]]:
     """The texts of the content blocks in page order, and the content paths."""
-    kept = [b for b in found if not b[2]]
+    kept = [b for b in found if b[2] is not None]
+    if any(b[2] for b in kept):
+        asides = beside(kept)
+        kept = [b for b in kept if asides.isdisjoint(b[2])]
     if not kept:
         return [], []
-    paths = {p: i for i, p in enumerate(dict.fromkeys(b[0] for b in kept))}
-    of = np.array([paths[b[0]] for b in kept])
-    number = np.bincount(of)
-    length = np.bincount(of, [len(b[1]) - min(b[3], len(b[1])) for b in kept]) / number
-    marks = (np.bincount(of, [len(_PUNCTUATION.findall(b[1])) for b in kept]) + 1) / number
-    smooth = [np.bincount(of, np.convolve(np.pad(x[of], 2, "edge"), SMOOTHING, "valid")) / number for x in (length, marks)]
-    ratio = np.sqrt(length * smooth[0]) * np.sqrt(marks * smooth[1])
+    paths, of, ratio = ratios(kept)
     chosen = {p for p, i in paths.items() if ratio[i] >= THRESHOLD * ratio.max() and ratio[i] > 0}
     if not chosen:
         return [], []

@@ -31,6 +31,54 @@ def test_a_page_of_plain_divisions():
     assert H.main_text(page)[0] == "Title " + " ".join(["A sentence, then another. And more, with commas, of course."] * 4)
 
 
+BODY = "<h1>Title here</h1><p>One sentence, and another one. It goes on, as they do.</p><p>A second paragraph, with words; and marks.</p>"
+TEXT = "Title here One sentence, and another one. It goes on, as they do. A second paragraph, with words; and marks."
+
+
+@pytest.mark.parametrize("open_,close", [
+    ('<div class="page has-sidebar"><article>', "</article></div>"), ('<div id="content" class="with-sidebar">', "</div>"), ('<div class="layout--no-sidebar"><main>', "</main></div>"),
+    ('<form id="aspnetForm"><div>', "</div></form>"), ('<form><article>', "</article></form>"), ('<div class="sidebar-left-page"><article>', "</article></div>"), ("<article>", "</article>")])
+def test_wrappers_named_like_asides_hold_the_article(open_, close):
+    around = '<nav><a href="/">Home</a></nav><div class="sidebar"><p>Other news, of today. See more.</p></div>'
+    foot = '<div class="comments"><p>I liked it, really. Thanks, all of you!</p></div><div class="ad"><p>Buy now, cheap.</p></div><footer>Imprint</footer>'
+    assert H.main_text(f"<html><body>{around}{open_}{BODY}{close}{foot}</body></html>")[0] == TEXT
+
+
+def test_parts_of_an_article_stay():
+    page = f'<article>{BODY}<section id="related-work"><p>Others did this, before us. We cite them.</p></section><p>Let <math><mi>x</mi></math> be <object>an object</object>, and <canvas>a sketch</canvas>.</p></article>'
+    assert H.main_text(page)[0] == TEXT + " Others did this, before us. We cite them. Let x be an object, and a sketch."
+
+
+def test_given_pages_without_article_elements(spark):
+    good = total = found = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = H.main_text(r.html)[0].split()
+        got = H.main_text(re.sub(r"<(/?)article\b", r"<\1div", r.html))[0].split()
+        good += len([w for w in got if w in set(want)])
+        total, found = total + len(want), found + len(got)
+    assert good / total > 0.98 and good / found > 0.98
+
+
+def test_ratios_by_hand():
+    found = [("/a", "abcd, ef.", (), 0), ("/b", "xyz", (), 3), ("/a", "gh!", (), 0)]
+    paths, of, ratio = H.ratios(found)
+    length = [(9 + 3) / 2, 0.0]
+    marks = [(2 + 1 + 1) / 2, 1.0]
+
+    def smooth(x):
+        own = [x[k] for k in of]
+        padded = [own[0]] * 2 + own + [own[-1]] * 2
+        out = [sum(w * padded[i + j] for j, w in enumerate((0.05, 0.25, 0.4, 0.25, 0.05))) for i in range(3)]
+        return [(out[0] + out[2]) / 2, out[1]]
+    assert paths == {"/a": 0, "/b": 1} and of.tolist() == [0, 1, 0]
+    assert np.allclose(ratio, [np.sqrt(length[k] * smooth(length)[k]) * np.sqrt(marks[k] * smooth(marks)[k]) for k in (0, 1)])
+
+
+def test_a_very_long_page():
+    page = f"<body><nav>{'<a href=x>link</a>' * 20000}</nav><article>{'<p>Words, and more words.</p>' * 40000}</article></body>"
+    assert H.main_text(page)[0] == " ".join(["Words, and more words."] * 40000)
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<p>", "text", "<script>x", "<a b='>", "&#0;&bogus;&amp", "<p>" * 3000 + "x", "<!-- x", "</p></div>", "a" * 300_000, "<a b=\"" * 5000])
 def test_broken_pages(page):
     assert isinstance(H.main_text(page)[0], str)
