@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from expirylens.llm.common import materialise
@@ -32,6 +33,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     nor do null ids. Vectors are compared with those of as many components. Rows that repeat an id and a vector
     count once; an id with two vectors is a candidate by each, and the better one counts.
 
+    Points of equal score are passed on together and told apart by their ids; at most ``beam`` points of a shard are looked at for
+    a query, so of more points of one direction in a shard than that, some may be missed.
+
     Equal vectors are one point of the graph: its ``k`` + 1 smallest ids are kept, which is all that a result
     can hold. So neither a hot vector nor its ties weigh on a shard. Points are dealt to shards of about
     ``shard_vectors`` by a hash of the id; a task holds one shard's vectors and graph, and queries stream by.
@@ -55,17 +59,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         where, ids, parts, graph = None, [], [], None
 
         def answer(at: pa.Array, q: np.ndarray) -> pa.RecordBatch:
-            names, exact, unit = graph[1], graph[2], graph[3]
+            names, exact, unit, id_rank = graph[1:]
             length = np.linalg.norm(q, axis=1)
             found, _ = graph[0].search((q / length[:, None]).astype(np.float32), beam)
             # over exact scores, the ids that the graph ranks first; one more for the query itself
             of, place = np.nonzero(found >= 0)
             to = found[of, place]
             score = np.einsum("ij,ij->i", q[of], exact[to]) / (length[of] * unit[to])
-            order = np.lexsort((-score, of))
+            order = np.lexsort((id_rank[to], -score, of))
             of, to, score = of[order], to[order], score[order]
-            rank = np.arange(len(of)) - np.searchsorted(of, of)
-            keep = rank <= k
+            # all points as near as the last one needed: ids decide only among the points of all shards
+            last = np.minimum(np.searchsorted(of, of) + k, np.searchsorted(of, of, "right") - 1)
+            keep = score >= score[last]
             return pa.RecordBatch.from_arrays([at.take(pa.array(of[keep])), names.take(pa.array(to[keep])), pa.array(score[keep])], ["query_id", "point", "score"])
 
         for batch in batches:
@@ -86,7 +91,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                     if graph is None:
                         exact = np.concatenate(parts)
                         length = np.linalg.norm(exact, axis=1)
-                        graph = (Graph(exact / length[:, None]), pa.concat_arrays(ids), exact, length)
+                        names = pa.concat_arrays(ids)
+                        id_rank = np.empty(len(names), np.int64)
+                        id_rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+                        graph = (Graph(exact / length[:, None]), names, exact, length, id_rank)
                     yield answer(part.column(2), matrix)
                 begin = end
 

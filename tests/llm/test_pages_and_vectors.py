@@ -186,3 +186,16 @@ def test_blocks_beside_long_paragraphs_without_an_article_element():
         assert "rivers" in main_text(f"<body><div {shown}><p>{long}</p></div></body>")[0]
     for not_shown in ("hidden", 'style="display: none"', "aria-hidden=true", 'hidden=""'):
         assert main_text(f"<body><div {not_shown}><p>{long}</p></div></body>")[0] == ""
+
+
+@pytest.mark.parametrize("shard", [8192, 12])
+def test_equal_scores_go_by_id(spark, shard):
+    """Scaled copies of one direction, and mirrored vectors of equal cosine, over one shard and over several."""
+    base = np.array([0.3, -0.4, 1.2, 0.5])
+    rows = [(i, [float(x) for x in base * 2.0 ** (i % 9 - 4) * (1 if i % 2 else 4)]) for i in range(1, 31)] + [(50, base.tolist())]
+    rows += [(100, [1.0, 0.0])] + [(200 + i, [1.0, (-1.0) ** i * (1 + i // 2)]) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, (df.vec_id % 50 == 0) & (df.vec_id <= 100), shard_vectors=shard).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got[50] == [1, 2, 3, 4, 5] and got[100] == [200, 201, 202, 203, 204]
