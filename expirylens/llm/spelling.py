@@ -28,8 +28,6 @@ BLOCK_WORDS, BLOCK_CHARS, TILE = 2048, 1 << 20, 1 << 22
 SALTS = 32
 # Different words that a task counts before it passes them on.
 COUNTED_WORDS = 400_000
-# Latin-1 letters as single bytes, lower-cased in A-Z only; shorter runs can't give a word of six letters.
-_RUN = re.compile(rb"[a-z\xc0-\xff]+")
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = 6, least_count: int = 5,
@@ -43,6 +41,7 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        # Latin-1 letters as single bytes; a shorter run can't give a word
         runs = re.compile(rb"[a-z\xc0-\xff]{%d,}" % max(1, least_length))
         utf8: dict[bytes, bytes] = {}
 
