@@ -235,6 +235,18 @@ _FIRST_PER_KEY = ("CASE WHEN size(__spans) < 2 THEN __spans ELSE filter(__spans,
                   "named_struct('y', s.year, 'm', s.month, 'd', s.day, 'p', s.pattern)) = i + 1) END")
 
 
+def _marked(df: DataFrame, text: str, keep: list[str], enabled: list[tuple[int, DatePattern]]) -> DataFrame:
+    """The corrected text and the hits of the full and the partial patterns."""
+    full = [(i, p) for i, p in enabled if not p.partial]
+    part = [(i, p) for i, p in enabled if p.partial]
+    return (df.selectExpr(*keep, f"{text} AS __raw")
+            .selectExpr(*keep, f"{corrected_sql('__raw')} AS __text")
+            .selectExpr(*keep, "__text", f"{blanked_sql('__text')} AS t")
+            .selectExpr(*keep, "__text", "t", f"{_OUTLINE} AS o")
+            .selectExpr(*keep, "__text", "t", *[f"{sql} AS f_{n}" for n, sql in FLAGS.items()])
+            .selectExpr(*keep, "__text", f"{_hits_sql(full)} AS __full", f"{_hits_sql(part)} AS __part"))
+
+
 def explode_spans(df: DataFrame, text: str, keep: list[str], day_first: bool, month_names: bool,
                   joined: bool = False, keep_invalid: bool = False, as_array: bool = False) -> DataFrame:
     """Find the date candidates of the SQL expression ``text``, in order.
@@ -244,18 +256,11 @@ def explode_spans(df: DataFrame, text: str, keep: list[str], day_first: bool, mo
     such a filter below the projection and evaluate the whole grammar a second time.
     """
     enabled = enabled_patterns(day_first, month_names, joined)
-    full = [(i, p) for i, p in enabled if not p.partial]
-    part = [(i, p) for i, p in enabled if p.partial]
     # start, longest first, pattern order; the joined pass keeps pattern order
     spans = "__spans" if joined else "array_sort(__spans)"
     if not keep_invalid:
         spans = f"filter({spans}, s -> s.valid)"
-    out = (df.selectExpr(*keep, f"{text} AS __raw")
-           .selectExpr(*keep, f"{corrected_sql('__raw')} AS __text")
-           .selectExpr(*keep, "__text", f"{blanked_sql('__text')} AS t")
-           .selectExpr(*keep, "__text", "t", f"{_OUTLINE} AS o")
-           .selectExpr(*keep, "__text", "t", *[f"{sql} AS f_{n}" for n, sql in FLAGS.items()])
-           .selectExpr(*keep, "__text", f"{_hits_sql(full)} AS __full", f"{_hits_sql(part)} AS __part")
+    out = (_marked(df, text, keep, enabled)
            .selectExpr(*keep, f"{_spans_sql('__full', '__text', day_first)} AS __full",
                        f"{_spans_sql('__part', '__text', False)} AS __part")
            .selectExpr(*keep, f"concat(__full, CASE WHEN size(__part) = 0 THEN __part ELSE {_NO_OVERLAP} END) AS __spans")
@@ -266,6 +271,47 @@ def explode_spans(df: DataFrame, text: str, keep: list[str], day_first: bool, mo
     return out.selectExpr(*keep, f"posexplode({_FIRST_PER_KEY}) AS (pos, s)")
 
 
+# The settings of the two parser flags (day first, month names); setting j has bit 1 << j.
+FLAG_PAIRS = ((False, False), (True, False), (False, True), (True, True))
+
+
+def annotated_spans(df: DataFrame, text: str, keep: list[str], joined: bool = False, keep_invalid: bool = False) -> DataFrame:
+    """The candidates of the SQL expression ``text`` under all four settings of the parser flags, from one run of the grammar.
+
+    One row per text that has any, with the array ``spans``. Each span has the mask ``flags`` of the settings under which it
+    survives, and in ``places`` its position from 1 among the candidates of each setting (0: none). Overlap, order and
+    repetition rules are applied for each setting, as a shape that one setting adds may push out a partial date of another.
+    A span that day-first reading turns around is there once for each reading.
+    """
+    enabled = enabled_patterns(True, True, joined)
+    by_setting, survivors = [], []
+    for j, (day_first, month_names) in enumerate(FLAG_PAIRS):
+        orders = ", ".join(str(i) for i, _ in enabled_patterns(day_first, month_names, joined))
+        full = f"filter(__full_{int(day_first)}, f -> f.ord IN ({orders}))"
+        apart = _NO_OVERLAP.replace("__full", full)
+        every = f"concat({full}, CASE WHEN size(__part) = 0 THEN __part ELSE {apart} END)"
+        if not joined:
+            every = f"array_sort({every})"
+        by_setting.append(f"{every if keep_invalid else f'filter({every}, s -> s.valid)'} AS __of_{j}")
+        survivors.append(f"{_FIRST_PER_KEY.replace('__spans', f'__of_{j}')} AS __of_{j}")
+    settings = [f"__of_{j}" for j in range(len(FLAG_PAIRS))]
+    merged = settings[0]
+    for name in settings[1:]:
+        merged = f"array_union({merged}, {name})"
+    fields = ", ".join(f"'{n}', s.{n}" for n in ("raw_text", "year", "month", "day", "valid", "pattern"))
+    places = ", ".join(f"CAST(array_position({name}, s) AS int)" for name in settings)
+    placed = f"transform({merged}, s -> named_struct({fields}, 'places', array({places})))"
+    mask = " + ".join(f"IF(s.places[{j}] > 0, {1 << j}, 0)" for j in range(len(settings)))
+    fields += ", 'places', s.places"
+    out = (_marked(df, text, keep, enabled)
+           .selectExpr(*keep, f"{_spans_sql('__full', '__text', False)} AS __full_0",
+                       f"{_spans_sql('__full', '__text', True)} AS __full_1", f"{_spans_sql('__part', '__text', False)} AS __part")
+           .selectExpr(*keep, *by_setting).selectExpr(*keep, *survivors).selectExpr(*keep, f"{placed} AS __placed")
+           .selectExpr(*keep, f"transform(__placed, s -> named_struct({fields}, 'flags', {mask})) AS __spans"))
+    return (out.selectExpr(*keep, "explode(filter(array(named_struct('spans', __spans)), q -> size(q.spans) > 0)) AS q")
+            .selectExpr(*keep, "q.spans AS spans"))
+
+
 @lru_cache(maxsize=None)
 def _parse_sql(text: str, pattern: str, day_first: bool, month_names: bool, pattern_column: bool) -> str:
     patterns = enabled_patterns(day_first, month_names)

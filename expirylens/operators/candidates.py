@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from expirylens.functions.dates import explode_spans, trim_sql
+from expirylens.functions.dates import FLAG_PAIRS, annotated_spans, explode_spans, trim_sql
 from expirylens.functions.geometry import box_from_array, union_boxes
 from expirylens.functions.text import sanitize_tokens
 from expirylens.operators.lines import reconstruct_lines
@@ -147,6 +147,73 @@ def extract_candidates(tokens: DataFrame, day_first: bool = False, month_names:
     return found.unionByName(materialise(joined) if materialise else joined)
 
 
+def annotated_candidates(tokens: DataFrame, keep_invalid: bool = False, join_lines: bool = True, y_tolerance: float = 0.6,
+                         materialise=None) -> DataFrame:
+    """The candidates under all four settings of the parser flags, from one run of the grammar over texts and one over lines.
+
+    Columns are those of candidates, but ``cand_base`` in place of the ordinal, with ``flags`` (mask of the settings, see
+    ``dates.FLAG_PAIRS``) and ``places`` (position under each setting). ``candidates_under`` takes the rows of one setting.
+    The line pass covers each image for the settings under which its tokens gave nothing: lines are built once for all of them,
+    and a line candidate has a row for each setting whose first fitting text holds it. An image without tokens has no row.
+    """
+    t = as_tokens(tokens)
+    dated = t.filter(F.col("text").rlike(_MAY_HOLD_DATE)).withColumn(
+        "detection", detection_confidence(F.col("detection_confidence"), F.col("extras")))
+    keep = ["image_id", "token_index", "confidence", "detection", "bbox", "source"]
+    known = dated.select(F.expr(trim_sql("text")).alias("__trimmed")).distinct()
+    spans = annotated_spans(known, "__trimmed", ["__trimmed"], keep_invalid=keep_invalid)
+    found = (dated.select(*keep, F.expr(trim_sql("text")).alias("__trimmed")).join(spans, "__trimmed")
+             .select(*keep, F.explode("spans").alias("s")).select(
+        "image_id", (F.col("token_index").cast("long") * ORDINAL_STRIDE).alias("cand_base"), *_span_fields(),
+        F.array("token_index").alias("token_indices"), F.col("token_index").alias("first_index"),
+        F.col("confidence").alias("recognition_confidence"), F.col("detection").alias("detection_confidence"),
+        F.col("bbox").alias("first_box"), F.col("bbox").alias("union_box"), F.array("source").alias("sources"),
+        F.lit(False).alias("joined"), "s.flags", "s.places"))
+    if not join_lines:
+        return found
+    keep_table = materialise or (lambda df: df)
+    found = keep_table(found)
+    every = (1 << len(FLAG_PAIRS)) - 1
+    bare = keep_table(t.select("image_id", F.lit(0).alias("flags")).unionByName(found.select("image_id", "flags"))
+                      .groupBy("image_id").agg((F.bit_or("flags").bitwiseXOR(F.lit(every))).alias("bare")).filter("bare <> 0"))
+    lines = reconstruct_lines(keep_table(t.join(bare, "image_id", "left_semi")), y_tolerance)
+    variants = (lines.filter(F.col("text").rlike(_MAY_HOLD_DATE)).select(
+        "image_id", "line_ordinal", "members", "token_indices",
+        F.posexplode(F.array(F.col("text"), F.replace(F.col("text"), F.lit(" "), F.lit("")))).alias("__v", "variant"))
+        .withColumn("variant_ordinal", F.col("line_ordinal") * 2 + F.col("__v")))
+    hits = annotated_spans(variants, "variant", ["image_id", "variant_ordinal", "members", "token_indices"], True, keep_invalid)
+    # one row for each setting under which the image is bare and this text yields something, then the first text of each
+    bit = F.expr("shiftleft(1, setting)")
+    body = F.struct("members", "token_indices", "spans")
+    first = (hits.join(bare, "image_id").withColumn("setting", F.explode(F.array(*[F.lit(j) for j in range(len(FLAG_PAIRS))])))
+             .filter((F.col("bare").bitwiseAND(bit) != 0) & F.exists("spans", lambda s: s.flags.bitwiseAND(bit) != 0))
+             .groupBy("image_id", "setting").agg(F.min_by(body, "variant_ordinal").alias("v"))
+             .select("image_id", "setting", "v.*"))
+    n = F.size("members")
+
+    def mean(field: str) -> Column:
+        return F.aggregate("members", F.lit(0.0), lambda a, m: a + m[field]) / n
+    joined = first.select("*", F.explode("spans").alias("s")).filter(F.col("s.flags").bitwiseAND(bit) != 0).select(
+        "image_id", F.lit(0).cast("long").alias("cand_base"), *_span_fields(), "token_indices",
+        F.get("token_indices", F.lit(0)).alias("first_index"), mean("confidence").alias("recognition_confidence"),
+        mean("detection_confidence").alias("detection_confidence"), F.get("members", F.lit(0)).bbox.alias("first_box"),
+        union_boxes(F.transform("members", lambda m: m.bbox)).alias("union_box"),
+        F.transform("members", lambda m: m.source).alias("sources"), F.lit(True).alias("joined"), bit.alias("flags"), "s.places")
+    return found.unionByName(keep_table(joined))
+
+
+def _span_fields() -> list[Column]:
+    return [F.col("s.raw_text"), F.col("s.year"), F.col("s.month"), F.col("s.day"), F.col("s.valid").alias("calendar_valid"),
+            F.col("s.pattern")]
+
+
+def candidates_under(annotated: DataFrame, day_first: bool, month_names: bool) -> DataFrame:
+    """The candidates of one setting of the parser flags, as ``extract_candidates`` gives them."""
+    j = FLAG_PAIRS.index((bool(day_first), bool(month_names)))
+    ordinal = F.col("cand_base") + F.get("places", F.lit(j)) - 1
+    return annotated.filter(F.col("flags").bitwiseAND(F.lit(1 << j)) != 0).withColumn("cand_ordinal", ordinal).select(*CANDIDATE_COLUMNS)
+
+
 def dedup_candidates(cands: DataFrame) -> DataFrame:
     """First candidate per (components, pattern, token indices) of an image, by generation order.
 

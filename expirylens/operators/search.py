@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from expirylens.functions.dates import candidate_final_date, final_date_sql
 from expirylens.operators import selection as S
-from expirylens.operators.candidates import extract_candidates
+from expirylens.operators.candidates import annotated_candidates, candidates_under, extract_candidates
 from expirylens.operators.filters import last_per_id
 from expirylens.operators.ordering import join_by_tile
 from expirylens.plans.storage import materialise
@@ -235,9 +235,13 @@ def grid_search(feats: DataFrame, labels: DataFrame, images: DataFrame, grid: di
         F.desc("final_date_exact_match"), F.desc("candidate_selection_accuracy"), "combo")
 
 
-def _parser_features(tokens: DataFrame, day_first: bool, month_names: bool, store) -> DataFrame:
-    cands = extract_candidates(tokens, day_first, month_names, materialise=store, by_text=True)
-    return store(S.features(cands, tokens))
+def _parser_features(tokens: DataFrame, pairs: list[tuple[bool, bool]], store):
+    """Features by pair of parser flags. Several pairs share one annotated extraction; a single one needs no annotation."""
+    if len(pairs) == 1:
+        cands = extract_candidates(tokens, *pairs[0], materialise=store, by_text=True)
+        return lambda day_first, month_names: store(S.features(cands, tokens))
+    annotated = annotated_candidates(tokens, materialise=store)
+    return lambda day_first, month_names: store(S.features(candidates_under(annotated, day_first, month_names), tokens))
 
 
 def evaluate_params(tokens: DataFrame, labels: DataFrame, params: list[dict], store=materialise,
@@ -246,14 +250,14 @@ def evaluate_params(tokens: DataFrame, labels: DataFrame, params: list[dict], st
 
     ``images`` has the ids of all images, those without tokens too; by default the tokens' own.
 
-    Extraction and features run once per distinct pair of parser flags (four at most); all weight
-    sets of a pair share them.
+    The grammar runs once for all pairs of parser flags; features are computed once per distinct pair (four at most), and all
+    weight sets of a pair share them.
     """
     base = S.ScoreParams()
-    make = features_for or (lambda d, m: _parser_features(tokens, d, m, store))
     groups: dict[tuple[bool, bool], list[int]] = {}
     for i, p in enumerate(params):
         groups.setdefault((bool(p.get("allow_day_first", False)), bool(p.get("allow_month_names", False))), []).append(i)
+    make = features_for or _parser_features(tokens, list(groups), store)
     out = None
     for (day_first, month_names), indexes in groups.items():
         combos = [{n: params[i].get(n, getattr(base, n)) for n in S.WEIGHT_NAMES} for i in indexes]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from expirylens.operators import search as Q, selection as S
-from expirylens.operators.candidates import extract_candidates
+from expirylens.operators.candidates import annotated_candidates, candidates_under
 from expirylens.plans import fixtures as X
 from expirylens.plans.catalog import query
 from expirylens.plans.oracle_parts import sql
@@ -14,15 +14,15 @@ from expirylens.plans.storage import materialise
 
 
 def parser_features(spark, d):
-    """Features per pair of parser flags, shared by the queries of a session."""
+    """Features per pair of parser flags, from one annotated extraction, shared by the queries of a session."""
     def make(day_first: bool, month_names: bool):
         if day_first and month_names:
             return X.features(spark, d)
         name = f"features_{day_first}_{month_names}"
 
         def build():
-            c = extract_candidates(X.tokens(spark, d), day_first, month_names, materialise=materialise, by_text=True)
-            return S.features(c, X.tokens(spark, d))
+            annotated = X.stored(spark, d, "annotated", lambda: annotated_candidates(X.tokens(spark, d), materialise=materialise))
+            return S.features(candidates_under(annotated, day_first, month_names), X.tokens(spark, d))
         return X.stored(spark, d, name, build)
     return make
 
