@@ -117,21 +117,83 @@ def _spatial_score(w, f):
     return s + w["spatial"] * f["spatial"]
 
 
+# The parts a score is a sum of: (features multiplied, weight, sign). A part without a weight counts as it is; sign 0 marks
+# one that only compares when equal.
+_PARTS = {
+    _linear_score: (
+        (("recognition_confidence", "source_prior"), "confidence_weight", 1), (("detection_confidence",), "detection_confidence_weight", 1),
+        (("calendar",), "calendar_weight", 1), (("pattern_reliability",), "pattern_weight", 1), (("positive_keyword",), "keyword_weight", 1),
+        (("negative_keyword",), "negative_keyword_weight", -1), (("spatial_relation",), "position_weight", 1),
+        (("is_partial",), "partial_date_penalty", -1), (("is_time_like",), "time_like_penalty", -1),
+        (("is_latest", "source_prior"), "future_date_bonus", 1), (("is_earliest_bare", "source_prior"), "future_date_bonus", -1),
+        (("dmy_adjustment",), None, 1)),
+    _source_score: ((("is_yolo",), None, 0), (("score",), "candidate_score", 1), (("log_rec",), "rec_log", 1),
+                    (("log_det",), "det_log", 1), (("is_due",), "due_bonus", 1)),
+    _spatial_score: ((("is_yolo",), None, 0), (("score",), "candidate_score", 1), (("log_rec",), "rec_log", 1),
+                     (("log_det",), "det_log", 1), (("spatial",), "spatial", 1))}
+
+
+def _dominates(score: Callable, combos: list[dict]) -> str:
+    """SQL: candidate ``y`` scores at least as much as ``x`` under every weight set.
+
+    Sums and products round monotonically, so part by part comparison holds for the rounded scores too. A weight that is zero
+    everywhere leaves its part out, and one with both signs asks for equal parts.
+    """
+    tests = []
+    for features, weight, sign in _PARTS[score]:
+        values = [float(c[weight]) for c in combos] if weight else [1.0]
+        if not any(values):
+            continue
+        x, y = (" * ".join(f"{side}.{f}" for f in features) for side in "xy")
+        rising = [sign * v > 0 for v in values if v]
+        compare = "=" if sign == 0 or len(set(rising)) > 1 else ">=" if rising[0] else "<="
+        tests.append(f"{y} {compare} {x}")
+    return f"coalesce({' AND '.join(tests) or 'true'}, false)"
+
+
+def skyline(score: Callable, combos: list[dict]) -> Column:
+    """The candidates of the ordered array ``c`` that can win under some weight set.
+
+    One that an earlier one dominates never does: the earlier one scores as much and wins a tie. Such a dominator stays in the
+    front, or one that dominates it does, so each candidate is compared with the front only.
+    """
+    return F.expr(f"aggregate(c, filter(c, x -> false), (front, x) -> IF(exists(front, y -> {_dominates(score, combos)}), "
+                  "front, concat(front, array(x))))")
+
+
+def _ordered_candidates(cands: DataFrame, fields: list[str]) -> DataFrame:
+    """Candidates of an image and tile as an array in tie order."""
+    item = F.struct(*[F.col(c).cast("double").alias(c) if c not in ("o1", "o3") else F.col(c) for c in fields])
+    return cands.groupBy("image_id", "tile").agg(F.array_sort(F.collect_list(item)).alias("c"), F.max("last_tile").alias("last_tile"))
+
+
+def pruned_work(cands: DataFrame, feature_names: list[str], combos: list[dict], score: Callable = _linear_score) -> DataFrame:
+    """One row: candidates, those left by the skyline, and those in images that must be evaluated, without and with it."""
+    rows = _ordered_candidates(cands, ["o1", "o2", "o3", "is_correct", *feature_names]).withColumn("front", skyline(score, combos))
+    def evaluated(column: str) -> Column:
+        right = F.size(F.filter(column, lambda x: x.is_correct > 0))
+        return F.when((F.col("last_tile") > 0) | ((right > 0) & (right < F.size(column))), F.size(column)).otherwise(0)
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return rows.select(F.size("c").alias("n"), F.size("front").alias("n_front"), evaluated("c").alias("e"), evaluated("front").alias("e_front")).agg(
+        whole("n").alias("candidates"), whole("n_front").alias("front"), whole("e").alias("evaluated_before"), whole("e_front").alias("evaluated"))
+
+
 def count_correct(cands: DataFrame, feature_names: list[str], combos: list[dict],
-                  score: Callable = _linear_score) -> DataFrame:
+                  score: Callable = _linear_score, prune: bool = True) -> DataFrame:
     """Per weight set the number of images whose best candidate is correct: (combo, correct).
 
     ``cands`` holds image_id, tile, last_tile, the order columns o1, o2, o3 (first wins on equal
-    scores), is_correct and the features.
+    scores), is_correct and the features. With ``prune`` only the skyline of an image is evaluated.
     """
     names = list(combos[0])
     weights = np.array([[float(c[n]) for n in names] for c in combos])
     fields = ["o1", "o2", "o3", "is_correct", *feature_names]
-    item = F.struct(*[F.col(c).cast("double").alias(c) if c not in ("o1", "o3") else F.col(c) for c in fields])
-    rows = (cands.groupBy("image_id", "tile").agg(
-                F.array_sort(F.collect_list(item)).alias("c"), F.max("last_tile").alias("last_tile"))
-            # one kind of candidate only: every weight set gives the same answer
-            .withColumn("right", F.size(F.filter("c", lambda x: x.is_correct > 0))))
+    rows = _ordered_candidates(cands, fields)
+    if prune:  # behind a generator, so that no filter below pulls the fold down with it
+        rows = rows.select("image_id", "tile", "last_tile", F.explode(F.array(F.struct(skyline(score, combos).alias("c")))).alias("__g")).select(
+            "image_id", "tile", "last_tile", "__g.c")
+    # one kind of candidate only: every weight set gives the same answer
+    rows = rows.withColumn("right", F.size(F.filter("c", lambda x: x.is_correct > 0)))
     settled = rows.filter((F.col("last_tile") == 0) & ((F.col("right") == 0) | (F.col("right") == F.size("c"))))
     open_rows = rows.filter((F.col("last_tile") > 0) | ((F.col("right") > 0) & (F.col("right") < F.size("c"))))
     arrays = open_rows.select("image_id", "last_tile", *[F.col(f"c.{n}").alias(n) for n in fields])
@@ -163,11 +225,11 @@ def count_correct(cands: DataFrame, feature_names: list[str], combos: list[dict]
                             "o2": 0.0, "o3": 0, "correct": totals})
 
     parts = arrays.mapInPandas(evaluate, "image_id string, combo int, score double, o1 int, o2 double, o3 long, correct long")
-    tiled = (parts.filter("image_id IS NOT NULL").groupBy("image_id", "combo")
-             .agg(F.max_by("correct", F.struct("score", (-F.col("o1")).alias("a"), (-F.col("o2")).alias("b"),
-                                               (-F.col("o3")).alias("c"))).alias("correct")).drop("image_id"))
-    sums = (parts.filter("image_id IS NULL").select("combo", "correct").unionByName(tiled)
-            .groupBy("combo").agg(F.sum("correct").alias("correct")))
+    # totals have no image id; tiles of a huge image compete for each weight set. One aggregate, as parts would be worked out for each reading
+    sums = (parts.groupBy("image_id", "combo").agg(
+        F.sum("correct").alias("total"),
+        F.max_by("correct", F.struct("score", (-F.col("o1")).alias("a"), (-F.col("o2")).alias("b"), (-F.col("o3")).alias("c"))).alias("best"))
+        .groupBy("combo").agg(F.sum(F.when(F.col("image_id").isNull(), F.col("total")).otherwise(F.col("best"))).alias("correct")))
     fixed = settled.agg(F.coalesce(F.sum(F.when(F.col("right") > 0, 1).otherwise(0)), F.lit(0)).alias("fixed"))
     every = cands.sparkSession.range(len(combos)).select(F.col("id").cast("int").alias("combo"))
     return (every.join(sums, "combo", "left").crossJoin(F.broadcast(fixed))     # one-row side
