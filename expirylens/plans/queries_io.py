@@ -197,6 +197,13 @@ def k7(spark, d):
     return O.detector_label_lines(X.boxes(spark, d), "date_due_full")
 
 
+@query("k7_write_detector_labels", sql("SELECT image_id, CAST(CASE class WHEN 3 THEN 2 ELSE class END AS INTEGER) AS class, CASE class WHEN 3 THEN 2 ELSE class END || printf(' %.6f %.6f %.6f %.6f', cx, cy, width, height) AS value FROM box WHERE class IN (0, 1, 3)", "box"))
+def k7_written(spark, d):
+    path = shared_folder(spark)
+    O.write_detector_labels(X.boxes(spark, d), path, "date_due_full")
+    return I.read_detector_labels(spark, path).select("image_id", "class", "value")
+
+
 @query("k8_write_leaderboard", sql("SELECT run, CAST(row_number() OVER (PARTITION BY test_set ORDER BY em DESC NULLS LAST, run) AS VARCHAR) AS rank FROM rr WHERE run_kind = 'fresh-ocr'", **_R))
 def k8(spark, d):
     path = shared_folder(spark)

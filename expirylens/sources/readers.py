@@ -213,3 +213,17 @@ def content_checksums(spark: SparkSession, path: str) -> DataFrame:
     """CRC-32 of every image below a folder: image_id, path, crc (decimal string)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.col("path").rlike(_IMAGE))
     return files.select(file_stem(F.col("path")).alias("image_id"), "path", F.crc32("content").cast("string").alias("crc"))
+
+
+def read_detector_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Label lines of ``writers.write_detector_labels``: image_id (empty for a null one), class, cx, cy, width, height and the line itself.
+
+    The line follows the last tab; one that has not five parts is dropped.
+    """
+    line = F.substring_index("value", "\t", -1)
+    parts = F.split(line, " ")
+    number = lambda i: F.get(parts, F.lit(i)).try_cast("double")
+    return spark.read.text(path).filter(F.contains("value", F.lit("\t")) & (F.size(parts) == 5)).select(
+        F.expr("left(value, length(value) - length(substring_index(value, '\t', -1)) - 1)").alias("image_id"),
+        F.get(parts, F.lit(0)).try_cast("int").alias("class"), number(1).alias("cx"), number(2).alias("cy"),
+        number(3).alias("width"), number(4).alias("height"), line.alias("value"))

@@ -71,11 +71,17 @@ def detector_label_lines(boxes: DataFrame, class_mode: str = "region4") -> DataF
         "%d %.6f %.6f %.6f %.6f", "class", "cx", "cy", "width", "height").alias("value"))
 
 
-def write_detector_labels(boxes: DataFrame, path: str, class_mode: str = "region4", mode: str = "errorifexists") -> None:
-    """One folder of label lines per image, classes remapped."""
-    lines = detector_label_lines(boxes, class_mode)
-    (lines.repartition("image_id").sortWithinPartitions("image_id", "box_index").select("image_id", "value")
-     .write.mode(mode).partitionBy("image_id").text(path))
+def write_detector_labels(boxes: DataFrame, path: str, class_mode: str = "region4", mode: str = "errorifexists",
+                          buckets: int = 64) -> None:
+    """Label lines, classes remapped, in ``buckets`` folders by a hash of the image: ``<image> TAB <line>``.
+
+    An image's lines stand together in one file, in box order; the number of files does not grow with the images.
+    ``readers.read_detector_labels`` reads them back.
+    """
+    lines = detector_label_lines(boxes, class_mode).withColumn("bucket", F.pmod(F.xxhash64("image_id"), F.lit(buckets)).cast("int"))
+    (lines.repartition(buckets, "bucket").sortWithinPartitions("bucket", "image_id", "box_index")
+     .select("bucket", F.concat_ws("\t", F.coalesce("image_id", F.lit("")), "value").alias("value"))
+     .write.mode(mode).partitionBy("bucket").text(path))
 
 
 def write_leaderboard(rows: DataFrame, path: str, order: list[Column], fmt: str = "csv", mode: str = "errorifexists") -> None:
