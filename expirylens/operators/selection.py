@@ -66,9 +66,13 @@ WEIGHT_NAMES = ("keyword_weight", "negative_keyword_weight", "confidence_weight"
 
 
 def with_overrides(params: ScoreParams, **overrides) -> ScoreParams:
-    """Copy with overrides; dotted names such as ``selector.params.keyword_weight`` are accepted."""
+    """Copy with overrides, each a bare name or a path of the configuration (``selector.params.keyword_weight``).
+
+    A name below any other path is unknown.
+    """
     names = {f.name for f in fields(params)}
-    flat = {k.rsplit(".", 1)[-1]: v for k, v in overrides.items()}
+    flat = {k.removeprefix("selector.").removeprefix("params.") if k.startswith(("selector.params.", "params.")) else k: v
+            for k, v in overrides.items()}
     unknown = set(flat) - names
     if unknown:
         raise ValueError(f"Unknown parameters {sorted(unknown)}; available: {sorted(names)}")

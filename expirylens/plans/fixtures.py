@@ -200,3 +200,16 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("images"), F.round(F.avg("value"), 6).alias("mean_value"),
         F.round(F.max("value"), 6).alias("max_value"),
         F.sum(F.when(F.col("value") > 50, 1).otherwise(0)).alias("hits"))
+
+
+def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """config_id, config, key, value: a nested configuration for each part, in six shapes, and one of five dotted overrides."""
+    size = F.col("p_size").cast("string")
+    pick = lambda n, *values: F.element_at(F.array(*values), (F.col("p_partkey") % n + 1).cast("int"))
+    text = pick(6, F.concat(F.lit('{"selector": {"plugin": "keyword_regex", "params": {"keyword_weight": '), size, F.lit('}}, "ocr": "mock"}')),
+                F.lit('{"selector": "union_spatial"}'), F.lit("{}"), F.lit('{"selector": {"params": {"position_weight": 0.25}}, "normalizer": null}'),
+                F.lit('{"selector": {"plugin": "keyword_regex", "params": null}}'), F.lit('{"selector": {"plugin": 7, "params": {}}, "a": {"b": {"c": 1}}}'))
+    key = pick(5, *[F.lit(k) for k in ("selector.params.keyword_weight", "a.b.c", "ocr", "selector.plugin", "x.y.z.w")])
+    value = pick(5, F.concat(size, F.lit("5")), size, F.lit('"other"'), F.lit('"union_spatial"'), F.lit("true"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("config_id"), F.parse_json(text).alias("config"),
+                                               key.alias("key"), F.parse_json(value).alias("value"))

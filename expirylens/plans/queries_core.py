@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from expirylens.functions import dates as D, geometry as G, text as T
-from expirylens.operators import candidates as C, normalize as N, selection as S
+from expirylens.operators import candidates as C, configs as K, normalize as N, selection as S
 from expirylens.operators.lines import reconstruct_lines
 from expirylens.plans import fixtures as X
 from expirylens.plans.catalog import query
@@ -441,3 +441,41 @@ def p1(spark, d):
     """Selector and normalizer by name with dotted parameter overrides."""
     return predict(X.tokens(spark, d), X.images(spark, d), "union_spatial", {
         "selector.params.allow_day_first": True, "selector.params.allow_month_names": True}).select("image_id", "final_date")
+
+
+_CONFIG = {
+    "cf": """SELECT p_partkey AS config_id, p_size::VARCHAR AS size, CASE p_partkey % 6 WHEN 0 THEN '{"selector": {"plugin": "keyword_regex", "params": {"keyword_weight": ' || p_size || '}}, "ocr": "mock"}'
+        WHEN 1 THEN '{"selector": "union_spatial"}' WHEN 2 THEN '{}' WHEN 3 THEN '{"selector": {"params": {"position_weight": 0.25}}, "normalizer": null}'
+        WHEN 4 THEN '{"selector": {"plugin": "keyword_regex", "params": null}}' ELSE '{"selector": {"plugin": 7, "params": {}}, "a": {"b": {"c": 1}}}' END::JSON AS config FROM part""",
+    "patched": """SELECT *, json_merge_patch(config, CASE config_id % 5 WHEN 0 THEN '{"selector": {"params": {"keyword_weight": ' || size || '5}}}' WHEN 1 THEN '{"a": {"b": {"c": ' || size || '}}}'
+        WHEN 2 THEN '{"ocr": "other"}' WHEN 3 THEN '{"selector": {"plugin": "union_spatial"}}' ELSE '{"x": {"y": {"z": {"w": true}}}}' END::JSON) AS p,
+        CASE WHEN config_id % 5 IN (0, 3) AND json_type(config, '$.selector') <> 'OBJECT' THEN true
+             WHEN config_id % 5 = 0 AND json_type(config, '$.selector.params') <> 'OBJECT' THEN true ELSE false END AS bad FROM cf"""}
+
+
+@query("p2_dotted_overrides", sql("""SELECT config_id, CASE WHEN bad THEN CASE config_id % 5 WHEN 0 THEN 'selector.params.keyword_weight' ELSE 'selector.plugin' END END AS invalid,
+    CASE WHEN NOT bad THEN len(json_keys(p)) END AS settings, CASE WHEN NOT bad THEN CASE json_type(p, '$.selector') WHEN 'VARCHAR' THEN p ->> '$.selector'
+        WHEN 'OBJECT' THEN coalesce(p ->> '$.selector.plugin', 'keyword_regex') ELSE 'keyword_regex' END END AS plugin,
+    CASE WHEN NOT bad THEN (p ->> '$.selector.params.keyword_weight')::DOUBLE END AS keyword_weight, CASE WHEN NOT bad THEN (p ->> '$.selector.params.position_weight')::DOUBLE END AS position_weight,
+    CASE WHEN NOT bad THEN (p ->> '$.a.b.c')::BIGINT END AS deep, CASE WHEN NOT bad THEN (p ->> '$.x.y.z.w')::BOOLEAN END AS created, CASE WHEN NOT bad THEN coalesce(p ->> '$.ocr', 'mock') END AS ocr
+    FROM patched""", **_CONFIG))
+def p2(spark, d):
+    """Each configuration after its override, and the components it names then."""
+    c = X.configs(spark, d)
+    c = K.with_settings(c, F.array(F.struct("key", "value")))
+    get = lambda path, kind: F.try_variant_get("config", path, kind)
+    spec = c.withColumns({"selector": K.component_spec(F.col("config"), "selector", "keyword_regex"), "ocr": K.component_spec(F.col("config"), "ocr", "mock")})
+    number = lambda name: F.try_variant_get("selector.params", f"$.{name}", "double").alias(name)
+    return spec.select("config_id", "invalid", F.size(F.map_keys(K.mapping(F.col("config")))).cast("long").alias("settings"), F.col("selector.plugin").alias("plugin"),
+                       number("keyword_weight"), number("position_weight"), get("$.a.b.c", "long").alias("deep"),
+                       get("$.x.y.z.w", "boolean").alias("created"), F.col("ocr.plugin").alias("ocr"))
+
+
+@query("p2_sweep", sql("""SELECT config_id, v AS variant_index, (CASE WHEN json_type(config, '$.selector') <> 'OBJECT' OR json_type(config, '$.selector.params') <> 'OBJECT' THEN NULL ELSE v // 2 + 0.5 END)::DOUBLE AS keyword_weight,
+    (CASE WHEN json_type(config, '$.selector') <> 'OBJECT' OR json_type(config, '$.selector.params') <> 'OBJECT' THEN NULL ELSE v % 2 END)::DOUBLE AS calendar_weight FROM cf, range(6) AS r(v)""", **_CONFIG))
+def p2_sweep(spark, d):
+    """Every configuration under six combinations of two weights."""
+    s = K.sweep(X.configs(spark, d).select("config_id", "config"), {
+        "selector.params.keyword_weight": ["0.5", "1.5", "2.5"], "selector.params.calendar_weight": ["0", "1"]})
+    return s.select("config_id", F.col("variant_index").cast("long").alias("variant_index"), *[
+        F.try_variant_get("config", f"$.selector.params.{n}", "double").alias(n) for n in ("keyword_weight", "calendar_weight")])

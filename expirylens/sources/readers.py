@@ -215,6 +215,16 @@ def content_checksums(spark: SparkSession, path: str) -> DataFrame:
     return files.select(file_stem(F.col("path")).alias("image_id"), "path", F.crc32("content").cast("string").alias("crc"))
 
 
+def read_configs(spark: SparkSession, path: str) -> DataFrame:
+    """Experiment configurations, one JSON file each: name (without folder and suffix), config (VARIANT, null if it can't be parsed).
+
+    A file with nothing but white space is an empty configuration.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    text = F.when(trim_ws(F.col("value")) == "", "{}").otherwise(F.col("value"))
+    return files.select(file_stem(F.col("_metadata.file_name")).alias("name"), F.try_parse_json(text).alias("config"))
+
+
 def read_detector_labels(spark: SparkSession, path: str) -> DataFrame:
     """Label lines of ``writers.write_detector_labels``: image_id (empty for a null one), class, cx, cy, width, height and the line itself.
 
