@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from expirylens.functions.dates import final_date_sql, normalized_options
 from expirylens.functions.geometry import box_iou, crop_rect, make_box
 from expirylens.functions.text import is_full_date
+from expirylens.operators.box_grid import meet_boxes
 from expirylens.operators.ordering import join_by_tile, top_per_group
 from expirylens.operators.selection import candidate_tile
 from expirylens.schemas import tile_of
@@ -31,12 +32,12 @@ def box_blocks(boxes: DataFrame, *fields: str) -> DataFrame:
 def token_box_overlap(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
     """Per token with a box: best IoU with any region box, and with a date (class 0) box.
 
-    A token meets arrays of boxes, so tokens and boxes are never paired as rows.
+    A token meets arrays of the boxes in its cells, so tokens and boxes are never paired as rows.
     """
     t = tokens.filter(F.col("bbox").isNotNull()).select("image_id", "token_index", "text", "bbox",
                                                         tile_of(F.col("token_index")).alias("tile"))
     best = lambda arr: F.array_max(F.transform(arr, lambda b: box_iou(F.col("bbox"), b.bbox)))
-    j = join_by_tile(t, box_blocks(boxes, "class", "bbox").drop("block"), "image_id", "tile")
+    j = meet_boxes(t, boxes, ["image_id"], "tile", F.floor(F.col("box_index") / BOXES_PER_BLOCK), ("class", "bbox"))
     return (j.select("image_id", "tile", "token_index", "text", best(F.col("boxes")).alias("a"),
                      best(F.filter("boxes", lambda b: b["class"] == 0)).alias("d"))
             .groupBy("image_id", "tile", "token_index", "text")
@@ -45,14 +46,16 @@ def token_box_overlap(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def overlap_by_class(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Per token and box class: best IoU."""
+    """Per token and class of the image's boxes: best IoU, 0 where none overlaps. Boxes without a place do not count."""
     t = tokens.filter(F.col("bbox").isNotNull()).select("image_id", "token_index", "bbox",
                                                         tile_of(F.col("token_index")).alias("tile"))
-    per_class = (boxes.groupBy("image_id", "class", F.floor(F.col("box_index") / BOXES_PER_BLOCK).alias("block"))
-                 .agg(F.collect_list("bbox").alias("boxes")).drop("block"))
-    best = F.array_max(F.transform("boxes", lambda b: box_iou(F.col("bbox"), b)))
-    return (join_by_tile(t, per_class, "image_id", "tile").select("image_id", "tile", "token_index", "class", best.alias("i"))
-            .groupBy("image_id", "tile", "token_index", "class").agg(F.max("i").alias("iou")).drop("tile"))
+    # the class as a struct, as boxes of no class are a kind too
+    b = boxes.filter(F.col("bbox").isNotNull()).select("image_id", F.struct("class").alias("kind"), "box_index", "bbox")
+    every = join_by_tile(t, b.select("image_id", "kind").distinct(), "image_id", "tile")
+    j = meet_boxes(every, b, ["image_id", "kind"], "tile", F.floor(F.col("box_index") / BOXES_PER_BLOCK), ("bbox",))
+    best = F.array_max(F.transform("boxes", lambda x: box_iou(F.col("bbox"), x.bbox)))
+    return (j.select("image_id", "tile", "token_index", "kind", best.alias("i")).groupBy("image_id", "tile", "token_index", "kind")
+            .agg(F.coalesce(F.max("i"), F.lit(0.0)).alias("iou")).select("image_id", "token_index", "kind.class", "iou"))
 
 
 def _with_target(labels: DataFrame) -> DataFrame:

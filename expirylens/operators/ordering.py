@@ -57,14 +57,15 @@ def renumber(tokens: DataFrame, *passes: str) -> DataFrame:
             .select(*tokens.columns))
 
 
-def join_by_tile(left: DataFrame, right: DataFrame, key: str, tile: str, how: str = "inner") -> DataFrame:
+def join_by_tile(left: DataFrame, right: DataFrame, key: str | list[str], tile: str, how: str = "inner") -> DataFrame:
     """Join rows that carry a tile number with per-key rows, spread over the key's tiles.
 
     The few per-key rows are copied to every tile that the left side has, so a key with very many rows
     is joined tile by tile, and a later aggregation by (key, tile) needs no further exchange.
     """
-    spread = right.join(left.select(key, tile).distinct(), key)
-    return left.join(spread, [key, tile], how)
+    keys = [key] if isinstance(key, str) else key
+    spread = right.join(left.select(*keys, tile).distinct(), keys)
+    return left.join(spread, [*keys, tile], how)
 
 
 # Pieces a huge group is cut into for ranking.

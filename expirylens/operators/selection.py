@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from expirylens.functions.dates import DEFAULT_RELIABILITY, PATTERNS, candidate_final_date
 from expirylens.functions.geometry import aspect_ratio, box_iou, spatial_relation
 from expirylens.functions.text import contains_any, trim_ws
+from expirylens.operators.box_grid import meet_boxes
 from expirylens.operators.ordering import rank_in_groups, top_per_group
 from expirylens.schemas import ORDINAL_STRIDE, tile_of
 
@@ -299,14 +300,10 @@ def other_source_iou(cands: DataFrame) -> DataFrame:
     """Add ``source`` and ``spatial``: best IoU with a candidate box of the other source."""
     c = cands.withColumns({"source": candidate_source(F.col("sources")),
                            "tile": candidate_tile(F.col("cand_ordinal"))})
-    boxes = (c.filter(F.col("union_box").isNotNull())
-             .groupBy("image_id", F.when(F.col("source") == "yolo", "baseline").otherwise("yolo").alias("source"),
-                      F.col("tile").alias("block"))
-             .agg(F.collect_set("union_box").alias("boxes")))
-    tiles = c.groupBy("image_id").agg(F.collect_set("tile").alias("tiles"))
-    boxes = spread_over_tiles(boxes.join(tiles, "image_id").drop("block"))
-    joined = c.join(boxes, ["image_id", "source", "tile"], "left")
-    best = F.array_max(F.transform("boxes", lambda b: box_iou(F.col("union_box"), b)))
+    boxes = c.select("image_id", F.when(F.col("source") == "yolo", "baseline").otherwise("yolo").alias("source"), "union_box",
+                     F.col("tile").alias("block"))
+    joined = meet_boxes(c, boxes, ["image_id", "source"], "tile", F.col("block"), ("union_box",), "union_box", "union_box", "left")
+    best = F.array_max(F.transform("boxes", lambda b: box_iou(F.col("union_box"), b.union_box)))
     return per_candidate(joined.withColumn("__iou", best), c.columns, {"spatial": F.coalesce(F.max("__iou"), F.lit(0.0))},
                          keys=("image_id", "tile", "source", "cand_ordinal")).drop("tile")
 
