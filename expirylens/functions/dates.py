@@ -347,6 +347,16 @@ def parse_date_text(text: str, pattern: str = "", day_first: bool = False, month
         p.s.valid.alias("calendar_valid"), p.label.alias("pattern")))
 
 
+def parsed_texts(texts: DataFrame, text: str = "text", day_first: bool = False, month_names: bool = False) -> DataFrame:
+    """(text, p) for each different value of the column that can be read as a date, ``p`` as in ``parse_date_text``.
+
+    The grammar runs once for each text; rows get their reading by a join, as texts repeat.
+    """
+    known = texts.select(text).filter(F.col(text).rlike("[0-9OoIil|]")).distinct()
+    read = known.select(text, F.explode(F.array(parse_date_text(text, "", day_first, month_names))).alias("p"))
+    return read.filter("p IS NOT NULL")
+
+
 # Fixed value: the label vocabulary, including the two older spellings of a missing part.
 LABEL_SHAPE = r"(?i)\A(\d{4}|NONE)-(\d{2})-(\d{2}|None)\z"
 
