@@ -36,6 +36,14 @@ def read_token_sidecars(spark: SparkSession, path: str) -> DataFrame:
                                     F.from_json("value", T.ArrayType(TOKEN_JSON)).alias("tokens")))
 
 
+def read_token_sidecar_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Token arrays of ``writers.write_sidecar_lines``, as ``read_token_sidecars`` gives them."""
+    parts = F.split("value", "\t", 2)
+    return _token_rows(spark.read.text(path).select(
+        file_stem(F.regexp_replace(parts[0], r"\.ocr\.json$", "")).alias("image_id"),
+        F.from_json(parts[1], T.ArrayType(TOKEN_JSON)).alias("tokens")))
+
+
 def read_token_cache(spark: SparkSession, paths: str | list[str], on_duplicate: str = "last",
                      drop_malformed: bool = False) -> DataFrame:
     """Token cache lines ``{"image_id", "tokens": [...]}``, one image per line; blank lines are skipped.
@@ -153,13 +161,25 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
         return (spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
                 .option("pathGlobFilter", "*.json").json(root).withColumn("run", path).filter(path.rlike(_artefact(name)))
                 .withColumn("run", F.regexp_replace("run", _artefact(name), "")))
-    m = read("run_manifest", _MANIFEST).select(
+    runs = _described(read("metrics", _METRICS), read("run_manifest", _MANIFEST))
+    return runs.withColumn("run_name", F.element_at(F.split("run", "/"), -1))
+
+
+def read_run_table(spark: SparkSession, root: str) -> DataFrame:
+    """The runs of ``writers.write_run_table``, one row each, as ``read_runs`` gives them; ``run`` is the name as written."""
+    def read(kind: str, schema: T.StructType) -> DataFrame:
+        return spark.read.schema(T.StructType([T.StructField("run", T.StringType()), *schema])).json(f"{root}/{kind}")
+    return _described(read("metrics", _METRICS), read("run_manifest", _MANIFEST)).withColumn("run_name", F.col("run"))
+
+
+def _described(metrics: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Metrics with the settings of their manifest beside them."""
+    m = manifest.select(
         "run", "input_dir", "image_ids_path", F.coalesce("tokens_cache_used", F.lit(False)).alias("tokens_cache_used"),
         F.col("config.name").alias("config_name"), F.col("config.ocr.plugin").alias("ocr_plugin"),
         F.col("config.ocr.params").alias("ocr_params"), F.col("config.preprocess.plugin").alias("preprocess_plugin"),
         F.col("config.selector.params").alias("selector_params"))
-    runs = read("metrics", _METRICS).join(m, "run", "left")
-    return runs.withColumn("run_name", F.element_at(F.split("run", "/"), -1))
+    return metrics.join(m, "run", "left")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -50,6 +50,23 @@ def write_metrics(metrics: DataFrame, root: str, manifest: DataFrame | None = No
             (df.withColumn("what", F.lit(kind)).write.mode("append").partitionBy("run", "what").json(root))
 
 
+def write_run_table(metrics: DataFrame, manifest: DataFrame, root: str, mode: str = "errorifexists") -> None:
+    """Metrics and manifests (column run) as JSON lines, one run a line, below ``<root>/metrics`` and ``<root>/run_manifest``.
+
+    For registries of very many runs: the number of files does not grow with them. ``readers.read_run_table`` reads them back.
+    """
+    for kind, df in (("metrics", metrics), ("run_manifest", manifest)):
+        df.write.mode(mode).json(f"{root}/{kind}")
+
+
+def write_sidecar_lines(sidecars: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Sidecars (name, value: the JSON array of tokens) as lines ``<name> TAB <value>``; files do not grow with the sidecars.
+
+    ``readers.read_token_sidecar_lines`` reads them back.
+    """
+    sidecars.select(F.concat_ws("\t", "name", "value").alias("value")).write.mode(mode).text(path)
+
+
 def write_clean_flagged(audited: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Both halves of an audit in one pass: ``is_clean=true`` and ``is_clean=false`` folders."""
     (audited.select(*LABEL_COLUMNS, "num_flags", "flags", "is_clean").write.mode(mode)

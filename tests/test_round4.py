@@ -1,6 +1,9 @@
-"""Work that follows the different texts, not the rows."""
+"""Work that follows the different texts, not the rows; files that do not grow with the entries."""
+
+from pyspark.sql import functions as F
 
 from expirylens.functions import dates as D
+from expirylens.sources import readers as I, writers as O
 
 
 def test_parsed_texts_has_one_row_for_each_text(spark):
@@ -11,3 +14,30 @@ def test_parsed_texts_has_one_row_for_each_text(spark):
     assert known.count() == plain.select("text").distinct().count() < plain.count()
     joined = t.join(known, "text").select("id", "text", "p.*")
     assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def _files(path):
+    return [f for f in path.rglob("part-*") if f.is_file()]
+
+
+def test_run_table_reads_as_run_folders_with_files_that_do_not_grow(spark, tmp_path):
+    runs = spark.range(300).select(F.concat(F.lit("run_"), "id").alias("run"), F.col("id").alias("image_count"), (F.col("id") / 7).alias("candidate_recall"),
+                                   F.when(F.col("id") % 2 == 0, "/x/set").alias("input_dir"), (F.col("id") % 3 == 0).alias("tokens_cache_used"),
+                                   F.struct(F.col("id").cast("string").alias("name")).alias("config")).coalesce(4)
+    metrics, manifest = runs.select("run", "image_count", "candidate_recall"), runs.select("run", "input_dir", "tokens_cache_used", "config")
+    O.write_run_table(metrics, manifest, str(tmp_path / "table"))
+    O.write_metrics(metrics.limit(20), str(tmp_path / "folders"), manifest)
+    columns = ["run_name", "image_count", "candidate_recall", "input_dir", "tokens_cache_used", "config_name"]
+    table = I.read_run_table(spark, str(tmp_path / "table")).select(*columns)
+    assert table.count() == 300 and len(_files(tmp_path / "table")) <= 16
+    folders = I.read_runs(spark, str(tmp_path / "folders")).withColumn("run_name", F.regexp_replace("run_name", "^run=", "")).select(*columns)
+    assert folders.count() == 20 and folders.exceptAll(table).count() == 0
+
+
+def test_sidecar_lines_keep_names_and_positions(spark, tmp_path):
+    rows = spark.range(200).select(F.concat(F.lit("img_"), "id", F.lit(".png.ocr.json")).alias("name"), F.to_json(F.array(
+        F.struct(F.lit("a\tb\nc").alias("text"), F.lit(0.5).alias("confidence")), F.struct(F.col("id").cast("string").alias("text"), F.lit(0.25).alias("confidence")))).alias("value"))
+    O.write_sidecar_lines(rows.coalesce(4), str(tmp_path / "lines"))
+    assert len(_files(tmp_path / "lines")) <= 4
+    got = I.read_token_sidecar_lines(spark, str(tmp_path / "lines")).select("image_id", "token_index", "text").collect()
+    assert sorted(map(tuple, got)) == sorted([(f"img_{i}", 0, "a\tb\nc") for i in range(200)] + [(f"img_{i}", 1, str(i)) for i in range(200)])
