@@ -178,12 +178,80 @@ def pruned_work(cands: DataFrame, feature_names: list[str], combos: list[dict],
         whole("n").alias("candidates"), whole("n_front").alias("front"), whole("e").alias("evaluated_before"), whole("e_front").alias("evaluated"))
 
 
+# Weights of a part that stands without one: they add up to a constant for each value of its feature.
+_WEIGHTS_OF = {"is_yolo": ("yolo_source", "yolo_bonus", "baseline_source")}
+
+
+def _of_images(f: dict[str, np.ndarray], sizes: np.ndarray, chosen: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The candidates of the chosen images (a mask) and their numbers."""
+    rows = np.repeat(chosen, sizes)
+    return {n: v[rows] for n, v in f.items()}, sizes[chosen]
+
+
+def _best(score: Callable, names: list[str], part: np.ndarray, f: dict[str, np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per weight set and image the best score and the first candidate that has it."""
+    starts = np.cumsum(sizes) - sizes
+    position = np.arange(sizes.sum())
+    s = score({n: part[:, [i]] for i, n in enumerate(names)}, f)
+    top = np.maximum.reduceat(s, starts, axis=1)
+    first = np.where(s == np.repeat(top, sizes, axis=1), position, len(position))
+    return top, np.minimum.reduceat(first, starts, axis=1)
+
+
+def _right_images_exactly(score: Callable, names: list[str], weights: np.ndarray, f: dict[str, np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Per weight set the number of images whose best candidate is correct."""
+    return np.concatenate([f["is_correct"][_best(score, names, weights[at:at + _CHUNK], f, sizes)[1]].sum(axis=1).astype(np.int64)
+                           for at in range(0, len(weights), _CHUNK)])
+
+
+def _right_images(score: Callable, names: list[str], weights: np.ndarray, f: dict[str, np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """The same counts, each image evaluated only under weights that can tell its candidates apart.
+
+    A weight whose feature is equal in all candidates of an image moves their scores alike, so weight sets that agree in the
+    other weights choose alike. Images are grouped by the weights that count, and one set stands for all that agree in them.
+    Where the best correct and the best wrong candidate are nearer than rounding may reach, all sets are evaluated.
+    """
+    starts = np.cumsum(sizes) - sizes
+    counts, reach = np.zeros((len(sizes), len(names)), dtype=bool), 1.0
+    for features, weight, _ in _PARTS[score]:
+        x = np.prod([f[n] for n in features], axis=0)
+        differs = np.maximum.reduceat(x, starts) != np.minimum.reduceat(x, starts)
+        of_part = [names.index(n) for n in ((weight,) if weight else _WEIGHTS_OF.get(features[0], ())) if n in names]
+        counts[:, of_part] |= differs[:, None]
+        reach += np.abs(x).max() * (np.abs(weights[:, of_part]).max(axis=0).sum() if of_part else 1.0)
+    near = 1e-12 * reach        # far above the rounding of a dozen sums
+    totals = np.zeros(len(weights), dtype=np.int64)
+    masks, mask_of = np.unique(counts, axis=0, return_inverse=True)
+    mask_of = mask_of.reshape(-1)
+    for m, mask in enumerate(masks):
+        own, own_sizes = _of_images(f, sizes, mask_of == m)
+        own_starts = np.cumsum(own_sizes) - own_sizes
+        shown = np.where(mask, weights, 0.0)      # weights that do not count are one value
+        _, first, kind_of = np.unique(shown, axis=0, return_index=True, return_inverse=True)
+        kind_of = kind_of.reshape(-1)
+        right, unsure = np.zeros(len(first), dtype=np.int64), []
+        for at in range(0, len(first), _CHUNK):
+            part = weights[first[at:at + _CHUNK]]
+            s = score({n: part[:, [i]] for i, n in enumerate(names)}, own)
+            good, bad = (np.maximum.reduceat(np.where(side, s, -np.inf), own_starts, axis=1)
+                         for side in (own["is_correct"] > 0, own["is_correct"] <= 0))
+            sure = np.abs(good - bad) > near
+            right[at:at + len(part)] = (sure & (good > bad)).sum(axis=1)
+            unsure += [(at + k, ~sure[k]) for k in np.flatnonzero(~sure.all(axis=1))]
+        totals += right[kind_of]
+        for k, images in unsure:
+            every = np.flatnonzero(kind_of == k)
+            totals[every] += _right_images_exactly(score, names, weights[every], *_of_images(own, own_sizes, images))
+    return totals
+
+
 def count_correct(cands: DataFrame, feature_names: list[str], combos: list[dict],
                   score: Callable = _linear_score, prune: bool = True) -> DataFrame:
     """Per weight set the number of images whose best candidate is correct: (combo, correct).
 
     ``cands`` holds image_id, tile, last_tile, the order columns o1, o2, o3 (first wins on equal
-    scores), is_correct and the features. With ``prune`` only the skyline of an image is evaluated.
+    scores), is_correct and the features. With ``prune`` only the skyline of an image is evaluated, and only under weights
+    that tell its candidates apart.
     """
     names = list(combos[0])
     weights = np.array([[float(c[n]) for n in names] for c in combos])
@@ -204,23 +272,22 @@ def count_correct(cands: DataFrame, feature_names: list[str], combos: list[dict]
             if pdf.empty:
                 continue
             sizes = pdf["o1"].map(len).to_numpy()
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             f = {n: np.concatenate(pdf[n].to_numpy()) for n in fields}
-            position = np.arange(sizes.sum())
             single = pdf["last_tile"].to_numpy() == 0
-            for at in range(0, len(weights), _CHUNK):
-                part = weights[at:at + _CHUNK]
-                s = score({n: part[:, [i]] for i, n in enumerate(names)}, f)
-                top = np.maximum.reduceat(s, starts, axis=1)
-                first = np.where(s == np.repeat(top, sizes, axis=1), position, len(position))
-                best = np.minimum.reduceat(first, starts, axis=1)
-                ok = f["is_correct"][best]
-                totals[at:at + len(part)] += ok[:, single].sum(axis=1).astype(np.int64)
-                for j in np.flatnonzero(~single):
+            if single.any():
+                own, own_sizes = _of_images(f, sizes, single)
+                totals += _right_images(score, names, weights, own, own_sizes) if prune else \
+                    _right_images_exactly(score, names, weights, own, own_sizes)
+            for j in np.flatnonzero(~single):
+                mine = _of_images(f, sizes, np.arange(len(sizes)) == j)
+                for at in range(0, len(weights), _CHUNK):
+                    part = weights[at:at + _CHUNK]
+                    top, best = _best(score, names, part, *mine)
+                    top, best, of = top[:, 0], best[:, 0], mine[0]
                     yield pd.DataFrame({
                         "image_id": pdf["image_id"].iloc[j], "combo": np.arange(at, at + len(part)),
-                        "score": top[:, j], "o1": f["o1"][best[:, j]].astype(int), "o2": f["o2"][best[:, j]],
-                        "o3": f["o3"][best[:, j]].astype(int), "correct": ok[:, j].astype(int)})
+                        "score": top, "o1": of["o1"][best].astype(int), "o2": of["o2"][best],
+                        "o3": of["o3"][best].astype(int), "correct": of["is_correct"][best].astype(int)})
         yield pd.DataFrame({"image_id": None, "combo": np.arange(len(weights)), "score": 0.0, "o1": 0,
                             "o2": 0.0, "o3": 0, "correct": totals})
 

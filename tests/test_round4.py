@@ -1,8 +1,10 @@
 """Work that follows the different texts, not the rows; files that do not grow with the entries."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from expirylens.functions import dates as D
+from expirylens.operators import search as Q, selection as S
 from expirylens.sources import readers as I, writers as O
 
 
@@ -41,3 +43,30 @@ def test_sidecar_lines_keep_names_and_positions(spark, tmp_path):
     assert len(_files(tmp_path / "lines")) <= 4
     got = I.read_token_sidecar_lines(spark, str(tmp_path / "lines")).select("image_id", "token_index", "text").collect()
     assert sorted(map(tuple, got)) == sorted([(f"img_{i}", 0, "a\tb\nc") for i in range(200)] + [(f"img_{i}", 1, str(i)) for i in range(200)])
+
+
+def test_only_weights_that_count_are_evaluated_and_near_ties_exactly():
+    r = np.random.default_rng(7)
+    names = list(S.WEIGHT_NAMES)
+    combos = [{n: getattr(S.ScoreParams(), n) for n in names} | c for c in Q.product_grid(Q.DEFAULT_GRID)]
+    weights = np.array([[float(c[n]) for n in names] for c in combos])
+    sizes = r.integers(2, 5, 200)
+    # few values, so that many scores differ by rounding only
+    f = {n: r.choice([0.0, 0.1, 0.2, 0.3], sizes.sum()) for n in S.FEATURE_COLUMNS}
+    for n in ("calendar", "is_partial", "is_time_like", "source_prior", "negative_keyword"):
+        f[n] = np.ones(sizes.sum())
+    f["is_correct"] = r.integers(0, 2, sizes.sum()).astype(float)
+    cells = [0]
+
+    def counted(w, x):
+        s = Q._linear_score(w, x)
+        cells[0] += s.size
+        return s
+    Q._PARTS[counted] = Q._PARTS[Q._linear_score]
+    try:
+        fast = Q._right_images(counted, names, weights, f, sizes)
+        few, cells[0] = cells[0], 0
+        assert fast.tolist() == Q._right_images_exactly(counted, names, weights, f, sizes).tolist()
+        assert few * 5 < cells[0]
+    finally:
+        del Q._PARTS[counted]
