@@ -176,7 +176,9 @@ def boxes_by_split(box_rows: DataFrame, splits: DataFrame) -> DataFrame:
 def teacher_agreement(crops: DataFrame, labels: DataFrame) -> DataFrame:
     """Crops whose recognised text can be read as the label; the best per image by (score, due)."""
     lab = labels.filter(is_full_date(F.col("final_date"))).select("image_id", F.col("final_date").alias("label"))
-    ok = crops.join(lab, "image_id").filter(F.array_contains(normalized_options(F.col("raw")), F.col("label")))
+    # each different text is read once; the readings are explode's output, so that no filter evaluates them again
+    known = crops.select("raw").filter("raw IS NOT NULL").distinct().select("raw", F.explode(F.array(normalized_options(F.col("raw")))).alias("__read"))
+    ok = crops.join(lab, "image_id").join(known, "raw").filter(F.array_contains("__read", F.col("label"))).select(*crops.columns, "label")
     return top_per_group(ok, ["image_id"], [F.desc("rec_score"), F.desc(F.col("class") == 1), F.asc("candidate_index")]).drop("rank")
 
 

@@ -152,15 +152,21 @@ def a32(spark, d):
     return A.duplicate_ids(_docs(spark, d).select(F.md5("text").alias("image_id")))
 
 
-@query("r19_teacher_agreement", sql("""SELECT image_id, candidate_index FROM (SELECT d.*, row_number() OVER (PARTITION BY d.image_id ORDER BY rec_score DESC, (class = 1) DESC, candidate_index) AS r
-    FROM det d JOIN lab l USING (image_id) WHERE l.final_date = strftime(d.d, '%Y-%m-%d') AND d.rn % 5 <> 4 AND NOT EXISTS (SELECT 1 WHERE false)) WHERE r = 1""", "det", "lab"))
+# every reading that normalized_options gives a printed date, the chance ones of two-digit years among them (24/11/2020 reads 2024-01-01 too)
+_AGREES = {"ag": """SELECT *, list_contains(CASE rn % 5 WHEN 2 THEN [y || '-' || m || '-' || dd, '20' || dd || '-0' || m[1] || '-0' || m[2], '20' || y[1:2] || '-0' || y[3] || '-0' || y[4]]
+    WHEN 3 THEN [y || '-' || m || '-' || dd, m || dd || '-' || y[3:4] || '-' || y[1:2]] WHEN 4 THEN ['20' || y[1:2] || '-0' || y[3] || '-0' || y[4]]
+    ELSE [y || '-' || m || '-' || dd, '20' || y[1:2] || '-' || y[3:4] || '-' || m] END, final_date) AS agrees
+    FROM (SELECT d.*, l.final_date, strftime(d.d, '%Y') AS y, strftime(d.d, '%m') AS m, strftime(d.d, '%d') AS dd FROM det d JOIN lab l USING (image_id) WHERE l.final_date <> 'NONE')"""}
+
+
+@query("r19_teacher_agreement", sql("""SELECT image_id, candidate_index FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY rec_score DESC, (class = 1) DESC, candidate_index) AS r
+    FROM ag WHERE agrees) WHERE r = 1""", "det", "lab", **_AGREES))
 def r19(spark, d):
     return B.teacher_agreement(X.detector(spark, d), X.labels(spark, d)).select("image_id", "candidate_index")
 
 
-@query("r19_teacher_agreement_rate", sql("""SELECT count(DISTINCT CASE WHEN l.final_date = strftime(d.d, '%Y-%m-%d') AND d.rn % 5 <> 4 THEN image_id END) AS agreement_images,
-    (SELECT count(*) FROM lab WHERE final_date <> 'NONE') AS eligible_images, round(count(DISTINCT CASE WHEN l.final_date = strftime(d.d, '%Y-%m-%d') AND d.rn % 5 <> 4 THEN image_id END)
-    / (SELECT count(*) FROM lab WHERE final_date <> 'NONE'), 6) AS agreement_rate FROM det d JOIN lab l USING (image_id)""", "det", "lab"))
+@query("r19_teacher_agreement_rate", sql("""SELECT count(DISTINCT CASE WHEN agrees THEN image_id END) AS agreement_images, (SELECT count(*) FROM lab WHERE final_date <> 'NONE') AS eligible_images,
+    round(count(DISTINCT CASE WHEN agrees THEN image_id END) / (SELECT count(*) FROM lab WHERE final_date <> 'NONE'), 6) AS agreement_rate FROM ag""", "det", "lab", **_AGREES))
 def r19_rate(spark, d):
     return B.teacher_agreement_rate(B.teacher_agreement(X.detector(spark, d), X.labels(spark, d)), X.labels(spark, d), X.images(spark, d)).withColumn(
         "agreement_rate", F.round("agreement_rate", 6))

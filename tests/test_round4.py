@@ -1,10 +1,14 @@
 """Work that follows the different texts, not the rows; files that do not grow with the entries."""
 
+import datetime as dt
+
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from expirylens.functions import dates as D
 from expirylens.operators import search as Q, selection as S
+from expirylens.plans import catalog, fixtures as X
 from expirylens.sources import readers as I, writers as O
 
 
@@ -70,3 +74,19 @@ def test_only_weights_that_count_are_evaluated_and_near_ties_exactly():
         assert few * 5 < cells[0]
     finally:
         del Q._PARTS[counted]
+
+
+def test_agreement_counts_every_reading_in_query_and_sql(spark, tmp_path):
+    day = lambda text: dt.datetime.fromisoformat(text) - dt.timedelta(days=X.SHIFT_DAYS)
+    dates = {1: ["2021-02-20", "2020-11-24", "2024-01-01"], 2: ["2022-05-06", "2021-12-23", "2023-01-02"], 3: ["2023-09-26", "2021-11-25", "2023-07-25", "2025-01-01"]}
+    lines = [(k, 1, 1, i, 1.0, 1.0, 0.05, 0.01, "N", "O", day(d)) for k, ds in dates.items() for i, d in enumerate(ds)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                          "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, "O", day("2020-01-01")) for k in dates], "o_orderkey long, o_orderstatus string, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    catalog.load_all()
+    for name, n in (("r19_teacher_agreement", 3), ("r19_teacher_agreement_rate", 1)):
+        got = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert got == sorted(con.execute(catalog.ORACLES[name]).fetchall()) and len(got) == n
