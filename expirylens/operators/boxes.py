@@ -215,10 +215,14 @@ def pseudo_label_agreement(pseudo: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def low_confidence_images(tokens: DataFrame, images: DataFrame, threshold: float = 0.20) -> DataFrame:
-    """Images without tokens or with a mean confidence below the threshold."""
-    mean = tokens.groupBy("image_id").agg(F.avg("confidence").alias("mean_confidence"))
+    """Images without tokens or with a mean confidence (to 12 decimals, summed exactly) below the threshold."""
+    # exact sums, as the order of doubles would decide on means that equal the threshold; numbers no decimal holds are left to the mean
+    exact = F.col("confidence").try_cast("decimal(24,12)")
+    low = F.when(F.count(exact) == F.count("confidence"), F.sum(exact) < F.lit(threshold).cast("decimal(24,12)") * F.count(exact)).otherwise(
+        F.avg("confidence") < threshold)
+    mean = tokens.groupBy("image_id").agg(F.avg("confidence").alias("mean_confidence"), low.alias("__low"))
     return images.select("image_id").join(mean, "image_id", "left").filter(
-        F.col("mean_confidence").isNull() | (F.col("mean_confidence") < threshold))
+        F.col("mean_confidence").isNull() | F.col("__low")).drop("__low")
 
 
 def candidate_miss_breakdown(rows: DataFrame, detector: DataFrame) -> DataFrame:

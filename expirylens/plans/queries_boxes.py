@@ -239,7 +239,7 @@ def x5(spark, d):
 @query("x6_replace_low_confidence", sql("""SELECT image_id, count(*) AS tokens, max(fb) AS replaced FROM (
     SELECT image_id, 0 AS fb FROM tok WHERE token_index > 0 AND image_id NOT IN (SELECT image_id FROM sw)
     UNION ALL SELECT image_id, 1 FROM spl, range(4) WHERE image_id IN (SELECT image_id FROM sw)) GROUP BY 1""", "tok", "spl", "img",
-    sw="SELECT i.image_id FROM img i LEFT JOIN (SELECT image_id, avg(conf) AS c FROM tok WHERE token_index > 0 GROUP BY 1) t USING (image_id) WHERE (c IS NULL OR c < 0.62)"))
+    sw="SELECT i.image_id FROM img i LEFT JOIN (SELECT image_id, sum(conf::DECIMAL(18, 6)) AS c, count(*) AS n FROM tok WHERE token_index > 0 GROUP BY 1) t USING (image_id) WHERE (c IS NULL OR c < 0.62 * n)"))
 def x6(spark, d):
     first = X.tokens(spark, d).filter("token_index > 0")
     fallback = R.tag_source(X.split_tokens(spark, d), "fallback")

@@ -1,13 +1,14 @@
 """Work that follows the different texts, not the rows; files that do not grow with the entries."""
 
 import datetime as dt
+import itertools
 
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from expirylens.functions import dates as D
-from expirylens.operators import search as Q, selection as S
+from expirylens.operators import boxes as B, search as Q, selection as S
 from expirylens.plans import catalog, fixtures as X
 from expirylens.sources import readers as I, writers as O
 
@@ -76,6 +77,15 @@ def test_only_weights_that_count_are_evaluated_and_near_ties_exactly():
         del Q._PARTS[counted]
 
 
+def test_a_mean_at_the_threshold_is_not_low_in_any_order(spark):
+    steps = [c for c in itertools.product(range(0, 11), repeat=5) if sum(c) == 15][::9]       # 0.5 + 0.04 x, mean 0.62
+    rows = [(f"i{i}", round(0.5 + x * 0.04, 6)) for i, c in enumerate(steps) for x in c]
+    assert any(sum(round(0.5 + x * 0.04, 6) for x in c) / 5 < 0.62 for c in steps)
+    tokens = spark.createDataFrame(rows + [("low", 0.61), ("nan", float("nan")), ("null", None)], "image_id string, confidence double")
+    images = tokens.select("image_id").distinct().unionByName(spark.createDataFrame([("bare",)], "image_id string"))
+    assert {r.image_id for r in B.low_confidence_images(tokens, images, 0.62).collect()} == {"low", "null", "bare"}
+
+
 def test_agreement_counts_every_reading_in_query_and_sql(spark, tmp_path):
     day = lambda text: dt.datetime.fromisoformat(text) - dt.timedelta(days=X.SHIFT_DAYS)
     dates = {1: ["2021-02-20", "2020-11-24", "2024-01-01"], 2: ["2022-05-06", "2021-12-23", "2023-01-02"], 3: ["2023-09-26", "2021-11-25", "2023-07-25", "2025-01-01"]}
