@@ -69,9 +69,14 @@ def j12(spark, d):
     return out.select("image_id", "token_index", (F.col("source") == "second").cast("int").alias("second"))
 
 
-@query("j13_weak_label_matches", sql("""SELECT image_id, label, text AS raw_text, greatest(0, x1::INT - 6) AS "left", greatest(0, y1::INT - 6) AS top,
-    least(400, x2::INT + 6) AS "right", least(300, y2::INT + 6) AS bottom FROM (SELECT s.*, l.final_date AS label, row_number() OVER (PARTITION BY s.image_id ORDER BY score DESC, rn) AS r
-    FROM sc s JOIN lab l USING (image_id) WHERE s.iso = l.final_date) WHERE r = 1""", "sc", "lab"))
+# a padded box that lies wholly below the image leaves no rectangle
+_RECT = """greatest(0, x1::INT - 6) AS l, greatest(0, y1::INT - 6) AS t, least(400, x2::INT + 6) AS r0, least(300, y2::INT + 6) AS b"""
+
+
+@query("j13_weak_label_matches", sql(f"""SELECT image_id, label, raw_text, CASE WHEN r0 > l AND b > t THEN l END AS "left", CASE WHEN r0 > l AND b > t THEN t END AS top,
+    CASE WHEN r0 > l AND b > t THEN r0 END AS "right", CASE WHEN r0 > l AND b > t THEN b END AS bottom FROM (
+    SELECT image_id, label, text AS raw_text, {_RECT} FROM (SELECT s.*, l.final_date AS label, row_number() OVER (PARTITION BY s.image_id ORDER BY score DESC, rn) AS r
+    FROM sc s JOIN lab l USING (image_id) WHERE s.iso = l.final_date) WHERE r = 1)""", "sc", "lab"))
 def j13(spark, d):
     return B.weak_label_matches(X.scored(spark, d), X.labels(spark, d), F.lit(400), F.lit(300)).select("image_id", "label", "raw_text", "rect.*")
 

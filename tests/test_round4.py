@@ -86,17 +86,31 @@ def test_a_mean_at_the_threshold_is_not_low_in_any_order(spark):
     assert {r.image_id for r in B.low_confidence_images(tokens, images, 0.62).collect()} == {"low", "null", "bare"}
 
 
-def test_agreement_counts_every_reading_in_query_and_sql(spark, tmp_path):
+def _orders(spark, folder, dates):
+    """The order tables for {order key: dates of its lines} and a connection that sees them."""
     day = lambda text: dt.datetime.fromisoformat(text) - dt.timedelta(days=X.SHIFT_DAYS)
-    dates = {1: ["2021-02-20", "2020-11-24", "2024-01-01"], 2: ["2022-05-06", "2021-12-23", "2023-01-02"], 3: ["2023-09-26", "2021-11-25", "2023-07-25", "2025-01-01"]}
     lines = [(k, 1, 1, i, 1.0, 1.0, 0.05, 0.01, "N", "O", day(d)) for k, ds in dates.items() for i, d in enumerate(ds)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
-                          "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
-    spark.createDataFrame([(k, "O", day("2020-01-01")) for k in dates], "o_orderkey long, o_orderstatus string, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+                          "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(str(folder / "lineitem.parquet"))
+    spark.createDataFrame([(k, "O", day("2020-01-01")) for k in dates], "o_orderkey long, o_orderstatus string, o_orderdate timestamp").write.parquet(str(folder / "orders.parquet"))
     con = duckdb.connect()
     for t in ("lineitem", "orders"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     catalog.load_all()
+    return con
+
+
+def test_agreement_counts_every_reading_in_query_and_sql(spark, tmp_path):
+    con = _orders(spark, tmp_path, {1: ["2021-02-20", "2020-11-24", "2024-01-01"], 2: ["2022-05-06", "2021-12-23", "2023-01-02"],
+                                    3: ["2023-09-26", "2021-11-25", "2023-07-25", "2025-01-01"]})
     for name, n in (("r19_teacher_agreement", 3), ("r19_teacher_agreement_rate", 1)):
         got = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
         assert got == sorted(con.execute(catalog.ORACLES[name]).fetchall()) and len(got) == n
+
+
+def test_a_weak_label_below_the_image_has_no_rectangle_in_query_and_sql(spark, tmp_path):
+    con = _orders(spark, tmp_path, {1: [f"2021-02-{i:02d}" for i in range(1, 17)], 2: ["2021-02-01", "2022-03-04"]})
+    name = "j13_weak_label_matches"
+    got = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(catalog.ORACLES[name]).fetchall())
+    assert [r[3:] for r in got] == [(None,) * 4, (164, 34, 256, 64)]
