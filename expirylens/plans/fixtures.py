@@ -211,5 +211,7 @@ def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit('{"selector": {"plugin": "keyword_regex", "params": null}}'), F.lit('{"selector": {"plugin": 7, "params": {}}, "a": {"b": {"c": 1}}}'))
     key = pick(5, *[F.lit(k) for k in ("selector.params.keyword_weight", "a.b.c", "ocr", "selector.plugin", "x.y.z.w")])
     value = pick(5, F.concat(size, F.lit("5")), size, F.lit('"other"'), F.lit('"union_spatial"'), F.lit("true"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("config_id"), F.parse_json(text).alias("config"),
+    # parts may be one row group, that is one task, and each row takes long: spread over the cores first
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    return parts.select(F.col("p_partkey").alias("config_id"), F.parse_json(text).alias("config"),
                                                key.alias("key"), F.parse_json(value).alias("value"))

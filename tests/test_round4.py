@@ -114,3 +114,7 @@ def test_a_weak_label_below_the_image_has_no_rectangle_in_query_and_sql(spark, t
     got = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
     assert got == sorted(con.execute(catalog.ORACLES[name]).fetchall())
     assert [r[3:] for r in got] == [(None,) * 4, (164, 34, 256, 64)]
+
+
+def test_configurations_are_spread_over_the_cores(spark):
+    assert X.configs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
