@@ -12,13 +12,18 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BITS, ROUTES = 512, 20
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """A table of whole documents, written and read again. Seven such copies are most of what a run keeps on disk, so they are packed tighter than by default."""
+    return materialise(docs, "zstd")
+
+
 # Names the row that a stage decides on; ids may be null or repeat.
 ROW = "__row"
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
     """The documents with a number for each row (its task and its place there), stored, so that it stays the same."""
-    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
@@ -71,5 +76,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result stored in the shared folder before the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from expirylens.functions import dates as D
 from expirylens.operators import boxes as B, search as Q, selection as S
 from expirylens.plans import catalog, fixtures as X
@@ -118,3 +119,8 @@ def test_a_weak_label_below_the_image_has_no_rectangle_in_query_and_sql(spark, t
 
 def test_configurations_are_spread_over_the_cores(spark):
     assert X.configs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_documents_between_the_stages_are_packed_tighter(spark):
+    kept = corpus_pipeline.with_row_key(spark.range(10).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")))
+    assert all(f.endswith(".zstd.parquet") for f in kept.inputFiles()) and kept.count() == 10
