@@ -37,18 +37,20 @@ def text_spans(texts: DataFrame, day_first: bool = False, month_names: bool = Fa
 
 
 def token_candidates(tokens: DataFrame, day_first: bool = False, month_names: bool = False,
-                     keep_invalid: bool = False, by_text: bool = False) -> DataFrame:
+                     keep_invalid: bool = False, by_text: bool = False, materialise=None) -> DataFrame:
     """Candidates found inside single tokens.
 
     With ``by_text`` the grammar runs over the dictionary of different texts, and tokens get their spans by a join on the text:
-    for tables whose texts repeat, as printed words do. Then only texts with a candidate are kept, a dictionary that fits is
-    broadcast at run time, and else a text with very many tokens is split by the skew join of adaptive execution.
+    for tables whose texts repeat, as printed words do. Then only texts with a candidate are kept, and a text with very many
+    tokens is split by the skew join of adaptive execution. With ``materialise`` the dictionary is stored first, so that its size is
+    known and tokens are not shuffled where it can be broadcast.
     """
     t = as_tokens(tokens).filter(F.col("text").rlike(_MAY_HOLD_DATE)).withColumn(
         "detection", detection_confidence(F.col("detection_confidence"), F.col("extras")))
     keep = ["image_id", "token_index", "confidence", "detection", "bbox", "source"]
     if by_text:
         spans = text_spans(t, day_first, month_names, keep_invalid)
+        spans = materialise(spans) if materialise else spans
         found = (t.select(*keep, F.expr(trim_sql("text")).alias("__trimmed")).join(spans, "__trimmed")
                  .select(*keep, F.posexplode("spans").alias("pos", "s")))
     else:
@@ -87,6 +89,7 @@ def joined_candidates(tokens: DataFrame, found: DataFrame, day_first: bool = Fal
     """
     t = as_tokens(tokens)
     bare = images_without_candidates(t, found)
+    bare = materialise(bare) if materialise else bare
     own = t.join(bare, "image_id", "left_semi")
     lines = reconstruct_lines(materialise(own) if materialise else own, y_tolerance)
     lines = lines.filter(F.col("text").rlike(_MAY_HOLD_DATE))
@@ -138,7 +141,7 @@ def extract_candidates(tokens: DataFrame, day_first: bool = False, month_names:
     t = as_tokens(tokens)
     if sanitization_mode != "none":
         t = as_tokens(sanitize_tokens(t, sanitization_mode))
-    found = token_candidates(t, day_first, month_names, keep_invalid, by_text).select(*CANDIDATE_COLUMNS)
+    found = token_candidates(t, day_first, month_names, keep_invalid, by_text, materialise).select(*CANDIDATE_COLUMNS)
     if not join_lines:
         return found
     if materialise:
@@ -162,6 +165,7 @@ def annotated_candidates(tokens: DataFrame, keep_invalid: bool = False, join_lin
     keep = ["image_id", "token_index", "confidence", "detection", "bbox", "source"]
     known = dated.select(F.expr(trim_sql("text")).alias("__trimmed")).distinct()
     spans = annotated_spans(known, "__trimmed", ["__trimmed"], keep_invalid=keep_invalid)
+    spans = materialise(spans) if materialise else spans
     found = (dated.select(*keep, F.expr(trim_sql("text")).alias("__trimmed")).join(spans, "__trimmed")
              .select(*keep, F.explode("spans").alias("s")).select(
         "image_id", (F.col("token_index").cast("long") * ORDINAL_STRIDE).alias("cand_base"), *_span_fields(),

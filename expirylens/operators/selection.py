@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from expirylens.functions.dates import DEFAULT_RELIABILITY, PATTERNS, candidate_final_date
 from expirylens.functions.geometry import aspect_ratio, box_iou, spatial_relation
 from expirylens.functions.text import contains_any, trim_ws
 from expirylens.operators.box_grid import meet_boxes
-from expirylens.operators.ordering import rank_in_groups, top_per_group
+from expirylens.operators.ordering import join_by_tile, rank_in_groups, top_per_group
+from expirylens.plans.storage import materialise
 from expirylens.schemas import ORDINAL_STRIDE, tile_of
 
 # Keyword lists, matched as lower-case substrings.
@@ -132,8 +133,7 @@ def keyword_blocks(tokens: DataFrame) -> DataFrame:
                         is_negative(text).alias("neg"))
           .filter(F.col("pos") | F.col("neg")))
     return (kw.groupBy("image_id", F.floor(F.col("token_index") / KEYWORDS_PER_BLOCK).alias("block"))
-            .agg(F.collect_list(F.struct("token_index", "bbox", "pos", "neg")).alias("kws"))
-            .select("image_id", "kws"))
+            .agg(F.collect_list(F.struct("token_index", "bbox", "pos", "neg")).alias("kws")))
 
 
 def date_extremes(cands: DataFrame) -> DataFrame:
@@ -161,12 +161,34 @@ def spread_over_tiles(per_image: DataFrame) -> DataFrame:
     return per_image.withColumn("tile", F.explode("tiles")).drop("tiles")
 
 
-def _context_columns(kws: Column, same_line_bonus: float) -> dict[str, Column]:
-    seen = F.transform(kws, lambda k: F.struct(
-        k.pos.alias("pos"), k.neg.alias("neg"),
-        (1.0 / (1.0 + F.abs(k.token_index - F.col("first_index")))).alias("near"),
-        spatial_relation(k.bbox, F.col("first_box"), same_line_bonus).alias("rel")))
-    return {"seen": seen}
+def with_date_extremes(cands: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Candidates with the extremes of ``date_extremes`` and their tile, and the keys that they are partitioned by.
+
+    The candidates are shuffled once, by image, and both levels are windows over the sorted rows. Only where an image has
+    several tiles, the candidates go by (image, tile), and the extremes of such images come from aggregates.
+    """
+    c = cands.withColumn("tile", candidate_tile(F.col("cand_ordinal")))
+    large = c.filter(F.col("tile") != 0).select("image_id").distinct()
+    one_tile = large.isEmpty()
+    keys = ["image_id"] if one_tile else ["image_id", "tile"]
+    complete = F.col("calendar_valid") & F.col("year").isNotNull() & F.col("day").isNotNull()
+    of_text, of_image = Window.partitionBy(*keys, "raw_text"), Window.partitionBy(*keys)
+    dated = F.col("__d").isNotNull()
+    c = (c.repartition(*keys).withColumn("__d", F.when(complete, _date()))
+         .withColumn("__t", F.coalesce(
+             F.max_by("__d", F.when(dated & F.col("pattern").startswith("ymd"), F.col("cand_ordinal"))).over(of_text),
+             F.min_by("__d", F.when(dated, F.col("cand_ordinal"))).over(of_text)))
+         .withColumns({"min_date": F.min("__t").over(of_image), "max_date": F.max("__t").over(of_image), "last_tile": F.lit(0)})
+         .drop("__d", "__t"))
+    if one_tile:
+        return c, keys
+    large = materialise(large)
+    facts = spread_over_tiles(date_extremes(cands.join(large, "image_id", "left_semi"))).select(
+        *keys, *[F.col(n).alias(f"__{n}") for n in ("min_date", "max_date", "last_tile")])
+    own = F.col("__last_tile").isNotNull()
+    return (c.join(facts, keys, "left").withColumns({
+        n: F.when(own, F.col(f"__{n}")).otherwise(F.col(n)) for n in ("min_date", "max_date", "last_tile")})
+        .drop("__min_date", "__max_date", "__last_tile")), keys
 
 
 def context_features(cands: DataFrame, tokens: DataFrame, same_line_bonus: float = 0.15,
@@ -176,21 +198,40 @@ def context_features(cands: DataFrame, tokens: DataFrame, same_line_bonus: float
     Positive and negative evidence is the best of closeness in reading order plus spatial
     relation; each feature is capped at 1.5. A candidate's own token counts as well.
     """
-    facts = date_extremes(cands) if extremes is None else extremes
-    facts = spread_over_tiles(facts.join(keyword_blocks(tokens), "image_id", "left"))
-    c = cands.withColumn("tile", candidate_tile(F.col("cand_ordinal")))
-    joined = c.join(facts, ["image_id", "tile"], "left")
-    seen = joined.withColumns(_context_columns(F.col("kws"), same_line_bonus)).drop("kws")
+    blocks = materialise(keyword_blocks(tokens))
+    one_block = blocks.groupBy("image_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    if extremes is None:
+        c, keys = with_date_extremes(cands)
+        kws = blocks.select("image_id", "kws")
+        joined = c.join(kws, "image_id", "left") if keys == ["image_id"] else join_by_tile(c, kws, "image_id", "tile", "left")
+    else:
+        facts = spread_over_tiles(extremes.join(blocks.select("image_id", "kws"), "image_id", "left"))
+        joined = cands.withColumn("tile", candidate_tile(F.col("cand_ordinal"))).join(facts, ["image_id", "tile"], "left")
+    columns = [*cands.columns, "tile", "min_date", "max_date", "last_tile"]
+
+    def near(k: Column) -> Column:
+        return 1.0 / (1.0 + F.abs(k.token_index - F.col("first_index")))
+
+    def rel(k: Column) -> Column:
+        return spatial_relation(k.bbox, F.col("first_box"), same_line_bonus)
+    # an image with one keyword needs no array functions, which Spark does not compile
+    alone, k = F.size("kws") == 1, F.get("kws", F.lit(0))
+    seen = joined.select(*columns, "kws", alone.alias("__alone"), k.alias("__k"),
+                         F.when(alone, near(k)).alias("__near"), F.when(alone, rel(k)).alias("__rel"),
+                         F.when(~alone, F.transform("kws", lambda k: F.struct(
+                             k.pos.alias("pos"), k.neg.alias("neg"), near(k).alias("near"), rel(k).alias("rel")))).alias("seen"))
 
     def best(flag: str) -> Column:
-        return F.array_max(F.transform(F.filter("seen", lambda k: k[flag]), lambda k: k.near + k.rel))
-    scored = seen.select(*c.columns, "min_date", "max_date", "last_tile", best("pos").alias("p"), best("neg").alias("n"),
-                         F.array_max(F.transform("seen", lambda k: k.rel)).alias("s"))
-    # more than one block only in images with very many keywords; the grouping keys contain the
-    # join keys, so this needs no further exchange
-    cap = lambda x: F.least(F.lit(1.5), F.coalesce(F.max(x), F.lit(0.0)))
-    return per_candidate(scored, [*c.columns, "min_date", "max_date", "last_tile"], {
-        "positive_keyword": cap("p"), "negative_keyword": cap("n"), "spatial_relation": cap("s")}).drop("tile")
+        return F.when(F.col("__alone"), F.when(F.col(f"__k.{flag}"), F.col("__near") + F.col("__rel"))).otherwise(
+            F.array_max(F.transform(F.filter("seen", lambda k: k[flag]), lambda k: k.near + k.rel)))
+    s = F.when(F.col("__alone"), F.col("__rel")).otherwise(F.array_max(F.transform("seen", lambda k: k.rel)))
+    scored = seen.select(*columns, best("pos").alias("p"), best("neg").alias("n"), s.alias("s"))
+    cap = lambda x: F.least(F.lit(1.5), F.coalesce(x, F.lit(0.0)))
+    evidence = {"positive_keyword": "p", "negative_keyword": "n", "spatial_relation": "s"}
+    if one_block:
+        return scored.select(*columns, *[cap(F.col(v)).alias(name) for name, v in evidence.items()]).drop("tile")
+    # more than one block only in images with very many keywords
+    return per_candidate(scored, columns, {name: cap(F.max(v)) for name, v in evidence.items()}).drop("tile")
 
 
 def per_candidate(rows: DataFrame, columns: list[str], values: dict[str, Column],
