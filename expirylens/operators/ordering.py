@@ -57,13 +57,21 @@ def renumber(tokens: DataFrame, *passes: str) -> DataFrame:
             .select(*tokens.columns))
 
 
-def join_by_tile(left: DataFrame, right: DataFrame, key: str | list[str], tile: str, how: str = "inner") -> DataFrame:
+def in_one_tile(df: DataFrame, tile: str | Column) -> bool:
+    """True where every row is of the first tile, as in tables without huge groups. Reads the table, so it should be a stored one."""
+    return df.filter((F.col(tile) if isinstance(tile, str) else tile) != 0).isEmpty()
+
+
+def join_by_tile(left: DataFrame, right: DataFrame, key: str | list[str], tile: str, how: str = "inner", single: bool = False) -> DataFrame:
     """Join rows that carry a tile number with per-key rows, spread over the key's tiles.
 
     The few per-key rows are copied to every tile that the left side has, so a key with very many rows
-    is joined tile by tile, and a later aggregation by (key, tile) needs no further exchange.
+    is joined tile by tile, and a later aggregation by (key, tile) needs no further exchange. With ``single`` (see
+    ``in_one_tile``) there is nothing to copy, and the rows are joined by their key.
     """
     keys = [key] if isinstance(key, str) else key
+    if single:
+        return left.join(right, keys, how)
     spread = right.join(left.select(*keys, tile).distinct(), keys)
     return left.join(spread, [*keys, tile], how)
 

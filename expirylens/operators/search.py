@@ -20,7 +20,7 @@ from expirylens.functions.dates import candidate_final_date, final_date_sql
 from expirylens.operators import selection as S
 from expirylens.operators.candidates import annotated_candidates, candidates_under, extract_candidates
 from expirylens.operators.filters import last_per_id
-from expirylens.operators.ordering import join_by_tile
+from expirylens.operators.ordering import in_one_tile, join_by_tile
 from expirylens.plans.storage import materialise
 
 # The search space of the selector weights.
@@ -262,13 +262,16 @@ def count_correct(cands: DataFrame, feature_names: list[str], combos: list[dict]
             "image_id", "tile", "last_tile", "__g.c")
     # one kind of candidate only: every weight set gives the same answer
     rows = rows.withColumn("right", F.size(F.filter("c", lambda x: x.is_correct > 0)))
-    settled = rows.filter((F.col("last_tile") == 0) & ((F.col("right") == 0) | (F.col("right") == F.size("c"))))
-    open_rows = rows.filter((F.col("last_tile") > 0) | ((F.col("right") > 0) & (F.col("right") < F.size("c"))))
-    arrays = open_rows.select("image_id", "last_tile", *[F.col(f"c.{n}").alias(n) for n in fields])
+    settled = (F.col("last_tile") == 0) & ((F.col("right") == 0) | (F.col("right") == F.size("c")))
+    arrays = rows.select("image_id", "last_tile", F.when(settled, (F.col("right") > 0).cast("int")).alias("settled"),
+                         *[F.when(~settled, F.col(f"c.{n}")).alias(n) for n in fields])
 
     def evaluate(batches: Iterable[pd.DataFrame]):
         totals = np.zeros(len(weights), dtype=np.int64)
         for pdf in batches:
+            is_open = pdf["settled"].isna()
+            totals += int(pdf["settled"].sum())
+            pdf = pdf[is_open]
             if pdf.empty:
                 continue
             sizes = pdf["o1"].map(len).to_numpy()
@@ -297,10 +300,8 @@ def count_correct(cands: DataFrame, feature_names: list[str], combos: list[dict]
         F.sum("correct").alias("total"),
         F.max_by("correct", F.struct("score", (-F.col("o1")).alias("a"), (-F.col("o2")).alias("b"), (-F.col("o3")).alias("c"))).alias("best"))
         .groupBy("combo").agg(F.sum(F.when(F.col("image_id").isNull(), F.col("total")).otherwise(F.col("best"))).alias("correct")))
-    fixed = settled.agg(F.coalesce(F.sum(F.when(F.col("right") > 0, 1).otherwise(0)), F.lit(0)).alias("fixed"))
     every = cands.sparkSession.range(len(combos)).select(F.col("id").cast("int").alias("combo"))
-    return (every.join(sums, "combo", "left").crossJoin(F.broadcast(fixed))     # one-row side
-            .select("combo", (F.coalesce("correct", F.lit(0)) + F.col("fixed")).alias("correct")))
+    return every.join(sums, "combo", "left").select("combo", F.coalesce("correct", F.lit(0)).alias("correct"))
 
 
 def _with_combo_columns(df: DataFrame, combos: list[dict], extra: list[str] | None = None) -> DataFrame:
@@ -322,11 +323,14 @@ def labelled_candidates(feats: DataFrame, labels: DataFrame, both_unreadable: bo
                            "o3": F.col("cand_ordinal"), "tile": S.candidate_tile(F.col("cand_ordinal"))})
     own = F.when(F.col("calendar_valid"), F.struct("year", "month", "day"))
     neither = own.isNull() & F.col("target_key").isNull() if both_unreadable else F.lit(False)
-    return join_by_tile(c, lab, "image_id", "tile").withColumn(
+    return join_by_tile(c, lab, "image_id", "tile", single=in_one_tile(c, "tile")).withColumn(
         "is_correct", (F.col("predicted") == F.col("target")) | neither
         | F.coalesce(own.eqNullSafe(F.col("target_key")) & F.col("target_key").isNotNull(), F.lit(False)))
 
 
+_EVALUATED = ["image_id", "tile", "last_tile", "o1", "o2", "o3", "is_correct", *S.FEATURE_COLUMNS]
+
+
 def _label_counts(labels: DataFrame, cands: DataFrame, image_ids: DataFrame, both_unreadable: bool = False) -> DataFrame:
     """One row: images evaluated, readable targets, covered targets, images without any candidate."""
     lab = last_per_id(labels).join(image_ids.select("image_id").distinct(), "image_id", "left_semi").select(
@@ -390,7 +394,7 @@ def evaluate_params(tokens: DataFrame, labels: DataFrame, params: list[dict], st
     out = None
     for (day_first, month_names), indexes in groups.items():
         combos = [{n: params[i].get(n, getattr(base, n)) for n in S.WEIGHT_NAMES} for i in indexes]
-        cands = labelled_candidates(make(day_first, month_names), labels, both_unreadable)
+        cands = store(labelled_candidates(make(day_first, month_names), labels, both_unreadable).select(*_EVALUATED))
         counts = F.broadcast(_label_counts(labels, cands, tokens if images is None else images, both_unreadable))
         number = F.element_at(F.array(*[F.lit(i) for i in indexes]), F.col("combo") + 1)
         part = count_correct(cands, S.FEATURE_COLUMNS, combos).crossJoin(counts).select(

@@ -118,6 +118,10 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "labels", lambda: _build_labels(spark, sf_dir))
+
+
+def _build_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, final_date: the latest date of the order, NONE for status P or no line item."""
     last = dated_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.max("d").alias("d"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")

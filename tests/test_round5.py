@@ -48,3 +48,17 @@ def test_tokens_meet_a_stored_dictionary_without_a_shuffle(spark):
     found = C.token_candidates(tokens, True, True, by_text=True, materialise=materialise)
     assert exchanges(found) == 0
     assert canonical(found) == canonical(C.token_candidates(tokens, True, True))
+
+
+def test_images_are_evaluated_in_one_pass(spark):
+    from expirylens.operators.search import count_correct
+    weights = dict.fromkeys(S.WEIGHT_NAMES, 1.0)
+    rows = []
+    for image, right in (("all", (1, 1)), ("no", (0, 0)), ("some", (0, 1))):      # two settled images and an open one
+        rows += [(image, 0, 0, 0, 0.0, i, r > 0, *[float(i)] * len(S.FEATURE_COLUMNS)) for i, r in enumerate(right)]
+    cands = materialise(spark.createDataFrame(rows, "image_id string, tile int, last_tile int, o1 int, o2 double, o3 long, is_correct boolean, "
+                                              + ", ".join(f"{n} double" for n in S.FEATURE_COLUMNS)))
+    out = count_correct(cands, S.FEATURE_COLUMNS, [weights, {n: -1.0 for n in S.WEIGHT_NAMES}])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert sorted(r.correct for r in out.collect()) == [1, 2]
