@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from expirylens.operators.ordering import join_by_tile
+from expirylens.operators.ordering import in_one_tile, join_by_tile
 from expirylens.plans.storage import materialise
 
 # Boxes that a cell of the finest grid holds on average; an image with no more is one cell.
@@ -89,7 +89,7 @@ def meet_boxes(rows: DataFrame, boxes: DataFrame, keys: list[str], tile: str, bl
                          .agg(F.collect_set(F.struct(*fields)).alias("boxes")))
     many = dense_groups(arrays, keys)
     if many.isEmpty():                            # every group is one cell
-        return join_by_tile(rows, arrays.drop("__block"), keys, tile, how)
+        return join_by_tile(rows, arrays.drop("__block"), keys, tile, how, in_one_tile(rows, tile))
     grids = dense_grids(arrays, many, keys, box)
     placed = rows.join(grids, keys, "left").withColumn("__cell", F.explode(_cells(F.col(row_box), F.col("__grid"), True)))
     one = F.transform("boxes", lambda b: F.struct(b.alias("box"), _cells(b[box], F.col("__grid"), False).alias("cells")))

@@ -8,7 +8,7 @@ from expirylens.functions.dates import final_date_sql, normalized_options
 from expirylens.functions.geometry import box_iou, crop_rect, make_box
 from expirylens.functions.text import is_full_date
 from expirylens.operators.box_grid import meet_boxes
-from expirylens.operators.ordering import join_by_tile, top_per_group
+from expirylens.operators.ordering import in_one_tile, join_by_tile, top_per_group
 from expirylens.operators.selection import candidate_tile
 from expirylens.schemas import tile_of
 
@@ -51,7 +51,7 @@ def overlap_by_class(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
                                                         tile_of(F.col("token_index")).alias("tile"))
     # the class as a struct, as boxes of no class are a kind too
     b = boxes.filter(F.col("bbox").isNotNull()).select("image_id", F.struct("class").alias("kind"), "box_index", "bbox")
-    every = join_by_tile(t, b.select("image_id", "kind").distinct(), "image_id", "tile")
+    every = join_by_tile(t, b.select("image_id", "kind").distinct(), "image_id", "tile", single=in_one_tile(t, "tile"))
     j = meet_boxes(every, b, ["image_id", "kind"], "tile", F.floor(F.col("box_index") / BOXES_PER_BLOCK), ("bbox",))
     best = F.array_max(F.transform("boxes", lambda x: box_iou(F.col("bbox"), x.bbox)))
     return (j.select("image_id", "tile", "token_index", "kind", best.alias("i")).groupBy("image_id", "tile", "token_index", "kind")
