@@ -464,7 +464,7 @@ def source_multiplier_sweep(tokens: DataFrame, labels: DataFrame, source: str, p
 # --- fits over a pool of both sources ------------------------------------------------------------
 
 def union_pool(baseline: DataFrame, detector: DataFrame) -> DataFrame:
-    """Baseline candidates (by rank) and detector candidates (by position) of an image as one pool.
+    """Baseline candidates (by rank) and detector candidates (by position) of an image as one pool; both should be stored tables.
 
     o1, o2, o3 give the pool order: baseline first, by score descending and generation order.
     """
@@ -476,6 +476,8 @@ def union_pool(baseline: DataFrame, detector: DataFrame) -> DataFrame:
     pool = b.unionByName(y).withColumns({
         "is_yolo": F.col("source") == "yolo", "is_due": F.col("class") == 1, "log_rec": log("rec"), "log_det": log("det"),
         "tile": index})
+    if in_one_tile(pool, "tile"):
+        return pool.withColumn("last_tile", F.lit(0))
     last = pool.groupBy("image_id").agg(F.max("tile").alias("last_tile"))
     return pool.join(last, "image_id")
 
@@ -491,7 +493,7 @@ def pool_spatial(pool: DataFrame) -> DataFrame:
 
 def _evaluate_fit(pool: DataFrame, labels: DataFrame, combos: list[dict], features: list[str], score) -> DataFrame:
     lab = last_per_id(labels).select("image_id", F.col("final_date").alias("target"))
-    c = join_by_tile(pool, lab, "image_id", "tile").withColumn("is_correct", F.coalesce(F.col("prediction") == F.col("target"), F.lit(False)))
+    c = join_by_tile(pool, lab, "image_id", "tile", single=in_one_tile(pool, "tile")).withColumn("is_correct", F.coalesce(F.col("prediction") == F.col("target"), F.lit(False)))
     found = F.broadcast(c.filter("is_correct").select("image_id").distinct().agg(F.count("*").alias("found"))
                         .crossJoin(F.broadcast(labels.agg(F.count("*").alias("images")))))
     one = lambda x: F.greatest(F.lit(1), F.col(x))

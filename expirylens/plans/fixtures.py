@@ -174,6 +174,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "detector", lambda: _build_detector(spark, sf_dir))
+
+
+def _build_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detector/recogniser rows: one per line item; every fourth has no readable date."""
     rn = F.col("rn")
     x1, y1 = 75 + 100 * ((rn - 1) % 2), 20 * rn + 1

@@ -50,6 +50,18 @@ def test_tokens_meet_a_stored_dictionary_without_a_shuffle(spark):
     assert canonical(found) == canonical(C.token_candidates(tokens, True, True))
 
 
+def test_pool_of_one_tile_is_no_shuffle(spark):
+    from expirylens.operators.search import union_pool
+    cols = "image_id string, prediction string, source string, score double, rec double, det double, class int, bbox struct<x1:double,y1:double,x2:double,y2:double>"
+    row = ("a", "2024-01-02", "baseline", 1.0, 0.9, 0.8, 1, (0.0, 0.0, 1.0, 1.0))
+    baseline = materialise(spark.createDataFrame([(*row, 1 << 20)], cols + ", cand_ordinal long"))
+    large = materialise(spark.createDataFrame([(*row, 1 << 20), (*row, 5000 << 20)], cols + ", cand_ordinal long"))
+    detector = materialise(spark.createDataFrame([(*row, 3)], cols + ", candidate_index int"))
+    assert exchanges(union_pool(baseline, detector)) == 0
+    assert [r.last_tile for r in union_pool(baseline, detector).collect()] == [0, 0]
+    assert [r.last_tile for r in union_pool(large, detector).collect()] == [1, 1, 1]
+
+
 def test_images_are_evaluated_in_one_pass(spark):
     from expirylens.operators.search import count_correct
     weights = dict.fromkeys(S.WEIGHT_NAMES, 1.0)
