@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from expirylens.functions.dates import DEFAULT_RELIABILITY, PATTERNS, candidate_final_date
 from expirylens.functions.geometry import aspect_ratio, box_iou, spatial_relation
-from expirylens.functions.text import contains_any, trim_ws
+from expirylens.functions.text import contains_any
 from expirylens.operators.box_grid import meet_boxes
-from expirylens.operators.ordering import join_by_tile, rank_in_groups, top_per_group
+from expirylens.operators.ordering import in_one_tile, join_by_tile, rank_in_groups, top_per_group
 from expirylens.plans.storage import materialise
 from expirylens.schemas import ORDINAL_STRIDE, tile_of
 
@@ -128,7 +128,7 @@ def _date(c: DataFrame | None = None) -> Column:
 
 def keyword_blocks(tokens: DataFrame) -> DataFrame:
     """Keyword tokens of an image in arrays of at most KEYWORDS_PER_BLOCK entries."""
-    text = trim_ws(F.col("text"))
+    text = F.col("text")      # no keyword begins or ends with white space, so the text needs no trim
     kw = (tokens.select("image_id", "token_index", "bbox", is_positive(text).alias("pos"),
                         is_negative(text).alias("neg"))
           .filter(F.col("pos") | F.col("neg")))
@@ -303,10 +303,12 @@ def evidence_tags() -> Column:
     return F.filter(tags, lambda t: t.isNotNull())
 
 
+def _score(params: ScoreParams) -> Column:
+    return score_column(lambda name: F.lit(float(getattr(params, name))))
+
+
 def score_candidates(feats: DataFrame, params: ScoreParams = ScoreParams()) -> DataFrame:
-    return feats.withColumns({
-        "score": score_column(lambda name: F.lit(float(getattr(params, name)))),
-        "evidence": evidence_tags()})
+    return feats.withColumns({"score": _score(params), "evidence": evidence_tags()})
 
 
 def feature_table(scored: DataFrame, params: ScoreParams = ScoreParams()) -> DataFrame:
@@ -337,6 +339,26 @@ def select_best(scored: DataFrame, images: DataFrame | None = None, _params=None
     return best if images is None else images.select("image_id").join(best, "image_id", "left")
 
 
+def mark_leading(feats: DataFrame, params: ScoreParams = ScoreParams(), one_tile: bool = False) -> DataFrame:
+    """Features with ``leads``: true for the best row of its image's tile (``one_tile`` where no image has several).
+
+    Freshly built features are partitioned by their image (and tile), so this costs them no exchange, nor a sort with ``one_tile``.
+    What selects from the stored table then sorts one row for each tile, not all candidates that a file's split holds.
+    """
+    w = Window.partitionBy("image_id") if one_tile else Window.partitionBy("image_id", candidate_tile(F.col("cand_ordinal")))
+    return (feats.withColumn("__place", F.struct(_score(params).alias("score"), (-F.col("cand_ordinal")).alias("o")))
+            .withColumn("leads", F.col("__place").eqNullSafe(F.max("__place").over(w))).drop("__place"))
+
+
+def best_candidates(marked: DataFrame, params: ScoreParams = ScoreParams()) -> DataFrame:
+    """``select_best`` over the rows that ``mark_leading`` marked under the same parameters, with score and evidence.
+
+    ``marked`` should be a stored table. Where each image is one tile, its marked row is the choice, and nothing is sorted or shuffled.
+    """
+    leading = score_candidates(marked.filter("leads").drop("leads"), params)
+    return leading if in_one_tile(marked, candidate_tile(F.col("cand_ordinal"))) else select_best(leading)
+
+
 def other_source_iou(cands: DataFrame) -> DataFrame:
     """Add ``source`` and ``spatial``: best IoU with a candidate box of the other source."""
     c = cands.withColumns({"source": candidate_source(F.col("sources")),

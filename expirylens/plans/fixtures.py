@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from expirylens.functions.geometry import make_box
 from expirylens.operators import candidates as C, normalize as N, selection as S
+from expirylens.operators.ordering import in_one_tile
 from expirylens.plans.storage import materialise
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
@@ -160,17 +161,31 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "features", lambda: S.features(
-        candidates(spark, sf_dir), tokens(spark, sf_dir), PARAMS))
+    return _marked_features(spark, sf_dir).drop("leads")
+
+
+def _marked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        cands = candidates(spark, sf_dir)
+        one_tile = in_one_tile(cands, S.candidate_tile(F.col("cand_ordinal")))
+        return S.mark_leading(S.features(cands, tokens(spark, sf_dir), PARAMS), PARAMS, one_tile)
+    return stored(spark, sf_dir, "features", build)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.score_candidates(features(spark, sf_dir), PARAMS)
 
 
+def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best candidate of each image that has one: what the predictions and the pseudo labels read of it."""
+    return stored(spark, sf_dir, "selected", lambda: S.best_candidates(_marked_features(spark, sf_dir), PARAMS).select(
+        "image_id", "raw_text", "year", "month", "day", "calendar_valid", "pattern", "recognition_confidence", "positive_keyword",
+        "score", "evidence"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "predictions", lambda: N.normalize_prediction(
-        S.select_best(scored(spark, sf_dir), images(spark, sf_dir))))
+        images(spark, sf_dir).join(selected(spark, sf_dir), "image_id", "left")))
 
 
 def detector(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,14 +280,14 @@ def a20b(spark, d):
 @query("a21_pseudo_labels", sql("""SELECT image_id, final_date, printf('%.4f', conf) AS confidence, CASE WHEN positive > 0 THEN 'high_conf_keyword' ELSE 'high_conf_direct_stamp' END AS rule,
     raw_text FROM pred WHERE final_date <> 'NONE' AND conf >= 0.85""", "pred"))
 def a21(spark, d):
-    return B.pseudo_labels(S.select_best(X.scored(spark, d)), X.predictions(spark, d)).select("image_id", "final_date", "confidence", "rule", "raw_text")
+    return B.pseudo_labels(X.selected(spark, d), X.predictions(spark, d)).select("image_id", "final_date", "confidence", "rule", "raw_text")
 
 
 @query("a22_pseudo_label_agreement", sql("""SELECT sum((p.final_date = l.final_date)::INT) AS matched, sum((l.final_date <> 'NONE')::INT) AS with_truth,
     round(sum((p.final_date = l.final_date)::INT) / sum((l.final_date <> 'NONE')::INT) * 100, 6) AS agreement_pct
     FROM pred p JOIN lab l USING (image_id) WHERE p.final_date <> 'NONE' AND p.conf >= 0.85 AND l.o_orderkey % 3 <> 0""", "pred", "lab"))
 def a22(spark, d):
-    p = B.pseudo_labels(S.select_best(X.scored(spark, d)), X.predictions(spark, d))
+    p = B.pseudo_labels(X.selected(spark, d), X.predictions(spark, d))
     return B.pseudo_label_agreement(p, _some_labels(spark, d)).withColumn("agreement_pct", F.round("agreement_pct", 6))
 
 
