@@ -144,6 +144,12 @@ def trim_sql(x: str) -> str:
     return f"btrim({x}, {_str(WS_CHARS)})"
 
 
+def trimmed_sql(x: str) -> str:
+    """As trim_sql, for a cheap ``x``; text between visible ASCII characters or Hangul syllables is taken as it is."""
+    visible = lambda c: f"(ascii({c}) BETWEEN 33 AND 126 OR ascii({c}) BETWEEN 44032 AND 55203)"
+    return f"CASE WHEN {visible(x)} AND {visible(f'substring({x}, -1, 1)')} THEN {x} ELSE {trim_sql(x)} END"
+
+
 def corrected_sql(x: str) -> str:
     """Confusion-corrected text of an SQL expression (see text.correct_numeric_confusions)."""
     marked = f"regexp_replace({x}, {_str(CONFUSION_SPAN)}, '{MARK}$0{MARK}')"
@@ -363,14 +369,16 @@ LABEL_SHAPE = r"(?i)\A(\d{4}|NONE)-(\d{2})-(\d{2}|None)\z"
 
 @lru_cache(maxsize=None)
 def final_date_sql(text: str) -> str:
-    """SQL of parse_final_date; strict labels take one cheap regex, only other texts the grammar."""
+    """SQL of parse_final_date; strict labels take one cheap regex and no trim, only other texts the grammar."""
     t = trim_sql(f"coalesce({text}, '')")
     loose = _parse_sql(text, "", False, False, False)
-    return (f"CASE WHEN {t} = '' OR upper({t}) = 'NONE' THEN NULL "
-            f"WHEN {t} rlike {_str(LABEL_SHAPE)} THEN named_struct("
-            f"'year', CASE WHEN upper(substring({t}, 1, 4)) <> 'NONE' THEN substring({t}, 1, 4) END, "
-            f"'month', substring({t}, 6, 2), "
-            f"'day', CASE WHEN lower(substring({t}, 9, 4)) <> 'none' THEN substring({t}, 9, 2) END) "
+    strict = lambda x: (f"WHEN {x} rlike {_str(LABEL_SHAPE)} THEN named_struct("
+                        f"'year', CASE WHEN upper(substring({x}, 1, 4)) <> 'NONE' THEN substring({x}, 1, 4) END, "
+                        f"'month', substring({x}, 6, 2), "
+                        f"'day', CASE WHEN lower(substring({x}, 9, 4)) <> 'none' THEN substring({x}, 9, 2) END) ")
+    return (f"CASE {strict(text)}"
+            f"WHEN {t} = '' OR upper({t}) = 'NONE' THEN NULL "
+            f"{strict(t)}"
             f"ELSE get(transform(filter(array({loose}), p -> p.s.valid), "
             "p -> named_struct('year', p.s.year, 'month', p.s.month, 'day', p.s.day)), 0) END")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from expirylens.functions.dates import FLAG_PAIRS, annotated_spans, explode_spans, trim_sql
+from expirylens.functions.dates import FLAG_PAIRS, annotated_spans, explode_spans, trim_sql, trimmed_sql
 from expirylens.functions.geometry import box_from_array, union_boxes
 from expirylens.functions.text import sanitize_tokens
 from expirylens.operators.lines import reconstruct_lines
@@ -32,7 +32,7 @@ _MAY_HOLD_DATE = "[0-9OoIil|]"
 
 def text_spans(texts: DataFrame, day_first: bool = False, month_names: bool = False, keep_invalid: bool = False) -> DataFrame:
     """(text, spans) for each different trimmed text of the column ``text`` that holds a candidate; the grammar runs once for each."""
-    known = texts.filter(F.col("text").rlike(_MAY_HOLD_DATE)).select(F.expr(trim_sql("text")).alias("__trimmed")).distinct()
+    known = texts.filter(F.col("text").rlike(_MAY_HOLD_DATE)).select(F.expr(trimmed_sql("text")).alias("__trimmed")).distinct()
     return explode_spans(known, "__trimmed", ["__trimmed"], day_first, month_names, keep_invalid=keep_invalid, as_array=True)
 
 
@@ -51,7 +51,7 @@ def token_candidates(tokens: DataFrame, day_first: bool = False, month_names: bo
     if by_text:
         spans = text_spans(t, day_first, month_names, keep_invalid)
         spans = materialise(spans) if materialise else spans
-        found = (t.select(*keep, F.expr(trim_sql("text")).alias("__trimmed")).join(spans, "__trimmed")
+        found = (t.select(*keep, F.expr(trimmed_sql("text")).alias("__trimmed")).join(spans, "__trimmed")
                  .select(*keep, F.posexplode("spans").alias("pos", "s")))
     else:
         found = explode_spans(t, trim_sql("text"), keep, day_first, month_names, keep_invalid=keep_invalid)
@@ -163,10 +163,10 @@ def annotated_candidates(tokens: DataFrame, keep_invalid: bool = False, join_lin
     dated = t.filter(F.col("text").rlike(_MAY_HOLD_DATE)).withColumn(
         "detection", detection_confidence(F.col("detection_confidence"), F.col("extras")))
     keep = ["image_id", "token_index", "confidence", "detection", "bbox", "source"]
-    known = dated.select(F.expr(trim_sql("text")).alias("__trimmed")).distinct()
+    known = dated.select(F.expr(trimmed_sql("text")).alias("__trimmed")).distinct()
     spans = annotated_spans(known, "__trimmed", ["__trimmed"], keep_invalid=keep_invalid)
     spans = materialise(spans) if materialise else spans
-    found = (dated.select(*keep, F.expr(trim_sql("text")).alias("__trimmed")).join(spans, "__trimmed")
+    found = (dated.select(*keep, F.expr(trimmed_sql("text")).alias("__trimmed")).join(spans, "__trimmed")
              .select(*keep, F.explode("spans").alias("s")).select(
         "image_id", (F.col("token_index").cast("long") * ORDINAL_STRIDE).alias("cand_base"), *_span_fields(),
         F.array("token_index").alias("token_indices"), F.col("token_index").alias("first_index"),

@@ -10,8 +10,8 @@ from expirylens.functions.dates import (candidate_final_date, final_date_sql, no
                                         normalize_simple, prediction_matches)
 from expirylens.functions.text import is_dateish
 from expirylens.operators.filters import last_per_id
-from expirylens.operators.ordering import with_global_index
-from expirylens.operators.selection import detector_choice
+from expirylens.operators.ordering import in_one_tile, with_global_index
+from expirylens.operators.selection import candidate_tile, detector_choice
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -162,16 +162,18 @@ def review_table(images: DataFrame, tokens: DataFrame, scored: DataFrame, predic
 def evaluation_rows(predictions: DataFrame, scored: DataFrame, tokens: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled predictions with all facts the reports need, one row per image.
 
-    Candidates are compared with the label as rows (image, date), de-duplicated before the join;
-    no candidate list is built. Token facts are two map-side combined flags.
+    Candidates (a stored table) are compared with the label as rows; no candidate list is built. Where images span several
+    tiles, the rows (image, date) are de-duplicated before they meet the label. Token facts are two map-side combined flags.
     """
     key = lambda c: F.expr(final_date_sql(c))
     lab = last_per_id(labels).select("image_id", F.col("final_date").alias("target")).withColumn("target_key", key("target"))
     shown = F.coalesce(candidate_final_date(F.col("year"), F.col("month"), F.col("day"), F.col("calendar_valid")),
                        F.col("raw_text"))
-    dates = (scored.select("image_id", shown.alias("shown")).groupBy("image_id", "shown")
-             .agg(F.count("*").alias("n")).withColumn("cand_key", key("shown")))
-    hit = (dates.join(lab, "image_id").groupBy("image_id").agg(
+    dates = scored.select("image_id", shown.alias("shown"), F.lit(1).alias("n"))
+    if not in_one_tile(scored, candidate_tile(F.col("cand_ordinal"))):
+        dates = dates.groupBy("image_id", "shown").agg(F.sum("n").alias("n"))
+    # the join leaves rows by image, so the facts need no further exchange
+    hit = (dates.withColumn("cand_key", key("shown")).join(lab, "image_id").groupBy("image_id").agg(
         F.max(F.coalesce(F.col("cand_key") == F.col("target_key"), F.lit(False))).alias("covered"),
         F.sum("n").alias("candidate_count")))
     tok = tokens.groupBy("image_id").agg(F.count("*").alias("token_count"),

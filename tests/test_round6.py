@@ -31,3 +31,30 @@ def test_selection_from_stored_features_sorts_nothing(spark):
     assert "Sort" not in plan and "Exchange" not in plan and "Window" not in plan
 
 
+def test_candidates_meet_labels_with_one_shuffle(spark):
+    for indexes in (range(7), [0, 1, 2, 3, 4096, 4097, 9000]):
+        tokens, feats = marked(spark, indexes)
+        scored = S.score_candidates(feats.drop("leads"))
+        images = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "image_id string")
+        predictions = materialise(N.normalize_prediction(S.select_best(scored, images)))
+        labels = materialise(spark.createDataFrame([("a", "2026-08-07"), ("b", "2020-01-01"), ("c", " 2024-01-02"), ("d", "NONE")],
+                                                   "image_id string, final_date string"))
+        rows = M.evaluation_rows(predictions, scored, tokens, labels)
+        if indexes == range(7):
+            assert exchanges(rows) <= 4     # labels, candidates, tokens and predictions, each once
+        got = {r.image_id: (r.covered, r.candidate_count, r.token_count) for r in rows.collect()}
+        counts = {r.image_id: r["count"] for r in scored.groupBy("image_id").count().collect()}
+        assert got == {"a": (True, counts["a"], 7), "b": (False, counts["b"], 3), "c": (True, counts["c"], 3), "d": (False, 0, 0)}
+
+
+def test_cheap_trims_equal_the_full_one(spark):
+    cores = ["", "a", "2024.01.02", "2024년 01월 02일", "가", "é", "2024-01-02", "none-01-02", "NONE", "None", "2024-01-None", "1-2-2024", "​7"]
+    texts = [a + c + b for c in cores for a in ("", *WS_CHARS[:4], WS_CHARS[-1]) for b in ("", *WS_CHARS[:4], WS_CHARS[-1])]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    t = df.select(F.expr(D.trimmed_sql("t")).alias("a"), F.expr(D.trim_sql("t")).alias("b"))
+    assert t.filter("NOT a <=> b").count() == 0
+    u = df.withColumn("u", F.expr(D.trim_sql("t"))).select(D.parse_final_date("t").alias("c"), D.parse_final_date("u").alias("d"))
+    assert u.filter("NOT c <=> d").count() == 0
+    assert u.filter("c IS NOT NULL").count() > 0
+
+
