@@ -86,41 +86,42 @@ def audit_labels(labels: DataFrame, truth: DataFrame | None = None, tokens: Data
     else:
         rows = rows.withColumn("__found", F.lit(None).cast("boolean"))
     none = c("final_date") == "NONE"
-    shaped = ~none & c("final_date").rlike(STRICT_DATE)
-    fy, fm, fd = (F.regexp_extract("final_date", STRICT_DATE, i) for i in (1, 2, 3))
-    real = shaped & calendar_valid(fy, fm, fd)
+    # a date of that shape has its parts at fixed places
+    rows = rows.withColumn("__shaped", ~none & c("final_date").rlike(STRICT_DATE))
+    fy, fm, fd = (F.substring("final_date", at, n) for at, n in ((1, 4), (6, 2), (9, 2)))
+    rows = rows.withColumn("is_real", c("__shaped") & calendar_valid(fy, fm, fd))
+    real = c("is_real")
     year_value = F.when(real, fy.try_cast("int"))
     has_gt = F.coalesce(c("has_gt"), F.lit(False))
     checked = c("__found").isNotNull() & ~none
     rows = rows.withColumns({
-        "is_none": none, "is_real": real, "year_value": year_value, "gt_checked": has_gt,
+        "is_none": none, "year_value": year_value, "gt_checked": has_gt,
         "gt_equal": has_gt & (c("final_date") == c("gt_final_date")), "token_checked": checked,
         "token_found": checked & F.coalesce(c("__found"), F.lit(False))})
     diff = lambda letter, n: F.when(c(n) != c(f"gt_{n}"), F.concat(F.lit(letter + "("), c(n), F.lit("!=gt:"), c(f"gt_{n}"), F.lit(")")))
     reason = F.concat(F.lit("["), F.concat_ws(", ", diff("Y", "year"), diff("M", "month"), diff("D", "day")), F.lit("]"))
 
-    def flag(kind: str, when: Column, message: Column | None = None) -> Column:
-        return F.when(when, F.struct(F.lit(kind).alias("type"),
-                                     (F.lit(kind) if message is None else F.concat(F.lit(kind + ": "), message)).alias("message")))
-    flags = F.array(
-        flag("MISSING_IMAGE_ID", c("image_id") == ""),
-        flag("FINAL_NONE_BUT_COMPONENTS_SET", none & ((c("year") != "NONE") | (c("month") != "NONE") | (c("day") != "NONE"))),
-        flag("INVALID_DATE_FORMAT", ~none & ~shaped),
-        flag("COMPONENT_MISMATCH", shaped & ((c("year") != fy) | (c("month") != fm) | (c("day") != fd)),
-             F.concat(F.lit("final("), c("final_date"), F.lit(") != ("), F.concat_ws("-", "year", "month", "day"), F.lit(")"))),
-        flag("CALENDAR_INVALID", shaped & ~real, F.lit("not a calendar date")),
-        flag("YEAR_OUTLIER", F.coalesce((c("year_value") < min_year) | (c("year_value") > max_year), F.lit(False)),
-             F.concat(c("year_value").cast("string"), F.lit(f" not in [{min_year}, {max_year}]"))),
-        flag("GT_MISMATCH", has_gt & ~c("gt_equal"),
-             F.concat(c("final_date"), F.lit(" vs GT "), c("gt_final_date"), F.lit(" "), reason)),
-        flag("OCR_HALLUCINATION_OR_MISSING", checked & ~c("token_found"),
-             F.concat(c("final_date"), F.lit(" not evidenced in OCR tokens"))))
-    found = F.filter(flags, lambda f: f.isNotNull())
-    return (rows.withColumn("__f", found)
-            .withColumns({"flag_types": F.transform("__f", lambda f: f.type), "num_flags": F.size("__f"),
-                          "flags": F.array_join(F.transform("__f", lambda f: f.message), " | "),
-                          "is_clean": F.size("__f") == 0})
-            .drop("__f", "__found", "has_gt"))
+    flags = (
+        ("MISSING_IMAGE_ID", c("image_id") == "", None),
+        ("FINAL_NONE_BUT_COMPONENTS_SET", none & ((c("year") != "NONE") | (c("month") != "NONE") | (c("day") != "NONE")), None),
+        ("INVALID_DATE_FORMAT", ~none & ~c("__shaped"), None),
+        ("COMPONENT_MISMATCH", c("__shaped") & ((c("year") != fy) | (c("month") != fm) | (c("day") != fd)),
+         F.concat(F.lit("final("), c("final_date"), F.lit(") != ("), F.concat_ws("-", "year", "month", "day"), F.lit(")"))),
+        ("CALENDAR_INVALID", c("__shaped") & ~c("is_real"), F.lit("not a calendar date")),
+        ("YEAR_OUTLIER", F.coalesce((c("year_value") < min_year) | (c("year_value") > max_year), F.lit(False)),
+         F.concat(c("year_value").cast("string"), F.lit(f" not in [{min_year}, {max_year}]"))),
+        ("GT_MISMATCH", has_gt & ~c("gt_equal"),
+         F.concat(c("final_date"), F.lit(" vs GT "), c("gt_final_date"), F.lit(" "), reason)),
+        ("OCR_HALLUCINATION_OR_MISSING", checked & ~c("token_found"),
+         F.concat(c("final_date"), F.lit(" not evidenced in OCR tokens"))))
+    # columns of their own for the conditions; lambdas over structs would not be compiled
+    rows = rows.withColumns({f"__f{i}": when for i, (_, when, _) in enumerate(flags)})
+    types = F.array_compact(F.array(*[F.when(c(f"__f{i}"), F.lit(kind)) for i, (kind, _, _) in enumerate(flags)]))
+    messages = [F.when(c(f"__f{i}"), F.lit(kind) if message is None else F.concat(F.lit(kind + ": "), message))
+                for i, (kind, _, message) in enumerate(flags)]
+    rows = rows.withColumns({"flag_types": types, "flags": F.concat_ws(" | ", *messages)})
+    return (rows.withColumns({"num_flags": F.size("flag_types"), "is_clean": F.size("flag_types") == 0})
+            .drop("__found", "has_gt", "__shaped", *[f"__f{i}" for i in range(len(flags))]))
 
 
 def audit_summary(audited: DataFrame) -> DataFrame:

@@ -58,3 +58,20 @@ def test_cheap_trims_equal_the_full_one(spark):
     assert u.filter("c IS NOT NULL").count() > 0
 
 
+def test_audit_flags_are_compiled(spark):
+    rows = [("a", "2024", "01", "02", "2024-01-02"), ("", "2024", "1", "02", "2024-01-02"), ("b", "2024", "02", "30", "2024-02-30"),
+            ("c", "1990", "01", "01", "1990-01-01"), ("d", "NONE", "01", "NONE", "NONE"), ("e", "x", None, "", "2024/01/02"), ("f", "2024", "05", "06", "2024-05-06")]
+    labels = spark.createDataFrame(rows, "image_id string, year string, month string, day string, final_date string")
+    truth = spark.createDataFrame([("a", "2024-01-02"), ("f", "2024-05-07")], "image_id string, final_date string")
+    out = A.audit_labels(labels, truth)
+    plan = plan_of(out)
+    assert "transform(" not in plan
+    got = {r.image_id: (r.flag_types, r.flags, r.num_flags, r.is_clean, r.is_real, r.year_value) for r in out.collect()}
+    assert got["a"] == ([], "", 0, True, True, 2024)
+    assert got[""][0] == ["MISSING_IMAGE_ID", "COMPONENT_MISMATCH"]
+    assert got[""][1] == "MISSING_IMAGE_ID | COMPONENT_MISMATCH: final(2024-01-02) != (2024-1-02)"
+    assert got["b"] == (["CALENDAR_INVALID"], "CALENDAR_INVALID: not a calendar date", 1, False, False, None)
+    assert got["c"] == (["YEAR_OUTLIER"], "YEAR_OUTLIER: 1990 not in [2018, 2035]", 1, False, True, 1990)
+    assert got["d"][0] == ["FINAL_NONE_BUT_COMPONENTS_SET"]
+    assert got["e"][0] == ["INVALID_DATE_FORMAT"]
+    assert got["f"][0] == ["GT_MISMATCH"] and got["f"][1].startswith("GT_MISMATCH: 2024-05-06 vs GT 2024-05-07 [")
