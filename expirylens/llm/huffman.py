@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -105,19 +104,35 @@ def decode_block(bits: bytes, checkpoints: np.ndarray, tokens: int, table: tuple
 
 
 def token_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
-    """(id, n_tokens, wide, ids): each whole text's ids with the end id behind them; ids of 2 bytes, or of 4 if wide."""
+    """(id, n_tokens, wide, ids, counts): each whole text's ids with the end id behind them; ids of 2 bytes, or of 4 if wide.
+
+    ``counts`` is set in the last row of each task: how often each id occurs in the task's rows, as 64-bit numbers by id.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.kept(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
+        width = encoder.dtype.itemsize
+        total, held = np.zeros(0, np.int64), None
+
+        def rows(names: pa.Array, ids: list[bytes], counts: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([
+                names, pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width == 4] * len(ids)), pa.array(ids, pa.binary()),
+                pa.array([None] * (len(ids) - 1) + [counts], pa.binary())], [id_col, "n_tokens", "wide", "ids", "counts"])
+
         for whole in batches:
             for batch in arrow_rows(whole):
+                if held:
+                    yield rows(*held, None)
                 ids = [x.tobytes() + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-                width = encoder.dtype.itemsize
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width == 4] * len(ids)), pa.array(ids, pa.binary())], [id_col, "n_tokens", "wide", "ids"])
+                own = np.bincount(_array(width == 4, b"".join(ids)), minlength=len(total))
+                own[:len(total)] += total
+                total, held = own, (batch.column(0), ids)
+        if held:
+            yield rows(*held, total.astype("<i8").tobytes())
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, wide boolean, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, wide boolean, ids binary, counts binary")
 
 
 def _array(wide: bool, data: bytes) -> np.ndarray:
@@ -125,19 +140,20 @@ def _array(wide: bool, data: bytes) -> np.ndarray:
 
 
 def token_counts(tokens: DataFrame) -> np.ndarray:
-    """Global counts by id. Tasks count first; at most one row for each id of the vocabulary comes to the driver."""
+    """Global counts by id from the counts of the tasks; at most one row for each id of the vocabulary comes to the driver."""
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for wide in (False, True):
-                data = b"".join(batch.column(1).filter(pc.equal(batch.column(0), wide)).to_pylist())
-                own = np.bincount(_array(wide, data), minlength=len(total))
-                own[:len(total)] += total
-                total = own
+            for data in batch.column(0):
+                own = np.frombuffer(data.as_buffer(), "<i8")
+                long, short = (own, total) if len(own) > len(total) else (total, own)
+                total = long.copy()
+                total[:len(short)] += short
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    rows = tokens.select("wide", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = (tokens.select("counts").filter("counts IS NOT NULL").mapInArrow(run, "id long, n long")
+            .groupBy("id").agg(F.sum("n").alias("n")).collect())
     counts = np.zeros(max((r.id for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         counts[r.id] = r.n
