@@ -10,6 +10,7 @@ from expirylens.functions.text import is_full_date
 from expirylens.operators.box_grid import meet_boxes
 from expirylens.operators.ordering import in_one_tile, join_by_tile, top_per_group
 from expirylens.operators.selection import candidate_tile
+from expirylens.plans.storage import materialise
 from expirylens.schemas import tile_of
 
 BOXES_PER_BLOCK = 256
@@ -23,10 +24,12 @@ def pixel_boxes(boxes: DataFrame, width: float, height: float) -> DataFrame:
         (c("cx") + c("width") / 2) * width, (c("cy") + c("height") / 2) * height))
 
 
-def box_blocks(boxes: DataFrame, *fields: str) -> DataFrame:
-    """Boxes of an image in arrays of at most BOXES_PER_BLOCK, in box order."""
+def boxes_by_kind(boxes: DataFrame) -> DataFrame:
+    """Date boxes (class 0) and boxes of other classes of an image, each in arrays of at most BOXES_PER_BLOCK in box order."""
+    box = F.struct("box_index", "bbox")
     return (boxes.groupBy("image_id", F.floor(F.col("box_index") / BOXES_PER_BLOCK).alias("block"))
-            .agg(F.array_sort(F.collect_list(F.struct("box_index", *fields))).alias("boxes")))
+            .agg(F.array_sort(F.collect_list(F.when(F.col("class") == 0, box))).alias("dates"),
+                 F.array_sort(F.collect_list(F.when(F.col("class") != 0, box))).alias("others")))
 
 
 def token_box_overlap(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -71,26 +74,28 @@ def align_boxes_to_candidates(images: DataFrame, labels: DataFrame, tokens: Data
     """Per image the date box that a label-matching candidate overlaps best, trimmed, or why not.
 
     Candidates meet arrays of date boxes; the winner is kept by (IoU, score). Boxes of other
-    classes that overlap at least a quarter horizontally then cut the winner, in box order.
+    classes that overlap at least a quarter horizontally then cut the winner, in box order. Candidates and
+    boxes are read once: the few that match and the arrays of each image are stored.
     """
     has_tokens = tokens.select("image_id").distinct().withColumn("has_tokens", F.lit(True))
-    base = (images.select("image_id").join(_with_target(labels), "image_id", "left")
-            .join(has_tokens, "image_id", "left"))
-    match = (scored.withColumn("k", _key()).join(base.filter("target IS NOT NULL").select("image_id", "target"), "image_id")
-             .filter(F.col("k") == F.col("target"))
-             .select("image_id", "cand_ordinal", "score", "union_box", "raw_text"))
+    target = _with_target(labels)
+    base = images.select("image_id").join(target, "image_id", "left").join(has_tokens, "image_id", "left")
+    match = materialise(scored.withColumn("k", _key()).join(target.filter("target IS NOT NULL").select("image_id", "target"), "image_id")
+                        .filter(F.col("k") == F.col("target"))
+                        .select("image_id", "cand_ordinal", "score", "union_box", "raw_text"))
     any_match = match.groupBy("image_id").agg(F.max(F.col("union_box").isNotNull()).alias("has_box"))
-    date_boxes = boxes.filter("class = 0")
+    blocks = materialise(boxes_by_kind(boxes))
+    date_boxes = blocks.filter(F.size("dates") > 0).select("image_id", F.col("dates").alias("boxes"))
     has_date = date_boxes.select("image_id").distinct().withColumn("has_date_box", F.lit(True))
-    pairs = join_by_tile(match.filter("union_box IS NOT NULL").withColumn("tile", candidate_tile(F.col("cand_ordinal"))),
-                         box_blocks(date_boxes, "bbox").drop("block"), "image_id", "tile")
+    placed = match.filter("union_box IS NOT NULL").withColumn("tile", candidate_tile(F.col("cand_ordinal")))
+    pairs = join_by_tile(placed, date_boxes, "image_id", "tile", single=in_one_tile(placed, "tile"))
     rated = F.transform("boxes", lambda b: F.struct(box_iou(F.col("union_box"), b.bbox).alias("iou"),
                                                     (-b.box_index).alias("o"), b.bbox.alias("bbox")))
     best = (pairs.withColumn("b", F.array_max(rated)))
     best = top_per_group(best, ["image_id"], [F.desc("b.iou"), F.desc("score"), F.asc("cand_ordinal"), F.desc("b.o")]).select(
         "image_id", F.col("b.iou").alias("overlap"), F.col("b.bbox").alias("box"), "raw_text", "score")
-    others = (boxes.filter("class <> 0").groupBy("image_id").agg(
-        F.array_sort(F.collect_list(F.struct("box_index", "bbox"))).alias("others")))
+    others = (blocks.filter(F.size("others") > 0).groupBy("image_id").agg(
+        F.array_sort(F.flatten(F.collect_list("others"))).alias("others")))
     j = best.join(others, "image_id", "left")
     start = F.struct(F.col("box.y1").alias("top"), F.col("box.y2").alias("bottom"))
     left, right = F.col("box.x1"), F.col("box.x2")
