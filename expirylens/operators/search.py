@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from expirylens.functions.dates import candidate_final_date, final_date_sql
 from expirylens.operators import selection as S
@@ -311,10 +311,11 @@ def _with_combo_columns(df: DataFrame, combos: list[dict], extra: list[str] | No
     return df.join(F.broadcast(table.withColumn("combo", F.col("combo").cast("int"))), "combo")
 
 
-def labelled_candidates(feats: DataFrame, labels: DataFrame, both_unreadable: bool = False) -> DataFrame:
+def labelled_candidates(feats: DataFrame, labels: DataFrame, both_unreadable: bool = False, single: bool | None = None) -> DataFrame:
     """Candidates of labelled images with ``is_correct`` against the label (string or readable date).
 
-    ``both_unreadable`` is the rule of the whole pipeline, where two values that are no dates match too.
+    ``both_unreadable`` is the rule of the whole pipeline, where two values that are no dates match too. ``single`` tells whether
+    every image is one tile where that is known; else the features are read for it.
     """
     key = lambda c: F.expr(final_date_sql(c))
     lab = last_per_id(labels).select("image_id", F.col("final_date").alias("target"), key("final_date").alias("target_key"))
@@ -323,7 +324,8 @@ def labelled_candidates(feats: DataFrame, labels: DataFrame, both_unreadable: bo
                            "o3": F.col("cand_ordinal"), "tile": S.candidate_tile(F.col("cand_ordinal"))})
     own = F.when(F.col("calendar_valid"), F.struct("year", "month", "day"))
     neither = own.isNull() & F.col("target_key").isNull() if both_unreadable else F.lit(False)
-    return join_by_tile(c, lab, "image_id", "tile", single=in_one_tile(c, "tile")).withColumn(
+    single = in_one_tile(c, "tile") if single is None else single
+    return join_by_tile(c, lab, "image_id", "tile", single=single).withColumn(
         "is_correct", (F.col("predicted") == F.col("target")) | neither
         | F.coalesce(own.eqNullSafe(F.col("target_key")) & F.col("target_key").isNotNull(), F.lit(False)))
 
@@ -331,17 +333,22 @@ def labelled_candidates(feats: DataFrame, labels: DataFrame, both_unreadable: bo
 _EVALUATED = ["image_id", "tile", "last_tile", "o1", "o2", "o3", "is_correct", *S.FEATURE_COLUMNS]
 
 
-def _label_counts(labels: DataFrame, cands: DataFrame, image_ids: DataFrame, both_unreadable: bool = False) -> DataFrame:
-    """One row: images evaluated, readable targets, covered targets, images without any candidate."""
+def _label_counts(labels: DataFrame, cands: DataFrame, image_ids: DataFrame, both_unreadable: bool = False,
+                  best: list[Column] = (), also: dict[str, Column] = {}) -> DataFrame:
+    """One row: images evaluated, readable targets, covered targets, images without any candidate.
+
+    ``best`` are further aggregates of an image's candidates, ``also`` further aggregates over the images.
+    """
     lab = last_per_id(labels).join(image_ids.select("image_id").distinct(), "image_id", "left_semi").select(
         "image_id", "final_date", F.expr(final_date_sql("final_date")).isNotNull().alias("readable"))
-    per = cands.groupBy("image_id").agg(F.max("is_correct").alias("hit"))
+    per = cands.groupBy("image_id").agg(F.max("is_correct").alias("hit"), *best)
     j = lab.join(per, "image_id", "left")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     empty = F.col("hit").isNull()
     return j.agg(F.count("*").alias("total_images"), n(F.col("readable")).alias("targets"),
                  n(F.col("readable") & F.coalesce("hit", F.lit(False))).alias("covered"), n(empty).alias("none_predictions"),
-                 n(empty & ((F.col("final_date") == "NONE") | (~F.col("readable") if both_unreadable else F.lit(False)))).alias("right_without"))
+                 n(empty & ((F.col("final_date") == "NONE") | (~F.col("readable") if both_unreadable else F.lit(False)))).alias("right_without"),
+                 *[v.alias(name) for name, v in also.items()])
 
 
 def grid_search(feats: DataFrame, labels: DataFrame, images: DataFrame, grid: dict[str, list] | None = None,
@@ -438,27 +445,45 @@ def source_multiplier_sweep(tokens: DataFrame, labels: DataFrame, source: str, p
     """Exact match with the confidence of one token source scaled down step by step.
 
     Confidence does not influence extraction, so candidates and features are computed once with
-    both the plain mean confidence and the share of it that belongs to the source.
+    both the plain mean confidence and the share of it that belongs to the source. One aggregate by image, behind the
+    features without another shuffle of them, keeps the best candidate under each multiplier.
     """
-    of_source = F.when(F.col("source").eqNullSafe(source), F.col("confidence")).otherwise(F.lit(0.0))
     cands = extract_candidates(tokens, params.allow_day_first, params.allow_month_names, materialise=store, by_text=True)
-    feats = S.features(cands, tokens, params)
-    conf = tokens.select("image_id", F.col("token_index").alias("i"), of_source.alias("v")).filter("v > 0")
-    part = (feats.select("image_id", "cand_ordinal", F.explode("token_indices").alias("i"), F.size("token_indices").alias("n"))
+    one_tile = in_one_tile(cands, S.candidate_tile(F.col("cand_ordinal")))
+    feats = S.features(_with_source_part(cands, tokens, source), tokens, params)
+    labelled = labelled_candidates(feats, labels, both_unreadable=True, single=one_tile)
+    plain, weights = F.col("recognition_confidence"), lambda name: F.lit(float(getattr(params, name)))
+    for j, m in enumerate(multipliers):       # score_column reads the confidence by its name
+        labelled = (labelled.withColumn("recognition_confidence", F.col("__plain") - F.col("part") * (1 - m)) if j else
+                    labelled.withColumn("__plain", plain).withColumn("recognition_confidence", plain - F.col("part") * (1 - m)))
+        labelled = labelled.withColumn(f"__place{j}", F.struct(S.score_column(weights).alias("score"), (-F.col("cand_ordinal")).alias("o"),
+                                                               F.col("is_correct").cast("int").alias("right")))
+    best = [F.max(f"__place{j}").alias(f"best{j}") for j in range(len(multipliers))]
+    right = [F.coalesce(F.sum(f"best{j}.right"), F.lit(0)) for j in range(len(multipliers))]
+    counts = _label_counts(labels, labelled, tokens, both_unreadable=True, best=best, also={f"right{j}": r for j, r in enumerate(right)})
+    each = F.array(*[F.struct(F.lit(m).alias("multiplier"), F.col(f"right{j}").alias("correct")) for j, m in enumerate(multipliers)])
+    every = counts.withColumn("each", F.explode(each)).select("*", "each.*")
+    return every.select(
+        "multiplier", ((F.col("correct") + F.col("right_without")) / F.col("total_images")).alias("final_em"),
+        (F.col("covered") / F.nullif(F.col("targets").cast("double"), F.lit(0.0))).alias("candidate_recall"),
+        ((F.col("correct") + F.col("right_without")) / F.nullif(F.col("covered").cast("double"), F.lit(0.0))).alias("selection_accuracy"))
+
+
+def _with_source_part(cands: DataFrame, tokens: DataFrame, source: str) -> DataFrame:
+    """Candidates with ``part``, the share of their mean confidence that tokens of the source have. ``cands`` should be a stored table.
+
+    A candidate of one token has that token's confidence; only those of joined lines ask the tokens.
+    """
+    own = F.greatest(F.col("recognition_confidence"), F.lit(0.0))
+    plain = cands.filter(~F.col("joined")).withColumn("part", F.when(F.get("sources", F.lit(0)).eqNullSafe(source), own).otherwise(0.0))
+    lines = cands.filter("joined")
+    if lines.isEmpty():
+        return plain
+    conf = tokens.filter((F.col("confidence") > 0) & F.col("source").eqNullSafe(source)).select(
+        "image_id", F.col("token_index").alias("i"), F.col("confidence").alias("v"))
+    part = (lines.select("image_id", "cand_ordinal", F.explode("token_indices").alias("i"), F.size("token_indices").alias("n"))
             .join(conf, ["image_id", "i"]).groupBy("image_id", "cand_ordinal").agg(F.sum(F.col("v") / F.col("n")).alias("part")))
-    feats = store(feats.join(part, ["image_id", "cand_ordinal"], "left").withColumn("part", F.coalesce("part", F.lit(0.0))))
-    out = None
-    weights = [{n: getattr(params, n) for n in S.WEIGHT_NAMES}]
-    for m in multipliers:
-        scaled = feats.withColumn("recognition_confidence", F.col("recognition_confidence") - F.col("part") * (1 - m))
-        cands_m = labelled_candidates(scaled, labels, both_unreadable=True)
-        r = count_correct(cands_m, S.FEATURE_COLUMNS, weights).crossJoin(
-            F.broadcast(_label_counts(labels, cands_m, tokens, both_unreadable=True))).select(
-            F.lit(m).alias("multiplier"), ((F.col("correct") + F.col("right_without")) / F.col("total_images")).alias("final_em"),
-            (F.col("covered") / F.nullif(F.col("targets").cast("double"), F.lit(0.0))).alias("candidate_recall"),
-            ((F.col("correct") + F.col("right_without")) / F.nullif(F.col("covered").cast("double"), F.lit(0.0))).alias("selection_accuracy"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    return plain.unionByName(lines.join(part, ["image_id", "cand_ordinal"], "left").withColumn("part", F.coalesce("part", F.lit(0.0))))
 
 
 # --- fits over a pool of both sources ------------------------------------------------------------

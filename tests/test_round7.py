@@ -1,6 +1,10 @@
+import pytest
+from pyspark.sql import functions as F
+
 from expirylens import schemas
-from expirylens.operators import boxes as B, candidates as C, selection as S
+from expirylens.operators import boxes as B, candidates as C, search as Q, selection as S
 from expirylens.plans.storage import materialise
+from test_round5 import exchanges
 
 IMAGES = {"a": [("2026.01.02", 0.9, (0, 0, 80, 18), "yolo"), ("2025.05.05", 0.8, (0, 0, 80, 18), "baseline"), ("EXP", 0.9, (0, 20, 40, 38), "baseline")],
           "b": [("2024.03.04", 0.6, (0, 0, 80, 18), "yolo"), ("2023.01.01", 0.7, (40, 0, 120, 18), None), ("2026.07.08", 0.2, (300, 0, 380, 18), "yolo")],
@@ -21,3 +25,26 @@ def test_alignment_reads_candidates_and_boxes_once(spark, token_table):
     assert got == {"a": ("ok", (0.0, 3.0, 80.0, 14.0)), "b": ("no_gt_date_box", None), "d": ("missing_label_or_tokens", None),
                    "e": ("candidate_without_bbox", None)}
     assert not set(out.inputFiles()) & set(boxes.inputFiles() + scored.inputFiles())
+
+
+@pytest.mark.parametrize("tile", [4096, 1])
+def test_multipliers_share_one_evaluation(spark, token_table, monkeypatch, tile):
+    monkeypatch.setattr(schemas, "TILE_TOKENS", tile)
+    tokens = materialise(token_table(IMAGES))
+    target = {"a": "2026-01-02", "b": "2026-07-08", "c": "2024-05-06", "d": "NONE", "e": "2022-02-03"}
+    labels = materialise(spark.createDataFrame(list(target.items()), "image_id string, final_date string"))
+    steps = (0.1, 0.5, 1.0)
+    out = Q.source_multiplier_sweep(tokens, labels, "yolo", multipliers=steps)
+    planned = exchanges(out)
+    got = {r.multiplier: (r.final_em, r.candidate_recall, r.selection_accuracy) for r in out.collect()}
+    cands = C.extract_candidates(tokens)
+    shown = F.concat_ws("-", "year", "month", "day").alias("shown")
+    found = {tuple(r) for r in cands.select("image_id", shown).collect()}
+    covered = sum((i, d) in found for i, d in target.items())
+    for m in steps:
+        scaled = tokens.withColumn("confidence", F.col("confidence") * F.when(F.col("source") == "yolo", m).otherwise(1.0))
+        best = S.select_best(S.score_candidates(S.features(C.extract_candidates(scaled), scaled)))
+        right = sum(target[r.image_id] == r.shown for r in best.select("image_id", shown).collect()) + 1
+        assert got[m] == pytest.approx((right / 5, covered / 4, right / covered)), m
+    if tile > 1:
+        assert planned == exchanges(Q.source_multiplier_sweep(tokens, labels, "yolo", multipliers=steps[:1]))
