@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from expirylens.functions.dates import DEFAULT_RELIABILITY, PATTERNS, candidate_final_date
 from expirylens.functions.geometry import aspect_ratio, box_iou, spatial_relation
 from expirylens.functions.text import contains_any
-from expirylens.operators.box_grid import meet_boxes
+from expirylens.operators.box_grid import BOXES_PER_CELL, meet_boxes
 from expirylens.operators.ordering import in_one_tile, join_by_tile, rank_in_groups, top_per_group
 from expirylens.plans.storage import materialise
 from expirylens.schemas import ORDINAL_STRIDE, tile_of
@@ -359,10 +359,23 @@ def best_candidates(marked: DataFrame, params: ScoreParams = ScoreParams()) -> D
     return leading if in_one_tile(marked, candidate_tile(F.col("cand_ordinal"))) else select_best(leading)
 
 
-def other_source_iou(cands: DataFrame) -> DataFrame:
-    """Add ``source`` and ``spatial``: best IoU with a candidate box of the other source."""
+def other_source_iou(cands: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Add ``source`` and ``spatial``: best IoU with a candidate box of the other source.
+
+    ``stored`` is a stored table of the same candidates, from which boxes are read, so that features and scores are not worked out
+    for them. Then, where each image is one tile with no more boxes of a source than one cell holds, candidates meet one row of
+    their image, and they are neither shuffled again nor aggregated.
+    """
     c = cands.withColumns({"source": candidate_source(F.col("sources")),
                            "tile": candidate_tile(F.col("cand_ordinal"))})
+    if stored is not None and in_one_tile(stored, candidate_tile(F.col("cand_ordinal"))):
+        of = lambda name: F.collect_set(F.when(candidate_source(F.col("sources")) == name, F.col("union_box")))
+        sides = materialise(stored.select("image_id", "sources", "union_box").filter("union_box IS NOT NULL")
+                            .groupBy("image_id").agg(of("yolo").alias("__yolo"), of("baseline").alias("__baseline")))
+        if sides.filter(F.greatest(F.size("__yolo"), F.size("__baseline")) > BOXES_PER_CELL).isEmpty():
+            other = F.when(F.col("source") == "yolo", F.col("__baseline")).otherwise(F.col("__yolo"))
+            best = F.array_max(F.transform(other, lambda b: box_iou(F.col("union_box"), b)))
+            return c.join(sides, "image_id", "left").withColumn("spatial", F.coalesce(best, F.lit(0.0))).drop("tile", "__yolo", "__baseline")
     boxes = c.select("image_id", F.when(F.col("source") == "yolo", "baseline").otherwise("yolo").alias("source"), "union_box",
                      F.col("tile").alias("block"))
     joined = meet_boxes(c, boxes, ["image_id", "source"], "tile", F.col("block"), ("union_box",), "union_box", "union_box", "left")
@@ -381,9 +394,12 @@ def union_rank_column(params: UnionParams) -> Column:
 
 
 def select_union(scored: DataFrame, images: DataFrame | None = None,
-                 params: UnionParams = UnionParams()) -> DataFrame:
-    """Top candidate over both token sources; ties fall back to score, then generation order."""
-    ranked = other_source_iou(scored).withColumn("union_rank", union_rank_column(params))
+                 params: UnionParams = UnionParams(), stored: DataFrame | None = None) -> DataFrame:
+    """Top candidate over both token sources; ties fall back to score, then generation order.
+
+    ``stored``: see ``other_source_iou``.
+    """
+    ranked = other_source_iou(scored, stored).withColumn("union_rank", union_rank_column(params))
     best = top_per_group(ranked, ["image_id"], [F.desc("union_rank"), F.desc("score"),
                                                 F.asc("cand_ordinal")]).drop("rank")
     return best if images is None else images.select("image_id").join(best, "image_id", "left")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from expirylens import schemas
 from expirylens.operators import boxes as B, candidates as C, search as Q, selection as S
 from expirylens.plans.storage import materialise
-from test_round5 import exchanges
+from test_round5 import canonical, exchanges
 
 IMAGES = {"a": [("2026.01.02", 0.9, (0, 0, 80, 18), "yolo"), ("2025.05.05", 0.8, (0, 0, 80, 18), "baseline"), ("EXP", 0.9, (0, 20, 40, 38), "baseline")],
           "b": [("2024.03.04", 0.6, (0, 0, 80, 18), "yolo"), ("2023.01.01", 0.7, (40, 0, 120, 18), None), ("2026.07.08", 0.2, (300, 0, 380, 18), "yolo")],
@@ -48,3 +48,20 @@ def test_multipliers_share_one_evaluation(spark, token_table, monkeypatch, tile)
         assert got[m] == pytest.approx((right / 5, covered / 4, right / covered)), m
     if tile > 1:
         assert planned == exchanges(Q.source_multiplier_sweep(tokens, labels, "yolo", multipliers=steps[:1]))
+
+
+def test_boxes_of_the_other_source_need_no_shuffle_of_candidates(spark, token_table, monkeypatch):
+    crowd = {"f": [("2026.01.02", 0.9, (5 * i, 0, 5 * i + 8, 18), "yolo" if i % 3 else "baseline") for i in range(150)]}
+    for images, tile in ((IMAGES, 4096), ({**IMAGES, **crowd}, 4096), (IMAGES, 1)):
+        monkeypatch.setattr(schemas, "TILE_TOKENS", tile)
+        tokens = token_table(images)
+        stored = materialise(C.extract_candidates(tokens))
+        scored = materialise(S.score_candidates(S.features(stored, tokens)))
+        got = S.other_source_iou(scored, stored)
+        assert canonical(got) == canonical(S.other_source_iou(scored).select(got.columns))
+    monkeypatch.setattr(schemas, "TILE_TOKENS", 4096)
+    tokens = token_table(IMAGES)
+    stored = materialise(C.extract_candidates(tokens))
+    c = S.score_candidates(S.features(stored, tokens))
+    # one more exchange, that of the boxes of an image
+    assert exchanges(S.other_source_iou(c, stored)) <= exchanges(c) + 1
