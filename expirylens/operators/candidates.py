@@ -158,6 +158,9 @@ def annotated_candidates(tokens: DataFrame, keep_invalid: bool = False, join_lin
     ``dates.FLAG_PAIRS``) and ``places`` (position under each setting). ``candidates_under`` takes the rows of one setting.
     The line pass covers each image for the settings under which its tokens gave nothing: lines are built once for all of them,
     and a line candidate has a row for each setting whose first fitting text holds it. An image without tokens has no row.
+
+    ``materialise`` stores the dictionary of texts, which images the line pass covers, and its candidates. Those of the tokens are not
+    stored: a look-up in the dictionary costs less than to write and read them.
     """
     t = as_tokens(tokens)
     dated = t.filter(F.col("text").rlike(_MAY_HOLD_DATE)).withColumn(
@@ -176,10 +179,12 @@ def annotated_candidates(tokens: DataFrame, keep_invalid: bool = False, join_lin
     if not join_lines:
         return found
     keep_table = materialise or (lambda df: df)
-    found = keep_table(found)
     every = (1 << len(FLAG_PAIRS)) - 1
-    bare = keep_table(t.select("image_id", F.lit(0).alias("flags")).unionByName(found.select("image_id", "flags"))
-                      .groupBy("image_id").agg((F.bit_or("flags").bitwiseXOR(F.lit(every))).alias("bare")).filter("bare <> 0"))
+    masks = spans.select("__trimmed", F.expr("aggregate(spans, 0, (a, s) -> a | s.flags)").alias("flags"))
+    trimmed = F.when(F.col("text").rlike(_MAY_HOLD_DATE), F.expr(trimmed_sql("text")))
+    bare = keep_table(t.select("image_id", trimmed.alias("__trimmed")).join(masks, "__trimmed", "left")
+                      .groupBy("image_id").agg((F.coalesce(F.bit_or("flags"), F.lit(0)).bitwiseXOR(F.lit(every))).alias("bare"))
+                      .filter("bare <> 0"))
     lines = reconstruct_lines(keep_table(t.join(bare, "image_id", "left_semi")), y_tolerance)
     variants = (lines.filter(F.col("text").rlike(_MAY_HOLD_DATE)).select(
         "image_id", "line_ordinal", "members", "token_indices",
@@ -218,6 +223,19 @@ def candidates_under(annotated: DataFrame, day_first: bool, month_names: bool) -
     return annotated.filter(F.col("flags").bitwiseAND(F.lit(1 << j)) != 0).withColumn("cand_ordinal", ordinal).select(*CANDIDATE_COLUMNS)
 
 
+def candidates_with_places(annotated: DataFrame, pairs: list[tuple[bool, bool]]) -> tuple[DataFrame, dict[str, str]]:
+    """The candidates under any of the settings, each row once, and for each setting a suffix and the column of the ordinals under it.
+
+    The ordinal is null where the setting does not have the candidate. ``cand_ordinal`` is that of the token, for its tile only.
+    """
+    places = {f"_{FLAG_PAIRS.index((bool(d), bool(m)))}": f"place_{FLAG_PAIRS.index((bool(d), bool(m)))}" for d, m in pairs}
+    indexes = [int(s[1:]) for s in places]
+    some = F.col("flags").bitwiseAND(F.lit(sum(1 << j for j in indexes))) != 0
+    own = [F.when(F.col("flags").bitwiseAND(F.lit(1 << j)) != 0, F.col("cand_base") + F.get("places", F.lit(j)) - 1).alias(f"place_{j}")
+           for j in indexes]
+    return annotated.filter(some).withColumn("cand_ordinal", F.col("cand_base")).select(*CANDIDATE_COLUMNS, *own), places
+
+
 def dedup_candidates(cands: DataFrame) -> DataFrame:
     """First candidate per (components, pattern, token indices) of an image, by generation order.
 

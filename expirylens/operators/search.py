@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from expirylens.functions.dates import candidate_final_date, final_date_sql
 from expirylens.operators import selection as S
-from expirylens.operators.candidates import annotated_candidates, candidates_under, extract_candidates
+from expirylens.operators.candidates import annotated_candidates, candidates_under, candidates_with_places, extract_candidates
 from expirylens.operators.filters import last_per_id
 from expirylens.operators.ordering import in_one_tile, join_by_tile
 from expirylens.plans.storage import materialise
+from expirylens.schemas import tile_of
 
 # The search space of the selector weights.
 DEFAULT_GRID = {
@@ -83,6 +84,7 @@ def ablation_stages() -> list[tuple[str, dict]]:
 # --- evaluation of many weight sets --------------------------------------------------------------
 
 _CHUNK = 64          # weight sets evaluated at a time
+FEW_SETS = 32        # so many are scored as columns, which needs no arrays of candidates
 
 
 def _linear_score(w: dict[str, np.ndarray], f: dict[str, np.ndarray]) -> np.ndarray:
@@ -333,14 +335,19 @@ def labelled_candidates(feats: DataFrame, labels: DataFrame, both_unreadable: bo
 _EVALUATED = ["image_id", "tile", "last_tile", "o1", "o2", "o3", "is_correct", *S.FEATURE_COLUMNS]
 
 
+def _labelled_images(labels: DataFrame, image_ids: DataFrame) -> DataFrame:
+    """The images evaluated: their labels, and whether these are readable."""
+    return last_per_id(labels).join(image_ids.select("image_id").distinct(), "image_id", "left_semi").select(
+        "image_id", "final_date", F.expr(final_date_sql("final_date")).isNotNull().alias("readable"))
+
+
 def _label_counts(labels: DataFrame, cands: DataFrame, image_ids: DataFrame, both_unreadable: bool = False,
                   best: list[Column] = (), also: dict[str, Column] = {}) -> DataFrame:
     """One row: images evaluated, readable targets, covered targets, images without any candidate.
 
     ``best`` are further aggregates of an image's candidates, ``also`` further aggregates over the images.
     """
-    lab = last_per_id(labels).join(image_ids.select("image_id").distinct(), "image_id", "left_semi").select(
-        "image_id", "final_date", F.expr(final_date_sql("final_date")).isNotNull().alias("readable"))
+    lab = _labelled_images(labels, image_ids)
     per = cands.groupBy("image_id").agg(F.max("is_correct").alias("hit"), *best)
     j = lab.join(per, "image_id", "left")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
@@ -384,19 +391,56 @@ def _parser_features(tokens: DataFrame, pairs: list[tuple[bool, bool]], store):
     return lambda day_first, month_names: store(S.features(candidates_under(annotated, day_first, month_names), tokens))
 
 
+def _few_params(tokens: DataFrame, labels: DataFrame, groups: dict[tuple[bool, bool], list[int]], combos: list[dict], annotated: DataFrame,
+                both_unreadable: bool, images: DataFrame) -> DataFrame:
+    """``evaluate_params`` for few weight sets, from one shuffle of the candidates under all settings of the parser.
+
+    One aggregate by image keeps the best candidate under every weight set, behind the features and in their partitions.
+    """
+    # lines take part by the first tile only
+    one_tile = in_one_tile(tokens, tile_of(F.col("token_index")))
+    cands, places = candidates_with_places(annotated, list(groups))
+    feats = S.features(cands, tokens, places=places, one_tile=one_tile)
+    rows = labelled_candidates(feats, labels, both_unreadable, single=one_tile).withColumn("is_correct", F.coalesce("is_correct", F.lit(False)))
+    suffix_of = {i: s for s, indexes in zip(places, groups.values()) for i in indexes}
+    score = lambda i: _linear_score(combos[i], {
+        n: F.col(n + suffix_of[i] if n in S.SETTING_FEATURES else n).cast("double") for n in S.FEATURE_COLUMNS})
+    # scores stand inside the aggregate, which compiles them one by one; a projection of all is too long a method for the JVM to compile
+    per = rows.groupBy("image_id").agg(
+        *[F.max(F.when(F.col(place).isNotNull(), F.col("is_correct"))).alias(f"hit{s}") for s, place in places.items()],
+        *[F.max(F.when(F.col(places[s]).isNotNull(), F.struct(
+            score(i).alias("score"), (-F.col(places[s])).alias("o"), F.col("is_correct").cast("int").alias("right")))).alias(f"best{i}")
+          for i, s in suffix_of.items()])
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    unread = (F.col("final_date") == "NONE") | (~F.col("readable") if both_unreadable else F.lit(False))
+    counts = _labelled_images(labels, images).join(per, "image_id", "left").agg(
+        F.count("*").alias("total"), n(F.col("readable")).alias("targets"),
+        *[v for s in places for v in (n(F.col("readable") & F.coalesce(f"hit{s}", F.lit(False))).alias(f"covered{s}"),
+                                      n(F.col(f"hit{s}").isNull() & unread).alias(f"without{s}"))],
+        *[F.coalesce(F.sum(f"best{i}.right"), F.lit(0)).alias(f"right{i}") for i in suffix_of])
+    each = F.array(*[F.struct(F.lit(i).alias("combo"), (F.col(f"right{i}") + F.col(f"without{s}")).alias("correct"), "total", "targets",
+                              F.col(f"covered{s}").alias("covered")) for i, s in suffix_of.items()])
+    return counts.select(F.explode(each).alias("e")).select("e.*")
+
+
 def evaluate_params(tokens: DataFrame, labels: DataFrame, params: list[dict], store=materialise,
-                    features_for=None, both_unreadable: bool = False, images: DataFrame | None = None) -> DataFrame:
+                    features_for=None, both_unreadable: bool = False, images: DataFrame | None = None,
+                    annotated: DataFrame | None = None) -> DataFrame:
     """Exact match of parameter sets that may also differ in parser flags.
 
     ``images`` has the ids of all images, those without tokens too; by default the tokens' own.
 
-    The grammar runs once for all pairs of parser flags; features are computed once per distinct pair (four at most), and all
-    weight sets of a pair share them.
+    The grammar runs once for all pairs of parser flags (``annotated``, where it is there already). Few weight sets are evaluated together.
+    For many, features are computed once per distinct pair (four at most), and all weight sets of a pair share them.
     """
     base = S.ScoreParams()
     groups: dict[tuple[bool, bool], list[int]] = {}
     for i, p in enumerate(params):
         groups.setdefault((bool(p.get("allow_day_first", False)), bool(p.get("allow_month_names", False))), []).append(i)
+    if len(params) <= FEW_SETS:
+        weights = [{n: float(p.get(n, getattr(base, n))) for n in S.WEIGHT_NAMES} for p in params]
+        annotated = annotated_candidates(tokens, materialise=store) if annotated is None else annotated
+        return _few_params(tokens, labels, groups, weights, annotated, both_unreadable, tokens if images is None else images)
     make = features_for or _parser_features(tokens, list(groups), store)
     out = None
     for (day_first, month_names), indexes in groups.items():
@@ -411,10 +455,10 @@ def evaluate_params(tokens: DataFrame, labels: DataFrame, params: list[dict], st
     return out
 
 
-def stage_ablation(tokens: DataFrame, labels: DataFrame, store=materialise, features_for=None) -> DataFrame:
+def stage_ablation(tokens: DataFrame, labels: DataFrame, store=materialise, annotated: DataFrame | None = None) -> DataFrame:
     """The ten cumulative stages with gain over the stage before and a keep/prune decision."""
     stages = ablation_stages()
-    r = evaluate_params(tokens, labels, [p for _, p in stages], store, features_for)
+    r = evaluate_params(tokens, labels, [p for _, p in stages], store, annotated=annotated)
     em = F.coalesce(F.round(F.col("correct") / F.nullif(F.col("total").cast("double"), F.lit(0.0)), 4), F.lit(0.0))
     names = F.array(*[F.lit(n) for n, _ in stages])
     r = r.select("combo", F.element_at(names, F.col("combo") + 1).alias("stage"), em.alias("exact_match"),
@@ -428,12 +472,12 @@ def stage_ablation(tokens: DataFrame, labels: DataFrame, store=materialise, feat
 
 
 def cartesian_ablation(tokens: DataFrame, labels: DataFrame, grid: dict[str, list], max_runs: int | None = None,
-                       store=materialise, features_for=None) -> DataFrame:
+                       store=materialise, features_for=None, annotated: DataFrame | None = None) -> DataFrame:
     """All combinations of a grid over weights and parser flags (or the first ``max_runs``), with their metrics."""
     combos = product_grid({k: v if isinstance(v, list) else [v] for k, v in grid.items()}, max_runs)
     flat = [{k.rsplit(".", 1)[-1]: v for k, v in c.items()} for c in combos]
     div = lambda a, b: F.col(a) / F.nullif(F.col(b).cast("double"), F.lit(0.0))
-    r = evaluate_params(tokens, labels, flat, store, features_for, both_unreadable=True).select(
+    r = evaluate_params(tokens, labels, flat, store, features_for, both_unreadable=True, annotated=annotated).select(
         "combo", F.format_string("run_%03d", F.col("combo") + 1).alias("run"),
         div("correct", "total").alias("final_date_exact_match"), div("covered", "targets").alias("candidate_recall"),
         div("correct", "covered").alias("candidate_selection_accuracy"), F.col("total").alias("labeled_count"))

@@ -136,23 +136,34 @@ def keyword_blocks(tokens: DataFrame) -> DataFrame:
             .agg(F.collect_list(F.struct("token_index", "bbox", "pos", "neg")).alias("kws")))
 
 
-def date_extremes(cands: DataFrame) -> DataFrame:
+# Candidates under one setting of the parser: what depends on the setting has no suffix, and places are ordinals.
+ONE_SETTING = {"": "cand_ordinal"}
+
+
+def _date_of_text(place: str) -> tuple[Column, Column]:
+    """Aggregates over the rows of a raw text: its last ``ymd*`` reading in ``d``, and its first reading, by their places."""
+    dated = F.col("d").isNotNull()
+    return (F.max_by("d", F.when(dated & F.col("pattern").startswith("ymd"), F.col(place))),
+            F.min_by("d", F.when(dated, F.col(place))))
+
+
+def _complete_date() -> Column:
+    return F.when(F.col("calendar_valid") & F.col("year").isNotNull() & F.col("day").isNotNull(), _date())
+
+
+def date_extremes(cands: DataFrame, places: dict[str, str] = ONE_SETTING) -> DataFrame:
     """Per image: earliest and latest complete date, the tiles that hold candidates, and the last of them.
 
     A raw text counts once: its last ``ymd*`` reading, otherwise its first reading. Both levels
-    combine on the map side.
+    combine on the map side. ``places``: see ``features``.
     """
-    complete = F.col("calendar_valid") & F.col("year").isNotNull() & F.col("day").isNotNull()
-    d = F.when(complete, _date())
-    per_text = (cands.select("image_id", "raw_text", "cand_ordinal", "pattern", d.alias("d"))
+    per_text = (cands.select("image_id", "raw_text", "cand_ordinal", "pattern", *{p for p in places.values() if p != "cand_ordinal"},
+                             _complete_date().alias("d"))
                 .groupBy("image_id", "raw_text").agg(
-                    F.max_by("d", F.when(F.col("d").isNotNull() & F.col("pattern").startswith("ymd"),
-                                         F.col("cand_ordinal"))).alias("last_ymd"),
-                    F.min_by("d", F.when(F.col("d").isNotNull(), F.col("cand_ordinal"))).alias("first_any"),
+                    *[F.coalesce(*_date_of_text(place)).alias(f"text_date{s}") for s, place in places.items()],
                     F.collect_set(candidate_tile(F.col("cand_ordinal"))).alias("tiles")))
-    date_of_text = F.coalesce("last_ymd", "first_any")
     return per_text.groupBy("image_id").agg(
-        F.min(date_of_text).alias("min_date"), F.max(date_of_text).alias("max_date"),
+        *[f(f"text_date{s}").alias(f"{name}{s}") for s in places for f, name in ((F.min, "min_date"), (F.max, "max_date"))],
         F.array_distinct(F.flatten(F.collect_list("tiles"))).alias("tiles")).withColumn("last_tile", F.array_max("tiles"))
 
 
@@ -161,38 +172,35 @@ def spread_over_tiles(per_image: DataFrame) -> DataFrame:
     return per_image.withColumn("tile", F.explode("tiles")).drop("tiles")
 
 
-def with_date_extremes(cands: DataFrame) -> tuple[DataFrame, list[str]]:
+def with_date_extremes(cands: DataFrame, places: dict[str, str] = ONE_SETTING, one_tile: bool | None = None) -> tuple[DataFrame, list[str]]:
     """Candidates with the extremes of ``date_extremes`` and their tile, and the keys that they are partitioned by.
 
     The candidates are shuffled once, by image, and both levels are windows over the sorted rows. Only where an image has
-    several tiles, the candidates go by (image, tile), and the extremes of such images come from aggregates.
+    several tiles, the candidates go by (image, tile), and the extremes of such images come from aggregates. ``one_tile`` is given
+    where that is known already; else the candidates are read for it.
     """
     c = cands.withColumn("tile", candidate_tile(F.col("cand_ordinal")))
     large = c.filter(F.col("tile") != 0).select("image_id").distinct()
-    one_tile = large.isEmpty()
+    one_tile = large.isEmpty() if one_tile is None else one_tile
     keys = ["image_id"] if one_tile else ["image_id", "tile"]
-    complete = F.col("calendar_valid") & F.col("year").isNotNull() & F.col("day").isNotNull()
     of_text, of_image = Window.partitionBy(*keys, "raw_text"), Window.partitionBy(*keys)
-    dated = F.col("__d").isNotNull()
-    c = (c.repartition(*keys).withColumn("__d", F.when(complete, _date()))
-         .withColumn("__t", F.coalesce(
-             F.max_by("__d", F.when(dated & F.col("pattern").startswith("ymd"), F.col("cand_ordinal"))).over(of_text),
-             F.min_by("__d", F.when(dated, F.col("cand_ordinal"))).over(of_text)))
-         .withColumns({"min_date": F.min("__t").over(of_image), "max_date": F.max("__t").over(of_image), "last_tile": F.lit(0)})
-         .drop("__d", "__t"))
+    names = [f"{name}{s}" for s in places for name in ("min_date", "max_date")] + ["last_tile"]
+    c = (c.repartition(*keys).withColumn("d", _complete_date())
+         .withColumns({f"__t{s}": F.coalesce(*[v.over(of_text) for v in _date_of_text(place)]) for s, place in places.items()})
+         .withColumns({f"{name}{s}": f(f"__t{s}").over(of_image) for s in places for f, name in ((F.min, "min_date"), (F.max, "max_date"))})
+         .withColumn("last_tile", F.lit(0)).drop("d", *[f"__t{s}" for s in places]))
     if one_tile:
         return c, keys
     large = materialise(large)
-    facts = spread_over_tiles(date_extremes(cands.join(large, "image_id", "left_semi"))).select(
-        *keys, *[F.col(n).alias(f"__{n}") for n in ("min_date", "max_date", "last_tile")])
+    facts = spread_over_tiles(date_extremes(cands.join(large, "image_id", "left_semi"), places)).select(
+        *keys, *[F.col(n).alias(f"__{n}") for n in names])
     own = F.col("__last_tile").isNotNull()
-    return (c.join(facts, keys, "left").withColumns({
-        n: F.when(own, F.col(f"__{n}")).otherwise(F.col(n)) for n in ("min_date", "max_date", "last_tile")})
-        .drop("__min_date", "__max_date", "__last_tile")), keys
+    return (c.join(facts, keys, "left").withColumns({n: F.when(own, F.col(f"__{n}")).otherwise(F.col(n)) for n in names})
+            .drop(*[f"__{n}" for n in names])), keys
 
 
 def context_features(cands: DataFrame, tokens: DataFrame, same_line_bonus: float = 0.15,
-                     extremes: DataFrame | None = None) -> DataFrame:
+                     extremes: DataFrame | None = None, places: dict[str, str] = ONE_SETTING, one_tile: bool | None = None) -> DataFrame:
     """Add positive, negative and spatial keyword evidence, and the image's date extremes.
 
     Positive and negative evidence is the best of closeness in reading order plus spatial
@@ -201,13 +209,13 @@ def context_features(cands: DataFrame, tokens: DataFrame, same_line_bonus: float
     blocks = materialise(keyword_blocks(tokens))
     one_block = blocks.groupBy("image_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     if extremes is None:
-        c, keys = with_date_extremes(cands)
+        c, keys = with_date_extremes(cands, places, one_tile)
         kws = blocks.select("image_id", "kws")
         joined = c.join(kws, "image_id", "left") if keys == ["image_id"] else join_by_tile(c, kws, "image_id", "tile", "left")
     else:
         facts = spread_over_tiles(extremes.join(blocks.select("image_id", "kws"), "image_id", "left"))
         joined = cands.withColumn("tile", candidate_tile(F.col("cand_ordinal"))).join(facts, ["image_id", "tile"], "left")
-    columns = [*cands.columns, "tile", "min_date", "max_date", "last_tile"]
+    columns = [*cands.columns, "tile", *[f"{name}{s}" for s in places for name in ("min_date", "max_date")], "last_tile"]
 
     def near(k: Column) -> Column:
         return 1.0 / (1.0 + F.abs(k.token_index - F.col("first_index")))
@@ -231,7 +239,8 @@ def context_features(cands: DataFrame, tokens: DataFrame, same_line_bonus: float
     if one_block:
         return scored.select(*columns, *[cap(F.col(v)).alias(name) for name, v in evidence.items()]).drop("tile")
     # more than one block only in images with very many keywords
-    return per_candidate(scored, columns, {name: cap(F.max(v)) for name, v in evidence.items()}).drop("tile")
+    keys = ("image_id", "tile", "cand_ordinal", *[p for p in places.values() if p != "cand_ordinal"])
+    return per_candidate(scored, columns, {name: cap(F.max(v)) for name, v in evidence.items()}, keys).drop("tile")
 
 
 def per_candidate(rows: DataFrame, columns: list[str], values: dict[str, Column],
@@ -242,13 +251,25 @@ def per_candidate(rows: DataFrame, columns: list[str], values: dict[str, Column]
             .select(*[n if n in keys else F.col(f"__c.{n}").alias(n) for n in columns], *values))
 
 
-def features(cands: DataFrame, tokens: DataFrame, params: ScoreParams = ScoreParams()) -> DataFrame:
-    """The scoring features of every candidate as flat columns."""
-    f = context_features(cands, tokens, params.same_line_bonus)
-    many = F.col("max_date") > F.col("min_date")
+def features(cands: DataFrame, tokens: DataFrame, params: ScoreParams = ScoreParams(), places: dict[str, str] = ONE_SETTING,
+             one_tile: bool | None = None) -> DataFrame:
+    """The scoring features of every candidate as flat columns.
+
+    A table may hold the candidates under several settings of the parser, each row once (see ``candidates_with_places``). Then ``places``
+    names for each setting a suffix and the column of the ordinals under it, null where it has no such candidate, and the
+    features that depend on the setting are there once for each, with its suffix. ``one_tile``: see ``with_date_extremes``.
+    """
+    f = context_features(cands, tokens, params.same_line_bonus, places=places, one_tile=one_tile)
     d = _date()
     complete = F.col("year").isNotNull() & F.col("month").isNotNull() & F.col("day").isNotNull()
-    later = F.coalesce(many & complete & (d == F.col("max_date")), F.lit(False))
+
+    def of_setting(s: str) -> dict[str, Column]:
+        first, last = F.col(f"min_date{s}"), F.col(f"max_date{s}")
+        later = F.coalesce((last > first) & complete & (d == last), F.lit(False))
+        return {f"is_partial{s}": last.isNotNull() & F.col("year").isNull(), f"has_many_dates{s}": F.coalesce(last > first, F.lit(False)),
+                f"is_latest{s}": later,
+                f"is_earliest_bare{s}": F.coalesce((last > first) & complete & (d == first), F.lit(False)) & ~later
+                & (F.col("positive_keyword") == 0)}
     slash = F.col("raw_text").contains("/")
     dmy = (F.when((F.col("pattern") == "dmy_separated") & ~slash, DMY_WITHOUT_SLASH)
            .when((F.col("pattern") == "dmy_separated")
@@ -258,19 +279,17 @@ def features(cands: DataFrame, tokens: DataFrame, params: ScoreParams = ScorePar
         "source_prior": source_prior(F.col("sources"), params.source_confidence_multipliers),
         "pattern_reliability": pattern_reliability(F.col("pattern")),
         "calendar": F.when(F.col("calendar_valid"), 1.0).otherwise(-1.0),
-        "is_partial": F.col("max_date").isNotNull() & F.col("year").isNull(),
         "is_time_like": F.col("raw_text").rlike(r"^\d{1,2}:\d{2}$"),
-        "has_many_dates": F.coalesce(many, F.lit(False)),
-        "is_latest": later,
-        "is_earliest_bare": F.coalesce(many & complete & (d == F.col("min_date")), F.lit(False)) & ~later
-        & (F.col("positive_keyword") == 0),
+        **{name: value for s in places for name, value in of_setting(s).items()},
         "dmy_adjustment": dmy,
-    }).drop("min_date", "max_date")
+    }).drop(*[f"{name}{s}" for s in places for name in ("min_date", "max_date")])
 
 
 FEATURE_COLUMNS = ["recognition_confidence", "detection_confidence", "source_prior", "pattern_reliability",
                    "calendar", "positive_keyword", "negative_keyword", "spatial_relation", "is_partial",
                    "is_time_like", "is_latest", "is_earliest_bare", "dmy_adjustment"]
+# Those that depend on the setting of the parser.
+SETTING_FEATURES = ("is_partial", "is_latest", "is_earliest_bare")
 
 
 def score_column(weights) -> Column:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from expirylens.operators import search as Q, selection as S
-from expirylens.operators.candidates import annotated_candidates, candidates_under
+from expirylens.operators import search as Q
+from expirylens.operators.candidates import annotated_candidates
 from expirylens.plans import fixtures as X
 from expirylens.plans.catalog import query
 from expirylens.plans.oracle_parts import sql
@@ -13,18 +13,9 @@ from expirylens.plans.queries_core import _POOL, pool
 from expirylens.plans.storage import materialise
 
 
-def parser_features(spark, d):
-    """Features per pair of parser flags, from one annotated extraction, shared by the queries of a session."""
-    def make(day_first: bool, month_names: bool):
-        if day_first and month_names:
-            return X.features(spark, d)
-        name = f"features_{day_first}_{month_names}"
-
-        def build():
-            annotated = X.stored(spark, d, "annotated", lambda: annotated_candidates(X.tokens(spark, d), materialise=materialise))
-            return S.features(candidates_under(annotated, day_first, month_names), X.tokens(spark, d))
-        return X.stored(spark, d, name, build)
-    return make
+def annotated(spark, d):
+    """The candidates under all settings of the parser, from one extraction, shared by the queries of a session."""
+    return X.stored(spark, d, "annotated", lambda: annotated_candidates(X.tokens(spark, d), materialise=materialise), store=None)
 
 
 # candidates at the three parser levels: 0 neither flag, 1 day first, 2 both
@@ -95,7 +86,7 @@ _STAGE_NAMES = ", ".join(f"'{n}'" for n, _ in Q.ablation_stages())
     round(correct / total, 4) - coalesce(lag(round(correct / total, 4)) OVER (ORDER BY i), round(correct / total, 4)) AS delta FROM res)""",
     "dt", "kw", "tok", "lab", **_evaluated(_STAGES_W)))
 def a9(spark, d):
-    return Q.stage_ablation(X.tokens(spark, d), X.labels(spark, d), features_for=parser_features(spark, d))
+    return Q.stage_ablation(X.tokens(spark, d), X.labels(spark, d), annotated=annotated(spark, d))
 
 
 _CART_W = """SELECT row_number() OVER (ORDER BY l, k, p) - 1 AS i, l AS lv, [0.7, 0.2][k] AS kw, 0.45 AS neg, 0.2 AS conf, 0.2 AS det, 0.5 AS cal, 0.25 AS pat, [0.25, 0.1][p] AS pos, 0.45 AS part, 0.15 AS fut
@@ -106,7 +97,7 @@ _CART_W = """SELECT row_number() OVER (ORDER BY l, k, p) - 1 AS i, l AS lv, [0.7
     round(correct / covered, 6) AS candidate_selection_accuracy, total AS labeled_count, lv = 1 AS allow_day_first, kw::DOUBLE AS keyword_weight, pos::DOUBLE AS position_weight FROM res JOIN w USING (i)""", "dt", "kw", "tok", "lab", **_evaluated(_CART_W)))
 def a11(spark, d):
     grid = {"selector.params.allow_day_first": [False, True], "selector.params.keyword_weight": [0.7, 0.2], "selector.params.position_weight": [0.25, 0.1]}
-    out = Q.cartesian_ablation(X.tokens(spark, d), X.labels(spark, d), grid, features_for=parser_features(spark, d))
+    out = Q.cartesian_ablation(X.tokens(spark, d), X.labels(spark, d), grid, annotated=annotated(spark, d))
     rounded = [F.round(c, 6).alias(c) for c in ("final_date_exact_match", "candidate_recall", "candidate_selection_accuracy")]
     return out.select("run", *rounded, "labeled_count", "allow_day_first", "keyword_weight", "position_weight")
 
