@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -102,17 +103,17 @@ def _linear_score(w: dict[str, np.ndarray], f: dict[str, np.ndarray]) -> np.ndar
     return s + bonus + f["dmy_adjustment"]
 
 
-def _source_score(w, f):
+def _source_score(w, f, where=np.where):
     yolo = f["is_yolo"]
-    s = np.where(yolo > 0, w["yolo_source"] + w["yolo_bonus"], w["baseline_source"])
+    s = where(yolo > 0, w["yolo_source"] + w["yolo_bonus"], w["baseline_source"])
     s = s + w["candidate_score"] * f["score"]
     s = s + w["rec_log"] * f["log_rec"]
     s = s + w["det_log"] * f["log_det"]
     return s + w["due_bonus"] * f["is_due"]
 
 
-def _spatial_score(w, f):
-    s = np.where(f["is_yolo"] > 0, w["yolo_bonus"], 0.0)
+def _spatial_score(w, f, where=np.where):
+    s = where(f["is_yolo"] > 0, w["yolo_bonus"], 0.0)
     s = s + w["candidate_score"] * f["score"]
     s = s + w["rec_log"] * f["log_rec"]
     s = s + w["det_log"] * f["log_det"]
@@ -391,6 +392,18 @@ def _parser_features(tokens: DataFrame, pairs: list[tuple[bool, bool]], store):
     return lambda day_first, month_names: store(S.features(candidates_under(annotated, day_first, month_names), tokens))
 
 
+def _place(score: Column, *order: str) -> Column:
+    """An array whose maximum is the best candidate: score, then the order columns (first wins), last ``is_correct``.
+
+    Arrays of doubles are copied as one piece, structs field by field; ordinals are below 2 ** 52, so they are exact.
+    """
+    return F.array(score, *[-F.col(o).cast("double") for o in order], F.col("is_correct").cast("double"))
+
+
+def _right_places(best: str) -> Column:
+    return F.sum(F.element_at(best, -1).cast("int"))
+
+
 def _few_params(tokens: DataFrame, labels: DataFrame, groups: dict[tuple[bool, bool], list[int]], combos: list[dict], annotated: DataFrame,
                 both_unreadable: bool, images: DataFrame) -> DataFrame:
     """``evaluate_params`` for few weight sets, from one shuffle of the candidates under all settings of the parser.
@@ -408,16 +421,14 @@ def _few_params(tokens: DataFrame, labels: DataFrame, groups: dict[tuple[bool, b
     # scores stand inside the aggregate, which compiles them one by one; a projection of all is too long a method for the JVM to compile
     per = rows.groupBy("image_id").agg(
         *[F.max(F.when(F.col(place).isNotNull(), F.col("is_correct"))).alias(f"hit{s}") for s, place in places.items()],
-        *[F.max(F.when(F.col(places[s]).isNotNull(), F.struct(
-            score(i).alias("score"), (-F.col(places[s])).alias("o"), F.col("is_correct").cast("int").alias("right")))).alias(f"best{i}")
-          for i, s in suffix_of.items()])
+        *[F.max(F.when(F.col(places[s]).isNotNull(), _place(score(i), places[s]))).alias(f"best{i}") for i, s in suffix_of.items()])
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
     unread = (F.col("final_date") == "NONE") | (~F.col("readable") if both_unreadable else F.lit(False))
     counts = _labelled_images(labels, images).join(per, "image_id", "left").agg(
         F.count("*").alias("total"), n(F.col("readable")).alias("targets"),
         *[v for s in places for v in (n(F.col("readable") & F.coalesce(f"hit{s}", F.lit(False))).alias(f"covered{s}"),
                                       n(F.col(f"hit{s}").isNull() & unread).alias(f"without{s}"))],
-        *[F.coalesce(F.sum(f"best{i}.right"), F.lit(0)).alias(f"right{i}") for i in suffix_of])
+        *[F.coalesce(_right_places(f"best{i}"), F.lit(0)).alias(f"right{i}") for i in suffix_of])
     each = F.array(*[F.struct(F.lit(i).alias("combo"), (F.col(f"right{i}") + F.col(f"without{s}")).alias("correct"), "total", "targets",
                               F.col(f"covered{s}").alias("covered")) for i, s in suffix_of.items()])
     return counts.select(F.explode(each).alias("e")).select("e.*")
@@ -532,10 +543,11 @@ def _with_source_part(cands: DataFrame, tokens: DataFrame, source: str) -> DataF
 
 # --- fits over a pool of both sources ------------------------------------------------------------
 
-def union_pool(baseline: DataFrame, detector: DataFrame) -> DataFrame:
-    """Baseline candidates (by rank) and detector candidates (by position) of an image as one pool; both should be stored tables.
+def union_pool(baseline: DataFrame, detector: DataFrame, single: bool | None = None) -> DataFrame:
+    """Baseline candidates (by rank) and detector candidates (by position) of an image as one pool.
 
-    o1, o2, o3 give the pool order: baseline first, by score descending and generation order.
+    o1, o2, o3 give the pool order: baseline first, by score descending and generation order. ``single`` tells whether every image is
+    one tile where that is known; else both are read for it and should be stored tables.
     """
     log = lambda c: F.log(F.greatest(F.col(c), F.lit(1e-6)))
     cols = ["image_id", "prediction", "source", "score", "rec", "det", "class", "bbox"]
@@ -545,18 +557,22 @@ def union_pool(baseline: DataFrame, detector: DataFrame) -> DataFrame:
     pool = b.unionByName(y).withColumns({
         "is_yolo": F.col("source") == "yolo", "is_due": F.col("class") == 1, "log_rec": log("rec"), "log_det": log("det"),
         "tile": index})
-    if in_one_tile(pool, "tile"):
+    if in_one_tile(pool, "tile") if single is None else single:
         return pool.withColumn("last_tile", F.lit(0))
     last = pool.groupBy("image_id").agg(F.max("tile").alias("last_tile"))
     return pool.join(last, "image_id")
 
 
-def pool_spatial(pool: DataFrame) -> DataFrame:
-    """Add ``spatial``: best IoU with a box of the other source."""
-    keyed = pool.withColumns({
+def pool_spatial(pool: DataFrame, stored: DataFrame | None = None, single: bool | None = None) -> DataFrame:
+    """Add ``spatial``: best IoU with a box of the other source.
+
+    ``stored`` is a pool of the same boxes that reads stored tables only, and ``single`` tells whether every image is one tile where that is
+    known; see ``other_source_iou``.
+    """
+    keyed = lambda p: p.withColumns({
         "sources": F.array("source"), "union_box": F.col("bbox"),
-        "cand_ordinal": F.when(F.col("o1") == 0, F.col("o3")).otherwise(F.col("o3") * S.ORDINAL_STRIDE)})
-    return S.other_source_iou(keyed.drop("tile")).withColumn(
+        "cand_ordinal": F.when(F.col("o1") == 0, F.col("o3")).otherwise(F.col("o3") * S.ORDINAL_STRIDE)}).drop("tile")
+    return S.other_source_iou(keyed(pool), None if stored is None else keyed(stored), single).withColumn(
         "tile", S.candidate_tile(F.col("cand_ordinal"))).drop("sources", "union_box", "cand_ordinal")
 
 
@@ -571,20 +587,54 @@ def _evaluate_fit(pool: DataFrame, labels: DataFrame, combos: list[dict], featur
         (F.col("correct") / one("images")).alias("final_em"), (F.col("correct") / one("found")).alias("selection_accuracy"))
 
 
+def _evaluate_few(pool: DataFrame, labels: dict[str, DataFrame], combos: list[dict], features: list[str], score, single: bool | None) -> DataFrame:
+    """``_evaluate_fit`` for few weight sets and the labels of several splits, from one pass over the pool: (split, combo, ...).
+
+    One aggregate by image and split keeps the best candidate under every weight set.
+    """
+    name = lambda df, split: df.withColumn("split", F.lit(split))
+    both = lambda dfs: reduce(DataFrame.unionByName, dfs)
+    lab = both([name(last_per_id(df).select("image_id", F.col("final_date").alias("target")), split) for split, df in labels.items()])
+    single = in_one_tile(pool, "tile") if single is None else single
+    c = join_by_tile(pool, lab, "image_id", "tile", single=single).withColumn("is_correct", F.coalesce(F.col("prediction") == F.col("target"), F.lit(False)))
+    f = {n: F.col(n).cast("double") for n in features}
+    where = lambda test, a, b: F.when(test, a).otherwise(b)
+    per = c.groupBy("image_id", "split").agg(F.max("is_correct").alias("hit"), *[
+        F.max(_place(score(w, f, where), "o1", "o2", "o3")).alias(f"best{i}") for i, w in enumerate(combos)])
+    sums = per.groupBy("split").agg(F.sum(F.col("hit").cast("int")).alias("found"), *[_right_places(f"best{i}").alias(f"right{i}") for i in range(len(combos))])
+    images = both([name(df.agg(F.count("*").alias("images")), split) for split, df in labels.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("combo"), F.coalesce(f"right{i}", F.lit(0)).alias("correct")) for i in range(len(combos))]))
+    one = lambda x: F.greatest(F.lit(1), F.col(x))
+    return images.join(F.broadcast(sums), "split", "left").select("split", "images", F.coalesce("found", F.lit(0)).alias("found"), each.alias("e")).select(
+        "split", "e.combo", "images", (F.col("found") / one("images")).alias("candidate_recall"),
+        (F.col("e.correct") / one("images")).alias("final_em"), (F.col("e.correct") / one("found")).alias("selection_accuracy"))
+
+
 _FITS = {"source": (["is_yolo", "score", "log_rec", "log_det", "is_due"], _source_score, SOURCE_GRID),
          "spatial": (["is_yolo", "score", "log_rec", "log_det", "spatial"], _spatial_score, SPATIAL_GRID)}
 
 
 def fit_weights(kind: str, train_pool: DataFrame, train_labels: DataFrame, val_pool: DataFrame | None = None,
-                val_labels: DataFrame | None = None, grid: dict[str, list] | None = None) -> DataFrame:
+                val_labels: DataFrame | None = None, grid: dict[str, list] | None = None, single: bool | None = None) -> DataFrame:
     """Best weights by (exact match, selection, recall) on train, the first on ties, and their
-    report on train and validation: one row per split."""
+    report on train and validation: one row per split.
+
+    What the weight sets reach is a small table, stored, so that a pool is evaluated once; few weight sets share one pass over a pool
+    that both splits have. ``single`` tells whether every image of the pools is one tile where that is known.
+    """
     names, score, default = _FITS[kind]
     combos = product_grid(grid or default)
-    train = _evaluate_fit(train_pool, train_labels, combos, names, score)
+    splits = {"train": (train_pool, train_labels)} | ({} if val_pool is None else {"val": (val_pool, val_labels)})
+    if len(combos) <= FEW_SETS:
+        shared = val_pool is None or val_pool is train_pool
+        passes = [(train_pool, {s: lab for s, (_, lab) in splits.items()})] if shared else [(p, {s: lab}) for s, (p, lab) in splits.items()]
+        every = [materialise(_evaluate_few(p, labs, combos, names, score, single)) for p, labs in passes]
+        reached = {s: reduce(DataFrame.unionByName, every).filter(F.col("split") == s).drop("split") for s in splits}
+    else:
+        reached = {s: materialise(_evaluate_fit(p, lab, combos, names, score)) for s, (p, lab) in splits.items()}
+    train = reached["train"]
     best = train.orderBy(F.desc("final_em"), F.desc("selection_accuracy"), F.desc("candidate_recall"), "combo").limit(1)
     out = best.withColumn("split", F.lit("train"))
     if val_pool is not None:
-        val = _evaluate_fit(val_pool, val_labels, combos, names, score)
-        out = out.unionByName(val.join(F.broadcast(best.select("combo")), "combo", "left_semi").withColumn("split", F.lit("val")))
+        out = out.unionByName(reached["val"].join(F.broadcast(best.select("combo")), "combo", "left_semi").withColumn("split", F.lit("val")))
     return _with_combo_columns(out, combos).drop("combo")

@@ -29,6 +29,7 @@ NEGATIVE_KEYWORDS = ("제조일", "제조일자", "제조", "mfg", "mfd", "prod"
 DMY_WITHOUT_SLASH, DMY_WITH_SLASH, DMY_SLASH_LAST_YEAR = -0.6, 0.4, 2026
 
 KEYWORDS_PER_BLOCK = 1024
+FEW_BOXES = 8
 
 
 @dataclass(frozen=True)
@@ -378,23 +379,27 @@ def best_candidates(marked: DataFrame, params: ScoreParams = ScoreParams()) -> D
     return leading if in_one_tile(marked, candidate_tile(F.col("cand_ordinal"))) else select_best(leading)
 
 
-def other_source_iou(cands: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def other_source_iou(cands: DataFrame, stored: DataFrame | None = None, one_tile: bool | None = None) -> DataFrame:
     """Add ``source`` and ``spatial``: best IoU with a candidate box of the other source.
 
     ``stored`` is a stored table of the same candidates, from which boxes are read, so that features and scores are not worked out
     for them. Then, where each image is one tile with no more boxes of a source than one cell holds, candidates meet one row of
-    their image, and they are neither shuffled again nor aggregated.
+    their image, and they are neither shuffled again nor aggregated. ``one_tile`` is given where that is known already.
     """
     c = cands.withColumns({"source": candidate_source(F.col("sources")),
                            "tile": candidate_tile(F.col("cand_ordinal"))})
-    if stored is not None and in_one_tile(stored, candidate_tile(F.col("cand_ordinal"))):
+    if stored is not None and (in_one_tile(stored, candidate_tile(F.col("cand_ordinal"))) if one_tile is None else one_tile):
         of = lambda name: F.collect_set(F.when(candidate_source(F.col("sources")) == name, F.col("union_box")))
         sides = materialise(stored.select("image_id", "sources", "union_box").filter("union_box IS NOT NULL")
                             .groupBy("image_id").agg(of("yolo").alias("__yolo"), of("baseline").alias("__baseline")))
         if sides.filter(F.greatest(F.size("__yolo"), F.size("__baseline")) > BOXES_PER_CELL).isEmpty():
             other = F.when(F.col("source") == "yolo", F.col("__baseline")).otherwise(F.col("__yolo"))
-            best = F.array_max(F.transform(other, lambda b: box_iou(F.col("union_box"), b)))
-            return c.join(sides, "image_id", "left").withColumn("spatial", F.coalesce(best, F.lit(0.0))).drop("tile", "__yolo", "__baseline")
+            iou = lambda b: box_iou(F.col("union_box"), b)
+            # few boxes need no array functions, which Spark does not compile; a place beyond the array is no box
+            best = F.when(F.size("__other") <= FEW_BOXES, F.greatest(*[iou(F.get("__other", F.lit(i))) for i in range(FEW_BOXES)])).otherwise(
+                F.array_max(F.transform("__other", iou)))
+            return (c.join(sides, "image_id", "left").withColumn("__other", other).withColumn("spatial", F.coalesce(best, F.lit(0.0)))
+                    .drop("tile", "__yolo", "__baseline", "__other"))
     boxes = c.select("image_id", F.when(F.col("source") == "yolo", "baseline").otherwise("yolo").alias("source"), "union_box",
                      F.col("tile").alias("block"))
     joined = meet_boxes(c, boxes, ["image_id", "source"], "tile", F.col("block"), ("union_box",), "union_box", "union_box", "left")

@@ -47,8 +47,19 @@ def image_id(key):
     return F.concat(F.lit("img_"), F.lpad(key.cast("string"), 8, "0"))
 
 
+def has_stored(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    return (spark.sparkContext.applicationId, sf_dir, name) in _stored
+
+
+def share_lines(spark: SparkSession, sf_dir: str) -> None:
+    """Stores the numbered lines, for queries that need them more than once, as numbering sorts all line items."""
+    stored(spark, sf_dir, "lines", lambda: dated_lines(spark, sf_dir).drop("image_id"))
+
+
 def dated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item: image_id, rn (1-based position in the order), d (shifted date)."""
+    if has_stored(spark, sf_dir, "lines"):
+        return _stored[(spark.sparkContext.applicationId, sf_dir, "lines")].withColumn("image_id", image_id(F.col("l_orderkey")))
     li = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -176,6 +187,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.score_candidates(features(spark, sf_dir), PARAMS)
 
 
+def scored_once(spark: SparkSession, sf_dir: str, cands: DataFrame, one_tile: bool) -> DataFrame:
+    """``scored`` for a query that reads it once: features that the session has not stored are built from ``cands`` and not stored."""
+    if has_stored(spark, sf_dir, "features"):
+        return scored(spark, sf_dir)
+    return S.score_candidates(S.features(cands, tokens(spark, sf_dir), PARAMS, one_tile=one_tile), PARAMS)
+
+
 def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best candidate of each image that has one: what the predictions and the pseudo labels read of it."""
     return stored(spark, sf_dir, "selected", lambda: S.best_candidates(_marked_features(spark, sf_dir), PARAMS).select(
@@ -188,6 +206,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         images(spark, sf_dir).join(selected(spark, sf_dir), "image_id", "left")))
 
 
+def detector_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``detector`` for a query that stored the lines: rows that the session has not stored follow from them."""
+    return detector(spark, sf_dir) if has_stored(spark, sf_dir, "detector") else _build_detector(spark, sf_dir)
+
+
 def detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "detector", lambda: _build_detector(spark, sf_dir))
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from expirylens.operators import search as Q
-from expirylens.operators.candidates import annotated_candidates
+from expirylens.operators import search as Q, selection as S
+from expirylens.operators.candidates import annotated_candidates, candidates_from_detector, candidates_under
+from expirylens.operators.ordering import in_one_tile
 from expirylens.plans import fixtures as X
 from expirylens.plans.catalog import query
 from expirylens.plans.oracle_parts import sql
 from expirylens.plans.queries_core import _POOL, pool
 from expirylens.plans.storage import materialise
+from expirylens.schemas import tile_of
 
 
 def annotated(spark, d):
@@ -164,12 +166,32 @@ _SPA_RANK = """CASE WHEN source = 'yolo' THEN yolo_bonus ELSE 0.0 END + candidat
 _IOU = """greatest(0.0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0, least(p.y2, q.y2) - greatest(p.y1, q.y1))"""
 
 
+def in_single_tiles(spark, d) -> bool:
+    """Whether each image of the pool is one tile."""
+    return (in_one_tile(X.tokens(spark, d), tile_of(F.col("token_index")))
+            and in_one_tile(X.detector_once(spark, d), tile_of(F.col("candidate_index"))))
+
+
+def spatial_pool(spark, d, single: bool):
+    """The pool with its overlaps. Where each image is one tile it is worked out in the one pass that reads it, only boxes before."""
+    if not single:
+        return X.stored(spark, d, "pool_spatial", lambda: Q.pool_spatial(pool(spark, d).drop("pool_ordinal")))
+    detector = candidates_from_detector(X.detector_once(spark, d))
+    cands = X.candidates(spark, d) if X.has_stored(spark, d, "candidates") else candidates_under(annotated(spark, d), True, True)
+    pooled = lambda scored, detector: Q.union_pool(S.baseline_pool(scored), detector, single=True)
+    # detector rows are placed as the features are, so that the pool of both is not shuffled again
+    return Q.pool_spatial(pooled(X.scored_once(spark, d, cands, one_tile=True), detector.repartition("image_id")),
+                          pooled(cands.withColumn("score", F.lit(0.0)), detector), single=True)
+
+
 @query("a13_fit_spatial_weights", sql("""SELECT split, images, round(candidate_recall, 6) AS candidate_recall, round(final_em, 6) AS final_em, round(selection_accuracy, 6) AS selection_accuracy,
     spatial_w::DOUBLE AS spatial, yolo_bonus::DOUBLE AS yolo_bonus, candidate_score::DOUBLE AS candidate_score FROM rs JOIN bs USING (i) JOIN w USING (i)""",
     "sc", "det", "lab", **{k: v for k, v in {**_FIT, "pts": f"""SELECT p.*, coalesce((SELECT max({_IOU} / greatest(1e-9, 2 * 80.0 * 18.0 - {_IOU})) FROM pool q
         WHERE q.image_id = p.image_id AND q.source <> p.source), 0.0) AS spatial FROM pt p""", **_fit(_SPA_W, _SPA_RANK)}.items()}))
 def a13(spark, d):
+    X.share_lines(spark, d)
     train, val = _halves(spark, d)
     grid = {"spatial": [0.0, 0.5, 2.0], "yolo_bonus": [0.0, 1.5], "candidate_score": [0.5, 2.0], "rec_log": [0.5], "det_log": [0.1]}
-    p = X.stored(spark, d, "pool_spatial", lambda: Q.pool_spatial(pool(spark, d).drop("pool_ordinal")))
-    return _rounded(Q.fit_weights("spatial", p, train, p, val, grid)).drop("rec_log", "det_log")
+    single = in_single_tiles(spark, d)
+    p = spatial_pool(spark, d, single)
+    return _rounded(Q.fit_weights("spatial", p, train, p, val, grid, single=single)).drop("rec_log", "det_log")

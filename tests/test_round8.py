@@ -69,3 +69,49 @@ def test_no_images_and_no_tokens(spark, token_table):
     labels = dated_labels(spark, dated_images())
     for t, lab in ((tokens.filter("false"), labels), (tokens, labels.filter("false"))):
         assert sorted((r.combo, r.correct, r.total, r.covered) for r in Q.evaluate_params(t, lab, SETS[:2]).collect()) == [(0, 0, 0, 0), (1, 0, 0, 0)]
+
+
+POOL = ("image_id string, o1 int, o2 double, o3 long, source string, prediction string, score double, rec double, det double, class int, "
+        "is_yolo boolean, is_due boolean, log_rec double, log_det double, tile int, last_tile int, bbox struct<x1:double,y1:double,x2:double,y2:double>")
+
+
+def pools(spark):
+    """Images with a few boxes, with more than are compiled, and with more than one cell holds."""
+    r, rows, sizes = random.Random(3), [], [2, 3, 5, 8, 9, 17, 18, 40, 150]
+    for n, size in enumerate(sizes * 3):
+        for k in range(size):
+            yolo, x, box = k % 2, 7.0 * r.randint(0, 9), r.random() < 0.9
+            rows.append((f"i{n}", yolo, 0.0 if yolo else -r.choice([0.5, 1.0]), k if yolo else k << 20, "yolo" if yolo else "baseline",
+                         f"2024-01-0{r.randint(1, 4)}", r.choice([0.5, 1.0]), 0.5, 0.5, k % 3, bool(yolo), k % 3 == 1, r.choice([0.0, -0.7]), -0.5, 0, 0,
+                         (x, 0.0, x + 20.0, 18.0) if box else None))
+    labels = [(f"i{n}", f"2024-01-0{n % 5 + 1}") for n in range(3 * len(sizes))] + [("none", "NONE"), ("i0", "2024-01-02")]
+    return materialise(spark.createDataFrame(rows, POOL)), materialise(spark.createDataFrame(labels, "image_id string, final_date string"))
+
+
+def rows_of(df):
+    return sorted(str(sorted(r.asDict(True).items())) for r in df.collect())
+
+
+def test_overlaps_of_a_pool_read_from_stored_boxes(spark):
+    pool, _ = pools(spark)
+    few = pool.join(pool.groupBy("image_id").count().filter("count < 100").select("image_id"), "image_id", "left_semi")
+    for p in (pool, few):
+        assert rows_of(Q.pool_spatial(p, materialise(p), single=True)) == rows_of(Q.pool_spatial(p))
+
+
+@pytest.mark.parametrize("kind", ["source", "spatial"])
+def test_a_pool_is_read_once_for_a_fit(spark, monkeypatch, kind):
+    pool, labels = pools(spark)
+    pool = materialise(Q.pool_spatial(pool))
+    train, val = labels.filter("image_id < 'i2'"), labels.filter("image_id >= 'i14'")      # some images are in both
+    grid = {"spatial": {"spatial": [0.0, 0.5, 2.0], "yolo_bonus": [0.0, 1.5], "candidate_score": [0.5], "rec_log": [0.5], "det_log": [0.1]},
+            "source": {"baseline_source": [0.0, 1.0], "yolo_source": [0.25], "yolo_bonus": [0.0, 1.0], "candidate_score": [0.5, 2.0], "rec_log": [0.25],
+                       "det_log": [0.1], "due_bonus": [0.1]}}[kind]
+    fit = lambda v: Q.fit_weights(kind, pool, train, pool if v else pool.filter("true"), val, grid)
+    out = fit(True)
+    assert not set(out.inputFiles()) & set(pool.inputFiles())
+    together = rows_of(out)
+    assert len(together) == 2 and rows_of(fit(False)) == together
+    monkeypatch.setattr(Q, "FEW_SETS", 0)
+    assert rows_of(fit(True)) == together
+    assert rows_of(Q.fit_weights(kind, pool, train.filter("false"), grid=grid))[0].count("('final_em', 0.0)") == 1
